@@ -15,9 +15,11 @@ BATCH_ROWS, BATCH_BYTES = 2000, 16 * 2**20
 
 
 def tune(spark: SparkSession) -> None:
-    """Bounds Arrow batches, so that a run of very long texts cannot fill a Python worker."""
+    """Bounds Arrow batches, so that a run of very long texts cannot fill a Python worker, and lets each job's shuffle
+    files go when it has ended, as what a later job needs is written to the shared folder."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def shared_dir(spark: SparkSession) -> str:
