@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from chronofact.llm.bpe import bpe_digest
+from chronofact.llm.embed_join import near_vectors
 from chronofact.llm.minhash import near_duplicates
 from chronofact.llm.packing import pack
+from chronofact.llm.phrases import remove_repeats
 from chronofact.llm.tiff import tiff_digest
 from chronofact.llm.urlrules import url_verdicts
 
@@ -33,6 +35,14 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(_table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
 
 
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op8_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff_digest(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -41,7 +51,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash": op1_minhash, "op5_packing": op5_packing, "op6_url_rules": op6_url_rules, "op9_tiff": op9_tiff, "op10_bpe": op10_bpe}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash": op1_minhash, "op5_packing": op5_packing, "op6_url_rules": op6_url_rules, "op7_vectors": op7_vectors, "op8_phrases": op8_phrases, "op9_tiff": op9_tiff, "op10_bpe": op10_bpe}
 
 _RULE_ROWS = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in URL_RULES)
 
@@ -58,7 +68,29 @@ reach(doc_id, other) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT reach.doc
 least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sizes JOIN least USING (doc_id)"""
 
+#: Pairs by cosine in double precision, and the smallest vector that links reach.
+_VECTOR_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+reach(vec_id, other) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.vec_id, y FROM reach JOIN links ON x = other),
+least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+number AS (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM least LEFT JOIN number USING (vec_id)"""
+
+#: Windows of 35 words that occur twice, and the words that they cover.
+_REPEAT_SQL = """
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, unnest(list_transform(range(1, len(w) - 33), lambda i: md5(array_to_string(w[i:i + 34], ' ')))) AS g FROM words),
+twice AS (SELECT g FROM windows GROUP BY g HAVING count(*) > 1),
+covered AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 35)))) AS gone FROM windows JOIN twice USING (g) GROUP BY doc_id),
+cut AS (SELECT words.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+  CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]) END AS kept FROM words LEFT JOIN covered USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM cut"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op7_vectors": _VECTOR_SQL,
+    "op8_phrases": _REPEAT_SQL,
     "op1_minhash": _NEAR_SQL,
     "op6_url_rules": f"""
 WITH rules(verdict, rule, rhost, rpath) AS (VALUES {_RULE_ROWS}),
