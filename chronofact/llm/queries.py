@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from chronofact.llm import ngram_lm
 from chronofact.llm.bpe import bpe_digest
 from chronofact.llm.embed_join import near_vectors
+from chronofact.llm.langid import identify, learnable
 from chronofact.llm.minhash import near_duplicates
 from chronofact.llm.packing import pack
 from chronofact.llm.phrases import remove_repeats
 from chronofact.llm.tiff import tiff_digest
+from chronofact.llm.toxicity import toxicity
 from chronofact.llm.urlrules import url_verdicts
 
 #: The rules of the URL query: verdict and host with path.
@@ -27,6 +31,27 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    held_out, labelled = learnable(docs)
+    return identify(docs.withColumn("held_out", held_out), labelled, columns=["doc_id", "held_out"])
+
+
+def op3_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text").withColumn("held_out", ngram_lm.held_out())
+    return ngram_lm.score(docs, ngram_lm.train(docs.where("not held_out")), columns=["doc_id", "held_out"])
+
+
+def categories(labels: DataFrame) -> DataFrame:
+    """The chain's labels: low quality first, as junk is what a toxicity model without it takes for toxic."""
+    return labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = categories(_table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+    return toxicity(_table(spark, sf_dir, "documents", "doc_id", "text"), labels, ["low_quality", "toxic"])
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -51,7 +76,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash": op1_minhash, "op5_packing": op5_packing, "op6_url_rules": op6_url_rules, "op7_vectors": op7_vectors, "op8_phrases": op8_phrases, "op9_tiff": op9_tiff, "op10_bpe": op10_bpe}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash": op1_minhash, "op2_langid": op2_langid, "op3_ngrams": op3_ngrams, "op4_toxicity": op4_toxicity, "op5_packing": op5_packing, "op6_url_rules": op6_url_rules, "op7_vectors": op7_vectors, "op8_phrases": op8_phrases, "op9_tiff": op9_tiff, "op10_bpe": op10_bpe}
 
 _RULE_ROWS = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in URL_RULES)
 

@@ -60,13 +60,17 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and end of every word, and for each text the number of words before it (n + 1 values)."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool, apart: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of every word, and for each text the number of words before it (n + 1 values).
+
+    ``apart`` marks the bytes that are no part of words. With ``prefixes`` the hashes have further columns: of each
+    word's first so many bytes (of the whole word if it is shorter).
+    """
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
-    space = _SPACE[data]
+        return np.zeros((0, 1 + len(prefixes)) if prefixes else 0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
+    space = apart[data]
     start = ~space
     start[1:] &= space[:-1]
     inner = offsets[(offsets > 0) & (offsets < n)]
@@ -75,7 +79,8 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarra
     end[:-1] &= space[1:]
     end[inner - 1] = ~space[inner - 1]
     first, last = np.flatnonzero(start), np.flatnonzero(end) + 1
-    value, hashes, done = _BYTE_LOWER if lower else _BYTE, np.empty(len(first), np.uint64), 0
+    value, hashes, done = _BYTE_LOWER if lower else _BYTE, np.empty((1 + len(prefixes), len(first)), np.uint64), 0
+    ends = [last, *(np.minimum(last, first + n) for n in prefixes)]
     with np.errstate(over="ignore"):
         while done < len(first):
             base = first[done]
@@ -84,11 +89,13 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarra
             total = np.empty(stop - base + 1, np.uint64)
             total[0] = 0
             np.cumsum(value[data[base:stop]] * _power(_BASE, stop - base), out=total[1:])
-            a, b = first[done:upto] - base, last[done:upto] - base
-            hashes[done:upto] = (total[b] - total[a]) * _power(_BASE_INV, stop - base)[a]
+            a = first[done:upto] - base
+            for own, end in zip(hashes, ends, strict=True):
+                own[done:upto] = (total[end[done:upto] - base] - total[a]) * _power(_BASE_INV, stop - base)[a]
             done = upto
-        hashes = mix(hashes + (last - first).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
-    return hashes, first, last, np.searchsorted(first, offsets).astype(np.int64)
+        for own, end in zip(hashes, ends, strict=True):
+            own[:] = mix(own + (end - first).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+    return hashes.T if prefixes else hashes[0], first, last, np.searchsorted(first, offsets).astype(np.int64)
 
 
 def rolling(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -1 +1,65 @@
-STAGES = []
+"""From raw documents to packed training sequences, a stage after another."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronofact.llm.langid import identify, learnable
+from chronofact.llm.minhash import near_duplicates
+from chronofact.llm.packing import pack
+from chronofact.llm.phrases import remove_repeats
+from chronofact.llm.queries import categories
+from chronofact.llm.storage import stash
+from chronofact.llm.toxicity import toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain, fitted on the labelled ones among them, doesn't call toxic."""
+    labels = categories(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity(docs, labels, ["low_quality", "toxic"], columns=docs.columns).where("kept").select(*docs.columns)
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages that those with a known language teach."""
+    return identify(docs, learnable(docs)[1], columns=docs.columns).where("not rejected").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id; documents without an id stay."""
+    return docs.join(near_duplicates(docs).where("not kept").select("doc_id").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 35 words that recur; what is cut is joined by single spaces."""
+    cut = remove_repeats(docs, columns=docs.columns, with_text=True)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return cut.withColumns({"text": text, "n_chars": F.length(text).cast("long")}).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 tokens."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("language", drop_unknown_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeats", cut_repeats),
+    ("packing", pack_sequences),
+]
+
+#: The trained models of the first two stages cannot be told in SQL; the tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet and read again for the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
