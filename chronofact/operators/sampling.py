@@ -5,10 +5,14 @@ Draws order rows by a hash of id and seed, so they are the same for any partitio
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from chronofact.functions.texts import domain, script_language
 
@@ -63,14 +67,21 @@ def reservoir(docs: DataFrame, size: int, seed: int = 0, id_col: str = "source_i
     return docs.orderBy(draw_order(id_col, seed), id_col).limit(max(0, size))
 
 
-def simhash(text: Column) -> Column:
-    """64-bit SimHash over white space separated words, by the last 8 bytes of each word's MD5; 0 without words. The
-    signs of all bits are summed in one pass over the words."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
-    number = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 17, 16), 16, -10).cast("long"))
-    bits = F.sequence(F.lit(0), F.lit(63))
-    ones = lambda b: F.aggregate(number, F.lit(0), lambda n, h: n + F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1)).cast("int"))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda out, b: F.when(2 * ones(b) > F.size(words), out.bitwiseOR(F.expr("1L") * F.call_function("shiftleft", F.lit(1).cast("long"), b))).otherwise(out))
+def simhash_of(text: str | None) -> int:
+    """Signed 64-bit SimHash of white space separated words, by the last 8 bytes of each one's MD5; 0 without words."""
+    words = (text or "").split()
+    if not words:
+        return 0
+    digests = np.frombuffer(b"".join(hashlib.md5(w.encode()).digest()[8:] for w in words), np.uint8).reshape(-1, 8)
+    ones = np.unpackbits(digests, axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(words)).view(">i8")[0])
+
+
+@F.pandas_udf(LongType())
+def simhash(text: pd.Series) -> pd.Series:
+    """SimHash of a text. As lambdas over 64 bits of each word's hash it would be hashed anew for each bit, so it runs in
+    Arrow batches."""
+    return text.map(simhash_of, na_action=None)
 
 
 def near_duplicate_pairs(hashes: DataFrame, distance: int = 3, id_col: str = "id", hash_col: str = "simhash") -> DataFrame:
@@ -79,7 +90,7 @@ def near_duplicate_pairs(hashes: DataFrame, distance: int = 3, id_col: str = "id
     bands = distance + 1
     width = 64 // bands
     distinct = hashes.groupBy(F.col(hash_col).alias("__h")).agg(F.min(id_col).alias("__id"))
-    part = lambda h, b: F.shiftrightunsigned(h, b * width).bitwiseAND(F.lit((1 << width) - 1))
+    part = lambda h, b: F.shiftrightunsigned(h, b * width).bitwiseAND(F.lit((1 << width) - 1).cast('long'))
     keyed = distinct.select("__id", "__h", F.posexplode(F.array(*(part("__h", b) for b in range(bands)))).alias("__band", "__key"))
     left, right = (keyed.select(F.col("__id").alias(f"{s}_id"), F.col("__h").alias(f"{s}_h"), "__band", "__key") for s in ("left", "right"))
     bits = F.bit_count(F.col("left_h").bitwiseXOR(F.col("right_h")))

@@ -262,7 +262,7 @@ def schema_discovery(spark, d):
     return found.select("name", "frequency", "cardinality", F.when(F.col("name") == "announced", F.col("aliases")).otherwise("").alias("aliases"))
 
 
-@query("SELECT entity, n, n_predicates, n_langs, round(n * (1 + n_predicates) * (1 + 0.2 * n_langs), 6) AS score, row_number() OVER (ORDER BY n * (1 + n_predicates) * (1 + 0.2 * n_langs) DESC, n DESC, entity DESC) AS rank FROM (SELECT 'User#' || user_id AS entity, count(*) AS n, count(DISTINCT event_type) AS n_predicates, 1 AS n_langs FROM events GROUP BY user_id) WHERE n >= 3 QUALIFY rank <= 40")
+@query("SELECT entity, n, n_predicates, n_langs, round(n * (1 + n_predicates) * (1 + 0.2 * n_langs), 6)::DOUBLE AS score, row_number() OVER (ORDER BY n * (1 + n_predicates) * (1 + 0.2 * n_langs) DESC, n DESC, entity DESC) AS rank FROM (SELECT 'User#' || user_id AS entity, count(*) AS n, count(DISTINCT event_type) AS n_predicates, 1 AS n_langs FROM events GROUP BY user_id) WHERE n >= 3 QUALIFY rank <= 40")
 def seed_scores(spark, d):
     mentions = table(spark, d, "events").select(F.concat(F.lit("User#"), "user_id", F.lit(" Corp.")).alias("entity"), F.col("event_type").alias("predicate"), F.lit("en").alias("lang"))
     return reports.seed_entities(mentions, budget=10).withColumn("score", F.round("score", 6))
@@ -465,7 +465,7 @@ def simhash_pairs(spark, d):
 
 
 # --- questions, answers, evaluation -------------------------------------------------------------------------------------
-_NORMAL = "trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
+_NORMAL = "array_to_string(list_filter(string_split(regexp_replace(regexp_replace(lower({0}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\s+', ' ', 'g'), ' '), lambda x: x NOT IN ('', 'a', 'an', 'the')), ' ')"
 
 
 @query(f"WITH b AS (SELECT item_id, {_NORMAL.format('text')} AS e FROM benchmark), d AS (SELECT doc_id, {_NORMAL.format('text')} AS c FROM documents) SELECT item_id, doc_id FROM b JOIN d ON contains(c, e)")
