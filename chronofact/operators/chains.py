@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronofact.durable import saved
 from chronofact.functions.intervals import contains, gap_seconds
 from chronofact.model import KEY
 from chronofact.operators.views import join_eligible
@@ -42,7 +45,7 @@ def chain_pairs(chain: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
 def rename_walk(facts: DataFrame, starts: DataFrame, predicates: list[str], at: Column | None = None, direction: str = "forward", max_depth: int = 10, include_contested: bool = False, strict: bool = True) -> DataFrame:
     """Walks renamings from every start at once: ``start, step, id, subject, predicate, object, closes, truncated``.
 
-    One join for each step over those walks that are still on; a walk ends where nothing goes on, after ``max_depth``
+    One join for each step over those walks that are still on, kept as a checkpoint; a walk ends where nothing goes on, after ``max_depth``
     steps, or with the step that comes back to a name it had (``closes``). With more than one way on, ``strict`` raises
     AmbiguousChain, else the earliest fact is taken. ``both`` walks either way; a fact found twice counts once.
     """
@@ -56,19 +59,19 @@ def rename_walk(facts: DataFrame, starts: DataFrame, predicates: list[str], at:
     order = W.partitionBy(here).orderBy("validity_start", "id")
     edges = edges.withColumns({"__n": F.row_number().over(order), "__ways": F.count("*").over(W.partitionBy(here))}).where("__n = 1")
     edges = edges.select(F.col(here).alias("current"), F.col(there).alias("next"), "id", "subject", "predicate", "object", "__ways")
+    edges, parts = saved(edges), []
     walks = starts.select(F.col("start"), F.col("start").alias("current"), F.array("start").alias("seen"))
-    steps = None
     for step in range(1, max_depth + 2):
-        on = walks.join(edges, "current")
-        if strict and on.where("__ways > 1").limit(1).count():
-            raise AmbiguousChain(f"more than one renaming {direction} at step {step}")
-        on = on.withColumn("closes", F.array_contains("seen", F.col("next")))
-        if step > max_depth:
-            more = on.select("start").distinct().withColumn("truncated", F.lit(True))
-            return steps.join(more, "start", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
-        found = on.select("start", F.lit(step).alias("step"), "id", "subject", "predicate", "object", "closes")
-        steps = found if steps is None else steps.unionByName(found)
+        on = saved(walks.join(edges, "current").withColumn("closes", F.array_contains("seen", F.col("next"))))
+        parts.append(on.select("start", F.lit(step).alias("step"), "id", "subject", "predicate", "object", "closes", "__ways"))
         walks = on.where("not closes").select("start", F.col("next").alias("current"), F.concat("seen", F.array("next")).alias("seen"))
+        if on.isEmpty():
+            break
+    steps = reduce(DataFrame.unionByName, parts)
+    if strict and steps.where("__ways > 1").limit(1).count():
+        raise AmbiguousChain(f"more than one renaming {direction}")
+    longest = F.max("step").over(W.partitionBy("start"))
+    return steps.withColumn("truncated", longest > max_depth).where(F.col("step") <= max_depth).drop("__ways")
 
 
 def join_chain(facts: DataFrame, starts: DataFrame, predicates: list[str], at: Column | None = None, strict: bool = True) -> DataFrame:
@@ -77,11 +80,10 @@ def join_chain(facts: DataFrame, starts: DataFrame, predicates: list[str], at: C
     if not 1 <= len(predicates) <= 4:
         raise ValueError("one to four hops")
     live = join_eligible(facts, at)
-    out = starts.select("start", F.col("start").alias("__here"))
+    out = starts.select("start", F.col("start").alias("__here"), F.lit(1).cast("long").alias("__most"))
     for i, predicate in enumerate(predicates, 1):
         hop = live.where(F.col("predicate") == predicate).groupBy(F.col("subject").alias("__here")).agg(F.count("*").alias("__n"), F.min("object").alias(f"hop_{i}"))
-        out = out.join(hop, "__here")
-        if strict and out.where("__n > 1").limit(1).count():
-            raise AmbiguousChain(f"hop {i} by {predicate} has more than one fact")
-        out = out.where("__n = 1").drop("__n", "__here").withColumn("__here", F.col(f"hop_{i}"))
-    return out.drop("__here")
+        out = out.join(hop, "__here").withColumns({"__here": F.col(f"hop_{i}"), "__most": F.greatest("__most", "__n")}).drop("__n")
+    if strict and out.where("__most > 1").limit(1).count():
+        raise AmbiguousChain("a hop has more than one fact")
+    return out.where("__most = 1").drop("__here", "__most")

@@ -57,7 +57,7 @@ def stratified(docs: DataFrame, size: int, seed: int = 0, stratum: str = "stratu
     order = draw_order(id_col, seed)
     keyed = docs.select(F.col(id_col), F.col(stratum), order.alias("__h"))
     each = F.ceil(F.lit(size) / F.greatest(F.lit(1), F.lit(docs.select(stratum).distinct().count())))
-    turn = keyed.withColumn("__turn", F.row_number().over(W.partitionBy(stratum).orderBy("__h")))
+    turn = keyed.withColumn("__turn", F.row_number().over(W.partitionBy(stratum).orderBy("__h"))).where(F.col("__turn") <= size)  # a stratum gives no more, so tasks send no more
     chosen = turn.orderBy((F.col("__turn") > each).cast("int"), "__h").limit(size)
     return docs.join(chosen.select(id_col), id_col, "left_semi")
 
