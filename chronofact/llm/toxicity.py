@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofact.llm import text as T
-from chronofact.llm.storage import tune
+from chronofact.llm.storage import stash, tune
 
 #: Bound of the sample of labelled rows that the models are fitted on: about so many, chosen by a hash of their id.
 TRAIN_ROWS = 6000
@@ -50,17 +50,46 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return numbers, at, dense
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct features of each training text with their densities in percent."""
+def _features_of(part: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each text: its row, distinct features, their densities in percent, and the shares."""
+    numbers, at, dense = features(*T.buffers(part.column(0)))
+    for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+        own, n = np.unique(numbers[a:b], return_counts=True)
+        yield i, own, 100 * n / max(1, b - a), dense[i]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(feature, total, hits)``: in how many of a partition's texts a feature is, and in how many with each label."""
+    total, hits = np.zeros(1 << BITS, np.int64), None
     for batch in batches:
         for part in T.pieces(batch, "text"):
-            numbers, at, dense = features(*T.buffers(part.column(0)))
-            own, values = [], []
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                found, n = np.unique(numbers[a:b], return_counts=True)
-                own.append(found.astype("<i4").tobytes())
-                values.append((100 * n / max(1, b - a)).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(own, pa.binary()), pa.array(values, pa.binary()), pa.array(list(dense), pa.list_(pa.float64()))], names=["y", "own", "values", "dense"])
+            y = np.array(part.column(1).to_pylist(), np.int64)
+            hits = np.zeros((y.shape[1], 1 << BITS), np.int32) if hits is None else hits
+            for i, own, _, _ in _features_of(part):
+                total[own] += 1
+                for k in np.flatnonzero(y[i]):
+                    hits[k, own] += 1
+    some = np.flatnonzero(total)
+    for lo in range(0, len(some), 50_000):
+        own = some[lo : lo + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own]), pa.array(list(hits[:, own].T.astype(np.int64)), pa.list_(pa.int64()))], names=["feature", "total", "hits"])
+
+
+def _sampled(union: np.ndarray):
+    """Of each training text: its labels, a hash of all its features, those in ``union`` with densities, and shares."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in T.pieces(batch, "text"):
+                rows = []
+                for _, own, values, dense in _features_of(part):
+                    hit = np.isin(own, union, assume_unique=True)
+                    rows.append((zlib.crc32(own.tobytes()), own[hit].astype("<i4").tobytes(), values[hit].astype("<f4").tobytes(), dense))
+                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.float64())]
+                columns = zip(*rows, strict=True) if rows else [()] * 4
+                yield pa.RecordBatch.from_arrays([part.column(1), *(pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True))], names=["y", "mark", "own", "values", "dense"])
+
+    return run
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -122,15 +151,13 @@ class Chain:
         return out
 
 
-def _select(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Features of at least 5 texts whose presence tells most about the label, by chi-squared."""
-    inside, outside = (np.bincount(np.concatenate([r for r, v in zip(rows, y, strict=True) if v == k] or [np.zeros(0, np.int64)]), minlength=1 << BITS) for k in (1, 0))
-    a, b = float(y.sum()), float(len(y) - y.sum())
-    total = inside + outside
-    gain = (inside * (b - outside) - outside * (a - inside)) ** 2.0 * (a + b) / np.maximum(a * b * total * (a + b - total), 1)
-    gain = np.where((total >= 5) & (gain >= SURE), gain, 0)
-    best = np.argsort(-gain, kind="stable")[:SELECTED]
-    return np.sort(best[gain[best] > 0])
+def _select(counts: DataFrame, k: int, a: int, b: int) -> np.ndarray:
+    """Features of at least 5 texts whose presence tells most about a label that ``a`` texts have and ``b`` haven't, by
+    chi-squared; at most SELECTED leave the executors."""
+    x, n = F.col("hits")[k].cast("double"), F.col("total").cast("double")
+    gain = F.pow(x * (b - (n - x)) - (n - x) * (a - x), F.lit(2.0)) * float(a + b) / F.greatest(float(a) * float(b) * n * (a + b - n), F.lit(1.0))
+    best = counts.where("total >= 5").withColumn("gain", gain).where(F.col("gain") >= SURE).orderBy(F.col("gain").desc(), "feature").limit(SELECTED)
+    return np.array(sorted(r["feature"] for r in best.select("feature").collect()), np.int64)
 
 
 def _inputs(rows: list[np.ndarray], values: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
@@ -155,11 +182,16 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_co
     sample = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(part * 1_000_000))
     y_of = F.array(*(F.col(c) for c in categories)).alias("y")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).where("text is not null").join(F.broadcast(sample), "id")  # at most about train_rows rows
-    rows = texts.select("text", y_of).mapInArrow(_sampled, "y array<int>, own binary, values binary, dense array<double>").collect()
-    rows = sorted(rows, key=lambda r: (bytes(r["own"]), bytes(r["values"]), r["y"]))  # whatever order they come in
+    texts = stash(texts.select("text", y_of), "labelled")
+    sizes = texts.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(F.col("y")[k]), F.lit(0)).alias(f"n{k}") for k in range(len(categories)))).first()
+    counts = stash(texts.mapInArrow(_counted, "feature long, total long, hits array<long>").groupBy("feature").agg(F.sum("total").alias("total"), F.array(*(F.sum(F.col("hits")[k]) for k in range(len(categories)))).alias("hits")), "feature-counts")
+    chosen_of = [_select(counts, k, sizes[f"n{k}"], sizes["n"] - sizes[f"n{k}"]) for k in range(len(categories))]
+    union = np.unique(np.concatenate(chosen_of))
+    rows = texts.mapInArrow(_sampled(union), "y array<int>, mark long, own binary, values binary, dense array<double>").collect()  # bounded by the sample
+    rows = sorted(rows, key=lambda r: (r["mark"], r["dense"], r["y"]))  # whatever order they come in
     own, values = [np.frombuffer(r["own"], "<i4").astype(np.int64) for r in rows], [np.frombuffer(r["values"], "<f4") for r in rows]
     dense = np.array([r["dense"] for r in rows]).reshape(-1, _DENSE)
-    fold = np.array([zlib.crc32(r["own"]) % FOLDS for r in rows], np.int64)  # equal texts share a fold
+    fold = np.array([r["mark"] % FOLDS for r in rows], np.int64)  # equal texts share a fold
     models, threshold = [], 0.5
     for k in range(len(categories)):
         y = np.array([r["y"][k] for r in rows], np.float64)
@@ -167,7 +199,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_co
             models.append(Model(np.zeros(0, np.int64), np.append(np.zeros(_DENSE + k), 8.0 if len(y) and y[0] else -8.0)))
             out = np.full(len(y), y[0] if len(y) else 0.0)
         else:
-            chosen = _select(own, y)
+            chosen = chosen_of[k]
             x = np.hstack([_inputs(own, values, chosen), dense])
             models.append(Model(chosen, fit_linear(x, y)))
             out = np.zeros(len(y))
