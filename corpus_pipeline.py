@@ -17,27 +17,44 @@ from chronofact.llm.storage import stash
 from chronofact.llm.toxicity import toxicity
 
 
+def _own(docs: DataFrame) -> DataFrame:
+    """The documents with all columns marked, so that no column that comes with them clashes with an operator's."""
+    return docs.select(*(F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns))
+
+
+def _back(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*(F.col(f"`in_{c}`").alias(c) for c in docs.columns))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain, fitted on the labelled ones among them, doesn't call toxic."""
-    labels = categories(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity(docs, labels, ["low_quality", "toxic"], columns=docs.columns).where("kept").select(*docs.columns)
+    """Documents that the classifier chain, fitted on the labelled ones among them, doesn't call toxic. Null and empty
+    texts stay; without labels all do."""
+    labels = categories(spark.read.parquet(f"{sf_dir}/labels.parquet")).withColumnRenamed("doc_id", "in_doc_id")
+    own = _own(docs)
+    return _back(toxicity(own, labels, ["low_quality", "toxic"], id_col="in_doc_id", text_col="in_text", columns=own.columns).where("kept"), docs)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that those with a known language teach."""
-    return identify(docs, learnable(docs)[1], columns=docs.columns).where("not rejected").select(*docs.columns)
+    """Documents in one of the languages that those with a known language teach; null texts and texts without letters
+    go."""
+    own = _own(docs)
+    labelled = learnable(own, "in_doc_id", "in_text", "in_lang")[1]
+    return _back(identify(own, labelled, text_col="in_text", columns=own.columns).where("not rejected"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; documents without an id stay."""
-    return docs.join(near_duplicates(docs).where("not kept").select("doc_id").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates the document with the smallest id; documents without an id, and rows that repeat
+    an id with its text, stay."""
+    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 35 words that recur; what is cut is joined by single spaces."""
-    cut = remove_repeats(docs, columns=docs.columns, with_text=True)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return cut.withColumns({"text": text, "n_chars": F.length(text).cast("long")}).select(*docs.columns)
+    """Documents without the passages of 35 words that recur; where any are cut, single spaces join what is left."""
+    own = _own(docs)
+    cut = remove_repeats(own, columns=own.columns, text_col="in_text", with_text=True)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("in_text"))
+    return _back(cut.withColumns({"in_text": text, "in_n_chars": F.length(text).cast("long")}), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,3 +66,14 @@ def test_stages(spark, folder):
 
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
+
+
+def test_empty_tables_and_clashing_columns(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    clash = {c: "'z'" for c in ("kept", "score", "toxic", "rejected", "lang_pred", "n_words", "kept_text", "start", "id", "text2")}
+    more = docs.selectExpr("*", *(f"{v} as {c}" for c, v in clash.items()))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), folder).count() == 0, name
+        out = stage(spark, more, folder)
+        if name != "packing":
+            assert out.columns == more.columns and {r.kept for r in out.select("kept").collect()} == {"z"}, name
