@@ -27,7 +27,7 @@ ORDER, CALIBRATION = 5, 5
 #: A text of n characters may be worse than the limit by so many bits, divided by the root of n.
 SLACK = 4.0
 #: Characters scored at once.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 _U = np.uint64
 _START = 0x110000  # stands before a text
 
@@ -294,7 +294,7 @@ def identify(docs: DataFrame, labelled: DataFrame, text_col: str = "text", colum
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.pieces(batch, "__text", 1 << 20):
+            for part in T.pieces(batch, "__text", 1 << 19):
                 yield _judged(part, shared.value, len(columns), names)
 
     rows = docs.select(*columns, F.col(text_col).cast("string").alias("__text"))

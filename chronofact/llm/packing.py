@@ -22,7 +22,9 @@ from chronofact.llm import text as T
 from chronofact.llm.storage import stash, tune
 
 #: Pre-tokens whose ids a worker keeps; beyond that it starts anew.
-KEPT = 1_500_000
+KEPT = 600_000
+#: Pre-tokens that the library encodes at once; what it returns for each is much larger than the ids.
+AT_ONCE = 4096
 #: Code points that are split here; texts with others are left to the library.
 _PLAIN = 0x2070
 _LETTER, _NUMBER, _OTHER, _WHITE = range(4)
@@ -110,10 +112,14 @@ class Tokens:
         place = np.searchsorted(self.keys, keys)
         new = np.flatnonzero(self.keys[np.minimum(place, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
         if len(new):
-            ids = [x.ids for x in self.library.encode_batch([string(i) for i in new.tolist()], add_special_tokens=False)]
-            count = np.array([len(x) for x in ids])
+            ids, counts = [self.ids], []
+            for lo in range(0, len(new), AT_ONCE):
+                some = [x.ids for x in self.library.encode_batch([string(i) for i in new[lo : lo + AT_ONCE].tolist()], add_special_tokens=False)]
+                counts.append(np.array([len(x) for x in some]))
+                ids.append(np.array([i for x in some for i in x], np.uint32))
+            count = np.concatenate(counts)
             start = len(self.ids) + np.cumsum(count) - count
-            self.ids = np.concatenate([self.ids, np.array([i for x in ids for i in x], np.uint32)])
+            self.ids = np.concatenate(ids)
             where = np.searchsorted(self.keys, keys[new])
             self.keys, self.start, self.count = (np.insert(old, where, now) for old, now in ((self.keys, keys[new]), (self.start, start), (self.count, count)))
             place = np.searchsorted(self.keys, keys)
@@ -169,7 +175,7 @@ def token_table(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id
         tokens, part, done = _tokens(tokenizer), TaskContext.get().partitionId(), 0
         width = np.uint16 if tokens.library.get_vocab_size() <= 1 << 16 and end < 1 << 16 else np.uint32
         for batch in batches:
-            for piece in T.pieces(batch, "text", 2 * 2**20):
+            for piece in T.pieces(batch, "text", 2**20):
                 ids, number = tokens.batch(*T.buffers(piece.column(1)))
                 out = np.full(len(ids) + len(number), end, width)
                 full = number + 1

@@ -30,6 +30,8 @@ SELECTED, SURE = 500, 40.0
 _DENSE = 4
 #: Densities count up to so many percent of a text's words.
 DENSEST = 5.0
+#: Bytes of text that are hashed at once; each word has a hash for itself and for each of its beginnings.
+PIECE = 1 << 19
 
 _APART = np.ones(256, bool)
 _APART[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -62,7 +64,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``(feature, total, hits)``: in how many of a partition's texts a feature is, and in how many with each label."""
     total, hits = np.zeros(1 << BITS, np.int64), None
     for batch in batches:
-        for part in T.pieces(batch, "text"):
+        for part in T.pieces(batch, "text", PIECE):
             y = np.array(part.column(1).to_pylist(), np.int64)
             hits = np.zeros((y.shape[1], 1 << BITS), np.int32) if hits is None else hits
             for i, own, _, _ in _features_of(part):
@@ -80,7 +82,7 @@ def _sampled(union: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.pieces(batch, "text"):
+            for part in T.pieces(batch, "text", PIECE):
                 rows = []
                 for _, own, values, dense in _features_of(part):
                     hit = np.isin(own, union, assume_unique=True)
@@ -233,7 +235,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.pieces(batch, "__text"):
+            for part in T.pieces(batch, "__text", PIECE):
                 p = model.value.predict(*T.buffers(part.column(len(columns))))
                 bad = p[:, -1] >= model.value.threshold
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], *(pa.array(c) for c in p.T), pa.array(p[:, -1]), pa.array(bad), pa.array(~bad)], names=names)
