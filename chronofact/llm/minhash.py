@@ -4,8 +4,9 @@ Each of ``TREES`` trees sorts all distinct shingle sets by a label: the bytes of
 position on. Sets that share the tree's first ``DEPTH`` minima form a region, and regions are contiguous in the order.
 In a region, sets are compared by their whole signatures; a large region is cut into blocks where neighbours share the
 shortest prefix, so dense regions are looked at more deeply. In small regions every promising pair is a candidate, in
-larger ones several maximum spanning forests of the estimates, which connect what all pairs would connect. Candidates
-are confirmed on full shingle sets, and links are contracted to components.
+larger ones at first several maximum spanning forests of the estimates, which connect most of what all pairs would
+connect. Candidates are confirmed on full shingle sets, and links are contracted to components. Then every promising
+pair that is left in the larger regions, of two components and not yet confirmed, is confirmed as well.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from chronofact.llm.storage import stash, tune
 VALUES, TREES, DEPTH = 64, 21, 3
 #: Signature values that a candidate pair must share; a pair of similarity 0.75 has fewer about once in a million.
 AGREE = 32
-#: Regions up to SMALL give all promising pairs; blocks of a larger region hold at most BLOCK sets; forests of each.
+#: Regions up to SMALL give all promising pairs at once; blocks of a larger region hold about BLOCK sets; forests of each.
 SMALL, BLOCK, FORESTS = 32, 1024, 3
 
 _U = np.uint64
@@ -117,8 +118,8 @@ def _blocks(labels: np.ndarray) -> Iterator[tuple[int, int]]:
     yield done, len(labels)
 
 
-def _candidates(keys: np.ndarray, labels: np.ndarray, n: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of whole regions, rows being sorted by key and label."""
+def _candidates(keys: np.ndarray, labels: np.ndarray, n: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs of regions and the keys of those of which not all pairs are seen; rows are sorted by key and label."""
     begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     size = np.diff(np.concatenate([begin, [len(keys)]]))
     own, left, right = np.repeat(size, size), [], []
@@ -138,31 +139,137 @@ def _candidates(keys: np.ndarray, labels: np.ndarray, n: np.ndarray, ids: np.nda
     i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
     a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
     pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
-    return pairs[:, 0], pairs[:, 1]
+    return pairs[:, 0], pairs[:, 1], keys[begin[size > SMALL]]
+
+
+def _found(a: np.ndarray, b: np.ndarray, left: np.ndarray) -> pa.RecordBatch:
+    """Rows of pairs, then a row for each key of a region with pairs left."""
+    none, no = pa.nulls(len(left), pa.int64()), pa.nulls(len(a), pa.int64())
+    columns = [(pa.array(a), none), (pa.array(b), none), (no, pa.array(left))]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in columns], names=["a", "b", "key"])
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams a sorted partition; holds one batch and at most a few blocks of the region that goes on after it."""
-    held = None
+    """Streams a sorted partition; holds one batch and at most a few blocks of the region that goes on after it.
+
+    The partition's first and last region may go on in other partitions, so they count as having pairs left.
+    """
+    held, edges = None, []
     for batch in batches:
         if not batch.num_rows:
             continue
         labels, _ = T.buffers(batch.column(1))
         now = [batch.column(0).to_numpy(), labels.reshape(-1, VALUES), batch.column(2).to_numpy(), batch.column(3).to_numpy()]
+        edges = [edges[0] if edges else now[0][0], now[0][-1]]
         if held:
             now = [np.concatenate(x) for x in zip(held, now, strict=True)]
         cut = int(np.searchsorted(now[0], now[0][-1]))
         if len(now[0]) - cut > 4 * BLOCK:
             *_, (last, _) = _blocks(now[1][cut:])
             last += cut
-            a, b = _candidates(*(x[: last + 1] for x in now))
+            found = _candidates(*(x[: last + 1] for x in now))
             held = [x[last:] for x in now]
         else:
-            a, b = _candidates(*(x[:cut] for x in now)) if cut else (np.zeros(0, np.int64),) * 2
+            found = _candidates(*(x[:cut] for x in now)) if cut else (np.zeros(0, np.int64),) * 3
             held = [x[cut:] for x in now]
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        yield _found(*found)
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _candidates(*held)], names=["a", "b"])
+        a, b, left = _candidates(*held)
+        yield _found(a, b, np.concatenate([left, edges]))
+
+
+def _across(k: int, percent: int, confirm: bool):
+    """Compares the sets of each group: those of one side with those of the other, or all where there is one side only.
+
+    A pair is looked at if it is promising, its components differ, and the group's region is the first that both share.
+    Without ``confirm``: the rows that have such a pair; with it, and texts in the last column: links between components.
+    Rows are sorted by group; holds one batch and one group, which is at most two blocks.
+    """
+    names = ["a", "b"] if confirm else ["group", "key", "side", "id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            for part in T.pieces(batch, "text") if confirm else [batch]:
+                if not part.num_rows:
+                    continue
+                now = [part.column(c).to_numpy() for c in range(6)]
+                now += [part.column(6).flatten().to_numpy().reshape(-1, TREES), T.buffers(part.column(7))[0].reshape(-1, VALUES)]
+                if confirm:
+                    hashes, number = shingles(*T.buffers(part.column(8)), k)
+                    own = np.empty(len(number), object)
+                    own[:] = [np.unique(hashes[e - c : e]) for e, c in zip(np.cumsum(number), number, strict=True)]
+                    now.append(own)
+                if held:
+                    now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+                cut = np.flatnonzero(now[0][1:] != now[0][:-1]) + 1
+                out = [_group([x[lo:hi] for x in now], percent) for lo, hi in zip([0, *cut[:-1]], cut, strict=False)]
+                held = [x[cut[-1] :] for x in now] if len(cut) else now
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], names=names)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _group(held, percent)], names=names)
+
+    return run
+
+
+def _group(rows: list[np.ndarray], percent: int) -> tuple[np.ndarray, ...]:
+    group, key, side, ids, roots, n, keys, labels, *own = rows
+    one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    roots, used, left, right = roots.copy(), np.zeros(len(ids), bool), [], []
+    for i in one:
+        other = two if len(two) else one[one > i]
+        other = other[(roots[other] != roots[i]) & (100 * np.minimum(n[other], n[i]) >= 75 * np.maximum(n[other], n[i]))]
+        other = other[(labels[other] == labels[i]).sum(1) >= AGREE]
+        other = other[keys[i][(keys[other] == keys[i]).argmax(1)] == key[i]]
+        if not len(other):
+            continue
+        if not own:
+            used[i] = used[other] = True
+            continue
+        x, size = own[0][i], np.array([len(own[0][j]) for j in other])
+        y = np.concatenate(own[0][other])
+        same = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+        both = np.add.reduceat(same.astype(np.int64), np.cumsum(size) - size)
+        other = other[(both > 0) & (100 * both >= percent * (len(x) + size - both))]
+        if len(other):
+            found, first = np.unique(roots[other], return_index=True)
+            left.append(np.full(len(first), ids[i]))
+            right.append(ids[other[first]])
+            roots[np.isin(roots, found)] = roots[i]
+    if own:
+        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+    return group[used], key[used], side[used].astype(np.int64), ids[used]
+
+
+def _remaining(source: DataFrame, sets: DataFrame, roots: DataFrame, keys: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links ``a, b`` among all promising pairs of different components in the regions with these keys.
+
+    Components of more than BLOCK sets of a region are cut into blocks that are not compared with each other; the rest
+    of the region is cut into blocks too, and every two of all these blocks, and each of the rest alone, are a group.
+    Long texts count as several sets. Texts go to groups, not to pairs, and only those that have a pair there.
+    """
+    regions = sets.select("id", "n", F.explode("keys").alias("key")).join(keys, "key")
+    regions = regions.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    regions = stash(regions, "regions")
+    parts = regions.groupBy("key", "root").agg(F.expr("sum(greatest(1, n / 1024))").alias("size"))
+    rest = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum(F.when(F.col("size") <= BLOCK, F.col("size"))).alias("rest")).where("parts > 1")
+    parts = parts.join(rest, "key").withColumn("own", F.expr(f"if(size > {BLOCK}, root, null)"))
+    rows = regions.join(parts, ["key", "root"]).withColumn("block", F.expr(f"pmod(xxhash64(id), ceil(if(own is null, rest, size) / {BLOCK}))"))
+    rows = stash(rows.select("key", "id", "root", "own", F.concat_ws(":", "own", "block").alias("block")), "blocks")
+    blocks = rows.select("key", "own", "block").distinct()
+    one, two = (blocks.select("key", F.col("own").alias(f"own_{c}"), F.col("block").alias(c)) for c in ("one", "two"))
+    groups = one.join(two, "key").where("one <= two and coalesce(own_one <> own_two, true)")
+    sides = F.when(F.col("one") == F.col("two"), F.array("one")).otherwise(F.array("one", "two"))
+    dealt = groups.select("key", F.xxhash64("key", "one", "two").alias("group"), F.posexplode(sides).alias("side", "block")).join(rows, ["key", "block"])
+    heads = sets.select("id", "n", "keys", "signature").join(rows.select("id", "root").distinct(), "id")
+    columns = ["group", "key", "side", "id", "root", "n", "keys", "signature"]
+    dealt = dealt.select("group", "key", F.col("side").cast("long"), "id").join(heads, "id").select(*columns)
+    paired = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(_across(k, percent, False), "group long, key long, side long, id long")
+    paired = stash(paired, "paired")
+    texts = stash(source.join(paired.select("id").distinct().hint("merge"), "id", "left_semi"), "paired-texts")
+    full = paired.join(heads, "id").join(texts.hint("merge"), "id").select(*columns, "text")
+    return full.repartition("group").sortWithinPartitions("group").mapInArrow(_across(k, percent, True), "a long, b long")
 
 
 def _confirm(k: int, percent: int):
@@ -180,6 +287,14 @@ def _confirm(k: int, percent: int):
     return run
 
 
+def _links(source: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs that full shingle sets confirm."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = stash(source.join(ends.hint("merge"), "id", "left_semi"), "candidate-texts")
+    sided = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")).hint("merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")).hint("merge"), "b")
+    return sided.select("a", "b", "left", "right").mapInArrow(_confirm(k, percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``.
 
@@ -197,12 +312,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stash(sets, "sets")
     labels = sets.select(F.posexplode("keys").alias("t", "key"), "signature", "n", "id").select("key", F.expr(f"concat(substring(signature, {DEPTH} * t + 1, {VALUES}), substring(signature, 1, {DEPTH} * t))").alias("label"), "n", "id")
     ordered = labels.repartitionByRange("key", "label").sortWithinPartitions("key", "label", "id")
-    pairs = stash(ordered.mapInArrow(_regions, "a long, b long").distinct(), "candidates")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = stash(source.join(ends.hint("merge"), "id", "left_semi"), "candidate-texts")
-    sided = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")).hint("merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")).hint("merge"), "b")
-    links = sided.select("a", "b", "left", "right").mapInArrow(_confirm(k, percent), "a long, b long")
-    roots = connected_components(links)
+    found = stash(ordered.mapInArrow(_regions, "a long, b long, key long").distinct(), "candidates")
+    pairs, keys = found.where("a is not null").select("a", "b"), found.where("a is null").select("key")
+    roots = connected_components(_links(source, pairs, k, percent))
+    more = _remaining(source, sets, roots, keys, k, percent)
+    roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     moved = sets.select("s1", "s2", "id", "copies").join(roots.withColumnRenamed("node", "id"), "id", "left").where("copies > 1 or root is not null").select("s1", "s2", F.coalesce("root", "id").alias("root"))
     rows = base.select("id", "n", "s1", "s2").withColumn("linkable", F.expr("n > 0 and id is not null")).join(moved.withColumn("linkable", F.lit(True)), ["linkable", "s1", "s2"], "left")
     component = F.coalesce("root", "id")

@@ -77,3 +77,17 @@ def test_components(spark, shape):
         root[max(a, b)] = min(a, b)
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(pairs, "a long, b long").repartition(7)).collect()}
     assert {x: got.get(x, x) for x in root} == {x: find(x) for x in root}
+
+
+def test_real_pairs_hidden_in_a_template_family(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 128)
+    template, rows = " ".join(f"t{i}" for i in range(200)), []
+    for family in range(150):
+        shared = " ".join(f"s{family}x{i}" for i in range(8))
+        for twin in range(2):
+            mine = shared if family < 25 else " ".join(f"s{family}x{twin}x{i}" for i in range(8))
+            rows.append((len(rows), f"{template} {mine} " + " ".join(f"o{family}x{twin}x{i}" for i in range(34))))
+    random.Random(4).shuffle(rows)
+    want = brute(rows)
+    assert sum(not kept for *_, kept in want) == 25
+    assert run(spark, rows) == want
