@@ -482,7 +482,7 @@ _LEFT, _RIGHT = (f"string_split({_NORMAL.format(c)}, ' ')" for c in ("left(a.tex
 @query(f"""WITH p AS (SELECT a.conv_id, a.turn, list_filter({_LEFT}, lambda x: x <> '') AS l, list_filter({_RIGHT}, lambda x: x <> '') AS r FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
 SELECT conv_id, turn, round(CASE WHEN len(l) = 0 AND len(r) = 0 THEN 1 WHEN len(l) = 0 OR len(r) = 0 THEN 0 ELSE 2.0 * list_sum(list_transform(list_distinct(l), lambda w: least(len(list_filter(l, lambda x: x = w)), len(list_filter(r, lambda x: x = w))))) / (len(l) + len(r)) END, 6) AS f1 FROM p""")
 def answer_f1(spark, d):
-    c = table(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 200).alias("text"))
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.round(texts.token_f1(F.col("text"), F.col("answer")), 6).alias("f1"))
 
