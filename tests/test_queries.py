@@ -2,6 +2,7 @@
 
 import string
 from collections import Counter
+from datetime import datetime
 
 from chronofact.plans import queries
 
@@ -18,3 +19,17 @@ def test_answer_f1_of_whole_texts(spark, tmp_path):
         a, b = words(a), words(b)
         want[turn] = round(2 * sum((Counter(a) & Counter(b)).values()) / (len(a) + len(b)), 6)
     assert {r.turn: r.f1 for r in queries.answer_f1(spark, str(tmp_path)).collect()} == want
+
+
+def test_rename_walks_of_every_customer(spark, tmp_path):
+    rows = [(10 * c + i, c, datetime(2000, 1, 1 + (i + c) % 4)) for c in range(1, 8) for i in range(4)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    ahead, back = set(), set()
+    for c in range(1, 8):
+        chain = [k for _, k in sorted((day, k) for k, own, day in rows if own == c)]
+        at = chain.index(min(chain))
+        ahead |= {(f"O{min(chain)}", i + 1, f"e{k}", False) for i, k in enumerate(chain[at:-1])}
+        back |= {(f"O{min(chain)}", i + 1, f"e{k}", False) for i, k in enumerate(reversed(chain[:at]))}
+    rows_of = lambda f: sorted(tuple(r) for r in f(spark, str(tmp_path)).collect())
+    assert rows_of(queries.rename_walk) == sorted(ahead)
+    assert rows_of(queries.rename_walk_backward) == sorted(back)
