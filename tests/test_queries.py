@@ -33,3 +33,14 @@ def test_rename_walks_of_every_customer(spark, tmp_path):
     rows_of = lambda f: sorted(tuple(r) for r in f(spark, str(tmp_path)).collect())
     assert rows_of(queries.rename_walk) == sorted(ahead)
     assert rows_of(queries.rename_walk_backward) == sorted(back)
+
+
+def test_passages_of_all_hits(spark, tmp_path):
+    def lines(path, late=None):
+        rows = [(2 if part == late else 1, part, 3, datetime(2000, 1, 1)) for part in range(600)]
+        spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_shipdate timestamp_ntz").write.parquet(f"{path}/lineitem.parquet")
+        return str(path)
+
+    last = max(queries.facts_ship(spark, lines(tmp_path / "a")).select("id", "subject").collect())
+    d = lines(tmp_path / "b", int(last.subject.removeprefix("Part#")))
+    assert {r.source_id: r["rank"] for r in queries.passages_of_hits(spark, d).collect()} == {"S1": 1, "S2": 600}
