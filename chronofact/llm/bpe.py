@@ -21,6 +21,8 @@ LONG = 1 << 16
 #: A cut before one space that stands between two characters that are no white space: no match of the usual
 #: byte-level patterns holds a space after its first character unless it holds white space alone, so none spans it.
 _SAFE = regex.compile(r"(?<=\S)(?= \S)")
+#: Runs of white space from this length on; the library's matcher overflows its stack on runs of about a million.
+_RUN = regex.compile(r"\p{White_Space}{4096,}")
 
 
 class Codec:
@@ -28,6 +30,7 @@ class Codec:
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
     def parts(self, text: str) -> Iterator[str]:
         """The text, cut at safe boundaries if it is long."""
@@ -43,9 +46,25 @@ class Codec:
     def encode(self, text: str) -> np.ndarray:
         ids: list[int] = []
         for part in self.parts(text):
-            ids += self.encoding.encode_ordinary(part)
+            done = 0
+            for run in _RUN.finditer(part):
+                before = [m.start() for m in _SAFE.finditer(part, max(done, run.start() - LONG), run.start())]
+                cut = before[-1] if before else done
+                ids += self.encoding.encode_ordinary(part[done:cut])
+                done = self._by_match(part, cut, run.end() - 1, ids)
+            ids += self.encoding.encode_ordinary(part[done:] if done else part)
         return np.array(ids, "<u4")
 
+    def _by_match(self, text: str, start: int, upto: int, ids: list[int]) -> int:
+        """Encodes match after match up to one that ends at ``upto`` or later; where the last match ends."""
+        done = start
+        for match in self.pattern.finditer(text, start):
+            if match.start() >= upto:
+                break
+            ids += self.encoding._encode_single_piece(match[0])
+            done = match.end()
+        return done
+
     def decode(self, ids: np.ndarray) -> bytes:
         return self.encoding.decode_bytes(ids.tolist())
 

@@ -1,7 +1,8 @@
 """TIFF as a media column: a reader that emits a row for each page, and a writer to store bytes losslessly.
 
 The reader walks the chain of image directories of classic TIFF in either byte order, decodes strips or tiles that
-are plain, PackBits, LZW or deflate, undoes horizontal differencing and gives each page's samples row by row.
+are plain, PackBits, LZW or deflate, undoes predictors and gives each page's samples row by row: 1, 2, 4, 8, 16 or 32
+bits, the first three as a byte each, the others in the file's byte order.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,12 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofact.llm.storage import tune
+from chronofact.llm import text as T
+from chronofact.llm.storage import BATCH_BYTES, tune
 
 # Fixed values of the TIFF 6.0 format: tags, types and compression schemes.
-WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325
+WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, FILL_ORDER, STRIP_AT, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES = 256, 257, 258, 259, 262, 266, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 _TYPES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
+#: Bytes that one stored byte can stand for at most, in any of the schemes; a page that claims more is broken.
+MOST_RATIO = 4096
+_MIRRORED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 
 
 class BadTiff(ValueError):
@@ -38,7 +43,7 @@ class Page:
     bits: int
     compression: int
     predictor: int
-    #: Samples row by row; of planes stored apart, interleaved again.
+    #: Samples row by row, of under 8 bits in a byte each; of planes stored apart, interleaved again.
     pixels: bytes
 
 
@@ -174,7 +179,9 @@ def read_pages(blob: bytes) -> Iterator[Page]:
             yield _page(blob, order, number, tags)
             (at,) = struct.unpack_from(order + "I", blob, at + 2 + 12 * n)
             number += 1
-    except (KeyError, IndexError, struct.error, zlib.error) as e:
+    except BadTiff:
+        raise
+    except (LookupError, struct.error, zlib.error, ArithmeticError, TypeError, ValueError, MemoryError) as e:
         raise BadTiff(f"broken TIFF: {e!r}") from e
 
 
@@ -190,30 +197,51 @@ def _entry(blob: bytes, order: str, at: int) -> tuple[int, tuple[int, ...]]:
 def _page(blob: bytes, order: str, number: int, tags: dict[int, tuple[int, ...]]) -> Page:
     one = lambda tag, default: (tags.get(tag) or (default,))[0]
     width, height, samples, scheme, predictor = tags[WIDTH][0], tags[HEIGHT][0], one(SAMPLES, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
-    bits = set(tags.get(BITS, (1,)))
-    if len(bits) != 1 or not bits <= {8, 16} or scheme not in _UNPACK or predictor not in (1, 2):
+    bits = set(tags.get(BITS) or (1,))
+    if len(bits) != 1 or not bits <= {1, 2, 4, 8, 16, 32} or scheme not in _UNPACK or predictor not in (1, 2, 3) or (predictor == 2 and bits < {8}) or (predictor == 3 and bits != {32}):
         raise BadTiff(f"bits {sorted(bits)}, compression {scheme}, predictor {predictor}")
-    kind = np.dtype(np.uint8 if bits == {8} else order + "u2")
+    (deep,) = bits
+    kind = np.dtype({16: order + "u2", 32: order + "u4"}.get(deep, "u1"))
     apart = one(PLANAR, 1) == 2 and samples > 1
     depth = 1 if apart else samples
     tiled = TILE_AT in tags
     cell_w, cell_h = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
     where, sizes = (tags[TILE_AT], tags[TILE_BYTES]) if tiled else (tags[STRIP_AT], tags[STRIP_BYTES])
+    if min(width, height, samples, cell_w, cell_h) < 1 or len(where) != len(sizes):
+        raise BadTiff(f"{width} x {height} x {samples} in cells of {cell_w} x {cell_h}, {len(where)} places, {len(sizes)} sizes")
+    stored = sum(min(n, len(blob)) for n in sizes)
+    if max(width * height * samples, cell_w * cell_h * depth) * deep > 8 * MOST_RATIO * (stored + 1):
+        raise BadTiff(f"{width} x {height} x {samples} samples from {stored} bytes")
     across, down = -(-width // cell_w), -(-height // cell_h)
+    if len(where) < across * down * (samples if apart else 1):
+        raise BadTiff("strips or tiles are missing")
     image = np.zeros((height, width, samples), kind)
     for i, (a, n) in enumerate(zip(where, sizes, strict=True)):
         plane, cell = divmod(i, across * down)
         top, left = cell // across * cell_h, cell % across * cell_w
         rows = cell_h if tiled else min(cell_h, height - top)
-        raw = np.frombuffer(_UNPACK[scheme](blob[a : a + n]), kind)[: rows * cell_w * depth]
-        if len(raw) < rows * cell_w * depth:
-            raise BadTiff("a strip or tile is too short")
-        part = raw.reshape(rows, cell_w, depth)
-        if predictor == 2:
-            part = np.cumsum(part, axis=1, dtype=kind.newbyteorder("="))
-        part = part[: height - top, : width - left]
+        data = blob[a : a + n]
+        raw = _UNPACK[scheme](data.translate(_MIRRORED) if one(FILL_ORDER, 1) == 2 else data)
+        part = _cell(raw, rows, cell_w, depth, deep, kind, predictor)[: height - top, : width - left]
         image[top : top + part.shape[0], left : left + part.shape[1], slice(plane, plane + 1) if apart else slice(None)] = part
-    return Page(number, width, height, samples, bits.pop(), scheme, predictor, image.tobytes())
+    return Page(number, width, height, samples, deep, scheme, predictor, image.tobytes())
+
+
+def _cell(raw: bytes, rows: int, width: int, depth: int, deep: int, kind: np.dtype, predictor: int) -> np.ndarray:
+    """Samples of one strip or tile; its rows begin at whole bytes."""
+    line = -(-width * depth * deep // 8)
+    if len(raw) < rows * line:
+        raise BadTiff("a strip or tile is too short")
+    packed = np.frombuffer(raw, np.uint8, rows * line).reshape(rows, line)
+    if deep < 8:
+        ones = np.unpackbits(packed, axis=1).reshape(rows, -1, deep)
+        values = ones @ (1 << np.arange(deep - 1, -1, -1)).astype(np.uint8)
+        return values[:, : width * depth].reshape(rows, width, depth)
+    if predictor == 3:  # bytes of floats, the highest ones first, each less the one of the sample before
+        summed = np.cumsum(packed.reshape(rows, -1, depth), axis=1, dtype=np.uint8).reshape(rows, deep // 8, width * depth)
+        return np.ascontiguousarray(summed.transpose(0, 2, 1)).view(f">u{deep // 8}").reshape(rows, width, depth)
+    part = packed.view(kind).reshape(rows, width, depth)
+    return np.cumsum(part, axis=1, dtype=kind.newbyteorder("=")) if predictor == 2 else part
 
 
 def write_tiff(pixels: bytes, width: int, samples: int = 1, compression: int = DEFLATE, predictor: int = 2, page_rows: int = 1024, strip_rows: int = 256, tile: tuple[int, int] | None = None, level: int = 1) -> bytes:
@@ -253,58 +281,116 @@ def write_tiff(pixels: bytes, width: int, samples: int = 1, compression: int = D
     return bytes(out)
 
 
-def tiff_pages(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """A row for each page: ``doc_id, page, width, height, samples, bits, compression, predictor, pixels, error``.
+def tiff_pages(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", columns: Sequence[str] = ()) -> DataFrame:
+    """A row for each page: ``doc_id`` (and ``columns``), ``page, width, height, samples, bits, compression, predictor,
+    pixels, error``; the pages of one media value follow each other.
 
-    Null or empty media give no row; media that cannot be read give one row with ``error`` and nulls otherwise, after
-    the pages that could. Repeated rows give their pages again; other columns are not carried.
+    Null or empty media give no row; media that cannot be read, whatever is wrong with them, give one row with ``error``
+    and nulls otherwise, after the pages that could. Repeated rows give their pages again; columns that are not asked
+    for are not carried.
     """
     tune(df.sparkSession)
-    kind = df.select(F.col(id_col)).schema[0].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, page int, width int, height int, samples int, bits int, compression int, predictor int, pixels binary, error string"
+    carried = df.select(id_col, *columns)
+    names = [*carried.columns, "page", "width", "height", "samples", "bits", "compression", "predictor", "pixels", "error"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema) + ", " + ", ".join(f"{c} int" for c in names[-9:-2]) + ", pixels binary, error string"
     types = [pa.int32()] * 7 + [pa.binary(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, rows = [], []
-            for i, blob in enumerate(b.column(1)):
-                try:
-                    for p in read_pages(blob.as_py()) if blob.as_py() else ():
-                        at.append(i)
-                        rows.append((p.number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.pixels, None))
-                except BadTiff as e:
+            at, rows, held = [], [], 0
+
+            def flush(b=b) -> pa.RecordBatch:
+                values = zip(*rows, strict=True) if rows else [()] * 9
+                return pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in b.columns[:-1]), *(pa.array(list(c), t) for c, t in zip(values, types, strict=True))], names=names)
+
+            for i, blob in enumerate(b.column(len(names) - 9)):
+                for row in _rows(blob.as_py()):
                     at.append(i)
-                    rows.append((*[None] * 8, str(e)))
-            columns = zip(*rows, strict=True) if rows else [()] * 9
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))], schema=None, names=[id_col, "page", "width", "height", "samples", "bits", "compression", "predictor", "pixels", "error"])
+                    rows.append(row)
+                    held += len(row[7] or b"")
+                    if held > BATCH_BYTES:
+                        yield flush()
+                        at, rows, held = [], [], 0
+            yield flush()
+
+    return df.select(id_col, *columns, F.col(media_col).alias("__media")).mapInArrow(run, schema)
+
+
+def _rows(blob: bytes | None) -> Iterator[tuple]:
+    try:
+        for p in read_pages(blob) if blob else ():
+            yield p.number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.pixels, None
+    except BadTiff as e:
+        yield *[None] * 8, str(e)
+
+
+def tiff_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 64, samples: int = 3, page_rows: int = 1024) -> DataFrame:
+    """``doc_id, n_bytes, media_bytes, media_sha256, media``: each text's UTF-8 (null: empty), with bytes 32 up to a
+    positive multiple of a row's ``width`` x ``samples`` bytes, as a TIFF of as many pages as its rows fill."""
+    tune(df.sparkSession)
+    kind = df.select(F.col(id_col)).schema[0].dataType.simpleString()
+    row = width * samples
 
-    return df.select(id_col, F.col(media_col).alias("media")).mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in T.pieces(batch, "text"):
+                texts = [t.as_py() or b"" for t in b.column(1)]
+                media = [write_tiff(t.ljust(max(row, -(-len(t) // row) * row), b" "), width, samples, page_rows=page_rows) for t in texts]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, texts), pa.int64()), pa.array(map(len, media), pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media], pa.string()), pa.array(media, pa.binary())], names=[id_col, "n_bytes", "media_bytes", "media_sha256", "media"])
+
+    return df.select(id_col, F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, media_bytes long, media_sha256 string, media binary")
+
+
+class _Payload:
+    """What the pages of one media value hold together; only counts and the last bytes are kept."""
+
+    def __init__(self) -> None:
+        self.sha, self.tail, self.size, self.pages, self.rows, self.values = hashlib.sha256(), b"", 0, 0, 0, np.zeros(256, np.int64)
+
+    def add(self, rows: int, pixels: bytes) -> None:
+        self.sha.update(pixels)
+        self.tail = (self.tail + pixels[-16:])[-16:]
+        self.size, self.pages, self.rows = self.size + len(pixels), self.pages + 1, self.rows + rows
+        self.values += np.bincount(np.frombuffer(pixels, np.uint8), minlength=256)
+
+    def result(self) -> tuple[int, str, int, str]:
+        seen = np.flatnonzero(self.values)
+        total, bands = int((self.values * np.arange(256)).sum()), ",".join(map(str, self.values.reshape(8, 32).sum(1).tolist()))
+        return self.size, self.sha.hexdigest(), zlib.crc32(self.tail), f"pages={self.pages};rows={self.rows};sum={total};min={seen.min()};max={seen.max()};bands={bands}"
 
 
 def tiff_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 64, samples: int = 3, page_rows: int = 1024) -> DataFrame:
-    """Stores each text as a TIFF of ``width`` x ``samples`` bytes a row, reads it back and describes what came back.
+    """Stores each text as a TIFF (``tiff_media``), reads its pages back (``tiff_pages``) and describes what they hold.
 
-    The payload is the text's UTF-8 (null: empty) with bytes 32 up to a positive multiple of a row's bytes. One row for
-    each row of ``df``; equal texts give equal values.
+    One row for each row of ``df``; equal texts give equal values. Pages stream from reader to digest in one partition,
+    so no page is shuffled and a worker holds one batch of pages at a time.
     """
-    tune(df.sparkSession)
     kind = df.select(F.col(id_col)).schema[0].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    row, types = width * samples, [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-
-    def describe(text: bytes) -> tuple:
-        media = write_tiff(text.ljust(max(row, -(-len(text) // row) * row), b" "), width, samples, page_rows=page_rows)
-        pages = list(read_pages(media))
-        back = b"".join(p.pixels for p in pages)
-        seen = np.frombuffer(back, np.uint8)
-        band = np.bincount(seen >> 5, minlength=8)
-        feature = f"pages={len(pages)};rows={sum(p.height for p in pages)};sum={int(seen.sum(dtype=np.int64))};min={seen.min()};max={seen.max()};bands={','.join(map(str, band.tolist()))}"
-        return len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    pages = tiff_pages(tiff_media(df, id_col, text_col, width, samples, page_rows), id_col, columns=["n_bytes", "media_bytes", "media_sha256"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [describe(t.as_py() or b"") for t in b.column(1)]
-            columns = zip(*rows, strict=True) if rows else [()] * len(types)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))], names=[id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        last = whole = None
 
-    return df.select(id_col, F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
+        def row() -> pa.RecordBatch:
+            n, size, sha = (c[0].as_py() for c in last.columns[1:4])
+            payload, digest, tail, feature = whole.result()
+            return pa.RecordBatch.from_arrays([last.column(0), *(pa.array([v], t) for v, t in zip((n, payload, digest, tail, size, sha, feature), types, strict=True))], names=names)
+
+        for b in batches:
+            done = []
+            for i, (page, rows, pixels, error) in enumerate(zip(*(b.column(c).to_pylist() for c in ("page", "height", "pixels", "error")), strict=True)):
+                if error:
+                    raise BadTiff(error)
+                if page == 0:
+                    if whole:
+                        done.append(row())
+                    last, whole = b.slice(i, 1), _Payload()
+                whole.add(rows, pixels)
+            if done:
+                yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
+        if whole:
+            yield row()
+
+    return pages.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -2,10 +2,13 @@
 
 import hashlib
 import random
+import struct
 import zlib
 
+import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 
 from chronofact.llm import tiff
 from chronofact.llm.bpe import LONG, Codec, bpe_decode, bpe_digest, bpe_encode
@@ -62,11 +65,58 @@ def test_tiff_pages_and_errors(spark):
     assert not [r for r in rows if r.doc_id in (2, 3)]
 
 
-def test_tiff_digest(docs):
-    for r in tiff.tiff_digest(docs).collect():
+def entries(*tags, data=b"", order="<", size=8):
+    """A file of one page with these tags; its data stands at byte 8."""
+    body = struct.pack(order + "H", len(tags)) + b"".join(struct.pack(order + "HHII", t, 4, 1, v) for t, v in sorted(tags)) + b"\0" * 4
+    return (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 8 + len(data)) + data + body
+
+
+PAGE = [(256, 8), (257, 2), (258, 8), (273, 8), (278, 2), (279, 16)]
+
+
+@pytest.mark.parametrize("change", [{278: 0}, {256: 0}, {257: 4_000_000_000}, {256: 4_000_000_000}, {273: 10**9}, {279: 1}, {259: 99}, {259: 8}, {259: 5}, {317: 9}, {258: 3}, {277: 0}, {277: 65535}, {322: 16}, {324: 8}])
+def test_broken_media_give_an_error_row(spark, change):
+    data = bytes(range(16))
+    blob = entries(*(dict(PAGE) | change).items(), data=data)
+    good = entries(*PAGE, data=data)
+    rows = {r.doc_id: r for r in tiff.tiff_pages(spark.createDataFrame([(1, bytearray(blob)), (2, bytearray(good))], "doc_id long, media binary").coalesce(1)).collect()}
+    assert rows[2].pixels == data and rows[2].error is None
+    assert change == {322: 16} or (rows[1].error and rows[1].pixels is None)
+
+
+def test_depths_and_predictors():
+    def read(data, order="<", **tags):
+        given = {int(k[1:]): v for k, v in tags.items()}
+        return next(tiff.read_pages(entries(*({256: 4, 257: 2, 273: 8, 278: 2, 279: len(data)} | given).items(), data=data, order=order)))
+
+    assert read(bytes([0b10100000, 0b01010000]), t258=1).pixels == bytes([1, 0, 1, 0, 0, 1, 0, 1])
+    assert read(bytes([0b00000101, 0b00001010]), t266=2, t258=1).pixels == bytes([1, 0, 1, 0, 0, 1, 0, 1])
+    assert read(bytes([0b00011011, 0b11100100])).bits == 1
+    assert read(bytes([0b00011011, 0b11100100]), t258=2).pixels == bytes([0, 1, 2, 3, 3, 2, 1, 0])
+    assert read(bytes([0x12, 0x34, 0xFE, 0xDC]), t258=4).pixels == bytes([1, 2, 3, 4, 15, 14, 13, 12])
+    for order in "<>":
+        for deep in (16, 32):
+            want = np.array([[7, 5, 900, 1], [3, 2, 1, 60_000]], f"{order}u{deep // 8}")
+            apart = np.concatenate([want[:, :1], want[:, 1:] - want[:, :-1]], 1).astype(want.dtype)
+            assert read(apart.tobytes(), order, t258=deep, t317=2).pixels == want.tobytes()
+        floats = np.array([[1.5, -2.25, 1e30, 0], [3, 4, 5, -6]], ">f4")
+        planes = floats.view(np.uint8).reshape(2, 4, 4).transpose(0, 2, 1).reshape(2, 16)
+        apart = np.concatenate([planes[:, :1], planes[:, 1:] - planes[:, :-1]], 1)
+        assert read(apart.tobytes(), order, t258=32, t317=3).pixels == floats.astype(order + "f4").tobytes()
+
+
+def test_tiff_digest(spark, docs):
+    rows = tiff.tiff_digest(docs, page_rows=40).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes) for r in rows) == sorted((i or 0, len((t or "").encode())) for i, t in ROWS)
+    for r in rows:
         texts = [(t or "").encode() for i, t in ROWS if i == r.doc_id and len((t or "").encode()) == r.n_bytes]
         padded = texts[0].ljust(max(192, -(-len(texts[0]) // 192) * 192))
+        media, seen = tiff.write_tiff(padded, 64, 3, page_rows=40), np.frombuffer(padded, np.uint8)
+        bands = ",".join(map(str, np.bincount(seen // 32, minlength=8)))
+        feature = f"pages={-(-len(padded) // (192 * 40))};rows={len(padded) // 192};sum={seen.sum()};min={seen.min()};max={seen.max()};bands={bands}"
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(media), hashlib.sha256(media).hexdigest(), feature)
+    assert tiff.tiff_digest(docs.limit(0)).count() == 0
 
 
 def test_bpe(docs, spark):
@@ -84,3 +134,15 @@ def test_long_texts_are_cut_only_where_nothing_changes():
         text = "".join(rng.choice([" ", "  ", "\n", "'s", "word", "12", "!?", "é", " \u3000x", "\u00a0"]) for _ in range(LONG))
         assert len(list(c.parts(text))) > 1
         assert c.encode(text).tolist() == c.encoding.encode_ordinary(text)
+
+
+def test_long_white_space():
+    c, word = Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), regex.compile(P.PATTERN)
+    for text in (" " * 3_000_000, "\n" * 3_000_000 + "a", "\t " * 700_000 + "word", "x y" + " " * 1_500_000 + "\u3000word" + "\n" * 5000 + " b"):
+        ids = c.encode(text)
+        assert ids.tolist() == [i for m in word.finditer(text) for i in c.encoding._encode_single_piece(m[0])]
+        assert c.decode(ids) == text.encode()
+    rng = random.Random(2)
+    for _ in range(30):
+        text = "".join(rng.choice([" " * rng.randrange(9000), "\n" * rng.randrange(6000), "a", "b c", "\u00e9!", "'s", " 12", "\u3000" * 5000]) for _ in range(rng.randrange(9)))
+        assert c.encode(text).tolist() == c.encoding.encode_ordinary(text)
