@@ -34,11 +34,24 @@ def spanning_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["a", "b"])
 
 
+#: A node with more links than this, and more than one in MOST of all, is joined apart: there are 2 * MOST such nodes at most.
+HEAVY, MOST = 256, 10_000
+
+
+def _with_least(ends: DataFrame, n: int) -> DataFrame:
+    """``a, b, m`` for each row of ``ends``, m the least b of that a. The rows of nodes with very many links are not dealt
+    by node: these nodes' minima are broadcast, a bounded number."""
+    least = ends.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k"))
+    heavy = F.broadcast(least.where(F.col("k") > max(HEAVY, n // MOST)).select("a", "m"))
+    light = ends.join(heavy, "a", "left_anti").join(least.select("a", "m"), "a")
+    return light.union(ends.join(heavy, "a"))
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, root)`` for each node with a link to another one; the root is its component's smallest node.
 
     Links may repeat, point either way or at themselves; those with a null end are ignored. Every round is written to
-    the shared folder. Minima are aggregated before they are joined, so the hub of a star is never one task's group.
+    the shared folder. Minima are aggregated before they are joined, and hubs of stars are joined by broadcast.
     """
     links = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
     links, before = stash(links.mapInArrow(spanning_stars, "a long, b long"), "stars"), None
@@ -48,8 +61,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = now
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
+        large = _with_least(both, 2 * now["n"]).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        large = stash(large, "large-stars")
+        small = _with_least(large, now["n"]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
         links = stash(small.select("x.*").where("a <> b").distinct(), "stars")

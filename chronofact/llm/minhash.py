@@ -1,12 +1,11 @@
 """MinHash near-duplicates by an LSH forest.
 
-Each of ``TREES`` trees sorts all distinct shingle sets by a label: the bytes of the signature from the tree's own
-position on. Sets that share the tree's first ``DEPTH`` minima form a region, and regions are contiguous in the order.
-In a region, sets are compared by their whole signatures; a large region is cut into blocks where neighbours share the
-shortest prefix, so dense regions are looked at more deeply. In small regions every promising pair is a candidate, in
-larger ones at first several maximum spanning forests of the estimates, which connect most of what all pairs would
-connect. Candidates are confirmed on full shingle sets, and links are contracted to components. Then every promising
-pair that is left in the larger regions, of two components and not yet confirmed, is confirmed as well.
+Each of ``TREES`` trees sorts all distinct shingle sets by a label: the signature from the tree's own position on. Sets
+that share the tree's first ``DEPTH`` minima form a region, contiguous in that order. A region of more than ``LEAF`` sets
+is followed to the depth at which its parts are small, each part as deep as it needs; all promising pairs of a part, and
+each set with those next to it, which have the longest common prefix with it, are candidates. They are confirmed on full
+shingle sets, and links are contracted to components. In regions that had to be split, every promising pair of sets that
+are still in different components is confirmed as well, block against block, so depth decides about order, not results.
 """
 
 from __future__ import annotations
@@ -27,8 +26,10 @@ from chronofact.llm.storage import stash, tune
 VALUES, TREES, DEPTH = 64, 21, 3
 #: Signature values that a candidate pair must share; a pair of similarity 0.75 has fewer about once in a million.
 AGREE = 32
-#: Regions up to SMALL give all promising pairs at once; blocks of a larger region hold about BLOCK sets; forests of each.
-SMALL, BLOCK, FORESTS = 32, 1024, 3
+#: Sets of a part of a region, all pairs of which are looked at; places in the order up to which sets are neighbours.
+LEAF, NEAR = 32, 3
+#: Sets of a block, of which two are compared at a time; rows of one region that a worker holds while it streams.
+BLOCK, HELD = 1024, 8192
 
 _U = np.uint64
 _random = np.random.default_rng(7)
@@ -84,62 +85,44 @@ def _signed(part: pa.RecordBatch, k: int) -> pa.RecordBatch:
     )
 
 
-def _forests(labels: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Pairs of FORESTS maximum spanning forests, apart from each other, over the promising pairs of a block."""
-    m = len(labels)
-    alike = np.empty((m, m), np.int16)
-    for i in range(m):
-        alike[i] = (labels == labels[i]).sum(1, dtype=np.int16)
-    alike[(alike < AGREE) | (100 * np.minimum(n[:, None], n) < 75 * np.maximum(n[:, None], n))] = -1
-    np.fill_diagonal(alike, -1)
-    for _ in range(FORESTS):
-        best, near, out = np.full(m, -1, np.int16), np.zeros(m, np.int64), np.ones(m, bool)
-        for _ in range(m):
-            masked = np.where(out, best, -2)
-            j = int(masked.argmax())
-            if best[j] > 0:
-                yield j, int(near[j])
-                alike[j, near[j]] = alike[near[j], j] = -1
-            out[j] = False
-            closer = alike[j] > best
-            best[closer], near[closer] = alike[j][closer], j
-
-
-def _blocks(labels: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Cuts a sorted region into blocks, each where the common prefix of neighbours is shortest; blocks share a row."""
-    done = 0
-    while len(labels) - done > BLOCK:
-        half = slice(done + BLOCK // 2, done + BLOCK - 1)
-        differ = labels[half] != labels[half.start + 1 : half.stop + 1]
-        shared = np.where(differ.any(1), differ.argmax(1), VALUES)
-        cut = half.start + int(shared.argmin())
-        yield done, cut + 1
-        done = cut
-    yield done, len(labels)
+def _parts(labels: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """First rows of the parts of sorted rows: each region's subtrees at the least depth at which they have LEAF sets or
+    fewer. ``begin`` marks the regions' first rows; equal labels stay together."""
+    differ = labels[1:] != labels[:-1]
+    shared = np.concatenate([[-1], np.where(differ.any(1), differ.argmax(1), VALUES)])
+    cut = begin.copy()
+    for depth in range(DEPTH, VALUES + 1):
+        first = np.flatnonzero(cut)
+        size = np.diff(np.append(first, len(labels)))
+        deeper = np.repeat(size > LEAF, size) & ~cut & (shared < depth)
+        cut |= deeper
+        if not (size > LEAF).any():
+            break
+    return cut
 
 
 def _candidates(keys: np.ndarray, labels: np.ndarray, n: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidate pairs of regions and the keys of those of which not all pairs are seen; rows are sorted by key and label."""
-    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    size = np.diff(np.concatenate([begin, [len(keys)]]))
-    own, left, right = np.repeat(size, size), [], []
-    place = T.spread(np.zeros(len(size), np.int64), size)
-    small = np.where(own <= SMALL, own, 0)
-    for step in range(1, int(small.max(initial=0))):
-        i = np.flatnonzero(place + step < small)
-        i = i[100 * np.minimum(n[i], n[i + step]) >= 75 * np.maximum(n[i], n[i + step])]
-        i = i[(labels[i] == labels[i + step]).sum(1) >= AGREE]
-        left.append(i)
-        right.append(i + step)
-    for b, s in zip(begin[size > SMALL], size[size > SMALL], strict=True):
-        for lo, hi in _blocks(labels[b : b + s]):
-            pairs = np.array(list(_forests(labels[b + lo : b + hi], n[b + lo : b + hi])), np.int64).reshape(-1, 2) + b + lo
-            left.append(pairs[:, 0])
-            right.append(pairs[:, 1])
-    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+    none = np.zeros(0, np.int64)
+    if not len(keys):
+        return none, none, none
+    begin = np.concatenate([[True], keys[1:] != keys[:-1]])
+    part, region = np.cumsum(_parts(labels, begin)), np.cumsum(begin)
+    left, right = [none], [none]
+    for step in range(1, LEAF):
+        i = np.flatnonzero(part[step:] == part[:-step]) if step > NEAR else np.flatnonzero(region[step:] == region[:-step])
+        if not len(i):
+            break
+        j = i + step
+        fits = 100 * np.minimum(n[i], n[j]) >= 75 * np.maximum(n[i], n[j])
+        i, j = i[fits], j[fits]
+        alike = (labels[i] == labels[j]).sum(1) >= AGREE
+        left.append(i[alike])
+        right.append(j[alike])
+    i, j = np.concatenate(left), np.concatenate(right)
     a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
     pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
-    return pairs[:, 0], pairs[:, 1], keys[begin[size > SMALL]]
+    return pairs[:, 0], pairs[:, 1], keys[begin][np.bincount(region)[1:] > LEAF]
 
 
 def _found(a: np.ndarray, b: np.ndarray, left: np.ndarray) -> pa.RecordBatch:
@@ -150,7 +133,7 @@ def _found(a: np.ndarray, b: np.ndarray, left: np.ndarray) -> pa.RecordBatch:
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams a sorted partition; holds one batch and at most a few blocks of the region that goes on after it.
+    """Streams a sorted partition; holds one batch and at most HELD rows of the region that goes on after it.
 
     The partition's first and last region may go on in other partitions, so they count as having pairs left.
     """
@@ -164,15 +147,12 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held:
             now = [np.concatenate(x) for x in zip(held, now, strict=True)]
         cut = int(np.searchsorted(now[0], now[0][-1]))
-        if len(now[0]) - cut > 4 * BLOCK:
-            *_, (last, _) = _blocks(now[1][cut:])
-            last += cut
-            found = _candidates(*(x[: last + 1] for x in now))
-            held = [x[last:] for x in now]
+        if len(now[0]) - cut > HELD:  # the region has pairs left anyway
+            cut = len(now[0]) - NEAR
+            yield _found(*_candidates(*now))
         else:
-            found = _candidates(*(x[:cut] for x in now)) if cut else (np.zeros(0, np.int64),) * 3
-            held = [x[cut:] for x in now]
-        yield _found(*found)
+            yield _found(*_candidates(*(x[:cut] for x in now)))
+        held = [x[cut:] for x in now]
     if held:
         a, b, left = _candidates(*held)
         yield _found(a, b, np.concatenate([left, edges]))

@@ -91,3 +91,51 @@ def test_real_pairs_hidden_in_a_template_family(spark, monkeypatch):
     want = brute(rows)
     assert sum(not kept for *_, kept in want) == 25
     assert run(spark, rows) == want
+
+
+def test_region_of_similarities_about_the_threshold(spark):
+    """One region of over 1000 sets, all of one text, whose similarities to each other lie on both sides of 0.75."""
+    rng = random.Random(6)
+    base, rows = [f"w{i}" for i in range(300)], []
+    for i in range(1300):
+        own = list(base)
+        for _ in range(rng.randrange(3, 10)):
+            own[rng.randrange(300)] = f"x{i}y{rng.randrange(9999)}"
+        rows.append((i, " ".join(own)))
+    want = brute_fast(rows)
+    assert 50 < sum(kept for *_, kept in want) < 1250
+    assert run(spark, rows) == want
+
+
+def brute_fast(rows, k=5):
+    number = {}
+    sets = [{number.setdefault(g, len(number)) for g in shingle_set(t, k)} for _, t in rows]
+    x = np.zeros((len(rows), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        x[i, list(s)] = 1
+    both, size = x @ x.T, x.sum(1)
+    hit = 100 * both >= 75 * (size[:, None] + size - both)
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in zip(*np.nonzero(hit), strict=True):
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return sorted(((i, int(n), find(i), find(i) == i) for (i, _), n in zip(rows, size, strict=True)), key=str)
+
+
+@pytest.mark.parametrize("leaf", [2, 32])
+def test_parts_follow_the_longest_prefixes(monkeypatch, leaf):
+    monkeypatch.setattr(minhash, "LEAF", leaf)
+    rng = np.random.default_rng(3)
+    labels = rng.integers(0, 3, (500, minhash.VALUES)).astype(np.uint8)
+    labels[:, : minhash.DEPTH] = 0
+    labels[100:150] = labels[100]
+    labels = labels[np.lexsort(labels.T[::-1])]
+    cut = np.flatnonzero(minhash._parts(labels, np.arange(500) == 0))
+    for a, b in zip(cut, [*cut[1:], 500], strict=True):
+        assert b - a <= leaf or (labels[a] == labels[b - 1]).all()
