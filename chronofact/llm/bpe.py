@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofact.llm.storage import tune
+from chronofact.llm.storage import tidy, tune
 
 #: Characters from which on a text is split before encoding, and about the size of its parts.
 LONG = 1 << 16
@@ -88,7 +88,7 @@ def bpe_encode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id",
             ids = [c.encode(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype("<i4") for x in ids], pa.list_(pa.int32()))], names=[id_col, "ids"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"{_typed(df, id_col)}, ids array<int>")
+    return df.select(id_col, text_col).mapInArrow(tidy(run), f"{_typed(df, id_col)}, ids array<int>")
 
 
 def bpe_decode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -100,7 +100,7 @@ def bpe_decode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id",
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.decode(np.array(x or [], "<u4")) for x in b.column(1).to_pylist()], pa.binary())], names=[id_col, "bytes"])
 
-    return df.select(id_col, ids_col).mapInArrow(run, f"{_typed(df, id_col)}, bytes binary")
+    return df.select(id_col, ids_col).mapInArrow(tidy(run), f"{_typed(df, id_col)}, bytes binary")
 
 
 def bpe_digest(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,7 +121,7 @@ def bpe_digest(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id",
                 of_bytes.append(sha(c.decode(ids)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"{_typed(df, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(id_col, text_col).mapInArrow(tidy(run), f"{_typed(df, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _typed(df: DataFrame, column: str) -> str:

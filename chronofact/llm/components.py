@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofact.llm.storage import stash
+from chronofact.llm.storage import stash, tidy
 
 
 def spanning_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +54,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     the shared folder. Minima are aggregated before they are joined, and hubs of stars are joined by broadcast.
     """
     links = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
-    links, before = stash(links.mapInArrow(spanning_stars, "a long, b long"), "stars"), None
+    links, before = stash(links.mapInArrow(tidy(spanning_stars), "a long, b long"), "stars"), None
     while True:
         now = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
         if not now["n"] or now == before:

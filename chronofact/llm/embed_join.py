@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from chronofact.llm import text as T
 from chronofact.llm.components import connected_components
-from chronofact.llm.storage import stash, tune
+from chronofact.llm.storage import stash, tidy, tune
 
 #: Axes of the grid order and of bounding boxes; vectors of an interval that moves as a whole, and of one inside it;
 #: intervals under one node of the next level.
@@ -72,7 +72,7 @@ def _axes(vectors: DataFrame, dims: int, kind: str, axes: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["at", "value"])
 
     total = np.zeros((dims + 1) ** 2)
-    for row in vectors.select("vector").mapInArrow(sums, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
+    for row in vectors.select("vector").mapInArrow(tidy(sums), "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
         total[row["at"]] = row["value"]
     total = total.reshape(dims + 1, dims + 1)
     mean = total[dims, :dims] / max(1.0, total[dims, dims])
@@ -184,7 +184,7 @@ def near_vectors(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", ve
     spark = df.sparkSession
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     kind = "<f4" if source.schema["v"].dataType.elementType.simpleString() == "float" else "<f8"
-    parsed = source.mapInArrow(_parse, "id long, vector binary").withColumn("vector", F.when(F.col("id").isNotNull(), F.col("vector")))
+    parsed = source.mapInArrow(tidy(_parse), "id long, vector binary").withColumn("vector", F.when(F.col("id").isNotNull(), F.col("vector")))
     base = stash(parsed.withColumns({"k1": F.when(F.col("vector").isNotNull(), F.xxhash64("vector")), "k2": F.xxhash64(F.lit(1), "vector")}), "vectors")
     nodes = base.where("k1 is not null").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
     nodes = stash(nodes, "vector-nodes")
@@ -204,10 +204,10 @@ def near_vectors(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", ve
             cell = pa.array(list(np.floor(p / eps).astype(np.int32)), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, cell, pa.array(p[:, 0])], names=["id", "copies", "vector", "cell", "first"])
 
-    order = nodes.select("id", "copies", "vector").mapInArrow(placed, "id long, copies long, vector binary, cell array<int>, first double")
+    order = nodes.select("id", "copies", "vector").mapInArrow(tidy(placed), "id long, copies long, vector binary, cell array<int>, first double")
     order = order.repartitionByRange("cell", "first", "id").sortWithinPartitions("cell", "first", "id")
     schema = "part long, number long, lo array<double>, hi array<double>, ids binary, copies binary, vectors binary, places binary"
-    intervals = stash(order.mapInArrow(_intervals(axes, dims, kind, INTERVAL), schema), "intervals")
+    intervals = stash(order.mapInArrow(tidy(_intervals(axes, dims, kind, INTERVAL)), schema), "intervals")
     before, total = [], 0
     for r in sorted(intervals.groupBy("part").agg(F.max("number").alias("last")).collect()):
         before.append((r["part"], total))
@@ -228,7 +228,7 @@ def near_vectors(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", ve
         pairs = stash(pairs.where(~_far("a", "b", limit)).select("a", "b"), "interval-pairs")
     for side in "ab":
         pairs = pairs.join(numbered.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("ids", "copies", "vectors", "places"))), side)
-    found = stash(pairs.mapInArrow(_compare(dims, kind, cosine, limit), "link boolean, x long, y long"), "vector-links")
+    found = stash(pairs.mapInArrow(tidy(_compare(dims, kind, cosine, limit)), "link boolean, x long, y long"), "vector-links")
     counts = found.where("not link").groupBy(F.col("x").alias("id")).agg(F.sum("y").alias("others"))
     roots = connected_components(found.where("link"), "x", "y").withColumnRenamed("node", "id")
     result = nodes.select("id", "k1", "k2", "copies").join(counts, "id", "left").join(roots, "id", "left").where("copies > 1 or others is not null").select("k1", "k2", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("root", "id").alias("root"))

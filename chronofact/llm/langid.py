@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
 from chronofact.llm import text as T
-from chronofact.llm.storage import tune
+from chronofact.llm.storage import tidy, tune
 
 #: Bound of the sample of labelled texts for each language: about so many, chosen by a hash of their id.
 TRAIN_ROWS = 400
@@ -217,7 +217,7 @@ def train(labelled: DataFrame, order: int = ORDER, train_rows: int = TRAIN_ROWS,
     sample = labelled.where(rank < limits[F.col("lang")]).withColumn("fold", F.pmod(F.xxhash64(F.lit(1), hash_col), F.lit(CALIBRATION)))
     names = [f"h{k + 1}" for k in range(order)]
     learned = sample.where("fold > 0 or " + " or ".join(f"lang = {_quoted(x)}" for x in languages if number[x] < 4 * CALIBRATION)) if any(number[x] < 4 * CALIBRATION for x in languages) else sample.where("fold > 0")
-    with_contexts = learned.select("lang", "text").mapInArrow(_grams(order), f"lang string, {', '.join(f'{c} long' for c in [*names, *(f'c{k}' for k in range(order))])}, n long")
+    with_contexts = learned.select("lang", "text").mapInArrow(tidy(_grams(order)), f"lang string, {', '.join(f'{c} long' for c in [*names, *(f'c{k}' for k in range(order))])}, n long")
     keys = ["lang", *names, *(f"c{k}" for k in range(order))]
     table = with_contexts.groupBy(*keys).agg(F.sum("n").alias("n")).toArrow()
     by_language = table.column("lang").combine_chunks().to_numpy(zero_copy_only=False)
@@ -247,7 +247,7 @@ def train(labelled: DataFrame, order: int = ORDER, train_rows: int = TRAIN_ROWS,
             at = {x: i for i, x in enumerate(shared.value.languages)}
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([float(b[at[x]]) for x, b in zip(batch.column(0).to_pylist(), bits, strict=True)], pa.float64())], names=["lang", "bits"])
 
-    seen = sample.where("fold = 0").where(F.col("lang").isin(languages)).select("lang", "text").mapInArrow(measured, "lang string, bits double")
+    seen = sample.where("fold = 0").where(F.col("lang").isin(languages)).select("lang", "text").mapInArrow(tidy(measured), "lang string, bits double")
     for r in seen.groupBy("lang").agg(F.percentile_approx("bits", 0.9).alias("bits")).collect():
         i = languages.index(r["lang"])
         models.limit[i] = (r["bits"] + np.log2(len(own[r["lang"]][0][0]))) / 2
@@ -299,7 +299,7 @@ def identify(docs: DataFrame, labelled: DataFrame, text_col: str = "text", colum
 
     rows = docs.select(*columns, F.col(text_col).cast("string").alias("__text"))
     schema = t.StructType([*rows.select(*columns).schema.fields, t.StructField("lang_pred", t.StringType()), t.StructField("score", t.DoubleType()), t.StructField("bits", t.DoubleType()), t.StructField("rejected", t.BooleanType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def _judged(part: pa.RecordBatch, models: Models | None, carried: int, names: list[str]) -> pa.RecordBatch:

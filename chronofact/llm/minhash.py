@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from chronofact.llm import text as T
 from chronofact.llm.components import connected_components
-from chronofact.llm.storage import stash, tune
+from chronofact.llm.storage import stash, tidy, tune
 
 #: Values of a signature; trees; minima that a region shares at least. A pair of similarity 0.75 shares a region of
 #: some tree with probability 1 - (1 - 0.75**3)**21 > 0.99998.
@@ -245,11 +245,11 @@ def _remaining(source: DataFrame, sets: DataFrame, roots: DataFrame, keys: DataF
     heads = sets.select("id", "n", "keys", "signature").join(rows.select("id", "root").distinct(), "id")
     columns = ["group", "key", "side", "id", "root", "n", "keys", "signature"]
     dealt = dealt.select("group", "key", F.col("side").cast("long"), "id").join(heads, "id").select(*columns)
-    paired = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(_across(k, percent, False), "group long, key long, side long, id long")
+    paired = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(_across(k, percent, False)), "group long, key long, side long, id long")
     paired = stash(paired, "paired")
     texts = stash(source.join(paired.select("id").distinct().hint("merge"), "id", "left_semi"), "paired-texts")
     full = paired.join(heads, "id").join(texts.hint("merge"), "id").select(*columns, "text")
-    return full.repartition("group").sortWithinPartitions("group").mapInArrow(_across(k, percent, True), "a long, b long")
+    return full.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(_across(k, percent, True)), "a long, b long")
 
 
 def _confirm(k: int, percent: int):
@@ -272,7 +272,7 @@ def _links(source: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = stash(source.join(ends.hint("merge"), "id", "left_semi"), "candidate-texts")
     sided = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")).hint("merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")).hint("merge"), "b")
-    return sided.select("a", "b", "left", "right").mapInArrow(_confirm(k, percent), "a long, b long")
+    return sided.select("a", "b", "left", "right").mapInArrow(tidy(_confirm(k, percent)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
@@ -286,13 +286,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     tune(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    base = stash(source.mapInArrow(_base(k), "id long, n long, s1 long, s2 long, keys array<long>, signature binary"), "signatures")
+    base = stash(source.mapInArrow(tidy(_base(k)), "id long, n long, s1 long, s2 long, keys array<long>, signature binary"), "signatures")
     linkable = base.where("n > 0 and id is not null")
     sets = linkable.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("signature").alias("signature"), F.count("*").alias("copies"))
     sets = stash(sets, "sets")
     labels = sets.select(F.posexplode("keys").alias("t", "key"), "signature", "n", "id").select("key", F.expr(f"concat(substring(signature, {DEPTH} * t + 1, {VALUES}), substring(signature, 1, {DEPTH} * t))").alias("label"), "n", "id")
     ordered = labels.repartitionByRange("key", "label").sortWithinPartitions("key", "label", "id")
-    found = stash(ordered.mapInArrow(_regions, "a long, b long, key long").distinct(), "candidates")
+    found = stash(ordered.mapInArrow(tidy(_regions), "a long, b long, key long").distinct(), "candidates")
     pairs, keys = found.where("a is not null").select("a", "b"), found.where("a is null").select("key")
     roots = connected_components(_links(source, pairs, k, percent))
     more = _remaining(source, sets, roots, keys, k, percent)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
 from chronofact.llm import text as T
-from chronofact.llm.storage import mounted, new_path, stash, tune
+from chronofact.llm.storage import mounted, new_path, stash, tidy, tune
 
 _U = np.uint64
 #: Stands for the end of a text among word hashes.
@@ -225,7 +225,7 @@ def train(texts: DataFrame) -> Model:
         _save(folder, f"counts-{bucket}", counts)
         return pa.table({"bucket": pa.array([bucket]), "words": pa.array([len(keys)]), "tokens": pa.array([int(counts.sum())])})
 
-    rows = texts.mapInArrow(dealt_words, schema).groupBy("bucket").applyInArrow(merged, "bucket long, words long, tokens long").collect()
+    rows = texts.mapInArrow(tidy(dealt_words), schema).groupBy("bucket").applyInArrow(merged, "bucket long, words long, tokens long").collect()
     found = {r["bucket"]: r["words"] for r in rows}
     for b in set(range(word_buckets)) - set(found):
         _save(folder, f"hashes-{b}", np.zeros(0, np.uint64))
@@ -237,7 +237,7 @@ def train(texts: DataFrame) -> Model:
     def dealt_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _dealt(batches, lambda part: _pairs_of(words, part), lambda keys: bucket_of_number(keys >> _U(32), words.size, pair_buckets))
 
-    counted = texts.mapInArrow(dealt_pairs, schema).groupBy("bucket").applyInArrow(_counted(folder, pair_buckets, words.size), f"{schema}, few array<long>, pairs long")
+    counted = texts.mapInArrow(tidy(dealt_pairs), schema).groupBy("bucket").applyInArrow(_counted(folder, pair_buckets, words.size), f"{schema}, few array<long>, pairs long")
     counted = stash(counted, "pair-counts")
     totals = counted.where("few is not null").select("few", "pairs").collect()  # a row for each bucket
     after = counted.select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(_continued(folder), "few array<long>, kinds array<long>").collect()
@@ -315,7 +315,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", columns: list[s
 
     rows = docs.select(*columns, F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("__text"))
     schema = t.StructType([*rows.select(*columns).schema.fields, *(t.StructField(c, t.LongType()) for c in names[k : k + 3]), *(t.StructField(c, t.DoubleType()) for c in names[k + 3 :])])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def held_out(id_col: str = "doc_id", every: int = 10):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofact.llm import text as T
-from chronofact.llm.storage import stash, tune
+from chronofact.llm.storage import stash, tidy, tune
 
 #: Pre-tokens whose ids a worker keeps; beyond that it starts anew.
 KEPT = 600_000
@@ -184,7 +184,7 @@ def token_table(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.full(len(full), part)), pa.array(done + begin), pa.array(full), T.binaries(out, full)], names=["id", "part", "start", "n", "ids"])
                 done += int(full.sum())
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, part long, start long, n long, ids binary")
+    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), f"id {kind}, part long, start long, n long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -225,4 +225,4 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end: int = 1, id_c
             yield pa.RecordBatch.from_arrays(columns + [pa.array(own, pa.list_(pa.int64()))] * with_ids, names=names)
 
     longs = ", ".join(f"`{c}` long" for c in names[1:7])
-    return table.mapInArrow(run, f"`{id_col}` {kind}, {longs}" + ", ids array<long>" * with_ids)
+    return table.mapInArrow(tidy(run), f"`{id_col}` {kind}, {longs}" + ", ids array<long>" * with_ids)

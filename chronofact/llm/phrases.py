@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
 from chronofact.llm import text as T
-from chronofact.llm.storage import stash, tune
+from chronofact.llm.storage import stash, tidy, tune
 
 PHRASE = 6
 #: Occurrences from which on a phrase's windows meet by their own hashes instead of by the phrase, so that one very
@@ -202,16 +202,16 @@ def remove_repeats(docs: DataFrame, columns: list[str] | None = None, text_col:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(*(F.col(c) for c in columns), F.xxhash64(text).alias("__k1"), F.xxhash64(F.lit(1), text).alias("__k2"), text.cast("binary").alias("__text"))
     texts = keyed.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col("__text").alias("text")).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    phrases = texts.select("k1", "k2", "text").mapInArrow(_phrases(window), "k1 long, k2 long, h long, n long")
+    phrases = texts.select("k1", "k2", "text").mapInArrow(tidy(_phrases(window)), "k1 long, k2 long, h long, n long")
     phrases = stash(phrases.join(texts.where("copies > 1").select("k1", "k2", "copies"), ["k1", "k2"], "left").select("k1", "k2", "h", (F.col("n") * F.coalesce("copies", F.lit(1))).alias("n")), "phrases")
     often = phrases.groupBy("h").agg(F.sum("n").alias("places")).where("places > 1")
     of_text = phrases.join(often, "h").groupBy("k1", "k2").agg(F.collect_list(F.when(F.col("places") <= COMMON, F.col("h"))).alias("rare"), F.collect_list(F.when(F.col("places") > COMMON, F.col("h"))).alias("common"))
-    runs = texts.join(of_text, ["k1", "k2"]).select("k1", "k2", "text", "copies", "rare", "common").mapInArrow(_runs(window), "k1 long, k2 long, copies long, start long, shard long, content binary")
+    runs = texts.join(of_text, ["k1", "k2"]).select("k1", "k2", "text", "copies", "rare", "common").mapInArrow(tidy(_runs(window)), "k1 long, k2 long, copies long, start long, shard long, content binary")
     runs = stash(runs.withColumn("ck", F.xxhash64("content")), "runs")
     contents = runs.groupBy("shard", "ck", "content").agg(F.sum("copies").alias("copies"))
-    masks = contents.repartition("shard").mapInArrow(_recurring, "shard long, ck long, mask long")
+    masks = contents.repartition("shard").mapInArrow(tidy(_recurring), "shard long, ck long, mask long")
     windows = runs.select("k1", "k2", "start", "shard", "ck").join(masks, ["shard", "ck"]).distinct().groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.collect_list(F.struct("start", "mask")).alias("__windows"))
     names = [*columns, "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text]
     rows = keyed.join(windows, ["__k1", "__k2"], "left").select(*columns, "__text", "__windows")
     schema = t.StructType([*rows.select(*columns).schema.fields, t.StructField("n_words", t.LongType()), t.StructField("n_removed", t.LongType()), t.StructField("kept_sha256", t.StringType()), *[t.StructField("kept_text", t.StringType())] * with_text])
-    return rows.mapInArrow(_cut(window, len(columns), with_text, names), schema)
+    return rows.mapInArrow(tidy(_cut(window, len(columns), with_text, names)), schema)

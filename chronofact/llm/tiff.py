@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofact.llm import text as T
-from chronofact.llm.storage import BATCH_BYTES, tune
+from chronofact.llm.storage import BATCH_BYTES, tidy, tune
 
 # Fixed values of the TIFF 6.0 format: tags, types and compression schemes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, FILL_ORDER, STRIP_AT, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES = 256, 257, 258, 259, 262, 266, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325
@@ -313,7 +313,7 @@ def tiff_pages(df: DataFrame, id_col: str = "doc_id", media_col: str = "media",
                         at, rows, held = [], [], 0
             yield flush()
 
-    return df.select(id_col, *columns, F.col(media_col).alias("__media")).mapInArrow(run, schema)
+    return df.select(id_col, *columns, F.col(media_col).alias("__media")).mapInArrow(tidy(run), schema)
 
 
 def _rows(blob: bytes | None) -> Iterator[tuple]:
@@ -338,7 +338,7 @@ def tiff_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                 media = [write_tiff(t.ljust(max(row, -(-len(t) // row) * row), b" "), width, samples, page_rows=page_rows) for t in texts]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, texts), pa.int64()), pa.array(map(len, media), pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media], pa.string()), pa.array(media, pa.binary())], names=[id_col, "n_bytes", "media_bytes", "media_sha256", "media"])
 
-    return df.select(id_col, F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, media_bytes long, media_sha256 string, media binary")
+    return df.select(id_col, F.col(text_col).cast("binary").alias("text")).mapInArrow(tidy(run), f"`{id_col}` {kind}, n_bytes long, media_bytes long, media_sha256 string, media binary")
 
 
 class _Payload:
@@ -393,4 +393,4 @@ def tiff_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         if whole:
             yield row()
 
-    return pages.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return pages.mapInArrow(tidy(run), f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

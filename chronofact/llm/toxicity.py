@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofact.llm import text as T
-from chronofact.llm.storage import stash, tune
+from chronofact.llm.storage import stash, tidy, tune
 
 #: Bound of the sample of labelled rows that the models are fitted on: about so many, chosen by a hash of their id.
 TRAIN_ROWS = 6000
@@ -186,10 +186,10 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_co
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).where("text is not null").join(F.broadcast(sample), "id")  # at most about train_rows rows
     texts = stash(texts.select("text", y_of), "labelled")
     sizes = texts.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(F.col("y")[k]), F.lit(0)).alias(f"n{k}") for k in range(len(categories)))).first()
-    counts = stash(texts.mapInArrow(_counted, "feature long, total long, hits array<long>").groupBy("feature").agg(F.sum("total").alias("total"), F.array(*(F.sum(F.col("hits")[k]) for k in range(len(categories)))).alias("hits")), "feature-counts")
+    counts = stash(texts.mapInArrow(tidy(_counted), "feature long, total long, hits array<long>").groupBy("feature").agg(F.sum("total").alias("total"), F.array(*(F.sum(F.col("hits")[k]) for k in range(len(categories)))).alias("hits")), "feature-counts")
     chosen_of = [_select(counts, k, sizes[f"n{k}"], sizes["n"] - sizes[f"n{k}"]) for k in range(len(categories))]
     union = np.unique(np.concatenate(chosen_of))
-    rows = texts.mapInArrow(_sampled(union), "y array<int>, mark long, own binary, values binary, dense array<double>").collect()  # bounded by the sample
+    rows = texts.mapInArrow(tidy(_sampled(union)), "y array<int>, mark long, own binary, values binary, dense array<double>").collect()  # bounded by the sample
     rows = sorted(rows, key=lambda r: (r["mark"], r["dense"], r["y"]))  # whatever order they come in
     own, values = [np.frombuffer(r["own"], "<i4").astype(np.int64) for r in rows], [np.frombuffer(r["values"], "<f4") for r in rows]
     dense = np.array([r["dense"] for r in rows]).reshape(-1, _DENSE)
@@ -242,4 +242,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
 
     rows = docs.select(*columns, F.col(text_col).cast("binary").alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*columns).schema)
-    return rows.mapInArrow(run, f"{kinds}, " + ", ".join(f"`{c}` double" for c in names[len(columns) : -2]) + ", toxic boolean, kept boolean")
+    return rows.mapInArrow(tidy(run), f"{kinds}, " + ", ".join(f"`{c}` double" for c in names[len(columns) : -2]) + ", toxic boolean, kept boolean")

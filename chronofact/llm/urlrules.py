@@ -10,6 +10,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronofact.llm.storage import tidy
+
 #: Rules that one index holds; more are applied index after index, so a worker never holds more than one.
 INDEX_RULES = 50_000
 
@@ -100,11 +102,11 @@ def url_verdicts(df: DataFrame, rules: Sequence[tuple[str, str]], default: str =
                     rows.append((rule, verdict))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=[id_col, "url", "rule", "verdict"])
 
-        out = out.mapInArrow(run, f"`{id_col}` {kind}, url string, rule string, verdict string")
+        out = out.mapInArrow(tidy(run), f"`{id_col}` {kind}, url string, rule string, verdict string")
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             split = [split_url(u) for u in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h for h, _ in split], pa.string()), pa.array([p for _, p in split], pa.string()), b.column(2), b.column(3)], names=names)
 
-    return out.mapInArrow(parts, f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
+    return out.mapInArrow(tidy(parts), f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
