@@ -1,20 +1,30 @@
-"""Repeated passages, found by automata of recurring phrases.
+"""Repeated passages, found by sharded automata of the phrases that recurring passages hold.
 
 Two equal windows of ``window`` words choose the same phrase of ``PHRASE`` words in them, the one of the least hash
-(the last of several), so a window can only recur if its phrase does. First the chosen phrases are counted over all
-distinct texts. Then the recurring ones are compiled, sharded by the texts that hold them, to Aho-Corasick automata over
-word numbers, and every text is streamed through its shard's automaton, which locates all occurrences. Only windows
-around them are hashed; equal windows meet by their phrase, are counted, and what recurs is cut out of the texts.
+(the last of several), so a window can only recur if its phrase does.
+
+1. Recurring passages are confirmed: chosen phrases are counted; of windows that choose a phrase counted twice, the
+   hashes are counted too, equal runs of them as one first.
+2. The phrases of confirmed windows are compiled to Aho-Corasick automata, in shards of bounded size that are written
+   once to the shared folder, each with the hashes of its windows.
+3. All documents are streamed: a worker holds a slice of them and one shard at a time, the automaton locates the
+   occurrences of its phrases, and windows around them that are confirmed are cut out. A document passes a shard over
+   if none of the phrases that its windows choose can be in the shard's range, which loses nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
@@ -23,10 +33,13 @@ from chronofact.llm import text as T
 from chronofact.llm.storage import stash, tidy, tune
 
 PHRASE = 6
-#: Occurrences from which on a phrase's windows meet by their own hashes instead of by the phrase, so that one very
-#: common phrase is no single task's work.
-COMMON = 5000
+#: Bits of the table that says which phrases may recur: of bounded size whatever the corpus, as it is broadcast. Where it
+#: fills up, more windows are counted than need be.
+BITS = 26
+#: Phrases and windows of a shard, bytes of a row that holds a part of one, and of texts that a worker streams at once.
+SHARD_PHRASES, SHARD_WINDOWS, SHARD_ROW, SLICE = 60_000, 1_000_000, 4 * 2**20, 24 * 2**20
 _U = np.uint64
+_BUCKET = 1 << 15  # bits in a bitmap of Spark's
 
 
 def _chosen(phrases: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,128 +60,223 @@ def _chosen(phrases: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarra
     return starts, chosen
 
 
+def letters(hashes: np.ndarray) -> np.ndarray:
+    """Two letters for each word (a row), from alphabets of 64 of their own, so that no match begins inside a word."""
+    out = np.empty((len(hashes), 2), np.uint8)
+    out[:, 0] = (hashes & _U(63)).astype(np.uint8) + 64
+    out[:, 1] = (hashes >> _U(6) & _U(63)).astype(np.uint8) + 128
+    return out
+
+
+def _text(written: np.ndarray) -> str:
+    return written.tobytes().decode("latin-1")
+
+
 def _phrases(window: int):
-    """``(h, n)`` for each phrase chosen in a text, with its number of places there."""
+    """``(h, n)`` for each phrase chosen in a batch, with its number of places there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.pieces(batch, "text"):
-                hashes, _, _, at = T.words(*T.buffers(part.column(2)), lower=False)
+            for part in T.pieces(batch, 0):
+                hashes, _, _, at = T.words(*T.buffers(part.column(0)), lower=False)
                 phrases = T.rolling(hashes, PHRASE)
-                places = np.unique(_chosen(phrases, at, window)[1])
-                owner = np.searchsorted(at, places, "right") - 1
-                order = np.lexsort((phrases[places], owner))
-                owner, own = owner[order], phrases[places][order]
-                new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (own[1:] != own[:-1])])[: len(own)]
-                first = np.flatnonzero(new)
-                rows = pa.array(owner[first])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(own[first].view(np.int64)), pa.array(np.diff(np.append(first, len(own))))], names=["k1", "k2", "h", "n"])
+                chosen = _chosen(phrases, at, window)[1]
+                places = chosen[np.flatnonzero(np.diff(chosen, prepend=-1))]  # places rise with the windows
+                h, n = np.unique(phrases[places], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    return run
+
+
+def _bitmap(recurring: DataFrame) -> np.ndarray:
+    """A bit for each value of the leading BITS bits of the phrases' hashes: whether any recurring phrase has it."""
+    slot = F.shiftrightunsigned("h", 64 - BITS) + 1
+    rows = recurring.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+    out = np.zeros((1 << BITS) // 8, np.uint8)
+    for r in rows:  # BITS bits in all
+        lo = (r["bucket"] - 1) * _BUCKET // 8
+        out[lo : lo + _BUCKET // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _may_recur(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    slot = h >> _U(64 - BITS)
+    return (bits[(slot >> _U(3)).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _candidates(part: pa.Array, window: int, bits: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of texts: word hashes, words before each, phrase hashes; of windows whose phrase may recur: first word, the
+    phrase's first word, hash."""
+    hashes, _, _, at = T.words(*T.buffers(part), lower=False)
+    phrases = T.rolling(hashes, PHRASE)
+    starts, chosen = _chosen(phrases, at, window)
+    if len(starts):
+        may = _may_recur(bits, phrases[chosen])
+        starts, chosen = starts[may], chosen[may]
+    whole = T.rolling(hashes, window)[starts] if len(starts) else np.zeros(0, np.uint64)
+    return hashes, at, phrases, starts, chosen, whole
+
+
+def _runs(window: int, bits: Broadcast):
+    """Runs of neighbouring windows that choose one phrase: its hash and letters, and the windows' hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in T.pieces(batch, 0):
+                hashes, _, phrases, starts, chosen, whole = _candidates(part.column(0), window, bits.value)
+                first = np.flatnonzero(np.diff(chosen, prepend=-1))
+                size, place = np.diff(np.append(first, len(chosen))), chosen[first]
+                written = letters(hashes)[T.spread(place, np.full(len(place), PHRASE))]
+                windows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(whole.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(phrases[place].view(np.int64)), T.binaries(written.ravel(), np.full(len(place), 2 * PHRASE)), windows], names=["h", "letters", "windows"])
 
     return run
 
 
-def locate(numbers: np.ndarray, at: np.ndarray, patterns: np.ndarray) -> np.ndarray:
-    """First words of all occurrences, within a text, of the phrases that start at ``patterns``, by an automaton."""
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    flat = numbers.tolist()
-    for p in patterns.tolist():
-        automaton.add_word(tuple(flat[p : p + PHRASE]), True)
-    if not len(automaton):
-        return np.zeros(0, np.int64)
+def _key(h: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """A window's hash within its phrase, so windows of different phrases are never taken for each other."""
+    return T.mix(whole ^ T.mix(h))
+
+
+def compile_shard(patterns: list[str]) -> ahocorasick.Automaton:
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_STRING)
+    for p in patterns:
+        automaton.add_word(p)
     automaton.make_automaton()
-    found: list[int] = []
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        found += [a + end for end, _ in automaton.iter(tuple(flat[a:b]))]
-    return np.array(found, np.int64) - PHRASE + 1
+    return automaton
+
+
+def _compiled(most_phrases: int, most_windows: int):
+    """Cuts confirmed windows, sorted by phrase, into shards: the phrases' automaton and the sorted keys of the windows,
+    in rows of bounded size. A phrase of very many windows goes on in further shards."""
 
+    def shard(rows: pa.Table, number: int) -> Iterator[pa.RecordBatch]:
+        h, w = (rows.column(c).to_numpy().view(np.uint64) for c in ("h", "w"))
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        patterns = [x.as_py().decode("latin-1") for x in rows.column("letters").take(pa.array(first))]
+        data = pickle.dumps((compile_shard(patterns), np.sort(_key(h, w))))
+        low, high = int(h.view(np.int64)[0]), int(h.view(np.int64)[-1])
+        for i, lo in enumerate(range(0, len(data), SHARD_ROW)):
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (number, i, low, high)] + [pa.array([data[lo : lo + SHARD_ROW]], pa.binary())], names=["number", "row", "low", "high", "data"])
 
-def _runs(window: int):
-    """Runs of neighbouring windows that choose one located phrase: shard, and the windows' hashes as content."""
+    def cut(rows: pa.Table) -> int:
+        h = rows.column("h").to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        return min(most_windows, int(first[most_phrases]) if len(first) > most_phrases else len(h))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, number, fresh = [], 0, 0
         for batch in batches:
-            for part in T.pieces(batch, "text"):
-                yield _runs_of(part, window)
+            held.append(batch)
+            fresh += batch.num_rows
+            if fresh >= most_phrases:
+                table, fresh = pa.Table.from_batches(held), 0
+                while (upto := cut(table)) < table.num_rows:
+                    yield from shard(table.slice(0, upto), number)
+                    table, number = table.slice(upto), number + 1
+                held = table.combine_chunks().to_batches()
+        table = pa.Table.from_batches(held) if held else None
+        while table is not None and table.num_rows:
+            upto = cut(table)
+            yield from shard(table.slice(0, upto), number)
+            table, number = table.slice(upto), number + 1
 
     return run
 
 
-def _runs_of(part: pa.RecordBatch, window: int) -> pa.RecordBatch:
-    hashes, _, _, at = T.words(*T.buffers(part.column(2)), lower=False)
-    phrases = T.rolling(hashes, PHRASE)
-    starts, chosen = _chosen(phrases, at, window)
-    rare, common = (np.unique(np.asarray(part.column(c).flatten(), np.int64)).view(np.uint64) for c in (4, 5))
-    recurring = np.union1d(rare, common)
-    places = np.unique(chosen)
-    patterns = places[np.isin(phrases[places], recurring)]
-    patterns = patterns[np.unique(phrases[patterns], return_index=True)[1]]
-    located = np.zeros(len(hashes) + 1, bool)
-    located[locate(np.unique(hashes, return_inverse=True)[1], at, patterns)] = True
-    keep = located[chosen] if len(chosen) else np.zeros(0, bool)
-    starts, chosen = starts[keep], chosen[keep]
-    whole = T.rolling(hashes, window)[starts] if len(starts) else np.zeros(0, np.uint64)
-    alone = np.isin(phrases[chosen], common) if len(chosen) else np.zeros(0, bool)
-    new = alone.copy()
-    if len(new):
-        new[0] = True
-        new[1:] |= (chosen[1:] != chosen[:-1]) | (starts[1:] != starts[:-1] + 1)
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(starts)))
-    owner = np.searchsorted(at, starts[first], "right") - 1
-    rows = pa.array(owner)
-    shard = np.where(alone[first], whole[first], phrases[chosen[first]]) if len(first) else np.zeros(0, np.uint64)
-    return pa.RecordBatch.from_arrays(
-        [part.column(0).take(rows), part.column(1).take(rows), part.column(3).take(rows), pa.array(starts[first] - at[owner]), pa.array(shard.view(np.int64)), T.binaries(whole, size)],
-        names=["k1", "k2", "copies", "start", "shard", "content"],
-    )
-
-
-def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one partition, which holds whole shards: a mask of the recurring windows of each content that has any."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    table = pa.Table.from_batches(held).combine_chunks()
-    data, offsets = T.buffers(table.column("content"))
-    flat, size = np.frombuffer(data.tobytes(), np.uint64), np.diff(offsets) // 8
-    # the shard is part of what must be equal, so windows of different shards are never taken for each other
-    flat = T.mix(flat ^ T.mix(np.repeat(table.column("shard").to_numpy().view(np.uint64), size)))
-    _, which = np.unique(flat, return_inverse=True)
-    total = np.bincount(which, np.repeat(table.column("copies").to_numpy(), size))
-    owner = np.repeat(np.arange(len(size)), size)
-    bit = T.spread(np.zeros(len(size), np.int64), size)
-    mask = np.zeros(len(size), np.int64)
-    twice = total[which] >= 2
-    np.bitwise_or.at(mask, owner[twice], np.int64(1) << bit[twice])
-    some = np.flatnonzero(mask)
-    yield pa.RecordBatch.from_arrays([table.column(c).combine_chunks().take(pa.array(some)) if not isinstance(table.column(c).combine_chunks(), pa.ChunkedArray) else table.column(c).take(pa.array(some)).combine_chunks() for c in ("shard", "ck")] + [pa.array(mask[some])], names=["shard", "ck", "mask"])
-
-
-def _cut(window: int, carried: int, with_text: bool, names: list[str]):
-    """Removes the covered words; the last three columns are the text and the starts and masks of its windows."""
+@dataclass(frozen=True)
+class Shard:
+    """Where a compiled shard is, and the range of its phrases' hashes (as signed numbers)."""
+
+    path: str
+    number: int
+    low: int
+    high: int
+
+    def load(self) -> tuple[ahocorasick.Automaton, np.ndarray]:
+        files, path = pyarrow.fs.FileSystem.from_uri(self.path)
+        rows = pyarrow.parquet.read_table(path, filesystem=files, columns=["row", "data"], filters=[("number", "=", self.number)], partitioning=None)
+        return pickle.loads(b"".join(x.as_py() for x in rows.sort_by("row").column("data")))
+
+
+@dataclass
+class _Part:
+    """What is held of a few megabytes of texts while shards come by."""
+
+    batch: pa.RecordBatch
+    at: np.ndarray
+    written: np.ndarray
+    starts: np.ndarray
+    chosen: np.ndarray
+    owner: np.ndarray
+    h: np.ndarray
+    key: np.ndarray
+    found: list[np.ndarray] = field(default_factory=list)
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, column: int, window: int, bits: np.ndarray) -> _Part:
+        hashes, at, phrases, starts, chosen, whole = _candidates(batch.column(column), window, bits)
+        h = phrases[chosen] if len(chosen) else np.zeros(0, np.uint64)
+        return cls(batch, at, letters(hashes), starts, chosen, np.searchsorted(at, starts, "right") - 1, h.view(np.int64), _key(h, whole))
+
+    def stream(self, mine: np.ndarray, automaton: ahocorasick.Automaton, known: np.ndarray) -> None:
+        """Streams the texts of the windows ``mine`` and keeps those around located phrases that are known to recur."""
+        texts = np.unique(self.owner[mine])
+        located = locate(automaton, self.written, self.at[texts], self.at[texts + 1])
+        near = mine[located[self.chosen[mine]]]
+        place = np.minimum(np.searchsorted(known, self.key[near]), len(known) - 1)
+        self.found.append(self.starts[near[known[place] == self.key[near]]])
+
+
+def locate(automaton: ahocorasick.Automaton, written: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether a phrase of the automaton starts at each word, of the texts from words ``begin`` to ``end``."""
+    size = end - begin + 1  # a word of no letters stands between texts
+    first = np.cumsum(size) - size
+    line = np.ones((int(size.sum()), 2), np.uint8)
+    line[T.spread(first, size - 1)] = written[T.spread(begin, size - 1)]
+    word = np.fromiter((e for e, _ in automaton.iter(_text(line))), np.int64) // 2 - PHRASE + 1
+    text = np.searchsorted(first, word, "right") - 1
+    out = np.zeros(len(written), bool)
+    out[word - first[text] + begin[text]] = True
+    return out
+
+
+def _cut(window: int, carried: int, column: int, shards: list[Shard], bits: Broadcast, with_text: bool, names: list[str], at_once: int):
+    """Streams slices of documents through all shards and removes the words that located windows cover."""
+
+    def through(parts: list[_Part]) -> Iterator[pa.RecordBatch]:
+        for shard in shards:
+            mine = [np.flatnonzero((p.h >= shard.low) & (p.h <= shard.high)) for p in parts]
+            if any(map(len, mine)):
+                automaton, known = shard.load()
+                for p, some in zip(parts, mine, strict=True):
+                    if len(some):
+                        p.stream(some, automaton, known)
+        while parts:
+            p = parts.pop(0)
+            yield _without(p, window, carried, column, with_text, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for part in T.pieces(batch, "__text"):
-                yield _cut_part(part, window, carried, with_text, names)
+            for part in T.pieces(batch, column):
+                held.append(_Part.of(part, column, window, bits.value))
+                size += part.nbytes
+                if size >= at_once:
+                    yield from through(held)
+                    held, size = [], 0
+        yield from through(held)
 
     return run
 
 
-def _cut_part(part: pa.RecordBatch, window: int, carried: int, with_text: bool, names: list[str]) -> pa.RecordBatch:
-    data, offsets = T.buffers(part.column(carried))
-    _, first, last, at = T.words(data, offsets, lower=False)
-    found = part.column(carried + 1)
-    number = np.diff(np.asarray(found.offsets)) if len(found) else np.zeros(0, np.int64)
-    number = np.where(np.asarray(found.is_valid()), number, 0)
-    flat = found.flatten()
-    begin, mask = np.asarray(flat.field("start"), np.int64), np.asarray(flat.field("mask"), np.int64)
-    begin = begin + np.repeat(at[:-1], number)
+def _without(p: _Part, window: int, carried: int, column: int, with_text: bool, names: list[str]) -> pa.RecordBatch:
+    data, offsets = T.buffers(p.batch.column(column))
+    first, last, at = T.bounds(data, offsets)
     change = np.zeros(len(first) + window + 1, np.int64)
-    for bit in range(window - PHRASE + 1):
-        hit = begin[(mask >> bit) & 1 == 1] + bit
-        np.add.at(change, hit, 1)
-        np.add.at(change, hit + window, -1)
+    for start in p.found:
+        np.add.at(change, start, 1)
+        np.add.at(change, start + window, -1)
     keep = np.cumsum(change)[: len(first)] == 0
     before = np.concatenate([[0], np.cumsum(keep)])
     kept = before[at[1:]] - before[at[:-1]]
@@ -179,39 +287,50 @@ def _cut_part(part: pa.RecordBatch, window: int, carried: int, with_text: bool,
     ends = np.concatenate([[0], ends])
     bounds = [(int(ends[a]), max(int(ends[a]), int(ends[b]) - 1)) for a, b in zip(before[at[:-1]].tolist(), before[at[1:]].tolist(), strict=True)]
     texts = [out[a:b].tobytes() for a, b in bounds]
-    columns = [part.column(i) for i in range(carried)]
     words = np.diff(at)
-    columns += [pa.array(words), pa.array(words - kept), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())]
+    columns = [*p.batch.columns[:carried], pa.array(words), pa.array(words - kept), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())]
     if with_text:
         columns.append(pa.array(texts, pa.binary()).cast(pa.string()))
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def remove_repeats(docs: DataFrame, columns: list[str] | None = None, text_col: str = "text", window: int = 35, with_text: bool = False) -> DataFrame:
+def recurring_windows(texts: DataFrame, window: int) -> tuple[DataFrame, Broadcast]:
+    """``h, letters, w`` of each window (w) that starts at two places or more, with the phrase that it chooses; and the
+    table of phrases that may recur. ``texts`` has one column."""
+    spark = texts.sparkSession
+    recurring = texts.mapInArrow(tidy(_phrases(window)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    bits = spark.sparkContext.broadcast(_bitmap(recurring))
+    runs = texts.mapInArrow(tidy(_runs(window, bits)), "h long, letters binary, windows array<long>").groupBy("h", "letters", "windows").agg(F.count("*").alias("n"))
+    windows = runs.select("h", "letters", F.explode("windows").alias("w"), "n").groupBy("h", "letters", "w").agg(F.sum("n").alias("n")).where("n > 1")
+    return windows.select("h", "letters", "w"), bits
+
+
+def compiled(windows: DataFrame, most_phrases: int = SHARD_PHRASES, most_windows: int = SHARD_WINDOWS) -> list[Shard]:
+    """Writes the shards of the windows to the shared folder; only their places and ranges come to the driver."""
+    windows = stash(windows, "recurring")
+    number = windows.count()
+    parts = max(1, -(-number // most_windows))
+    ordered = windows.repartitionByRange(parts, "h", "w").sortWithinPartitions("h", "w")
+    shards = stash(ordered.mapInArrow(tidy(_compiled(most_phrases, most_windows)), "number long, row long, low long, high long, data binary"), "shards")
+    rows = shards.where("row = 0").select(F.col("_metadata.file_path").alias("path"), "number", "low", "high").collect()
+    return sorted((Shard(r["path"], r["number"], r["low"], r["high"]) for r in rows), key=lambda s: (s.low, s.high, s.path, s.number))
+
+
+def remove_repeats(docs: DataFrame, columns: list[str] | None = None, text_col: str = "text", window: int = 35, with_text: bool = False, shard: tuple[int, int] = (SHARD_PHRASES, SHARD_WINDOWS), at_once: int = SLICE) -> DataFrame:
     """``columns`` (by default ``doc_id``) of each row and ``n_words, n_removed, kept_sha256`` (and ``kept_text``).
 
     Removed is each word that is covered by ``window`` consecutive words of its text which start anywhere else too, in
     the same text or in another row's. ``kept_sha256``: of the kept words joined by one space. Null texts have no
     words; texts of fewer words than a window lose none. Rows with the same text are counted as so many texts, have
-    equal results and all stay, whatever their ids. At most 63 windows may choose one phrase: window < 63 + PHRASE.
+    equal results and all stay, whatever their ids. The shared folder must be one that workers can open by its URI.
     """
-    if not PHRASE < window < 63 + PHRASE:
-        raise ValueError(f"window must be over {PHRASE} and under {63 + PHRASE}")
+    if window <= PHRASE:
+        raise ValueError(f"window must be over {PHRASE}")
     tune(docs.sparkSession)
     columns = columns or ["doc_id"]
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(*(F.col(c) for c in columns), F.xxhash64(text).alias("__k1"), F.xxhash64(F.lit(1), text).alias("__k2"), text.cast("binary").alias("__text"))
-    texts = keyed.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col("__text").alias("text")).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    phrases = texts.select("k1", "k2", "text").mapInArrow(tidy(_phrases(window)), "k1 long, k2 long, h long, n long")
-    phrases = stash(phrases.join(texts.where("copies > 1").select("k1", "k2", "copies"), ["k1", "k2"], "left").select("k1", "k2", "h", (F.col("n") * F.coalesce("copies", F.lit(1))).alias("n")), "phrases")
-    often = phrases.groupBy("h").agg(F.sum("n").alias("places")).where("places > 1")
-    of_text = phrases.join(often, "h").groupBy("k1", "k2").agg(F.collect_list(F.when(F.col("places") <= COMMON, F.col("h"))).alias("rare"), F.collect_list(F.when(F.col("places") > COMMON, F.col("h"))).alias("common"))
-    runs = texts.join(of_text, ["k1", "k2"]).select("k1", "k2", "text", "copies", "rare", "common").mapInArrow(tidy(_runs(window)), "k1 long, k2 long, copies long, start long, shard long, content binary")
-    runs = stash(runs.withColumn("ck", F.xxhash64("content")), "runs")
-    contents = runs.groupBy("shard", "ck", "content").agg(F.sum("copies").alias("copies"))
-    masks = contents.repartition("shard").mapInArrow(tidy(_recurring), "shard long, ck long, mask long")
-    windows = runs.select("k1", "k2", "start", "shard", "ck").join(masks, ["shard", "ck"]).distinct().groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.collect_list(F.struct("start", "mask")).alias("__windows"))
+    windows, bits = recurring_windows(docs.select(F.col(text_col).cast("binary")), window)
+    shards = compiled(windows, *shard)
+    rows, column = T.carried(docs, columns, text_col)
     names = [*columns, "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text]
-    rows = keyed.join(windows, ["__k1", "__k2"], "left").select(*columns, "__text", "__windows")
     schema = t.StructType([*rows.select(*columns).schema.fields, t.StructField("n_words", t.LongType()), t.StructField("n_removed", t.LongType()), t.StructField("kept_sha256", t.StringType()), *[t.StructField("kept_text", t.StringType())] * with_text])
-    return rows.mapInArrow(tidy(_cut(window, len(columns), with_text, names)), schema)
+    return rows.mapInArrow(tidy(_cut(window, len(columns), column, shards, bits, with_text, names, at_once)), schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of one Arrow batch; bounds what a Python worker holds when texts are long.
-BATCH_ROWS, BATCH_BYTES = 1000, 2 * 2**20
+BATCH_ROWS, BATCH_BYTES = 10_000, 2 * 2**20
 #: Rows of a batch that the Parquet reader decodes at once, and bytes that a Parquet writer gathers: with texts in the
 #: rows, the defaults (4096 rows, 128 MB) are what fills executors.
 READ_ROWS, WRITE_BYTES = 256, 8 * 2**20

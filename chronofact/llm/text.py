@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _U = np.uint64
 #: Bytes handled at once; a longer word or text only makes a chunk longer where no white space allows a cut.
@@ -60,16 +62,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool, apart: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and end of every word, and for each text the number of words before it (n + 1 values).
-
-    ``apart`` marks the bytes that are no part of words. With ``prefixes`` the hashes have further columns: of each
-    word's first so many bytes (of the whole word if it is shorter).
-    """
+def bounds(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte and end of every word, and for each text the number of words before it (n + 1 values)."""
     n = len(data)
     if not n:
-        none = np.zeros(0, np.int64)
-        return np.zeros((0, 1 + len(prefixes)) if prefixes else 0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     space = apart[data]
     start = ~space
     start[1:] &= space[:-1]
@@ -78,7 +75,19 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool, apart: np.ndarray
     end = ~space
     end[:-1] &= space[1:]
     end[inner - 1] = ~space[inner - 1]
-    first, last = np.flatnonzero(start), np.flatnonzero(end) + 1
+    first = np.flatnonzero(start)
+    return first, np.flatnonzero(end) + 1, np.searchsorted(first, offsets).astype(np.int64)
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool, apart: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of every word, and for each text the number of words before it (n + 1 values).
+
+    ``apart`` marks the bytes that are no part of words. With ``prefixes`` the hashes have further columns: of each
+    word's first so many bytes (of the whole word if it is shorter).
+    """
+    first, last, at = bounds(data, offsets, apart)
+    if not len(data):
+        return np.zeros((0, 1 + len(prefixes)) if prefixes else 0, np.uint64), first, last, at
     value, hashes, done = _BYTE_LOWER if lower else _BYTE, np.empty((1 + len(prefixes), len(first)), np.uint64), 0
     ends = [last, *(np.minimum(last, first + n) for n in prefixes)]
     with np.errstate(over="ignore"):
@@ -95,7 +104,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool, apart: np.ndarray
             done = upto
         for own, end in zip(hashes, ends, strict=True):
             own[:] = mix(own + (end - first).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
-    return hashes.T if prefixes else hashes[0], first, last, np.searchsorted(first, offsets).astype(np.int64)
+    return hashes.T if prefixes else hashes[0], first, last, at
 
 
 def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -119,7 +128,7 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - counts), counts)
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 * 2**20) -> list[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str | int, limit: int = 4 * 2**20) -> list[pa.RecordBatch]:
     """Slices of a batch with at most ``limit`` bytes of text each (or one row)."""
     data, offsets = buffers(batch.column(column))
     out, row = [], 0
@@ -130,6 +139,15 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 * 2**20) -> list[p
     return out
 
 
+def carried(docs: DataFrame, columns: list[str], text_col: str) -> tuple[DataFrame, int]:
+    """``docs`` with ``columns`` and, last, the text as ``__text`` (null: empty); the text itself stands in for it where it
+    is among the columns, so that it is sent once. Also the place of the text."""
+    kind = docs.select(F.col(text_col)).schema[0].dataType.simpleString()
+    if text_col in columns and kind in ("string", "binary"):
+        return docs.select(*(F.col(c) for c in columns)), columns.index(text_col)
+    return docs.select(*(F.col(c) for c in columns), F.col(text_col).cast("binary").alias("__text")), len(columns)
+
+
 def binaries(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
     """One binary value of counts[i] items of ``flat`` for each i, without a copy for each."""
     offsets = np.zeros(len(counts) + 1, np.int64)

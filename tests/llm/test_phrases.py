@@ -4,6 +4,8 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from chronofact.llm import phrases
@@ -37,17 +39,56 @@ def corpus(seed):
     return rows + [(200, "a b " * 100), (201, None), (202, ""), (203, " \r\n"), (204, rows[5][1]), (204, rows[5][1]), (None, rows[7][1]), (205, "z " * 35), (206, "q " * 36), (207, "é " * 5000)]
 
 
-@pytest.mark.parametrize("common", [5000, 3])
-def test_against_brute_force(spark, monkeypatch, common):
-    monkeypatch.setattr(phrases, "COMMON", common)
-    rows = corpus(common)
+@pytest.mark.parametrize("bounds", [{}, {"shard": (5, 1000), "at_once": 3000}, {"shard": (1000, 17), "at_once": 20_000}])
+def test_against_brute_force(spark, bounds):
+    rows = corpus(len(bounds))
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_words long").repartition(4)
-    got = remove_repeats(df, with_text=True).collect()
+    got = remove_repeats(df, with_text=True, **bounds).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == brute(rows)
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got)
     assert remove_repeats(df.limit(0)).count() == 0
 
 
+def test_text_among_the_columns(spark):
+    rows = [(1, "a b c " * 20, "x"), (2, None, "y"), (3, "d e", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept_text string")
+    got = remove_repeats(df.withColumnRenamed("kept_text", "other"), ["other", "text", "doc_id"]).collect()
+    assert sorted((r.doc_id, r.text, r.other) for r in got) == rows
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(1, 60, 60), (2, 0, 0), (3, 2, 0)]
+
+
+def test_shards_are_bounded_and_hold_every_window(spark):
+    rows = corpus(3)
+    windows, _ = phrases.recurring_windows(spark.createDataFrame(rows, "doc_id long, text string").select("text"), 35)
+    split = [(t or "").encode().split() for _, t in rows]
+    seen = Counter(tuple(w[i : i + 35]) for w in split for i in range(len(w) - 34))
+    recurring = sum(n > 1 for n in seen.values())
+    assert windows.count() == recurring > 100
+    shards = phrases.compiled(windows, 6, 50)
+    loaded = [s.load() for s in shards]
+    assert sum(len(known) for _, known in loaded) == recurring
+    assert all(len(a) <= 6 and len(known) <= 50 for a, known in loaded) and len(shards) > 4
+
+
+def test_automata_locate_all_that_is_removed(spark, monkeypatch):
+    """Every occurrence is found, at word boundaries only; where none is located, nothing is removed."""
+    rng = np.random.default_rng(1)
+    hashes = rng.integers(0, 2**63, 40, dtype=np.uint64)[rng.integers(0, 40, 3000)]
+    hashes[2000:2006] = hashes[100:106]
+    written, patterns = phrases.letters(hashes), [100, 7, 2990]
+    automaton = phrases.compile_shard([phrases._text(written[p : p + 6]) for p in patterns])
+    begin, end = np.array([0, 50, 1900]), np.array([50, 1900, 2993])
+    want = {i for a, b in zip(begin, end, strict=True) for i in range(a, b - 5) if any((hashes[i : i + 6] == hashes[p : p + 6]).all() for p in patterns)}
+    assert {100, 2000, 7} <= want and set(np.flatnonzero(phrases.locate(automaton, written, begin, end))) == want
+    text = pa.array([b"a b c d e f g " * 12])
+    part = phrases._Part.of(pa.RecordBatch.from_arrays([text], names=["text"]), 0, 35, np.full(1 << phrases.BITS >> 3, 255, np.uint8))
+    known, every = np.sort(part.key), np.arange(len(part.key))
+    part.stream(every, phrases.compile_shard([phrases._text(part.written[i : i + 6]) for i in range(7)]), known)
+    assert set(part.found.pop()) == set(part.starts)
+    part.stream(every, phrases.compile_shard(["x"]), known)
+    assert not len(part.found.pop())
+
+
 def test_short_windows(spark):
     rows = corpus(9)
     assert sorted((tuple(r) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=8).collect()), key=str) == brute(rows, 8)
