@@ -145,7 +145,7 @@ def carried(docs: DataFrame, columns: list[str], text_col: str) -> tuple[DataFra
     kind = docs.select(F.col(text_col)).schema[0].dataType.simpleString()
     if text_col in columns and kind in ("string", "binary"):
         return docs.select(*(F.col(c) for c in columns)), columns.index(text_col)
-    return docs.select(*(F.col(c) for c in columns), F.col(text_col).cast("binary").alias("__text")), len(columns)
+    return docs.select(*(F.col(c) for c in columns), F.col(text_col).cast("binary" if kind == "binary" else "string").alias("__text")), len(columns)
 
 
 def binaries(flat: np.ndarray, counts: np.ndarray) -> pa.Array:

@@ -2,7 +2,7 @@
 
 Categories are predicted one after another; each later model also sees the earlier categories' probabilities, and is
 trained on out-of-fold ones, so that it learns how good they are and not how well the earlier model knows its own rows.
-Features are words and word beginnings that go with a label, by presence and by density, and a few shares of character
+A fold's own labels have no part in its probabilities, not even in the choice of features. Features are words and word beginnings that go with a label, by presence and by density, and a few shares of character
 classes.
 """
 
@@ -15,12 +15,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronofact.llm import text as T
 from chronofact.llm.storage import stash, tidy, tune
 
-#: Bound of the sample of labelled rows that the models are fitted on: about so many, chosen by a hash of their id.
+#: Bound of the sample of labelled rows that the models are fitted on: about so many, chosen by a hash of their id. Of
+#: each the driver gets at most the chosen features (SELECTED for each category and fold), 8 bytes each.
 TRAIN_ROWS = 6000
 #: Bits of a feature's number; bytes of word beginnings; folds; steps and weight decay of a fit.
 BITS, PREFIXES, FOLDS, STEPS, DECAY = 20, (4, 5, 6, 7, 8), 5, 200, 1e-3
@@ -60,21 +62,33 @@ def _features_of(part: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.nda
         yield i, own, 100 * n / max(1, b - a), dense[i]
 
 
+def _fold(own: np.ndarray) -> tuple[int, int]:
+    """A mark of a text by all its features, and its fold: equal texts share one."""
+    mark = zlib.crc32(own.tobytes())
+    return mark, mark % FOLDS
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(feature, total, hits)``: in how many of a partition's texts a feature is, and in how many with each label."""
-    total, hits = np.zeros(1 << BITS, np.int64), None
+    """``(feature, fold, total, hits)``: in how many of a fold's texts a feature is, and in how many with each label."""
     for batch in batches:
         for part in T.pieces(batch, "text", PIECE):
             y = np.array(part.column(1).to_pylist(), np.int64)
-            hits = np.zeros((y.shape[1], 1 << BITS), np.int32) if hits is None else hits
+            keys, text = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, own, _, _ in _features_of(part):
-                total[own] += 1
-                for k in np.flatnonzero(y[i]):
-                    hits[k, own] += 1
-    some = np.flatnonzero(total)
-    for lo in range(0, len(some), 50_000):
-        own = some[lo : lo + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own]), pa.array(list(hits[:, own].T.astype(np.int64)), pa.list_(pa.int64()))], names=["feature", "total", "hits"])
+                keys.append(own.astype(np.int64) * FOLDS + _fold(own)[1])
+                text.append(np.full(len(own), i))
+            key, which = np.unique(np.concatenate(keys), return_inverse=True)
+            of = y[np.concatenate(text)] if len(y) else np.zeros((0, 1), np.int64)
+            hits = np.stack([np.bincount(which, of[:, k], len(key)) for k in range(of.shape[1])], 1).astype(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * hits.shape[1]), pa.array(hits.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(key // FOLDS), pa.array(key % FOLDS), pa.array(np.bincount(which, minlength=len(key))), lists], names=["feature", "fold", "total", "hits"])
+
+
+def _folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in T.pieces(batch, "text", PIECE):
+            folds = [_fold(own)[1] for _, own, _, _ in _features_of(part)]
+            yield pa.RecordBatch.from_arrays([pa.array(folds, pa.int64()), part.column(1)], names=["fold", "y"])
 
 
 def _sampled(union: np.ndarray):
@@ -86,7 +100,7 @@ def _sampled(union: np.ndarray):
                 rows = []
                 for _, own, values, dense in _features_of(part):
                     hit = np.isin(own, union, assume_unique=True)
-                    rows.append((zlib.crc32(own.tobytes()), own[hit].astype("<i4").tobytes(), values[hit].astype("<f4").tobytes(), dense))
+                    rows.append((_fold(own)[0], own[hit].astype("<i4").tobytes(), values[hit].astype("<f4").tobytes(), dense))
                 kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.float64())]
                 columns = zip(*rows, strict=True) if rows else [()] * 4
                 yield pa.RecordBatch.from_arrays([part.column(1), *(pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True))], names=["y", "mark", "own", "values", "dense"])
@@ -153,13 +167,29 @@ class Chain:
         return out
 
 
-def _select(counts: DataFrame, k: int, a: int, b: int) -> np.ndarray:
-    """Features of at least 5 texts whose presence tells most about a label that ``a`` texts have and ``b`` haven't, by
-    chi-squared; at most SELECTED leave the executors."""
-    x, n = F.col("hits")[k].cast("double"), F.col("total").cast("double")
-    gain = F.pow(x * (b - (n - x)) - (n - x) * (a - x), F.lit(2.0)) * float(a + b) / F.greatest(float(a) * float(b) * n * (a + b - n), F.lit(1.0))
-    best = counts.where("total >= 5").withColumn("gain", gain).where(F.col("gain") >= SURE).orderBy(F.col("gain").desc(), "feature").limit(SELECTED)
-    return np.array(sorted(r["feature"] for r in best.select("feature").collect()), np.int64)
+def _select(counts: DataFrame, sizes: dict[int, tuple[int, list[int]]], categories: int) -> dict[tuple[int, int], np.ndarray]:
+    """For each category and fold (-1: none) the features whose presence tells most about the label in all other folds:
+    those of 5 texts at least by chi-squared; SELECTED of each leave the executors.
+
+    ``sizes``: of each fold its texts, and those with each label.
+    """
+    sums = [F.array(*(F.sum(F.when(F.col("fold") == f, value)) for f in range(FOLDS))) for value in [F.col("total"), *(F.col("hits")[k] for k in range(categories))]]
+    wide = stash(counts.groupBy("feature").agg(*(s.alias(f"c{i}") for i, s in enumerate(sums))), "feature-counts")
+    number = lambda column, out: sum((F.coalesce(F.col(column)[f], F.lit(0)) for f in range(FOLDS) if f != out), F.lit(0)).cast("double")
+    gains = []
+    for k in range(categories):
+        for out in range(-1, FOLDS):
+            a = sum(y[k] for f, (_, y) in sizes.items() if f != out)
+            b = sum(n for f, (n, _) in sizes.items() if f != out) - a
+            n, x = number("c0", out), number(f"c{k + 1}", out)
+            gain = F.pow(x * (b - (n - x)) - (n - x) * (a - x), F.lit(2.0)) * float(a + b) / F.greatest(float(a) * float(b) * n * (a + b - n), F.lit(1.0))
+            gains.append(F.when((n >= 5) & (gain >= SURE), F.struct(F.lit(k).alias("k"), F.lit(out).alias("out"), gain.alias("gain"))))
+    sure = wide.select("feature", F.explode(F.array_compact(F.array(*gains))).alias("g")).select("feature", "g.*")
+    place = F.row_number().over(W.partitionBy("k", "out").orderBy(F.col("gain").desc(), "feature"))
+    found: dict[tuple[int, int], list[int]] = {}
+    for r in sure.withColumn("place", place).where(F.col("place") <= SELECTED).select("k", "out", "feature").collect():
+        found.setdefault((r["k"], r["out"]), []).append(r["feature"])
+    return {(k, out): np.array(sorted(found.get((k, out), [])), np.int64) for k in range(categories) for out in range(-1, FOLDS)}
 
 
 def _inputs(rows: list[np.ndarray], values: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
@@ -175,25 +205,30 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_co
     """Fits the chain on about ``train_rows`` labelled texts, chosen by a hash of their id.
 
     ``labels``: an id and a 0/1 column for each category; rows with a null in any of them are not learned from, of
-    repeated ids the greatest label counts. Without labels, or of a category with one value only, the probability is
-    that of the label (0 without any). The threshold gives the best F1 of out-of-fold predictions.
+    repeated ids the greatest label and the least text count. Without labels, or of a category with one value only, the
+    probability is that of the label (0 without any). The threshold gives the best F1 of out-of-fold predictions.
     """
     tune(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), *(F.col(c).cast("int").alias(c) for c in categories)).na.drop().groupBy("id").agg(*(F.max(c).alias(c) for c in categories))
     part = min(1.0, train_rows / max(1, known.count()))
-    sample = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(part * 1_000_000))
+    sample = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(part * 1_000_000))  # about train_rows rows
     y_of = F.array(*(F.col(c) for c in categories)).alias("y")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).where("text is not null").join(F.broadcast(sample), "id")  # at most about train_rows rows
-    texts = stash(texts.select("text", y_of), "labelled")
-    sizes = texts.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(F.col("y")[k]), F.lit(0)).alias(f"n{k}") for k in range(len(categories)))).first()
-    counts = stash(texts.mapInArrow(tidy(_counted), "feature long, total long, hits array<long>").groupBy("feature").agg(F.sum("total").alias("total"), F.array(*(F.sum(F.col("hits")[k]) for k in range(len(categories)))).alias("hits")), "feature-counts")
-    chosen_of = [_select(counts, k, sizes[f"n{k}"], sizes["n"] - sizes[f"n{k}"]) for k in range(len(categories))]
-    union = np.unique(np.concatenate(chosen_of))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).where("text is not null").join(F.broadcast(sample), "id")
+    texts = texts.groupBy("id", y_of).agg(F.min("text").alias("text"))  # a hot id is one text before it is shuffled
+    texts = stash(texts.select("text", "y"), "labelled")
+    counts = texts.mapInArrow(tidy(_counted), "feature long, fold long, total long, hits array<long>").groupBy("feature", "fold")
+    counts = counts.agg(F.sum("total").alias("total"), F.array(*(F.sum(F.col("hits")[k]) for k in range(len(categories)))).alias("hits"))
+    sizes: dict[int, tuple[int, list[int]]] = {}
+    marked = texts.mapInArrow(tidy(_folds), "fold long, y array<int>").groupBy("fold").agg(F.count("*").alias("n"), F.array(*(F.sum(F.col("y")[k]) for k in range(len(categories)))).alias("y"))
+    for r in marked.collect():
+        sizes[r["fold"]] = (r["n"], r["y"])
+    chosen_of = _select(counts, sizes, len(categories))
+    union = np.unique(np.concatenate(list(chosen_of.values())))
     rows = texts.mapInArrow(tidy(_sampled(union)), "y array<int>, mark long, own binary, values binary, dense array<double>").collect()  # bounded by the sample
     rows = sorted(rows, key=lambda r: (r["mark"], r["dense"], r["y"]))  # whatever order they come in
     own, values = [np.frombuffer(r["own"], "<i4").astype(np.int64) for r in rows], [np.frombuffer(r["values"], "<f4") for r in rows]
     dense = np.array([r["dense"] for r in rows]).reshape(-1, _DENSE)
-    fold = np.array([r["mark"] % FOLDS for r in rows], np.int64)  # equal texts share a fold
+    fold = np.array([r["mark"] % FOLDS for r in rows], np.int64)
     models, threshold = [], 0.5
     for k in range(len(categories)):
         y = np.array([r["y"][k] for r in rows], np.float64)
@@ -201,13 +236,13 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_co
             models.append(Model(np.zeros(0, np.int64), np.append(np.zeros(_DENSE + k), 8.0 if len(y) and y[0] else -8.0)))
             out = np.full(len(y), y[0] if len(y) else 0.0)
         else:
-            chosen = chosen_of[k]
-            x = np.hstack([_inputs(own, values, chosen), dense])
-            models.append(Model(chosen, fit_linear(x, y)))
+            given = lambda chosen: np.hstack([_inputs(own, values, chosen), dense])  # noqa: B023, E731
+            models.append(Model(chosen_of[k, -1], fit_linear(given(chosen_of[k, -1]), y)))
             out = np.zeros(len(y))
             for f in range(FOLDS):
                 test = fold == f
                 if test.any() and not test.all():
+                    x = given(chosen_of[k, f])
                     of_fold = fit_linear(x[~test], y[~test])
                     out[test] = _sure(x[test] @ of_fold[:-1] + of_fold[-1])
             order = np.argsort(-out, kind="stable")
@@ -231,15 +266,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(chain)  # SELECTED features for each category at most
     columns = columns or [id_col]
+    rows, column = T.carried(docs, columns, text_col)
     names = [*columns, *(f"p_{c}" for c in categories), "score", "toxic", "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.pieces(batch, "__text", PIECE):
-                p = model.value.predict(*T.buffers(part.column(len(columns))))
+            for part in T.pieces(batch, column, PIECE):
+                p = model.value.predict(*T.buffers(part.column(column)))
                 bad = p[:, -1] >= model.value.threshold
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], *(pa.array(c) for c in p.T), pa.array(p[:, -1]), pa.array(bad), pa.array(~bad)], names=names)
 
-    rows = docs.select(*columns, F.col(text_col).cast("binary").alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*columns).schema)
     return rows.mapInArrow(tidy(run), f"{kinds}, " + ", ".join(f"`{c}` double" for c in names[len(columns) : -2]) + ", toxic boolean, kept boolean")

@@ -65,3 +65,51 @@ def test_fit_linear():
     x = np.array([[0.0], [0.1], [0.9], [1.0]] * 20)
     w = fit_linear(x, (x[:, 0] > 0.5).astype(float))
     assert w[0] > 0 > w[1]
+
+
+def test_later_categories_need_earlier_ones(spark):
+    """The second label follows from the first, of which the text tells by shares of characters, and a word."""
+    rng, rows = random.Random(7), []
+    for i in range(900):
+        words = [rng.choice(["lo", "ra", "mi"]) + rng.choice(["na", "sol", "ken"]) for _ in range(30)]
+        shout, mild = rng.random() < 0.5, rng.random() < 0.5
+        if mild:
+            words[5] = "please"
+        first = words[:2]  # two words of capitals, or one
+        words[:2] = [first[0].upper(), first[1].upper() if shout else first[1]]
+        rows.append((i, " ".join(words), int(shout), int(shout and not mild)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, a, b) for i, _, a, b in rows if i < 600], "doc_id long, shout int, rude int")
+    chain = train_chain(docs, labels, ["shout", "rude"])
+    data, ends = "".join(t for _, t, _, _ in rows).encode(), np.cumsum([0, *(len(t.encode()) for _, t, _, _ in rows)])
+    test, want = slice(600, 900), np.array([b for *_, b in rows])
+    right = lambda: np.mean((chain.predict(np.frombuffer(data, np.uint8), ends)[test, 1] >= 0.5) == want[test])
+    before, second = right(), chain.models[1]
+    assert before > 0.9 and len(second.weights) == 2 * len(second.chosen) + 4 + 1 + 1
+    second.weights[2 * len(second.chosen) + 4] = 0
+    assert right() < before - 0.1
+
+
+def test_repeated_ids_and_folds(spark, frames):
+    rows, docs, labels = frames
+    hot = docs.union(spark.createDataFrame([(5, "lona " * 50, "z")] * 2000, docs.schema))
+    chain = train_chain(hot, labels, ["shout", "toxic"])
+    assert len(chain.models[1].chosen) and 0.2 <= chain.threshold <= 0.8
+
+
+def test_noise_has_no_out_of_fold_skill(spark):
+    """With random labels, features chosen without a fold's labels tell nothing about them; the threshold shows it."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(60)}x" for _ in range(40)), rng.random() < 0.5) for i in range(400)]
+    docs = spark.createDataFrame([(i, "".join(chr(97 + int(c)) if c.isdigit() else c for c in t)) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(y)) for i, _, y in rows], "doc_id long, y int")
+    import chronofact.llm.toxicity as module
+
+    saved, module.SURE = module.SURE, 4.0
+    try:
+        chain = train_chain(docs, labels, ["y", "y2"][:1])
+        got = {r.doc_id: r.p_y for r in toxicity(docs, labels, ["y"]).collect()}
+    finally:
+        module.SURE = saved
+    assert len(chain.models[0].chosen) > 5 and chain.threshold < 0.45  # with leaked features it would look separable
+    assert len(got) == 400
