@@ -20,8 +20,9 @@ from pyspark.sql import types as t
 from chronofact.llm import text as T
 from chronofact.llm.storage import tidy, tune
 
-#: Bound of the sample of labelled texts for each language: about so many, chosen by a hash of their id.
-TRAIN_ROWS = 400
+#: Bounds of the sample of labelled texts for each language: about so many texts and bytes, chosen by a hash of id and
+#: text. What they hold comes to the driver and is broadcast.
+TRAIN_ROWS, TRAIN_BYTES = 400, 4 * 2**20
 #: Characters of an n-gram; a part of the sample in which cross-entropies are calibrated, as one in so many.
 ORDER, CALIBRATION = 5, 5
 #: A text of n characters may be worse than the limit by so many bits, divided by the root of n.
@@ -80,6 +81,8 @@ class Models:
     #: is rejected: half way from the calibration texts' ninth decile to random letters (infinite without such texts).
     unseen: np.ndarray
     limit: np.ndarray
+    #: By language: distinct characters.
+    letters: np.ndarray
 
     def __post_init__(self) -> None:
         self.tables = {name: [_leading(k) for k in arrays] for name, arrays in (("keys", self.keys), ("contexts", self.contexts))}
@@ -100,34 +103,25 @@ class Models:
         return out
 
     def entropy(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits per character by language, and the number of characters (0: no letter), of each text."""
+        """Bits per character by language, and the number of characters (0: no letter), of each text. Each text starts
+        anew behind start marks; what stands beside it makes no difference."""
         points = [_points(x) if x else np.zeros(0, np.uint32) for x in texts]
         size = np.array([len(p) if (p != 32).any() else 0 for p in points], np.int64)
         bits = np.zeros((len(texts), len(self.languages)))
-        for i in np.flatnonzero(size):
+        for i in np.flatnonzero(size > CHUNK):
             for lo in range(0, size[i], CHUNK):
                 before = points[i][max(0, lo - self.order + 1) : lo]
                 own = np.concatenate([before, points[i][lo : lo + CHUNK]])
-                bits[i] += self._bits(own)[len(before) :].sum(0)
+                bits[i] += self._bits(own)[len(before) :].sum(0, dtype=np.float64)
+        short = np.flatnonzero((size > 0) & (size <= CHUNK))
+        if len(short):
+            mark = np.full(self.order - 1, _START, np.uint32)
+            each = self._bits(np.concatenate([x for i in short for x in (mark, points[i])])).astype(np.float64)
+            ends = np.cumsum(size[short] + self.order - 1)
+            edges = np.stack([ends - size[short], ends], 1).ravel()
+            bits[short] = np.add.reduceat(np.vstack([each, np.zeros((1, bits.shape[1]))]), edges, axis=0)[::2]
         return bits / np.maximum(size, 1)[:, None], size
 
-    def batch_entropy(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """As ``entropy``, for many short texts at once: each starts anew behind start marks."""
-        points = [_points(x) if x else np.zeros(0, np.uint32) for x in texts]
-        size = np.array([len(p) if (p != 32).any() else 0 for p in points], np.int64)
-        mark = np.full(self.order - 1, _START, np.uint32)
-        if not size.any():
-            return np.zeros((len(texts), len(self.languages))), size
-        joined = np.concatenate([x for p, n in zip(points, size, strict=True) if n for x in (mark, p)])
-        bits = self._bits(joined)
-        some = np.flatnonzero(size)
-        ends = np.cumsum(size[some] + self.order - 1)
-        edges = np.stack([ends - size[some], ends], 1).ravel()
-        sums = np.add.reduceat(np.vstack([bits, np.zeros((1, bits.shape[1]), bits.dtype)]), edges, axis=0)[::2]
-        out = np.zeros((len(texts), len(self.languages)))
-        out[some] = sums / size[some][:, None]
-        return out, size
-
     def _bits(self, points: np.ndarray) -> np.ndarray:
         grams = gram_hashes(points, self.order)
         out = np.zeros((len(points), len(self.languages)), np.float32)
@@ -201,75 +195,92 @@ def _fill(own: list, level: int, suffixes: list[np.ndarray], contexts: list[np.n
     return p
 
 
-def train(labelled: DataFrame, order: int = ORDER, train_rows: int = TRAIN_ROWS, hash_col: str = "__hash") -> Models | None:
-    """Fits the models on ``(lang, text, __hash)``; rows with a null language or text are not learned from. None
-    without any usable row. About ``train_rows`` texts of each language are used, those of the least hash, of which
-    one in ``CALIBRATION`` sets the limit of cross-entropies instead of being counted."""
-    tune(labelled.sparkSession)
-    labelled = labelled.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
-    number = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not number:
-        return None
-    languages = sorted(number)
-    spread = 1_000_000
-    limits = F.create_map(*(x for lang in languages for x in (F.lit(lang), F.lit(int(spread * min(1.0, train_rows / number[lang]))))))
-    rank = F.pmod(F.xxhash64(hash_col), F.lit(spread))
-    sample = labelled.where(rank < limits[F.col("lang")]).withColumn("fold", F.pmod(F.xxhash64(F.lit(1), hash_col), F.lit(CALIBRATION)))
-    names = [f"h{k + 1}" for k in range(order)]
-    learned = sample.where("fold > 0 or " + " or ".join(f"lang = {_quoted(x)}" for x in languages if number[x] < 4 * CALIBRATION)) if any(number[x] < 4 * CALIBRATION for x in languages) else sample.where("fold > 0")
-    with_contexts = learned.select("lang", "text").mapInArrow(tidy(_grams(order)), f"lang string, {', '.join(f'{c} long' for c in [*names, *(f'c{k}' for k in range(order))])}, n long")
-    keys = ["lang", *names, *(f"c{k}" for k in range(order))]
-    table = with_contexts.groupBy(*keys).agg(F.sum("n").alias("n")).toArrow()
-    by_language = table.column("lang").combine_chunks().to_numpy(zero_copy_only=False)
-    columns = {c: table.column(c).to_numpy() if c == "n" else table.column(c).to_numpy().view(np.uint64) for c in [*keys[1:], "n"]}
-    grams = {lang: {c: v[by_language == lang] for c, v in columns.items()} for lang in languages}
-    languages = [x for x in languages if len(grams[x]["n"])]
+def _build(columns: dict[str, np.ndarray], of: np.ndarray, languages: list[str], order: int) -> Models:
+    """Models of those languages that have any n-gram; rows of one n-gram count together."""
+    grams = {}
+    for lang in languages:
+        mine = np.flatnonzero(of == lang)
+        if len(mine):
+            _, first, which = np.unique(columns[f"h{order}"][mine], return_index=True, return_inverse=True)
+            grams[lang] = {c: v[mine[first]] for c, v in columns.items()} | {"n": np.bincount(which, columns["n"][mine])}
+    languages = list(grams)
     own = {lang: _model(grams[lang], order) for lang in languages}
+    every = {c: np.concatenate([g[c] for g in grams.values()]) if grams else v[:0] for c, v in columns.items()}
     all_keys, logs, all_contexts, rests = [], [], [], []
     for k in range(order):
-        seen = np.unique(columns[f"c{k}"])
+        seen = np.unique(every[f"c{k}"])
         rest = np.zeros((len(seen), len(languages)), np.float32)
         for i, x in enumerate(languages):
             rest[np.searchsorted(seen, own[x][k][2]), i] = np.log2(own[x][k][3])
         all_contexts.append(seen)
         rests.append(rest)
-        hashes, first = np.unique(columns[f"h{k + 1}"], return_index=True)
-        suffixes, contexts = [columns[f"h{j + 1}"][first] for j in range(k + 1)], [columns[f"c{j}"][first] for j in range(k + 1)]
+        hashes, first = np.unique(every[f"h{k + 1}"], return_index=True)
+        suffixes, contexts = [every[f"h{j + 1}"][first] for j in range(k + 1)], [every[f"c{j}"][first] for j in range(k + 1)]
         all_keys.append(hashes)
-        logs.append(np.log2(np.stack([_fill(own[x], k, suffixes, contexts) for x in languages], 1)).astype(np.float32))
+        logs.append(np.log2(np.stack([_fill(own[x], k, suffixes, contexts) for x in languages], 1)).astype(np.float32) if languages else np.zeros((0, 0), np.float32))
     unseen = np.array([np.log2(own[x][0][3][0] / (len(own[x][0][0]) + 1)) for x in languages], np.float32)
-    models = Models(languages, order, all_keys, logs, all_contexts, rests, unseen, np.full(len(languages), np.inf))
-    shared = labelled.sparkSession.sparkContext.broadcast(models)  # its size is bounded by the sample
+    return Models(languages, order, all_keys, logs, all_contexts, rests, unseen, np.full(len(languages), np.inf), np.array([len(own[x][0][0]) for x in languages]))
+
+
+def train(labelled: DataFrame, order: int = ORDER, train_rows: int = TRAIN_ROWS, hash_col: str = "__hash", train_bytes: int = TRAIN_BYTES) -> Models | None:
+    """Fits the models on ``(lang, text, __hash)``; rows with a null language or text are not learned from. None
+    without any usable row.
+
+    Of each language about ``train_rows`` texts and ``train_bytes`` bytes are used, those of the least hash. One text in
+    ``CALIBRATION`` sets the limit of cross-entropies instead of being counted; of a language with few texts all are
+    counted, and each part of them is measured by a model of the other parts. A language with one text has no limit.
+    """
+    tune(labelled.sparkSession)
+    labelled = labelled.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
+    stats = {r["lang"]: r for r in labelled.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()}
+    if not stats:
+        return None
+    languages, spread = sorted(stats), 1_000_000
+    rate = {x: min(1.0, train_rows / stats[x]["n"], train_bytes / stats[x]["bytes"]) for x in languages}
+    few = [x for x in languages if stats[x]["n"] * rate[x] < 4 * CALIBRATION]
+    limits = F.create_map(*(x for lang in languages for x in (F.lit(lang), F.lit(int(np.ceil(spread * rate[lang]))))))
+    sample = labelled.where(F.pmod(F.xxhash64(hash_col), F.lit(spread)) < limits[F.col("lang")]).withColumn("fold", F.pmod(F.xxhash64(F.lit(1), hash_col), F.lit(CALIBRATION)))
+    names = [f"h{k + 1}" for k in range(order)]
+    learned = sample.withColumn("part", F.when(F.col("lang").isin(few), F.col("fold")).when(F.col("fold") > 0, -1)).where("part is not null")
+    keys = ["lang", "part", *names, *(f"c{k}" for k in range(order))]
+    grams = learned.select("lang", "part", "text").mapInArrow(tidy(_grams(order)), f"lang string, {', '.join(f'{c} long' for c in keys[1:])}, n long")
+    table = grams.groupBy(*keys).agg(F.sum("n").alias("n")).toArrow()
+    of = table.column("lang").combine_chunks().to_numpy(zero_copy_only=False)
+    part = table.column("part").to_numpy()
+    columns = {c: table.column(c).to_numpy() if c == "n" else table.column(c).to_numpy().view(np.uint64) for c in [*keys[2:], "n"]}
+    models = _build(columns, of, languages, order)
+    others = [_build({c: v[part != f] for c, v in columns.items()}, of[part != f], few, order) if few else None for f in range(CALIBRATION)]
+    shared = labelled.sparkSession.sparkContext.broadcast((models, others))  # its size is bounded by the sample
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        main, apart = shared.value
         for batch in batches:
-            bits, _ = shared.value.entropy(batch.column(1).to_pylist())
-            at = {x: i for i, x in enumerate(shared.value.languages)}
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([float(b[at[x]]) for x, b in zip(batch.column(0).to_pylist(), bits, strict=True)], pa.float64())], names=["lang", "bits"])
-
-    seen = sample.where("fold = 0").where(F.col("lang").isin(languages)).select("lang", "text").mapInArrow(tidy(measured), "lang string, bits double")
-    for r in seen.groupBy("lang").agg(F.percentile_approx("bits", 0.9).alias("bits")).collect():
-        i = languages.index(r["lang"])
-        models.limit[i] = (r["bits"] + np.log2(len(own[r["lang"]][0][0]))) / 2
+            bits = []
+            for lang, fold, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                by = apart[fold] if lang in few else main
+                bits.append(float(by.entropy([text])[0][0, by.languages.index(lang)]) if lang in by.languages else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.float64())], names=["lang", "bits"])
+
+    seen = sample.where(F.col("lang").isin(few) | (F.col("fold") == 0)).select("lang", "fold", "text").mapInArrow(tidy(measured), "lang string, bits double")
+    for r in seen.where("bits is not null").groupBy("lang").agg(F.percentile_approx("bits", 0.9).alias("bits")).collect():
+        if r["lang"] in models.languages:
+            i = models.languages.index(r["lang"])
+            models.limit[i] = (r["bits"] + np.log2(models.letters[i])) / 2
     return models
 
 
-def _quoted(x: str) -> str:
-    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _grams(order: int):
     """Longest n-grams of each text with the hashes of their suffixes and contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for lang, part, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 grams = gram_hashes(_points(text), order)
                 # the context of length k ends one character earlier; of the first character it is all start marks
                 before = [np.concatenate([[_marks(k)], g[:-1]]) for k, g in enumerate(grams[:-1], 1)]
                 _, first, n = np.unique(grams[-1], return_index=True, return_counts=True)
                 contexts = [np.zeros(len(first), np.uint64), *(c[first] for c in before)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *(pa.array(g[first].view(np.int64)) for g in grams), *(pa.array(c.view(np.int64)) for c in contexts), pa.array(n)], names=["lang", *(f"h{k + 1}" for k in range(order)), *(f"c{k}" for k in range(order)), "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), part)), *(pa.array(g[first].view(np.int64)) for g in grams), *(pa.array(c.view(np.int64)) for c in contexts), pa.array(n)], names=["lang", "part", *(f"h{k + 1}" for k in range(order)), *(f"c{k}" for k in range(order)), "n"])
 
     return run
 
@@ -294,20 +305,20 @@ def identify(docs: DataFrame, labelled: DataFrame, text_col: str = "text", colum
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.pieces(batch, "__text", 1 << 19):
-                yield _judged(part, shared.value, len(columns), names)
+            for part in T.pieces(batch, column, 1 << 19):
+                yield _judged(part, shared.value, len(columns), column, names)
 
-    rows = docs.select(*columns, F.col(text_col).cast("string").alias("__text"))
+    rows, column = T.carried(docs, columns, text_col)
     schema = t.StructType([*rows.select(*columns).schema.fields, t.StructField("lang_pred", t.StringType()), t.StructField("score", t.DoubleType()), t.StructField("bits", t.DoubleType()), t.StructField("rejected", t.BooleanType())])
     return rows.mapInArrow(tidy(run), schema)
 
 
-def _judged(part: pa.RecordBatch, models: Models | None, carried: int, names: list[str]) -> pa.RecordBatch:
-    texts = part.column(carried).to_pylist()
+def _judged(part: pa.RecordBatch, models: Models | None, carried: int, column: int, names: list[str]) -> pa.RecordBatch:
+    texts = [x.decode(errors="replace") if isinstance(x, bytes) else x for x in part.column(column).to_pylist()]
     if models is None:
         out = [["und"] * len(texts), [0.0] * len(texts), [None] * len(texts), [True] * len(texts)]
     else:
-        bits, size = models.batch_entropy(texts) if max((len(x or "") for x in texts), default=0) <= CHUNK else models.entropy(texts)
+        bits, size = models.entropy(texts)
         best = bits.argmin(1)
         least = bits[np.arange(len(texts)), best]
         score = 1 / np.exp2(np.minimum(size, 40)[:, None] * (least[:, None] - bits)).sum(1)
@@ -321,4 +332,4 @@ def _judged(part: pa.RecordBatch, models: Models | None, carried: int, names: li
 def learnable(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[Column, DataFrame]:
     """Whether a row is held out (crc32 of its id as text, modulo 4, is 2), and the rows to learn from."""
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    return held, docs.where(~held).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("string").alias("__hash"))
+    return held, docs.where(~held).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")).alias("__hash"))

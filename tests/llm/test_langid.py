@@ -1,6 +1,8 @@
 """Language identification: held-out accuracy, awkward rows, and that probabilities sum to one."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -58,11 +60,84 @@ def test_probabilities_sum_to_one(docs):
             assert 0.9 < total < 1 + 1e-3, (lang, before, total)
 
 
-def test_batches_and_single_texts_agree(docs, monkeypatch):
+def test_neighbours_make_no_difference(docs, monkeypatch):
     models = train(learnable(docs)[1])
     rng = random.Random(5)
-    some = [text(rng, "xa", 40), None, "1", text(rng, "zc", 7), ""]
-    a, n = models.batch_entropy(some)
+    some = [text(rng, "xa", 40), None, "1", text(rng, "zc", 7), "", text(rng, "yb", 300)]
+    a, n = models.entropy(some)
+    for i, x in enumerate(some):
+        alone, m = models.entropy([x])
+        assert (alone[0] == a[i]).all() and m[0] == n[i]
     monkeypatch.setattr(langid, "CHUNK", 16)
     b, m = models.entropy(some)
     assert np.allclose(a, b, atol=1e-5) and (n == m).all()
+
+
+class Plain:
+    """Interpolated Kneser-Ney of one language by its definition, on strings."""
+
+    def __init__(self, texts, order):
+        self.order, counts = order, Counter()
+        for x in texts:
+            padded = "\x00" * (order - 1) + normal(x)
+            counts.update(padded[i : i + order] for i in range(len(padded) - order + 1))
+        self.counts = {order: counts}
+        for k in range(order - 1, 0, -1):
+            self.counts[k] = Counter(g[1:] for g in self.counts[k + 1])
+        self.discount, self.total, self.kinds = {}, Counter(), Counter()
+        for k, own in self.counts.items():
+            one, two = (sum(n == c for n in own.values()) for c in (1, 2))
+            self.discount[k] = one / (one + 2 * two) if one and two else 0.5
+            for g, n in own.items():
+                self.total[g[:-1]] += n
+                self.kinds[g[:-1]] += 1
+
+    def p(self, gram):
+        context, k = gram[:-1], len(gram)
+        lower = self.p(gram[1:]) if k > 1 else 1 / (len(self.counts[1]) + 1)
+        if not self.total[context]:
+            return lower
+        d = self.discount[k]
+        return max(self.counts[k][gram] - d, 0) / self.total[context] + d * self.kinds[context] / self.total[context] * lower
+
+    def bits(self, x):
+        padded = "\x00" * (self.order - 1) + normal(x)
+        return -sum(math.log2(self.p(padded[i : i + self.order])) for i in range(len(padded) - self.order + 1)) / len(normal(x))
+
+
+def normal(x):
+    out = "".join(c if c.isalpha() else " " for c in x.lower())
+    return "".join(c for i, c in enumerate(out) if c != " " or (i and out[i - 1] != " "))
+
+
+@pytest.mark.parametrize("order", [1, 3, 5])
+def test_against_dictionaries(docs, monkeypatch, order):
+    labelled = learnable(docs)[1]
+    fold = F.pmod(F.xxhash64(F.lit(1), "__hash"), F.lit(langid.CALIBRATION))
+    rows = labelled.where("lang is not null").withColumn("fold", fold).collect()
+    models = train(labelled, order)
+    rng = random.Random(1)
+    held = [text(rng, x, n) for x in SYLLABLES for n in (1, 5, 40)] + ["\u044b lora 7\u044b", "ra"]
+    got = models.entropy(held)[0]
+    assert models.languages == sorted(SYLLABLES)
+    for i, lang in enumerate(models.languages):
+        plain = Plain([r.text for r in rows if r.lang == lang and r.fold], order)
+        assert np.allclose(got[:, i], [plain.bits(x) for x in held], rtol=1e-5)
+
+
+def test_few_texts_are_measured_by_models_of_the_others(spark, docs):
+    rng = random.Random(11)
+    some = [(7000 + i, text(rng, "xa", 30).replace("a", "q"), "rare") for i in range(12)] + [(8000, "kjkjkj", "once")]
+    labelled = learnable(docs.select("doc_id", "text", "lang").union(spark.createDataFrame(some, "doc_id long, text string, lang string")))[1]
+    models = train(labelled)
+    limit = dict(zip(models.languages, models.limit, strict=True))
+    assert np.isfinite(limit["rare"]) and limit.get("once", np.inf) == np.inf
+    fresh = spark.createDataFrame([(i, text(rng, "xa", 20).replace("a", "q")) for i in range(40)], "doc_id long, text string")
+    got = identify(fresh, labelled).collect()
+    assert all(r.lang_pred == "rare" for r in got) and sum(r.rejected for r in got) <= 2
+
+
+def test_rows_of_one_id_are_drawn_apart(spark, docs):
+    one = docs.selectExpr("1 as doc_id", "text", "lang")
+    got = identify(one, learnable(one)[1]).collect()
+    assert sum(r.lang_pred == "und" for r in got) == 0
