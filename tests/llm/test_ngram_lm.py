@@ -57,17 +57,25 @@ def plain(rows):
     return out
 
 
-@pytest.mark.parametrize("gathered", [1_500_000, 50])
-def test_against_definition(spark, monkeypatch, gathered):
-    monkeypatch.setattr(lm, "GATHERED", gathered)
+@pytest.mark.parametrize("bounds", [{}, {"gathered": 50, "very_common": 40, "bucket_bytes": (3000, 1000)}])
+def test_against_definition(spark, bounds):
     rows = corpus()
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, score int").repartition(3).withColumn("held_out", lm.held_out())
-    got = lm.score(df, lm.train(df.where("not held_out")), columns=["doc_id", "held_out"]).collect()
+    got = lm.score(df, lm.train(df.where("not held_out"), **bounds), columns=["doc_id", "held_out"]).collect()
     key = lambda r: (r[0] is None, r[0] or 0)
     for a, b in zip(sorted((tuple(r)[:7] for r in got), key=key), sorted(plain(rows), key=key), strict=True):
         assert a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-9), (a, b)
 
 
+def test_very_common_words_are_dealt_to_several_buckets(spark):
+    df = spark.createDataFrame(corpus(), "doc_id long, text string").repartition(3)
+    model = lm.train(df, very_common=40)
+    assert len(model.common.words) > 3 and max(model.common.spread) > 1 and model.words.size in model.common.words
+    assert sum(not sum(x) for x in model.common.stats) <= 1  # nothing follows the end
+    pairs = (np.uint64(model.common.words[0]) << np.uint64(32)) | np.arange(500, dtype=np.uint64)
+    assert len(set(model.common.bucket_of_pair(pairs, model.words.size, model.pair_buckets))) == model.common.spread[0]
+
+
 def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = lm.score(df, lm.train(df.where(F.lit(False)))).collect()
