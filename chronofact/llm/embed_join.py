@@ -1,14 +1,18 @@
 """Near-duplicate vectors by an epsilon grid order join.
 
 Vectors are projected on their leading principal axes and sorted by grid cells as wide as the greatest distance of two
-linked unit vectors. The sorted sequence is cut into intervals, each with its bounding box; pairs of intervals are
-refined level by level, and a pair of which the boxes are too far apart is dropped with all below it. What is left is
-compared exactly. Equal vectors are one node, and no list of pairs is built: intervals give counts and spanning links.
+linked unit vectors. The sorted sequence is cut into intervals, each a file in the shared folder with its bounding box;
+pairs of intervals are refined level by level, and a pair of which the boxes are too far apart is dropped with all below
+it. What is left is compared exactly: only numbers of intervals are shuffled, and workers read the files. Equal vectors
+are one node, and no list of pairs is built: intervals give counts and spanning links.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +22,13 @@ from pyspark.sql import functions as F
 
 from chronofact.llm import text as T
 from chronofact.llm.components import connected_components
-from chronofact.llm.storage import stash, tidy, tune
+from chronofact.llm.storage import new_folder, read_file, stash, tidy, tune, write_file
 
 #: Axes of the grid order and of bounding boxes; vectors of an interval that moves as a whole, and of one inside it;
 #: intervals under one node of the next level.
 CELLS, AXES, INTERVAL, INNER, FAN = 6, 16, 2048, 128, 16
+#: Intervals that a worker keeps.
+KEPT = 6
 
 
 def _read(column: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -98,41 +104,53 @@ def _labels(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows, columns = now, new
 
 
-def _compare(dims: int, kind: str, cosine: float, limit: float):
+@dataclass(frozen=True)
+class _Interval:
+    """Vectors with their lengths, ids, copies and places on the axes."""
+
+    x: np.ndarray
+    length: np.ndarray
+    ids: np.ndarray
+    copies: np.ndarray
+    boxes: list[tuple[np.ndarray, np.ndarray]]
+
+    @classmethod
+    def load(cls, path: str) -> _Interval:
+        with np.load(io.BytesIO(read_file(path))) as f:
+            x, places = f["x"].astype(np.float64), f["places"].astype(np.float64)
+            boxes = [(places[k : k + INNER].min(0), places[k : k + INNER].max(0)) for k in range(0, len(x), INNER)]
+            return cls(x, np.sqrt((x * x).sum(1)), f["ids"], f["copies"], boxes)
+
+
+def _compare(cosine: float, limit: float):
+    """Compares pairs of intervals, given by their files and sorted, so that a file is read once for a run of pairs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load = lru_cache(KEPT)(_Interval.load)
         for batch in batches:
-            for i in range(batch.num_rows):
-                yield _pair({n: batch.column(n)[i] for n in batch.schema.names}, dims, kind, cosine, limit)
+            for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield _pair(load(a), load(b), a == b, cosine, limit)
 
     return run
 
 
-def _side(row: dict, side: str, dims: int, kind: str) -> tuple:
-    get = lambda name, dtype: np.frombuffer(row[f"{side}_{name}"].as_py(), dtype)
-    x = get("vectors", kind).astype(np.float64).reshape(-1, dims)
-    return x, np.sqrt((x * x).sum(1)), get("ids", np.int64), get("copies", np.int64), get("places", np.float32).reshape(len(x), -1).astype(np.float64)
-
-
-def _pair(row: dict, dims: int, kind: str, cosine: float, limit: float) -> pa.RecordBatch:
-    same = row["a"].as_py() == row["b"].as_py()
-    a, b = _side(row, "a", dims, kind), _side(row, "b", dims, kind)
-    links_a, links_b, edges = np.zeros(len(a[0]), np.int64), np.zeros(len(b[0]), np.int64), []
-    boxes = [[(x[4][k : k + INNER].min(0), x[4][k : k + INNER].max(0)) for k in range(0, len(x[0]), INNER)] for x in (a, b)]
-    for p, (lo, hi) in enumerate(boxes[0]):
-        for q, (low, high) in enumerate(boxes[1]):
+def _pair(a: _Interval, b: _Interval, same: bool, cosine: float, limit: float) -> pa.RecordBatch:
+    links_a, links_b, edges = np.zeros(len(a.x), np.int64), np.zeros(len(b.x), np.int64), []
+    for p, (lo, hi) in enumerate(a.boxes):
+        for q, (low, high) in enumerate(b.boxes):
             if same and q < p or (np.maximum(np.maximum(lo - high, low - hi), 0) ** 2).sum() > limit:
                 continue
             i, j = slice(p * INNER, (p + 1) * INNER), slice(q * INNER, (q + 1) * INNER)
-            hit = (a[0][i] @ b[0][j].T) / (a[1][i][:, None] * b[1][j]) >= cosine
+            hit = (a.x[i] @ b.x[j].T) / (a.length[i][:, None] * b.length[j]) >= cosine
             if same and p == q:
                 np.fill_diagonal(hit, False)
             if not hit.any():
                 continue
-            links_a[i] += hit @ b[3][j]
+            links_a[i] += hit @ b.copies[j]
             if not (same and p == q):
-                links_b[j] += a[3][i] @ hit
+                links_b[j] += a.copies[i] @ hit
             rows, columns = _labels(hit)
-            both = np.concatenate([a[2][i], b[2][j]])
+            both = np.concatenate([a.ids[i], b.ids[j]])
             label = np.concatenate([rows, columns])
             moved = label != np.arange(len(label))
             edges.append(np.stack([both[moved], both[label[moved]]], 1))
@@ -140,21 +158,22 @@ def _pair(row: dict, dims: int, kind: str, cosine: float, limit: float) -> pa.Re
         links_a, links_b = links_a + links_b, links_b * 0
     edges = np.unique(np.concatenate(edges), axis=0) if edges else np.zeros((0, 2), np.int64)
     edges = edges[edges[:, 0] != edges[:, 1]]
-    x = np.concatenate([a[2][links_a > 0], b[2][links_b > 0], edges[:, 0]])
+    x = np.concatenate([a.ids[links_a > 0], b.ids[links_b > 0], edges[:, 0]])
     y = np.concatenate([links_a[links_a > 0], links_b[links_b > 0], edges[:, 1]])
     return pa.RecordBatch.from_arrays([pa.array(np.arange(len(x)) >= len(x) - len(edges)), pa.array(x), pa.array(y)], names=["link", "x", "y"])
 
 
-def _intervals(axes: np.ndarray, dims: int, kind: str, width: int):
-    """Cuts a sorted partition into intervals of ``INTERVAL`` vectors, with their bounding boxes."""
+def _intervals(axes: np.ndarray, dims: int, kind: str, width: int, folder: str):
+    """Cuts a sorted partition into intervals of ``width`` vectors, each a file, with their bounding boxes."""
 
     def cut(rows: pa.Table, part: int, number: int) -> pa.RecordBatch:
         x = _matrix(rows.column("vector").combine_chunks(), dims, kind)
         places = (_unit(x) @ axes).astype(np.float32)
         lo, hi = places.min(0).astype(np.float64), places.max(0).astype(np.float64)
-        values = [np.array([v]) for v in (part, number)] + [[lo], [hi], [rows.column("id").to_numpy().tobytes()], [rows.column("copies").to_numpy().tobytes()], [x.astype(kind).tobytes()], [places.tobytes()]]
-        types = [pa.int64()] * 2 + [pa.list_(pa.float64())] * 2 + [pa.binary()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(list(v), ty) for v, ty in zip(values, types, strict=True)], names=["part", "number", "lo", "hi", "ids", "copies", "vectors", "places"])
+        data = io.BytesIO()
+        np.savez(data, x=x.astype(kind), places=places, ids=rows.column("id").to_numpy(), copies=rows.column("copies").to_numpy())
+        values, types = [part, number, lo, hi, write_file(folder, data.getvalue())], [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array([v], ty) for v, ty in zip(values, types, strict=True)], names=["part", "number", "lo", "hi", "path"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, number, part = [], 0, TaskContext.get().partitionId()
@@ -171,7 +190,7 @@ def _intervals(axes: np.ndarray, dims: int, kind: str, width: int):
     return run
 
 
-def near_vectors(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_vectors(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", interval: int = INTERVAL) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row.
 
     Vectors are linked if their cosine in double precision is ``cosine`` (over 0, under 1) or more; ``n_links`` counts
@@ -206,8 +225,8 @@ def near_vectors(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", ve
 
     order = nodes.select("id", "copies", "vector").mapInArrow(tidy(placed), "id long, copies long, vector binary, cell array<int>, first double")
     order = order.repartitionByRange("cell", "first", "id").sortWithinPartitions("cell", "first", "id")
-    schema = "part long, number long, lo array<double>, hi array<double>, ids binary, copies binary, vectors binary, places binary"
-    intervals = stash(order.mapInArrow(tidy(_intervals(axes, dims, kind, INTERVAL)), schema), "intervals")
+    schema = "part long, number long, lo array<double>, hi array<double>, path string"
+    intervals = stash(order.mapInArrow(tidy(_intervals(axes, dims, kind, interval, new_folder(spark, "interval-files"))), schema), "intervals")
     before, total = [], 0
     for r in sorted(intervals.groupBy("part").agg(F.max("number").alias("last")).collect()):
         before.append((r["part"], total))
@@ -227,8 +246,9 @@ def near_vectors(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", ve
             pairs = pairs.join(level.select(F.col("node").alias(side), F.col("lo").alias(f"{side}_lo"), F.col("hi").alias(f"{side}_hi")), side)
         pairs = stash(pairs.where(~_far("a", "b", limit)).select("a", "b"), "interval-pairs")
     for side in "ab":
-        pairs = pairs.join(numbered.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("ids", "copies", "vectors", "places"))), side)
-    found = stash(pairs.mapInArrow(tidy(_compare(dims, kind, cosine, limit)), "link boolean, x long, y long"), "vector-links")
+        pairs = pairs.join(numbered.select(F.col("node").alias(side), F.col("path").alias(f"{side}_path")), side)
+    pairs = pairs.repartitionByRange("a", "b").sortWithinPartitions("a", "b").select("a_path", "b_path")
+    found = stash(pairs.mapInArrow(tidy(_compare(cosine, limit)), "link boolean, x long, y long"), "vector-links")
     counts = found.where("not link").groupBy(F.col("x").alias("id")).agg(F.sum("y").alias("others"))
     roots = connected_components(found.where("link"), "x", "y").withColumnRenamed("node", "id")
     result = nodes.select("id", "k1", "k2", "copies").join(counts, "id", "left").join(roots, "id", "left").where("copies > 1 or others is not null").select("k1", "k2", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("root", "id").alias("root"))

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of one Arrow batch; bounds what a Python worker holds when texts are long.
@@ -72,6 +73,29 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder in the shared one that workers write files into and read them from, by the URI's own file system."""
+    path = new_path(spark, name)
+    files, inner = pyarrow.fs.FileSystem.from_uri(path)
+    files.create_dir(inner, recursive=True)
+    return path
+
+
+def write_file(folder: str, data: bytes) -> str:
+    """Writes a file under a name of its own, so that attempts of a task never meet; the URI is what the task returns."""
+    path = f"{folder}/{uuid.uuid4().hex}"
+    files, inner = pyarrow.fs.FileSystem.from_uri(path)
+    with files.open_output_stream(inner) as out:
+        out.write(data)
+    return path
+
+
+def read_file(path: str) -> bytes:
+    files, inner = pyarrow.fs.FileSystem.from_uri(path)
+    with files.open_input_stream(inner) as data:
+        return data.read()
+
+
 def mounted(path: str) -> str:
     """The path as the operating system knows it, for files that workers memory-map."""
     parts = urlparse(path)

@@ -37,15 +37,13 @@ def vectors(seed, n, dims):
     return [(int(i), [float(np.float32(c)) for c in v]) for i, v in zip(rng.permutation(n) + 5, x, strict=True)]
 
 
-@pytest.mark.parametrize("interval,inner,kind", [(2048, 128, "float"), (40, 16, "double"), (7, 3, "float")])
-def test_against_brute_force(spark, monkeypatch, interval, inner, kind):
-    monkeypatch.setattr(embed_join, "INTERVAL", interval)
-    if inner != 128:
-        monkeypatch.setattr(embed_join, "FAN", 3)
+@pytest.mark.parametrize("interval,fan,kind", [(2048, 16, "float"), (160, 2, "float"), (40, 3, "double"), (7, 3, "float")])
+def test_against_brute_force(spark, monkeypatch, interval, fan, kind):
+    monkeypatch.setattr(embed_join, "FAN", fan)
     odd = [(1, None), (2, []), (3, [0.0] * 10), (4, [1.0, None] * 5), (None, [1.0] * 10), (0, [float("nan")] * 10), (1000, [float("inf")] * 10), (1001, [1.0]), (1002, [2.0]), (1003, [1e-30] * 10), (1004, [1e30] * 10)]
     rows = vectors(3, 300, 10) + odd
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], f"vec_id long, embedding array<{kind}>, n int").repartition(3)
-    assert sorted((tuple(r) for r in near_vectors(df).collect()), key=str) == brute(rows)
+    assert sorted((tuple(r) for r in near_vectors(df, interval=interval).collect()), key=str) == brute(rows)
 
 
 def test_nothing_to_link(spark):
