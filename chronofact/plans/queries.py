@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronofact.functions import intervals, texts
+from chronofact.functions.analysis import stem
 from chronofact.functions.extraction import scan_documents
 from chronofact.functions.vocabulary import Vocabulary, canonicalize
 from chronofact.model import KEY, fact_id
@@ -364,23 +365,42 @@ def entity_union(spark, d):
 
 
 # --- retrieval ----------------------------------------------------------------------------------------------------------
-_BM25 = """tok AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
-st AS (SELECT count(*) AS nt, avg(len(w)) AS ml FROM tok), post AS (SELECT id, len(w) AS l, unnest(w) AS term FROM tok), tf AS (SELECT id, l, term, count(*) AS tf FROM post GROUP BY ALL),
-q(query_id, term, wanted) AS (VALUES (1, 'the', 3), (1, 'of', 3), (1, 'thing', 3), (2, 'ciento', 1), (3, 'der', 2), (3, 'die', 2)),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-sc AS (SELECT query_id, id, sum(greatest(ln((nt - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / ml))) AS score FROM tf JOIN q USING (term) JOIN df USING (term), st GROUP BY query_id, id, wanted HAVING count(*) = wanted)"""
-_QUERIES = [(1, "The thing, of the"), (2, "ciento"), (3, "der die")]
+#: Queries by their stems; words of those stems are told to SQL, as DuckDB has no stemmer here.
+_STEMS = {1: ("the", "of", "thing"), 2: ("ciento",), 3: ("der", "die")}
+_ENDINGS = ("", "s", "es", "e", "ed", "ing", "ings", "edly", "ness", "nesses", "ful", "fulness", "ation", "er", "ers", "ly", "'s")
+_Q_ROWS = ", ".join(f"({q}, '{x}', '{x}{e}', {len(stems)})" for q, stems in _STEMS.items() for x in stems for e in _ENDINGS if stem(x + e) == x)
+_BM25 = f"""tok AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+st AS (SELECT count(*) AS nt, avg(len(w)) AS ml FROM tok), post AS (SELECT id, len(w) AS l, unnest(w) AS word FROM tok),
+q(query_id, term, word, wanted) AS (VALUES {_Q_ROWS}), forms AS (SELECT DISTINCT term, word FROM q),
+tf AS (SELECT id, l, term, count(*) AS tf FROM post JOIN forms USING (word) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+sc AS (SELECT query_id, id, sum(greatest(ln((nt - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / ml))) AS score FROM tf JOIN (SELECT DISTINCT query_id, term, wanted FROM q) USING (term) JOIN df USING (term), st GROUP BY query_id, id, wanted HAVING count(*) = wanted)"""
+_QUERIES = [(1, "The things, of the"), (2, "Cientos"), (3, "DER dïe")]
 
 
 def _index(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return search.postings(docs, "doc_id", "text"), search.statistics(docs, "text"), spark.createDataFrame(_QUERIES, "query_id long, query string")
+    index = search.postings(docs, "doc_id", "text")
+    return index, search.statistics_of(index, docs), spark.createDataFrame(_QUERIES, "query_id long, query string")
 
 
 @query(f"WITH {_BM25} SELECT query_id::BIGINT AS query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM sc QUALIFY rank <= 20")
 def bm25_topk(spark, d):
-    hits = search.bm25(*_index(spark, d), top_k=None).withColumn("score", F.round("score", 9))
-    return search.ranked(hits.select("query_id", "id", "score"), 20).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    hits = search.bm25(*_index(spark, d), top_k=20, digits=9)
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+_ANY = """tok AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents), st AS (SELECT count(*) AS nt, avg(len(w)) AS ml FROM tok),
+tf AS (SELECT id, l, term, count(*) AS tf FROM (SELECT id, len(w) AS l, unnest(w) AS term FROM tok) GROUP BY ALL), df AS (SELECT term, ln((nt - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, st GROUP BY term, nt),
+q(query_id, term) AS (VALUES (0, 'the'), (0, 'festival'), (1, 'vaccine'), (1, 'und'), (1, 'ciento')),
+sc AS (SELECT query_id, id, sum(CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM df) ELSE idf END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / ml))) AS score FROM tf JOIN q USING (term) JOIN df USING (term), st GROUP BY query_id, id)"""
+
+
+@query(f"WITH {_ANY} SELECT query_id::BIGINT AS query_id, id, round(score, 6) AS score FROM sc WHERE score > 0")
+def any_term_search(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    asked = spark.createDataFrame([(0, "The festival!"), (1, "vaccine und ciento")], "query_id long, query string")
+    hits = search.any_term(search.postings(docs, "doc_id", "text", search.plain_terms), search.statistics(docs, "text", search.plain_terms), asked, None)
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 _DENSE = "SELECT q.vec_id AS query_id, v.vec_id AS id, list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0"
@@ -389,8 +409,8 @@ _DENSE = "SELECT q.vec_id AS query_id, v.vec_id AS id, list_dot_product(v.embedd
 @query(f"SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM ({_DENSE}) QUALIFY rank <= 10")
 def dense_topk(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    hits = search.dense(v, v.where("id % 20 = 0").withColumnRenamed("id", "query_id"), None)
-    return search.ranked(hits.select("query_id", "id", F.round("score", 9).alias("score")), 10).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    hits = search.dense(v, v.where("id % 20 = 0").withColumnRenamed("id", "query_id"), 10, digits=9)
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def _lists(spark, d):
@@ -417,19 +437,34 @@ def minmax_fusion(spark, d):
     return search.weighted_minmax(a, b).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query()
+_ASKED = [(1, "Part 3 supplier 7", [0.5, 1.0, -0.25]), (2, "parts 12", [-1.0, 0.0, 2.0]), (3, "nothing here", [1.0, 1.0, 1.0])]
+_HYBRID = f"""{SHIP}, v AS (SELECT * FROM ship WHERE {HOLDS} AND status = 'active'), st AS (SELECT count(*) AS nt, 5.0 AS ml FROM ship),
+tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(['part', split_part(subject, '#', 2), 'come', 'from', 'supplier', split_part(object, '#', 2)]) AS term FROM ship) GROUP BY ALL),
+q(query_id, term, wanted, x, y, z) AS (VALUES (1, 'part', 4, 0.5, 1.0, -0.25), (1, '3', 4, 0.5, 1.0, -0.25), (1, 'supplier', 4, 0.5, 1.0, -0.25), (1, '7', 4, 0.5, 1.0, -0.25), (2, 'part', 2, -1.0, 0.0, 2.0), (2, '12', 2, -1.0, 0.0, 2.0), (3, 'noth', 2, 1.0, 1.0, 1.0)),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+sp AS (SELECT query_id, id, sum(greatest(ln((nt - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2)) AS score FROM tf JOIN q USING (term) JOIN df USING (term), st WHERE id IN (SELECT id FROM v) GROUP BY query_id, id, wanted HAVING count(*) = wanted),
+de AS (SELECT query_id, id, x * evidence + y * (source % 7) + z * (source % 11) AS score FROM v, (SELECT DISTINCT query_id, x, y, z FROM q)),
+rs AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS r FROM sp QUALIFY r <= 15), rd AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS r FROM de QUALIFY r <= 15),
+f AS (SELECT query_id, id, rs.r AS sparse_rank, rd.r AS dense_rank, coalesce(1.0 / (60 + rs.r), 0) + coalesce(1.0 / (60 + rd.r), 0) AS score FROM rs FULL JOIN rd USING (query_id, id))"""
+
+
+@query(f"WITH {_HYBRID} SELECT query_id::BIGINT AS query_id, id, object, round(score, 6) AS score, sparse_rank, dense_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sparse_rank IS NULL, coalesce(sparse_rank, dense_rank), id) AS rank FROM f) JOIN (SELECT id, object FROM v) USING (id) WHERE rank <= 5")
 def hybrid_retrieval(spark, d):
-    facts = facts_ship(spark, d).select("id", "text", *KEY, "object", "validity_start", "validity_end", "status")
-    asked = spark.createDataFrame([(1, "Part 3 supplier 7"), (2, "part 12")], "query_id long, query string")
+    facts = facts_ship(spark, d).select("id", "text", *KEY, "object", "validity_start", "validity_end", "status", F.array(F.col("evidence").cast("double"), (F.col("source") % 7).cast("double"), (F.col("source") % 11).cast("double")).alias("vector"))
+    asked = spark.createDataFrame(_ASKED, "query_id long, query string, vector array<double>")
     view = views.as_of(facts, instant(AT))
-    return search.hybrid(view, search.postings(facts, "id", "text"), search.statistics(facts, "text"), asked, top_k=5).select("query_id", "id", "object", F.round("score", 6).alias("score"), "sparse_rank")
+    index = search.postings(facts, "id", "text")
+    found = search.hybrid(view.drop("vector"), index, search.statistics_of(index, facts), asked, facts.select("id", "vector"), top_k=5, digits=9)
+    return found.select("query_id", "id", "object", F.round("score", 6).alias("score"), F.col("sparse_rank").cast("long").alias("sparse_rank"), F.col("dense_rank").cast("long").alias("dense_rank"))
 
 
-@query(f"WITH {SHIP}, h AS (SELECT id, source % 50 AS s, validity_end, row_number() OVER (ORDER BY id) AS rank FROM ship QUALIFY rank <= 500) SELECT 1::BIGINT AS query_id, 'S' || s AS source_id, min(rank) AS rank FROM h GROUP BY s")
+@query(f"WITH {_HYBRID}, h AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sparse_rank IS NULL, coalesce(sparse_rank, dense_rank), id) AS rank FROM f QUALIFY rank <= 15) SELECT query_id::BIGINT AS query_id, 'S' || (source % 50) AS source_id, min(rank) AS rank FROM h JOIN (SELECT id, source FROM ship) USING (id) GROUP BY ALL")
 def passages_of_hits(spark, d):
-    facts = with_provenance(facts_ship(spark, d))
-    hits = facts.select(F.lit(1).cast("long").alias("query_id"), "id", F.row_number().over(W.orderBy("id")).cast("long").alias("rank")).withColumn("score", 1.0 / F.col("rank"))
-    return search.passages_of(hits, views.evidence(facts)).select("query_id", "source_id", "rank")
+    facts = with_provenance(facts_ship(spark, d)).withColumn("vector", F.array(F.col("evidence").cast("double"), (F.col("source") % 7).cast("double"), (F.col("source") % 11).cast("double")))
+    asked = spark.createDataFrame(_ASKED, "query_id long, query string, vector array<double>")
+    index = search.postings(facts, "id", "text")
+    hits = search.hybrid(views.as_of(facts, instant(AT)).select("id"), index, search.statistics_of(index, facts), asked, facts.select("id", "vector"), top_k=15, digits=9, pool=15)
+    return search.passages_of(hits, views.evidence(facts)).select("query_id", "source_id", F.col("rank").cast("long").alias("rank"))
 
 
 # --- sampling -----------------------------------------------------------------------------------------------------------

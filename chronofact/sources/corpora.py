@@ -40,13 +40,14 @@ class TableCorpus:
     seed: int = 0
 
     def search(self, query: str, limit: int) -> DataFrame:
-        """Best documents with all words of the query; if there is none, the first ones by id."""
+        """Best documents with any word of the query; if there is none, the first ones by id."""
         hits = self._hits([query], limit).join(self.docs, F.col("id") == F.col("source_id")).orderBy("rank").select(*self.docs.columns)
         return hits if hits.limit(1).count() else self.docs.orderBy("source_id").limit(limit)
 
     def _hits(self, queries: list[str], limit: int) -> DataFrame:
         asked = self.docs.sparkSession.createDataFrame(list(enumerate(queries)), "query_id long, query string")
-        return search.bm25(search.postings(self.docs, "source_id", "text"), search.statistics(self.docs, "text"), asked, top_k=limit).where("score > 0")
+        index = search.postings(self.docs, "source_id", "text", search.plain_terms)
+        return search.any_term(index, search.statistics(self.docs, "text", search.plain_terms), asked, top_k=limit)
 
     def sample(self, mode: str, n: int) -> DataFrame:
         if mode not in ("topic_diverse", "uniform", "random_ids"):
