@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -42,48 +43,85 @@ def chain_pairs(chain: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     return chain.withColumn("next_object", following).where("next_object is not null").select(*key, "object", "next_object")
 
 
-def rename_walk(facts: DataFrame, starts: DataFrame, predicates: list[str], at: Column | None = None, direction: str = "forward", max_depth: int = 10, include_contested: bool = False, strict: bool = True) -> DataFrame:
-    """Walks renamings from every start at once: ``start, step, id, subject, predicate, object, closes, truncated``.
+#: Ways on that a resolver is shown.
+SHOWN = 3
+#: Chooses one of a few facts (id, subject, predicate, object, validity_start) by its id, or none.
+Resolver = Callable[[list[dict]], str | None]
 
-    One join for each step over those walks that are still on, kept as a checkpoint; a walk ends where nothing goes on, after ``max_depth``
-    steps, or with the step that comes back to a name it had (``closes``). With more than one way on, ``strict`` raises
-    AmbiguousChain, else the earliest fact is taken. ``both`` walks either way; a fact found twice counts once.
+
+def _one_way(facts: DataFrame, by: list[str], resolver: Resolver | None, strict: bool) -> DataFrame:
+    """One fact for each key ``by``, and whether that is ``ambiguous``: there are more, and neither the resolver chose nor
+    is the earliest taken (not ``strict``). Of a key's facts a few leave the task that counts them."""
+    order = W.partitionBy(*by).orderBy("validity_start", "id")
+    few = facts.withColumns({"__n": F.row_number().over(order), "__ways": F.count("*").over(W.partitionBy(*by))}).where(F.col("__n") <= SHOWN)
+    if resolver is None:
+        return few.where("__n = 1").withColumn("ambiguous", F.lit(strict) & (F.col("__ways") > 1)).drop("__n", "__ways")
+    shown = F.struct("validity_start", "id", "subject", "predicate", "object")
+
+    @F.udf("string")
+    def chosen(options: list) -> str | None:  # called for ambiguous keys only
+        return resolver([o.asDict() for o in options])
+
+    keys = few.groupBy(*by).agg(F.max("__ways").alias("__ways"), F.array_sort(F.collect_list(shown)).alias("__o"))
+    picked = keys.withColumn("__id", F.when(F.col("__ways") > 1, chosen("__o")).otherwise(F.col("__o")[0]["id"])).select(*by, "__id")
+    told = few.join(picked, by).where(F.coalesce(F.col("id") == F.col("__id"), F.col("__n") == 1))
+    return told.withColumn("ambiguous", F.col("__id").isNull() & F.lit(strict)).drop("__n", "__ways", "__id")
+
+
+def unambiguous(steps: DataFrame) -> DataFrame:
+    """``steps`` as they are; AmbiguousChain if any step is ambiguous. For the few rows of a single question."""
+    first = steps.where("ambiguous").limit(1).collect()
+    if first:
+        raise AmbiguousChain(f"more than one fact to go on with from {first[0]['start']!r}")
+    return steps
+
+
+def rename_walk(facts: DataFrame, starts: DataFrame, predicates: list[str], at: Column | None = None, direction: str = "forward", max_depth: int = 10, include_contested: bool = False, strict: bool = True, resolver: Resolver | None = None) -> DataFrame:
+    """Walks renamings from every start at once: ``start, step, id, subject, predicate, object, closes, ambiguous,
+    truncated``.
+
+    One join for each step over those walks that are still on, kept as a checkpoint; a walk ends where nothing goes on,
+    after ``max_depth`` steps, or with the step that comes back to a name it had (``closes``). Where there is more than
+    one way on, the ``resolver`` chooses; without its choice a ``strict`` walk ends with a step marked ``ambiguous``
+    (the earliest fact), any other goes on with that fact. ``both`` walks either way; a fact found twice counts once.
     """
     if direction == "both":
-        ways = [rename_walk(facts, starts, predicates, at, d, max_depth, include_contested, strict) for d in ("backward", "forward")]
+        ways = [rename_walk(facts, starts, predicates, at, d, max_depth, include_contested, strict, resolver) for d in ("backward", "forward")]
         return ways[0].unionByName(ways[1]).dropDuplicates(["start", "id"])
     here, there = ("subject", "object") if direction == "forward" else ("object", "subject")
     edges = facts.where(F.col("predicate").isin(predicates) & F.col("status").isin("active", "deprecated", *["contested"] * include_contested))
     if at is not None:
         edges = edges.where(F.col("validity_start") <= at)
-    order = W.partitionBy(here).orderBy("validity_start", "id")
-    edges = edges.withColumns({"__n": F.row_number().over(order), "__ways": F.count("*").over(W.partitionBy(here))}).where("__n = 1")
-    edges = edges.select(F.col(here).alias("current"), F.col(there).alias("next"), "id", "subject", "predicate", "object", "__ways")
+    edges = _one_way(edges, [here], resolver, strict).select(F.col(here).alias("current"), F.col(there).alias("next"), "id", "subject", "predicate", "object", "ambiguous")
     edges, parts = saved(edges), []
     walks = starts.select(F.col("start"), F.col("start").alias("current"), F.array("start").alias("seen"))
     for step in range(1, max_depth + 2):
         on = saved(walks.join(edges, "current").withColumn("closes", F.array_contains("seen", F.col("next"))))
-        parts.append(on.select("start", F.lit(step).alias("step"), "id", "subject", "predicate", "object", "closes", "__ways"))
-        walks = on.where("not closes").select("start", F.col("next").alias("current"), F.concat("seen", F.array("next")).alias("seen"))
+        parts.append(on.select("start", F.lit(step).alias("step"), "id", "subject", "predicate", "object", "closes", "ambiguous"))
+        walks = on.where("not closes and not ambiguous").select("start", F.col("next").alias("current"), F.concat("seen", F.array("next")).alias("seen"))
         if on.isEmpty():
             break
     steps = reduce(DataFrame.unionByName, parts)
-    if strict and steps.where("__ways > 1").limit(1).count():
-        raise AmbiguousChain(f"more than one renaming {direction}")
     longest = F.max("step").over(W.partitionBy("start"))
-    return steps.withColumn("truncated", longest > max_depth).where(F.col("step") <= max_depth).drop("__ways")
+    return steps.withColumn("truncated", longest > max_depth).where(F.col("step") <= max_depth)
 
 
-def join_chain(facts: DataFrame, starts: DataFrame, predicates: list[str], at: Column | None = None, strict: bool = True) -> DataFrame:
-    """Follows facts from each start: the object of a hop is the subject of the next. ``start, hop_1, hop_2, ...``; at
-    most four hops. A hop with several facts raises AmbiguousChain if ``strict``, else its walks are dropped."""
+def join_chain(facts: DataFrame, starts: DataFrame, predicates: list[str], at: Column | None = None, strict: bool = True, resolver: Resolver | None = None) -> DataFrame:
+    """Follows facts from each start, within its scope (``start`` and, where given, ``scope``; else global): the object of
+    a hop is the subject of the next. ``start, hop_1, hop_2, ...``, null from where it is ``ambiguous``; at most four
+    hops. Starts with no fact to go on with are not in the result. At a hop with several facts the ``resolver`` chooses;
+    without its choice the chain is marked if ``strict``, else dropped."""
     if not 1 <= len(predicates) <= 4:
         raise ValueError("one to four hops")
     live = join_eligible(facts, at)
-    out = starts.select("start", F.col("start").alias("__here"), F.lit(1).cast("long").alias("__most"))
+    scope = F.col("scope") if "scope" in starts.columns else F.lit("global")
+    out = starts.select("start", F.col("start").alias("__here"), scope.alias("scope"), F.lit(False).alias("ambiguous"))
     for i, predicate in enumerate(predicates, 1):
-        hop = live.where(F.col("predicate") == predicate).groupBy(F.col("subject").alias("__here")).agg(F.count("*").alias("__n"), F.min("object").alias(f"hop_{i}"))
-        out = out.join(hop, "__here").withColumns({"__here": F.col(f"hop_{i}"), "__most": F.greatest("__most", "__n")}).drop("__n")
-    if strict and out.where("__most > 1").limit(1).count():
-        raise AmbiguousChain("a hop has more than one fact")
-    return out.where("__most = 1").drop("__here", "__most")
+        hop = _one_way(live.where(F.col("predicate") == predicate), ["subject", "scope"], resolver, True)
+        hop = hop.select(F.col("subject").alias("__here"), "scope", F.col("object").alias("__next"), F.col("ambiguous").alias("__more"))
+        joined = out.join(hop, ["__here", "scope"], "left").where("ambiguous or __next is not null")
+        stopped = F.col("ambiguous") | F.col("__more")
+        joined = joined.withColumn("ambiguous", F.coalesce(stopped, F.col("ambiguous")))
+        out = joined.withColumn(f"hop_{i}", F.when(~F.col("ambiguous"), F.col("__next"))).withColumn("__here", F.col(f"hop_{i}")).drop("__next", "__more")
+    out = out.select("start", *(f"hop_{i}" for i in range(1, len(predicates) + 1)), "ambiguous")
+    return out if strict else out.where("not ambiguous").drop("ambiguous")

@@ -321,7 +321,7 @@ def rename_walk_backward(spark, d):
     return chains.rename_walk(edges_rename(spark, d), _starts(spark, d), ["renamedTo"], direction="backward").select("start", "step", "id", "truncated")
 
 
-@query("SELECT c_name AS start, n_name AS hop_1, r_name AS hop_2 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT c_name AS start, n_name AS hop_1, r_name AS hop_2, false AS ambiguous FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def join_chain_geo(spark, d):
     starts = table(spark, d, "customer").select(F.col("c_name").alias("start"))
     return chains.join_chain(facts_geo(spark, d), starts, ["locatedNation", "inRegion"], instant(AT))

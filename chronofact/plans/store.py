@@ -109,11 +109,11 @@ class FactStore:
 
     def renames(self, subject: str, at: Column | None = None, **options) -> DataFrame:
         start = self.spark.createDataFrame([(subject,)], "start string")
-        return chains.rename_walk(self.facts, start, self.vocabulary.renaming(strict=True), at, **options)
+        return chains.unambiguous(chains.rename_walk(self.facts, start, self.vocabulary.renaming(strict=True), at, **options))
 
-    def joined(self, subject: str, predicates: list[str], at: Column | None = None) -> DataFrame:
-        start = self.spark.createDataFrame([(subject,)], "start string")
-        return chains.join_chain(self.facts, start, [self.vocabulary.canonical(p) for p in predicates], at)
+    def joined(self, subject: str, predicates: list[str], at: Column | None = None, scope: str = "global", resolver: chains.Resolver | None = None) -> DataFrame:
+        start = self.spark.createDataFrame([(subject, scope)], "start string, scope string")
+        return chains.unambiguous(chains.join_chain(self.facts, start, [self.vocabulary.canonical(p) for p in predicates], at, resolver=resolver)).drop("ambiguous")
 
     def answer_context(self, questions: DataFrame, now: Column, top_k: int = 10) -> DataFrame:
         """A block of context for each question (query_id, query) that asks for facts, as of the time it means."""

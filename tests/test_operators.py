@@ -68,16 +68,30 @@ def test_rename_circle_truncation_and_ambiguity(spark):
     assert [(r.object, r.closes) for r in walk] == [("B", False), ("C", False), ("A", True)]
     assert all(r.truncated for r in chains.rename_walk(circle, starts(spark, "A"), ["renamedTo"], max_depth=2).collect())
     fork = frame(spark, [("A", "renamedTo", "B", 2001, None), ("A", "renamedTo", "C", 2002, None)])
+    both = chains.rename_walk(fork.union(frame(spark, [("P", "renamedTo", "Q", 2001, None)])), starts(spark, "A", "P"), ["renamedTo"])
+    assert sorted((r.start, r.object, r.ambiguous) for r in both.collect()) == [("A", "B", True), ("P", "Q", False)]
     with pytest.raises(chains.AmbiguousChain):
-        chains.rename_walk(fork, starts(spark, "A"), ["renamedTo"])
+        chains.unambiguous(both)
+    last = lambda ways: max(w["id"] for w in ways)
+    assert [(r.object, r.ambiguous) for r in chains.rename_walk(fork, starts(spark, "A"), ["renamedTo"], resolver=last).collect()] == [("C", False)]
+    assert [r.ambiguous for r in chains.rename_walk(fork, starts(spark, "A"), ["renamedTo"], resolver=lambda ways: None).collect()] == [True]
     assert [r.object for r in chains.rename_walk(fork, starts(spark, "A"), ["renamedTo"], strict=False).collect()] == ["B"]
 
 
 def test_join_chain(spark, facts):
     rows = chains.join_chain(facts, starts(spark, "Google"), ["parentCompany", "chiefExecutiveOfficer"], at(2020)).collect()
-    assert [tuple(r) for r in rows] == [("Google", "Alphabet", "Pichai")]
+    assert [tuple(r) for r in rows] == [("Google", "Alphabet", "Pichai", False)]
+    hops = ["parentCompany", "chiefExecutiveOfficer"]
+    open_ = chains.join_chain(facts, starts(spark, "Google", "X Corp"), hops)
+    assert [tuple(r) for r in open_.collect()] == [("Google", "Alphabet", None, True)]
+    assert chains.join_chain(facts, starts(spark, "Google"), hops, strict=False).count() == 0
     with pytest.raises(chains.AmbiguousChain):
-        chains.join_chain(facts, starts(spark, "Google"), ["parentCompany", "chiefExecutiveOfficer"])
+        chains.unambiguous(open_)
+    chosen = chains.join_chain(facts, starts(spark, "Google"), hops, resolver=lambda ways: ways[-1]["id"])
+    assert [tuple(r) for r in chosen.collect()] == [("Google", "Alphabet", "Pichai", False)]
+    mixed = facts.union(facts.where("subject = 'Alphabet'").withColumn("scope", F.lit("user")).withColumn("object", F.lit("Nobody")))
+    assert [tuple(r) for r in chains.join_chain(mixed, starts(spark, "Google"), hops, at(2020)).collect()] == [("Google", "Alphabet", "Pichai", False)]
+    assert chains.join_chain(mixed, starts(spark, "Google").withColumn("scope", F.lit("user")), hops, at(2020)).count() == 0
     with pytest.raises(ValueError):
         chains.join_chain(facts, starts(spark, "Google"), ["a"] * 5)
 
