@@ -7,9 +7,9 @@ Two equal windows of ``window`` words choose the same phrase of ``PHRASE`` words
    hashes are counted too, equal runs of them as one first.
 2. The phrases of confirmed windows are compiled to Aho-Corasick automata, in shards of bounded size that are written
    once to the shared folder, each with the hashes of its windows.
-3. All documents are streamed: a worker holds a slice of them and one shard at a time, the automaton locates the
-   occurrences of its phrases, and windows around them that are confirmed are cut out. A document passes a shard over
-   if none of the phrases that its windows choose can be in the shard's range, which loses nothing.
+3. All documents are streamed. A stretch of a text that may hold a phrase goes to the automaton of the shard in whose
+   range that phrase would be, so no document passes all automata and no worker reads all shards; what the automaton
+   locates there decides which windows are looked up, and the known ones are cut out of their texts.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from __future__ import annotations
 import hashlib
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -36,8 +37,12 @@ PHRASE = 6
 #: Bits of the table that says which phrases may recur: of bounded size whatever the corpus, as it is broadcast. Where it
 #: fills up, more windows are counted than need be.
 BITS = 26
-#: Phrases and windows of a shard, bytes of a row that holds a part of one, and of texts that a worker streams at once.
-SHARD_PHRASES, SHARD_WINDOWS, SHARD_ROW, SLICE = 60_000, 1_000_000, 4 * 2**20, 24 * 2**20
+#: Phrases and windows of a shard, and bytes of a row that holds a part of one.
+SHARD_PHRASES, SHARD_WINDOWS, SHARD_ROW = 60_000, 1_000_000, 4 * 2**20
+#: Bits of a word's hash that are written as letters, two of half as many each.
+WORD = 10
+#: Texts that a task remembers, so that stretches of copies that it has seen are not sent again.
+REMEMBERED = 200_000
 _U = np.uint64
 _BUCKET = 1 << 15  # bits in a bitmap of Spark's
 
@@ -60,16 +65,29 @@ def _chosen(phrases: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarra
     return starts, chosen
 
 
+def phrase_hashes(hashes: np.ndarray) -> np.ndarray:
+    """A hash of each run of PHRASE words, from which the letters of the phrase can be told again."""
+    m = max(0, len(hashes) - PHRASE + 1)
+    packed = np.zeros(m, np.uint64)
+    for i in range(PHRASE):
+        packed = packed << _U(WORD) | hashes[i : i + m] & _U((1 << WORD) - 1)
+    return T.mix(packed)
+
+
 def letters(hashes: np.ndarray) -> np.ndarray:
-    """Two letters for each word (a row), from alphabets of 64 of their own, so that no match begins inside a word."""
-    out = np.empty((len(hashes), 2), np.uint8)
-    out[:, 0] = (hashes & _U(63)).astype(np.uint8) + 64
-    out[:, 1] = (hashes >> _U(6) & _U(63)).astype(np.uint8) + 128
-    return out
+    """Two letters for each word (in the last axis), from alphabets of their own, so that no match begins inside a word."""
+    half = (1 << WORD // 2) - 1
+    return np.stack([(hashes & _U(half)).astype(np.uint8) + 64, (hashes >> _U(WORD // 2) & _U(half)).astype(np.uint8) + 96], -1)
+
+
+def pattern(h: int) -> str:
+    """The letters of a phrase."""
+    packed = int(T.unmix(np.array([h], np.uint64))[0])
+    return _text(letters(np.array([packed >> WORD * i for i in reversed(range(PHRASE))], np.uint64)))
 
 
 def _text(written: np.ndarray) -> str:
-    return written.tobytes().decode("latin-1")
+    return written.tobytes().decode("ascii")
 
 
 def _phrases(window: int):
@@ -79,7 +97,7 @@ def _phrases(window: int):
         for batch in batches:
             for part in T.pieces(batch, 0):
                 hashes, _, _, at = T.words(*T.buffers(part.column(0)), lower=False)
-                phrases = T.rolling(hashes, PHRASE)
+                phrases = phrase_hashes(hashes)
                 chosen = _chosen(phrases, at, window)[1]
                 places = chosen[np.flatnonzero(np.diff(chosen, prepend=-1))]  # places rise with the windows
                 h, n = np.unique(phrases[places], return_counts=True)
@@ -104,40 +122,48 @@ def _may_recur(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[(slot >> _U(3)).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _candidates(part: pa.Array, window: int, bits: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of texts: word hashes, words before each, phrase hashes; of windows whose phrase may recur: first word, the
-    phrase's first word, hash."""
-    hashes, _, _, at = T.words(*T.buffers(part), lower=False)
-    phrases = T.rolling(hashes, PHRASE)
-    starts, chosen = _chosen(phrases, at, window)
-    if len(starts):
-        may = _may_recur(bits, phrases[chosen])
-        starts, chosen = starts[may], chosen[may]
-    whole = T.rolling(hashes, window)[starts] if len(starts) else np.zeros(0, np.uint64)
-    return hashes, at, phrases, starts, chosen, whole
+@dataclass(frozen=True)
+class _Windows:
+    """Of texts: word hashes, words before each. Of windows whose phrase may recur: first word, the phrase's hash, and the
+    window's own hash within its phrase, so that windows of different phrases are never taken for each other. Runs of
+    neighbouring windows choose one phrase."""
+
+    hashes: np.ndarray
+    at: np.ndarray
+    starts: np.ndarray
+    h: np.ndarray
+    key: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Array, window: int, bits: np.ndarray) -> _Windows:
+        hashes, _, _, at = T.words(*T.buffers(texts), lower=False)
+        phrases = phrase_hashes(hashes)
+        starts, chosen = _chosen(phrases, at, window)
+        if len(starts):
+            may = _may_recur(bits, phrases[chosen])
+            starts, chosen = starts[may], chosen[may]
+        none = np.zeros(0, np.uint64)
+        h = phrases[chosen] if len(chosen) else none
+        key = T.mix(T.rolling(hashes, window)[starts] ^ T.mix(h)) if len(starts) else none
+        first = np.flatnonzero(np.diff(chosen, prepend=-1))
+        return cls(hashes, at, starts, h, key, first, np.diff(np.append(first, len(chosen))))
 
 
 def _runs(window: int, bits: Broadcast):
-    """Runs of neighbouring windows that choose one phrase: its hash and letters, and the windows' hashes."""
+    """Runs of windows: the phrase's hash, and the windows' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.pieces(batch, 0):
-                hashes, _, phrases, starts, chosen, whole = _candidates(part.column(0), window, bits.value)
-                first = np.flatnonzero(np.diff(chosen, prepend=-1))
-                size, place = np.diff(np.append(first, len(chosen))), chosen[first]
-                written = letters(hashes)[T.spread(place, np.full(len(place), PHRASE))]
-                windows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(whole.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(phrases[place].view(np.int64)), T.binaries(written.ravel(), np.full(len(place), 2 * PHRASE)), windows], names=["h", "letters", "windows"])
+                w = _Windows.of(part.column(0), window, bits.value)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(w.size)]), pa.int32()), pa.array(w.key.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(w.h[w.first].view(np.int64)), lists], names=["h", "windows"])
 
     return run
 
 
-def _key(h: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    """A window's hash within its phrase, so windows of different phrases are never taken for each other."""
-    return T.mix(whole ^ T.mix(h))
-
-
 def compile_shard(patterns: list[str]) -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_STRING)
     for p in patterns:
@@ -153,8 +179,7 @@ def _compiled(most_phrases: int, most_windows: int):
     def shard(rows: pa.Table, number: int) -> Iterator[pa.RecordBatch]:
         h, w = (rows.column(c).to_numpy().view(np.uint64) for c in ("h", "w"))
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        patterns = [x.as_py().decode("latin-1") for x in rows.column("letters").take(pa.array(first))]
-        data = pickle.dumps((compile_shard(patterns), np.sort(_key(h, w))))
+        data = pickle.dumps((compile_shard([pattern(x) for x in h[first].tolist()]), np.sort(w)))
         low, high = int(h.view(np.int64)[0]), int(h.view(np.int64)[-1])
         for i, lo in enumerate(range(0, len(data), SHARD_ROW)):
             yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (number, i, low, high)] + [pa.array([data[lo : lo + SHARD_ROW]], pa.binary())], names=["number", "row", "low", "high", "data"])
@@ -199,84 +224,102 @@ class Shard:
         return pickle.loads(b"".join(x.as_py() for x in rows.sort_by("row").column("data")))
 
 
-@dataclass
-class _Part:
-    """What is held of a few megabytes of texts while shards come by."""
+def _stretches(window: int, bits: Broadcast):
+    """A row for each run of windows: the hash of the phrase that it may hold, its text, the run's first word there, the
+    stretch's letters and the windows' hashes. ``k1, k2`` stand for the text; of copies in a task one is sent."""
 
-    batch: pa.RecordBatch
-    at: np.ndarray
-    written: np.ndarray
-    starts: np.ndarray
-    chosen: np.ndarray
-    owner: np.ndarray
-    h: np.ndarray
-    key: np.ndarray
-    found: list[np.ndarray] = field(default_factory=list)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            for part in T.pieces(batch, 2):
+                fresh = []
+                for k in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    fresh.append(k not in seen)
+                    if len(seen) < REMEMBERED:
+                        seen.add(k)
+                part = part.filter(pa.array(fresh, pa.bool_()))
+                w = _Windows.of(part.column(2), window, bits.value)
+                owner = np.searchsorted(w.at, w.starts[w.first], "right") - 1
+                rows, words = pa.array(owner), w.size + window - 1
+                written = letters(w.hashes[T.spread(w.starts[w.first], words)])
+                columns = [pa.array(w.h[w.first].view(np.int64)), part.column(0).take(rows), part.column(1).take(rows), pa.array(w.starts[w.first] - w.at[owner])]
+                yield pa.RecordBatch.from_arrays([*columns, T.binaries(written.ravel(), 2 * words), T.binaries(w.key, w.size)], names=["h", "k1", "k2", "start", "letters", "keys"])
 
-    @classmethod
-    def of(cls, batch: pa.RecordBatch, column: int, window: int, bits: np.ndarray) -> _Part:
-        hashes, at, phrases, starts, chosen, whole = _candidates(batch.column(column), window, bits)
-        h = phrases[chosen] if len(chosen) else np.zeros(0, np.uint64)
-        return cls(batch, at, letters(hashes), starts, chosen, np.searchsorted(at, starts, "right") - 1, h.view(np.int64), _key(h, whole))
-
-    def stream(self, mine: np.ndarray, automaton: ahocorasick.Automaton, known: np.ndarray) -> None:
-        """Streams the texts of the windows ``mine`` and keeps those around located phrases that are known to recur."""
-        texts = np.unique(self.owner[mine])
-        located = locate(automaton, self.written, self.at[texts], self.at[texts + 1])
-        near = mine[located[self.chosen[mine]]]
-        place = np.minimum(np.searchsorted(known, self.key[near]), len(known) - 1)
-        self.found.append(self.starts[near[known[place] == self.key[near]]])
-
-
-def locate(automaton: ahocorasick.Automaton, written: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Whether a phrase of the automaton starts at each word, of the texts from words ``begin`` to ``end``."""
-    size = end - begin + 1  # a word of no letters stands between texts
-    first = np.cumsum(size) - size
-    line = np.ones((int(size.sum()), 2), np.uint8)
-    line[T.spread(first, size - 1)] = written[T.spread(begin, size - 1)]
+    return run
+
+
+def locate(automaton: ahocorasick.Automaton, written: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of stretches of ``size`` words, one after another in ``written``: where phrases of the automaton start, as the
+    stretch and the word in it."""
+    first = np.cumsum(size + 1) - size - 1  # a word of no letters stands between stretches
+    line = np.ones((int((size + 1).sum()), 2), np.uint8)
+    line[T.spread(first, size)] = written.reshape(-1, 2)
     word = np.fromiter((e for e, _ in automaton.iter(_text(line))), np.int64) // 2 - PHRASE + 1
-    text = np.searchsorted(first, word, "right") - 1
-    out = np.zeros(len(written), bool)
-    out[word - first[text] + begin[text]] = True
-    return out
+    stretch = np.searchsorted(first, word, "right") - 1
+    return stretch, word - first[stretch]
+
+
+def look_up(rows: pa.RecordBatch, window: int, automaton: ahocorasick.Automaton, known: np.ndarray) -> pa.RecordBatch:
+    """Streams stretches through a shard's automaton; of those with windows around a located phrase that are known to
+    recur: text, first word, and a bit for each window that is."""
+    written, at = T.buffers(rows.column("letters"))
+    keys, ends = T.buffers(rows.column("keys"))
+    keys, first, number = np.frombuffer(keys.tobytes(), np.uint64), ends[:-1] // 8, np.diff(ends) // 8
+    stretch, word = locate(automaton, written, np.diff(at) // 2)
+    change = np.zeros(len(keys) + 1, np.int64)  # windows that hold a located phrase
+    np.add.at(change, first[stretch] + np.clip(word - (window - PHRASE), 0, number[stretch]), 1)
+    np.add.at(change, first[stretch] + np.minimum(word + 1, number[stretch]), -1)
+    near = np.flatnonzero(np.cumsum(change)[:-1] > 0)
+    place = np.minimum(np.searchsorted(known, keys[near]), len(known) - 1)
+    hit = near[known[place] == keys[near]]
+    owner = np.searchsorted(ends // 8, hit, "right") - 1
+    mask = np.zeros(len(number), np.int64)
+    np.bitwise_or.at(mask, owner, np.int64(1) << (hit - first[owner]))
+    some = pa.array(np.flatnonzero(mask))
+    return pa.RecordBatch.from_arrays([*(rows.column(c).take(some) for c in ("k1", "k2", "start")), pa.array(mask).take(some)], names=["k1", "k2", "start", "mask"])
+
+
+def _located(window: int, shards: Broadcast):
+    """Stretches come in the order of their phrases, as shards are: a worker reads a shard when its range comes by."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load = lru_cache(2)(Shard.load)
+        ranges, reach = shards.value, np.array([s.high for s in shards.value], np.int64)
+        for batch in batches:
+            h = batch.column(0).to_numpy()
+            for shard in ranges[int(np.searchsorted(reach, h[0])) :] if len(h) else ():
+                if shard.low > h[-1]:
+                    break
+                lo, hi = np.searchsorted(h, shard.low), np.searchsorted(h, shard.high, "right")
+                if lo < hi:
+                    yield look_up(batch.slice(lo, hi - lo), window, *load(shard))
+
+    return run
 
-def _cut(window: int, carried: int, column: int, shards: list[Shard], bits: Broadcast, with_text: bool, names: list[str], at_once: int):
-    """Streams slices of documents through all shards and removes the words that located windows cover."""
 
-    def through(parts: list[_Part]) -> Iterator[pa.RecordBatch]:
-        for shard in shards:
-            mine = [np.flatnonzero((p.h >= shard.low) & (p.h <= shard.high)) for p in parts]
-            if any(map(len, mine)):
-                automaton, known = shard.load()
-                for p, some in zip(parts, mine, strict=True):
-                    if len(some):
-                        p.stream(some, automaton, known)
-        while parts:
-            p = parts.pop(0)
-            yield _without(p, window, carried, column, with_text, names)
+def _cut(window: int, carried: int, column: int, with_text: bool, names: list[str]):
+    """Removes the covered words; the last column has the starts and masks of the text's windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
         for batch in batches:
             for part in T.pieces(batch, column):
-                held.append(_Part.of(part, column, window, bits.value))
-                size += part.nbytes
-                if size >= at_once:
-                    yield from through(held)
-                    held, size = [], 0
-        yield from through(held)
+                yield _without(part, window, carried, column, with_text, names)
 
     return run
 
 
-def _without(p: _Part, window: int, carried: int, column: int, with_text: bool, names: list[str]) -> pa.RecordBatch:
-    data, offsets = T.buffers(p.batch.column(column))
+def _without(part: pa.RecordBatch, window: int, carried: int, column: int, with_text: bool, names: list[str]) -> pa.RecordBatch:
+    data, offsets = T.buffers(part.column(column))
     first, last, at = T.bounds(data, offsets)
+    found = part.column(part.num_columns - 1)
+    number = np.where(np.asarray(found.is_valid()), np.diff(np.asarray(found.offsets)), 0) if len(found) else np.zeros(0, np.int64)
+    flat = found.flatten()
+    begin, mask = np.asarray(flat.field("start"), np.int64) + np.repeat(at[:-1], number), np.asarray(flat.field("mask"), np.int64)
     change = np.zeros(len(first) + window + 1, np.int64)
-    for start in p.found:
-        np.add.at(change, start, 1)
-        np.add.at(change, start + window, -1)
+    for bit in range(window - PHRASE + 1):
+        hit = begin[(mask >> bit) & 1 == 1] + bit
+        np.add.at(change, hit, 1)
+        np.add.at(change, hit + window, -1)
     keep = np.cumsum(change)[: len(first)] == 0
     before = np.concatenate([[0], np.cumsum(keep)])
     kept = before[at[1:]] - before[at[:-1]]
@@ -288,21 +331,21 @@ def _without(p: _Part, window: int, carried: int, column: int, with_text: bool,
     bounds = [(int(ends[a]), max(int(ends[a]), int(ends[b]) - 1)) for a, b in zip(before[at[:-1]].tolist(), before[at[1:]].tolist(), strict=True)]
     texts = [out[a:b].tobytes() for a, b in bounds]
     words = np.diff(at)
-    columns = [*p.batch.columns[:carried], pa.array(words), pa.array(words - kept), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())]
+    columns = [*part.columns[:carried], pa.array(words), pa.array(words - kept), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())]
     if with_text:
         columns.append(pa.array(texts, pa.binary()).cast(pa.string()))
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def recurring_windows(texts: DataFrame, window: int) -> tuple[DataFrame, Broadcast]:
-    """``h, letters, w`` of each window (w) that starts at two places or more, with the phrase that it chooses; and the
-    table of phrases that may recur. ``texts`` has one column."""
+    """``h, w`` of each window (w) that starts at two places or more, with the phrase that it chooses; and the table of
+    phrases that may recur. ``texts`` has one column."""
     spark = texts.sparkSession
     recurring = texts.mapInArrow(tidy(_phrases(window)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     bits = spark.sparkContext.broadcast(_bitmap(recurring))
-    runs = texts.mapInArrow(tidy(_runs(window, bits)), "h long, letters binary, windows array<long>").groupBy("h", "letters", "windows").agg(F.count("*").alias("n"))
-    windows = runs.select("h", "letters", F.explode("windows").alias("w"), "n").groupBy("h", "letters", "w").agg(F.sum("n").alias("n")).where("n > 1")
-    return windows.select("h", "letters", "w"), bits
+    runs = texts.mapInArrow(tidy(_runs(window, bits)), "h long, windows array<long>").groupBy("h", "windows").agg(F.count("*").alias("n"))
+    windows = runs.select("h", F.explode("windows").alias("w"), "n").groupBy("h", "w").agg(F.sum("n").alias("n")).where("n > 1")
+    return windows.select("h", "w"), bits
 
 
 def compiled(windows: DataFrame, most_phrases: int = SHARD_PHRASES, most_windows: int = SHARD_WINDOWS) -> list[Shard]:
@@ -316,7 +359,7 @@ def compiled(windows: DataFrame, most_phrases: int = SHARD_PHRASES, most_windows
     return sorted((Shard(r["path"], r["number"], r["low"], r["high"]) for r in rows), key=lambda s: (s.low, s.high, s.path, s.number))
 
 
-def remove_repeats(docs: DataFrame, columns: list[str] | None = None, text_col: str = "text", window: int = 35, with_text: bool = False, shard: tuple[int, int] = (SHARD_PHRASES, SHARD_WINDOWS), at_once: int = SLICE) -> DataFrame:
+def remove_repeats(docs: DataFrame, columns: list[str] | None = None, text_col: str = "text", window: int = 35, with_text: bool = False, shard: tuple[int, int] = (SHARD_PHRASES, SHARD_WINDOWS)) -> DataFrame:
     """``columns`` (by default ``doc_id``) of each row and ``n_words, n_removed, kept_sha256`` (and ``kept_text``).
 
     Removed is each word that is covered by ``window`` consecutive words of its text which start anywhere else too, in
@@ -324,13 +367,22 @@ def remove_repeats(docs: DataFrame, columns: list[str] | None = None, text_col:
     words; texts of fewer words than a window lose none. Rows with the same text are counted as so many texts, have
     equal results and all stay, whatever their ids. The shared folder must be one that workers can open by its URI.
     """
-    if window <= PHRASE:
-        raise ValueError(f"window must be over {PHRASE}")
-    tune(docs.sparkSession)
+    if not PHRASE < window < 63 + PHRASE:
+        raise ValueError(f"window must be over {PHRASE} and under {63 + PHRASE}")
+    spark = docs.sparkSession
+    tune(spark)
     columns = columns or ["doc_id"]
-    windows, bits = recurring_windows(docs.select(F.col(text_col).cast("binary")), window)
-    shards = compiled(windows, *shard)
-    rows, column = T.carried(docs, columns, text_col)
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    windows, bits = recurring_windows(docs.select(text.alias("text")), window)
+    shards = spark.sparkContext.broadcast(compiled(windows, *shard))  # places and ranges
+    ids = [F.xxhash64(text).alias("__k1"), F.xxhash64(F.lit(1), text).alias("__k2")]
+    stretches = docs.select(*ids, text.alias("text")).mapInArrow(tidy(_stretches(window, bits)), "h long, k1 long, k2 long, start long, letters binary, keys binary")
+    ordered = stretches.repartitionByRange("h", "k1").sortWithinPartitions("h")
+    found = ordered.mapInArrow(tidy(_located(window, shards)), "k1 long, k2 long, start long, mask long").groupBy("k1", "k2", "start").agg(F.bit_or("mask").alias("mask"))
+    covered = found.groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.collect_list(F.struct("start", "mask")).alias("__windows"))  # as many as a text has words at most
+    rows, column = T.carried(docs.select("*", *ids), [*columns, "__k1", "__k2"], text_col)
+    rows = rows.join(covered, ["__k1", "__k2"], "left").select(*(c for c in rows.columns if c not in ("__k1", "__k2")), "__windows")
+    column = columns.index(text_col) if column < len(columns) else len(columns)
     names = [*columns, "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text]
     schema = t.StructType([*rows.select(*columns).schema.fields, t.StructField("n_words", t.LongType()), t.StructField("n_removed", t.LongType()), t.StructField("kept_sha256", t.StringType()), *[t.StructField("kept_text", t.StringType())] * with_text])
-    return rows.mapInArrow(tidy(_cut(window, len(columns), column, shards, bits, with_text, names, at_once)), schema)
+    return rows.mapInArrow(tidy(_cut(window, len(columns), column, with_text, names)), schema)

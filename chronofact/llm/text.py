@@ -47,6 +47,14 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
+def unmix(x: np.ndarray) -> np.ndarray:
+    """What ``mix`` was made of."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> _U(31)) ^ (x >> _U(62))) * _U(pow(0x94D049BB133111EB, -1, 2**64))
+        x = (x ^ (x >> _U(27)) ^ (x >> _U(54))) * _U(pow(0xBF58476D1CE4E5B9, -1, 2**64))
+        return x ^ (x >> _U(30)) ^ (x >> _U(60))
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n + 1 offsets of a string or binary Arrow column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -39,9 +39,9 @@ def corpus(seed):
     return rows + [(200, "a b " * 100), (201, None), (202, ""), (203, " \r\n"), (204, rows[5][1]), (204, rows[5][1]), (None, rows[7][1]), (205, "z " * 35), (206, "q " * 36), (207, "é " * 5000)]
 
 
-@pytest.mark.parametrize("bounds", [{}, {"shard": (5, 1000), "at_once": 3000}, {"shard": (1000, 17), "at_once": 20_000}])
+@pytest.mark.parametrize("bounds", [{}, {"shard": (5, 1000)}, {"shard": (1000, 17)}])
 def test_against_brute_force(spark, bounds):
-    rows = corpus(len(bounds))
+    rows = corpus(sum(bounds.get("shard", ())))
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_words long").repartition(4)
     got = remove_repeats(df, with_text=True, **bounds).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == brute(rows)
@@ -70,23 +70,40 @@ def test_shards_are_bounded_and_hold_every_window(spark):
     assert all(len(a) <= 6 and len(known) <= 50 for a, known in loaded) and len(shards) > 4
 
 
-def test_automata_locate_all_that_is_removed(spark, monkeypatch):
-    """Every occurrence is found, at word boundaries only; where none is located, nothing is removed."""
+def test_automata_locate_phrases():
+    """Every occurrence in a stretch is found, at word boundaries only and in no other stretch."""
     rng = np.random.default_rng(1)
     hashes = rng.integers(0, 2**63, 40, dtype=np.uint64)[rng.integers(0, 40, 3000)]
     hashes[2000:2006] = hashes[100:106]
-    written, patterns = phrases.letters(hashes), [100, 7, 2990]
-    automaton = phrases.compile_shard([phrases._text(written[p : p + 6]) for p in patterns])
-    begin, end = np.array([0, 50, 1900]), np.array([50, 1900, 2993])
-    want = {i for a, b in zip(begin, end, strict=True) for i in range(a, b - 5) if any((hashes[i : i + 6] == hashes[p : p + 6]).all() for p in patterns)}
-    assert {100, 2000, 7} <= want and set(np.flatnonzero(phrases.locate(automaton, written, begin, end))) == want
-    text = pa.array([b"a b c d e f g " * 12])
-    part = phrases._Part.of(pa.RecordBatch.from_arrays([text], names=["text"]), 0, 35, np.full(1 << phrases.BITS >> 3, 255, np.uint8))
-    known, every = np.sort(part.key), np.arange(len(part.key))
-    part.stream(every, phrases.compile_shard([phrases._text(part.written[i : i + 6]) for i in range(7)]), known)
-    assert set(part.found.pop()) == set(part.starts)
-    part.stream(every, phrases.compile_shard(["x"]), known)
-    assert not len(part.found.pop())
+    phrase, patterns = phrases.phrase_hashes(hashes), [100, 7, 2990]
+    assert [phrases.pattern(int(phrase[p])) for p in patterns] == [phrases._text(phrases.letters(hashes[p : p + 6])) for p in patterns]
+    automaton = phrases.compile_shard([phrases.pattern(int(phrase[p])) for p in patterns])
+    size = np.array([50, 1850, 1093])
+    first = np.cumsum(size) - size
+    stretch, word = phrases.locate(automaton, phrases.letters(hashes[:2993]).ravel(), size)
+    code = hashes & np.uint64(1023)
+    want = {i for a, n in zip(first, size, strict=True) for i in range(a, a + n - 5) if any((code[i : i + 6] == code[p : p + 6]).all() for p in patterns)}
+    assert {100, 2000, 7} <= want and set((first[stretch] + word).tolist()) == want
+
+
+def test_what_no_automaton_locates_is_not_removed():
+    """Windows are looked up around located phrases only, and only known ones count."""
+    texts = pa.array([b"a b c d e f g " * 12, b"x"])
+    every = np.full(1 << phrases.BITS >> 3, 255, np.uint8)
+
+    class Bits:
+        value = every
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([3, 4]), texts], names=["k1", "k2", "text"])
+    (rows,) = phrases._stretches(35, Bits)(iter([batch]))
+    w = phrases._Windows.of(texts, 35, every)
+    known = np.sort(w.key)
+    full = phrases.compile_shard([phrases.pattern(x) for x in np.unique(w.h).tolist()])
+    out = phrases.look_up(rows, 35, full, known)
+    found = {s + i for s, m in zip(out.column(2).to_pylist(), out.column(3).to_pylist(), strict=True) for i in range(30) if m >> i & 1}
+    assert found == set(w.starts.tolist()) and set(out.column(0).to_pylist()) == {1}
+    assert not phrases.look_up(rows, 35, phrases.compile_shard(["!"]), known).num_rows
+    assert not phrases.look_up(rows, 35, full, known[:1] + np.uint64(1)).num_rows
 
 
 def test_short_windows(spark):
