@@ -12,6 +12,7 @@ from datetime import UTC, datetime
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from chronofact.functions.texts import BARE_NUMBER, NO_LETTERS, QUESTION_END
 
@@ -68,6 +69,16 @@ def parse_date(text: str) -> datetime | None:
     return found and (found if found.tzinfo else found.replace(tzinfo=UTC))
 
 
+#: What a text says about time: dates in usual forms, months of a year, and years.
+_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+_TIME = re.compile(rf"\b(?:\d{{4}}-\d\d-\d\d|\d{{4}}/\d\d/\d\d|(?:\d{{1,2}}(?:st|nd|rd|th)?\s+)?(?:{_MONTHS})\.?(?:\s+\d{{1,2}}(?:st|nd|rd|th)?)?,?\s+\d{{4}}|(?:19|20)\d\d)\b")
+
+
+def time_expressions(text: str | None) -> list[tuple[str, datetime | None]]:
+    """Spans of dates and years in a text, with what they mean if that can be told."""
+    return [(m[0], parse_date(m[0].replace(".", ""))) for m in _TIME.finditer(text or "")]
+
+
 def infer_validity(text: str, source_date: datetime, prior: tuple[datetime, datetime | None] | None = None) -> tuple[datetime, datetime | None, bool, float]:
     """``start, end, known, confidence`` from the first cue that gives dates, ranges before single dates. Without any, a
     ``prior`` holds, else the source's date, unknown; a year without a cue makes that less certain."""
@@ -124,13 +135,13 @@ def trigger_extractor(text: str) -> list[tuple[str, str, str, str, float]]:
 
 def extract(docs: DataFrame, extractor: Extractor = trigger_extractor) -> DataFrame:
     """A row for each fact that the extractor finds in a document: ``source_id, position, subject, predicate, object,
-    evidence_span, extraction_confidence, validity_start, validity_end, validity_known, confidence``.
+    evidence_span, extraction_confidence, validity_start, validity_end, validity_known, confidence, source_date``.
 
     ``docs``: ``source_id, text, source_date``. Any callable is an extractor, a model's client too; it is called once
     for each text. Time is inferred from the evidence's sentence; documents without a date give an unknown start.
     """
-    names = ["source_id", "position", "subject", "predicate", "object", "evidence_span", "extraction_confidence", "validity_start", "validity_end", "validity_known", "confidence"]
-    kinds = [pa.string(), pa.int32(), *[pa.string()] * 4, pa.float64(), *[pa.timestamp("us", "UTC")] * 2, pa.bool_(), pa.float64()]
+    names = ["source_id", "position", "subject", "predicate", "object", "evidence_span", "extraction_confidence", "validity_start", "validity_end", "validity_known", "confidence", "source_date"]
+    kinds = [pa.string(), pa.int32(), *[pa.string()] * 4, pa.float64(), *[pa.timestamp("us", "UTC")] * 2, pa.bool_(), pa.float64(), pa.timestamp("us", "UTC")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,11 +149,11 @@ def extract(docs: DataFrame, extractor: Extractor = trigger_extractor) -> DataFr
             for source, text, date in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for i, (s, p, o, span, c) in enumerate(extractor(text) if text else ()):
                     start, end, known, factor = infer_validity(_sentence(text, span), date or datetime(1, 1, 1, tzinfo=UTC))
-                    rows.append((source, i, s, p, o, span, c, start if start.year > 1 else None, end, known, c * factor))
+                    rows.append((source, i, s, p, o, span, c, start if start.year > 1 else None, end, known, c * factor, date))
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return docs.select("source_id", "text", F.col("source_date").cast("timestamp")).mapInArrow(run, "source_id string, position int, subject string, predicate string, object string, evidence_span string, extraction_confidence double, validity_start timestamp, validity_end timestamp, validity_known boolean, confidence double")
+    return docs.select("source_id", "text", F.col("source_date").cast("timestamp")).mapInArrow(run, "source_id string, position int, subject string, predicate string, object string, evidence_span string, extraction_confidence double, validity_start timestamp, validity_end timestamp, validity_known boolean, confidence double, source_date timestamp")
 
 
 def _sentence(text: str, span: str) -> str:
@@ -155,13 +166,51 @@ def _sentence(text: str, span: str) -> str:
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
-    """A row for each trigger: ``source_id, kind, predicate, subject, object, match_text``."""
-    names = ["source_id", "kind", "predicate", "subject", "object", "match_text"]
+    """A row for each trigger: ``source_id, kind, predicate, subject, object, match_text``, and the first and the last time
+    that its document names (null without any)."""
+    names = ["source_id", "kind", "predicate", "subject", "object", "match_text", "first_time", "last_time"]
+    kinds = [*[pa.string()] * 6, *[pa.timestamp("us", "UTC")] * 2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(s, *hit[:5]) for s, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in scan(x)]
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], names=names)
+            rows = []
+            for s, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hits = scan(x)
+                times = [t for _, t in time_expressions(x) if t] if hits else []
+                rows += [(s, *hit[:5], min(times, default=None), max(times, default=None)) for hit in hits]
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return docs.select(F.col("source_id").cast("string"), "text").mapInArrow(run, ", ".join(f"{n} string" for n in names[:6]) + ", first_time timestamp, last_time timestamp")
+
+
+@F.arrow_udf(IntegerType())
+def times_named(texts: pa.Array) -> pa.Array:
+    """How many time expressions a text has."""
+    return pa.array([len(time_expressions(x)) for x in texts.to_pylist()], pa.int32())
+
+
+def probed(mentions: DataFrame, tagger: Callable[[str], list[tuple[str, str]]] | None, column: str = "mention") -> DataFrame:
+    """``mentions`` with ``entity_type``: the label of the one entity that is the whole mention, COMPOUND if there are
+    others or only a part is one, NONE without any, UNAVAILABLE without a tagger. ``tagger``: text to (span, label)."""
+
+    @F.arrow_udf("string")
+    def label(texts: pa.Array) -> pa.Array:
+        out = []
+        for x in texts.to_pylist():
+            found = tagger((x or "").strip()) if (x or "").strip() else []
+            out.append("NONE" if not found else found[0][1] if len(found) == 1 and found[0][0].strip() == x.strip() else "COMPOUND")
+        return pa.array(out, pa.string())
+
+    return mentions.withColumn("entity_type", F.lit("UNAVAILABLE") if tagger is None else label(F.col(column)))
+
+
+def encoded(rows: DataFrame, encoder: Callable[[list[str]], object], text_col: str = "text", vector_col: str = "vector") -> DataFrame:
+    """``rows`` with a vector of each text (null: empty) by any encoder of lists of texts, a batch at a time."""
+
+    @F.arrow_udf("array<double>")
+    def vector(texts: pa.Array) -> pa.Array:
+        found = encoder([x or "" for x in texts.to_pylist()]) if len(texts) else []
+        return pa.array([[float(c) for c in v] for v in found], pa.list_(pa.float64()))
 
-    return docs.select(F.col("source_id").cast("string"), "text").mapInArrow(run, ", ".join(f"{n} string" for n in names))
+    return rows.withColumn(vector_col, vector(F.col(text_col)))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronofact.functions.texts import camel_case, entity_name, expected_coverage, is_event_verb, natural_predicate, script_language, token_count, wilson
+from chronofact.functions.extraction import times_named
+from chronofact.functions.texts import camel_case, entity_name, expected_coverage, is_event_verb, natural_predicate, script_language, shortened, token_count, wilson
 from chronofact.model import KEY
 
 
@@ -53,6 +54,17 @@ def decision_histogram(lines: DataFrame, column: str = "value", field: str = "de
     return parsed.where("__ok").groupBy(F.coalesce(F.get_json_object(column, f"$.{field}"), F.lit("UNKNOWN")).alias("decision")).agg(F.count("*").alias("n"))
 
 
+def last_rationales(lines: DataFrame, n: int = 5, column: str = "value", at: str = "timestamp") -> DataFrame:
+    """``decision, rationale, timestamp`` of the last ``n`` judgements; broken lines don't count."""
+    get = lambda name: F.get_json_object(column, f"$.{name}")
+    parsed = lines.where(F.try_parse_json(F.col(column)).isNotNull())
+    return parsed.select(F.coalesce(get("decision"), F.lit("UNKNOWN")).alias("decision"), get("rationale").alias("rationale"), get(at).alias("timestamp")).orderBy(F.col("timestamp").desc_nulls_last()).limit(n)
+
+
+def passage_count(passages: DataFrame) -> DataFrame:
+    return passages.agg(F.count("*").alias("n"))
+
+
 def disputes(facts: DataFrame, evidence: str = "text") -> DataFrame:
     """Contested facts by subject and predicate: their claims in order, with 140 characters of evidence."""
     claim = F.struct("validity_start", "id", F.concat(F.col("object"), F.lit(": "), F.substring(evidence, 1, 140)).alias("claim"))
@@ -85,19 +97,36 @@ def drift_and_conflict(facts: DataFrame, functional: list[str], renaming: list[s
     return out.withColumn("verdict", verdict(F.col("drift"), F.col("conflict"), F.greatest("drift", "conflict", "depth", "rename")))
 
 
-def fast_scan(triggers: DataFrame, n_docs: int, vocabulary: DataFrame) -> DataFrame:
-    """The scan of a sample's triggers, one row: clusters by subject and predicate, the share of functional clusters with
-    several objects and of documents with a renaming."""
+#: Examples of each dimension of a scan, and the days over which a cluster's objects must differ to drift.
+EXAMPLES, DRIFT_DAYS = 3, 365
+DIMENSIONS = ("depth", "drift", "conflict", "rename")
+
+
+def fast_scan(sample: DataFrame, triggers: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """The scan of a sample of documents (source_id, text) and its triggers, one row.
+
+    Of documents, the shares that name a time (``depth``) and a renaming (``rename``); of clusters by subject and
+    predicate, the share with several objects whose documents' times are over a year apart (``drift``); of functional
+    clusters, that with several objects (``conflict``). Each in percent with its 95 % interval, counts and examples.
+    """
     dim = F.broadcast(vocabulary.select(F.col("alias").alias("__alias"), "canonical", "cardinality"))
     named = triggers.join(dim, F.lower("predicate") == F.col("__alias"), "left").withColumn("predicate", F.coalesce("canonical", "predicate"))
-    clusters = named.groupBy("subject", "predicate").agg(F.countDistinct("object").alias("objects"), F.first("cardinality").alias("cardinality"))
-    functional = F.coalesce(F.col("cardinality") == "functional", F.lit(False))
-    counts = clusters.agg(F.count("*").alias("n_clusters"), F.count_if(functional).alias("n_functional"), F.count_if(functional & (F.col("objects") >= 2)).alias("n_conflict"))
-    renames = named.where("kind = 'entity_rename'").agg(F.countDistinct("source_id").alias("n_rename"))
-    out = counts.crossJoin(renames).withColumn("n_docs", F.lit(n_docs))
-    low, high = wilson(F.col("n_rename"), F.col("n_docs"))
-    conflict = F.when(F.col("n_functional") > 0, 100.0 * F.col("n_conflict") / F.col("n_functional")).otherwise(0.0)
-    return out.withColumns({"conflict": conflict, "rename": 100.0 * F.col("n_rename") / F.greatest("n_docs", F.lit(1)), "rename_low": low, "rename_high": high})
+    clusters = named.groupBy("subject", "predicate").agg(
+        F.countDistinct("object").alias("objects"), F.first("cardinality").alias("cardinality"), F.timestamp_diff("DAY", F.min("first_time"), F.max("last_time")).alias("days"),
+        F.min("object").alias("one"), F.max("object").alias("other"),
+    )
+    functional, several = F.coalesce(F.col("cardinality") == "functional", F.lit(False)), F.col("objects") >= 2
+    drifts, cluster = several & F.coalesce(F.col("days") > DRIFT_DAYS, F.lit(False)), F.concat_ws(" / ", "subject", "predicate")
+    best = lambda hit, text: F.transform(F.slice(F.sort_array(F.collect_list(F.when(hit, F.struct("objects", shortened(text).alias("text")))), asc=False), 1, EXAMPLES), lambda x: x["text"])
+    pair = F.concat(cluster, F.lit(" / "), F.col("one"), F.lit(" \u2194 "), F.col("other"))
+    of_clusters = clusters.agg(F.count("*").alias("n_clusters"), F.count_if(functional).alias("n_functional"), F.count_if(drifts).alias("n_drift"), F.count_if(functional & several).alias("n_conflict"), best(drifts, cluster).alias("drift_examples"), best(functional & several, pair).alias("conflict_examples"))
+    renames = named.where("kind = 'entity_rename'").agg(F.countDistinct("source_id").alias("n_rename"), F.slice(F.array_sort(F.collect_set(shortened(F.col("match_text")))), 1, EXAMPLES).alias("rename_examples"))
+    of_docs = sample.select(times_named(F.col("text")).alias("__t")).agg(F.count("*").alias("n_docs"), F.count_if(F.col("__t") > 0).alias("n_depth"))
+    out, of = of_clusters.crossJoin(renames).crossJoin(of_docs), dict(zip(DIMENSIONS, ("n_docs", "n_clusters", "n_functional", "n_docs"), strict=True))  # a row each
+    for name, n in of.items():
+        low, high = wilson(F.col(f"n_{name}"), F.col(n))
+        out = out.withColumns({name: F.when(F.col(n) > 0, 100.0 * F.col(f"n_{name}") / F.col(n)).otherwise(0.0), f"{name}_low": low, f"{name}_high": high})
+    return out.withColumn("verdict", verdict(F.col("drift"), F.col("conflict"), F.greatest(*DIMENSIONS)))
 
 
 def discover_predicates(facts: DataFrame, vocabulary: DataFrame | None = None, min_frequency: int = 3) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from chronofact.durable import saved
 from chronofact.functions.texts import domain, script_language
 
 STRATA = ("source_date", "none", "domain", "language", "composite")
@@ -50,18 +51,44 @@ def strata(docs: DataFrame, by: str, id_col: str = "source_id") -> DataFrame:
     return docs.withColumn("stratum", key)
 
 
-def stratified(docs: DataFrame, size: int, seed: int = 0, stratum: str = "stratum", id_col: str = "source_id") -> DataFrame:
-    """About equal shares of each stratum, filled up from what is left to ``size`` rows in all."""
+def stratified(docs: DataFrame, size: int, seed: int = 0, stratum: str = "stratum", id_col: str = "source_id", distance: int | None = None, text_col: str = "text") -> DataFrame:
+    """About equal shares of each stratum, filled up from what is left to ``size`` rows in all. With ``distance``, rows
+    whose SimHash is within so many bits of an earlier one's in the draw are passed over, and others drawn instead."""
     if size <= 0:
         return docs.limit(0)
     order = draw_order(id_col, seed)
-    keyed = docs.select(F.col(id_col), F.col(stratum), order.alias("__h"))
+    columns = [F.col(id_col), F.col(stratum), order.alias("__h"), *([simhash(F.col(text_col)).alias("__s")] if distance is not None else [])]
+    keyed = docs.select(*columns)
     each = F.ceil(F.lit(size) / F.greatest(F.lit(1), F.lit(docs.select(stratum).distinct().count())))
-    turn = keyed.withColumn("__turn", F.row_number().over(W.partitionBy(stratum).orderBy("__h"))).where(F.col("__turn") <= size)  # a stratum gives no more, so tasks send no more
+    by_stratum = W.partitionBy(stratum).orderBy("__h")
+    if distance is not None:
+        first = keyed.groupBy("__s").agg(F.min_by(F.struct(id_col, stratum, "__h"), "__h").alias("__r"))  # of equal texts the first one drawn
+        turn = first.select("__s", "__r.*").withColumn("__turn", F.row_number().over(by_stratum))
+        return docs.join(_apart(turn, each, size, distance, id_col), id_col, "left_semi")
+    turn = keyed.withColumn("__turn", F.row_number().over(by_stratum)).where(F.col("__turn") <= size)  # a stratum gives no more, so tasks send no more
     chosen = turn.orderBy((F.col("__turn") > each).cast("int"), "__h").limit(size)
     return docs.join(chosen.select(id_col), id_col, "left_semi")
 
 
+def _apart(turn: DataFrame, each: Column, size: int, distance: int, id_col: str) -> DataFrame:
+    """The first ``size`` rows in the order of the draw that are farther than ``distance`` from all kept before; ids. Rows
+    come to the driver a few times ``size`` at a time, ids and hashes only, until enough are kept."""
+    ordered = saved(turn.select(id_col, "__s", F.struct((F.col("__turn") > each).cast("int").alias("late"), F.col("__turn") * (F.col("__turn") > each).cast("int"), "__h").alias("__o")))
+    kept, hashes, last = [], np.zeros(0, np.uint64), None
+    while len(kept) < size:
+        rest = ordered if last is None else ordered.where(F.col("__o") > F.struct(*(F.lit(x) for x in last)))
+        rows = rest.orderBy("__o").limit(4 * size).collect()
+        for r in rows:
+            h = np.uint64(r["__s"] & (2**64 - 1))
+            if len(kept) < size and not (np.bitwise_count(hashes ^ h) <= distance).any():
+                kept.append(r[id_col])
+                hashes = np.append(hashes, h)
+        if len(rows) < 4 * size:
+            break
+        last = tuple(rows[-1]["__o"])
+    return turn.sparkSession.createDataFrame([(k,) for k in kept], turn.select(id_col).schema)
+
+
 def reservoir(docs: DataFrame, size: int, seed: int = 0, id_col: str = "source_id") -> DataFrame:
     """A uniform sample of ``size`` rows, as the rows of the least hashes."""
     return docs.orderBy(draw_order(id_col, seed), id_col).limit(max(0, size))

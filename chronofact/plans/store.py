@@ -7,13 +7,16 @@ the store as it was. All methods that read give lazy DataFrames.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofact.functions.extraction import Extractor, extract, scan_documents, trigger_extractor
-from chronofact.functions.texts import alias_key, object_problem
+from chronofact.durable import saved
+from chronofact.functions.extraction import Extractor, extract, probed, scan_documents, trigger_extractor
+from chronofact.functions.intervals import contains
+from chronofact.functions.texts import alias_key, object_problem, script_language
 from chronofact.functions.vocabulary import FUNCTIONAL, Predicate, Vocabulary, canonicalize
 from chronofact.model import DOCUMENTS, FACTS, KEY, PASSAGES, fact_id
 from chronofact.operators import catalog, chains, conflicts, governance, reports, sampling, search, views
@@ -58,34 +61,40 @@ class FactStore:
         return self._table("passages")
 
     # --- ingest ---------------------------------------------------------------------------------------------------------
-    def candidates(self, docs: DataFrame, extractor: Extractor = trigger_extractor, accept: float = 0.0) -> DataFrame:
-        """Facts of documents before they meet others: extracted, canonical, dated, names unified with known ones, objects
-        checked. No step needs more than a row, but for the names, which are one shuffle of distinct mentions."""
+    def candidates(self, docs: DataFrame, extractor: Extractor = trigger_extractor, accept: float = 0.0, tagger: Tagger | None = None, similar: float | None = None) -> DataFrame:
+        """Facts of documents before they meet others: extracted, canonical, dated, turned round or dropped where a
+        ``tagger`` says that the entities' types fit so or not at all, names unified with known ones (by string
+        similarity too with ``similar``), objects checked. ``ingest_seq`` is the order of source date, source and place
+        in it. No step needs more than a row, but for names, a shuffle of distinct mentions, and the order."""
         found = canonicalize(extract(docs, extractor), self.vocabulary).where(object_problem(F.col("object")).isNull())
         if accept:
             found = views.gate(found, accept, min(accept, 0.6), "extraction_confidence").where("decision = 'accepted'").drop("decision")
+        none = lambda kind: F.lit(None).cast(kind)
+        if tagger is not None:
+            found = views.flipped(views.direction(_typed(found, tagger), self.vocabulary.dimension(self.spark)))
+        else:
+            found = found.withColumns({"subject_type": none("string"), "object_type": none("string")})
         names = self.facts.select(F.explode(F.array("subject", "object")).alias("mention"), F.lit(0).cast("long").alias("ingest_seq"))
         mentions = found.select(F.explode(F.array("subject", "object")).alias("mention"), F.lit(1).cast("long").alias("ingest_seq"))
-        aliases = conflicts.resolve_aliases(names.unionByName(mentions)).where(alias_key(F.col("mention")) != "").select("mention", "canonical")
+        aliases = conflicts.resolve_aliases(names.unionByName(mentions), similar=similar).where(alias_key(F.col("mention")) != "").select("mention", "canonical")
         for column in ("subject", "object"):
             found = found.join(aliases.select(F.col("mention").alias(column), F.col("canonical").alias(f"__{column}")), column, "left").withColumn(column, F.coalesce(f"__{column}", column)).drop(f"__{column}")
-        none = lambda kind: F.lit(None).cast(kind)
         span = F.struct("source_id", "evidence_span", none("int").alias("char_start"), none("int").alias("char_end"), F.current_timestamp().alias("created_at"))
         rows = found.withColumns({
-            "kind": F.lit("semantic_fact"), "text": F.col("evidence_span"), "subject_type": none("string"), "object_type": none("string"), "scope": F.lit("global"), "source_type": F.when(F.col("validity_start").isNull(), "placeholder").otherwise("document"),
+            "kind": F.lit("semantic_fact"), "text": F.col("evidence_span"), "scope": F.lit("global"), "source_type": F.when(F.col("validity_start").isNull(), "placeholder").otherwise("document"),
             "status": F.lit("active"), "rank": F.lit("normal"), "parent_id": none("string"), "provenance": F.array(span), "created_at": F.current_timestamp(), "updated_at": F.current_timestamp(), "evidence": F.lit(1),
-            "ingest_seq": F.xxhash64("source_id").bitwiseAND(F.lit((1 << 40) - 1)) * 1000 + F.least(F.col("position"), F.lit(999)),
         })
+        rows = arrived(rows)
         rows = rows.withColumn("validity_start", F.coalesce("validity_start", F.lit(UNDATED).cast("timestamp")))
         return rows.withColumn("id", fact_id()).selectExpr(*(c.split()[0] for c in re.sub(r"array<.*>", "x", TABLES["facts"]).split(", ")))
 
-    def ingest(self, docs: DataFrame, extractor: Extractor = trigger_extractor, accept: float = 0.0) -> dict[str, int]:
+    def ingest(self, docs: DataFrame, extractor: Extractor = trigger_extractor, accept: float = 0.0, **options) -> dict[str, int]:
         """Writes the documents' passages and facts; ``added`` facts and ``contested`` ones in all. Only keys that the documents
         touch are folded; all other facts are copied as they are."""
         stamped = docs.select("source_id", "text", "uri", F.current_timestamp().alias("retrieved_at"), F.lit(None).cast("string").alias("meta_json"))
         self._commit("passages", catalog.upsert(self.passages, stamped, ["source_id"], "retrieved_at"))
         # written before it is used, as what an extractor gives may differ from call to call
-        self._commit("incoming", catalog.latest(self.candidates(docs, extractor, accept), ["id"], [F.col("ingest_seq")]))
+        self._commit("incoming", catalog.latest(self.candidates(docs, extractor, accept, **options), ["id"], [F.col("ingest_seq")]))
         old, new = self.facts, self._table("incoming")
         new = new.join(old.select("id"), "id", "left_anti")
         keys = new.select(*KEY).distinct()
@@ -102,7 +111,8 @@ class FactStore:
         """``queries``: query_id, query (and vector)."""
         facts = self.facts
         words = facts.withColumn("__words", F.concat_ws(" ", "text", "subject", "object"))
-        return search.hybrid(views.as_of(facts, at, view, filters), search.postings(words, "id", "__words"), search.statistics(words, "__words"), queries, vectors, top_k=top_k)
+        index = search.postings(words, "id", "__words")
+        return search.hybrid(views.as_of(facts, at, view, filters), index, search.statistics_of(index, words), queries, vectors, top_k=top_k)
 
     def succession(self, subject: str, predicate: str, scope: str = "global", at: Column | None = None, **options) -> DataFrame:
         return chains.succession(views.by_key(self.facts, subject, self.vocabulary.canonical(predicate), scope), at, **options)
@@ -121,9 +131,34 @@ class FactStore:
         facts = self.facts
         words = facts.withColumn("__words", F.concat_ws(" ", "text", "subject", "object"))
         asked = routed.select("query_id", F.col("search").alias("query"), F.coalesce("query_time", now).alias("at"))
-        live = views.as_of_join(facts.withColumn("one", F.lit(1)), asked.withColumn("one", F.lit(1)), ["one"], "at").where("f.status <> 'deprecated'").select("q.query_id", "f.id")
-        hits = search.bm25(search.postings(words, "id", "__words"), search.statistics(words, "__words"), asked, live, top_k)
-        return governance.context(hits.join(facts.drop("rank"), "id"), ["query_id"])
+        index = search.postings(words, "id", "__words")
+        found = search.bm25(index, search.statistics_of(index, words), asked, top_k=None).select("query_id", "id", "score")
+        # hits are few against all facts, so time is a condition on hits and not a join of all facts with all questions
+        live = found.join(facts.drop("rank"), "id").join(asked.select("query_id", "at"), "query_id").where(contains(F.col("at")) & (F.col("status") != "deprecated"))
+        return governance.context(search.ranked(live, top_k), ["query_id"])
+
+    def answered(self, questions: DataFrame, hits: DataFrame, now: Column, top_k: int = 10, extractor: Extractor = trigger_extractor, fresh_days: int | None = None) -> DataFrame:
+        """``query_id, mode, context`` of every question. ``hits``: query_id, source_id, text, source_date and rank of the
+        passages that another retriever found.
+
+        Questions that ask for facts get those of the store (``facts``); where it has none, and with ``fresh_days``
+        where none of the store's facts is that new, facts taken from the passages just now (``just_in_time``). All
+        other questions, and those without any fact, get the passages (``passages``), the best first.
+        """
+        known = self.answer_context(questions, now, top_k).withColumn("mode", F.lit("facts"))
+        if fresh_days is not None and not self.facts.where(F.col("updated_at") >= now - F.make_dt_interval(F.lit(fresh_days))).limit(1).count():
+            known = known.limit(0)
+        asked = governance.route(questions, self.vocabulary, now).where("use_facts").select("query_id", F.coalesce("query_time", now).alias("at"))
+        passages = hits.join(asked.join(known, "query_id", "left_anti"), "query_id")
+        docs = passages.select("source_id", "text", "source_date").dropDuplicates(["source_id"])
+        found = canonicalize(extract(docs, extractor), self.vocabulary).where(object_problem(F.col("object")).isNull())
+        now_facts = passages.select("query_id", "source_id", "rank", "at").join(found, "source_id").where(contains(F.col("at"), F.coalesce("validity_start", F.lit(UNDATED).cast("timestamp"))))
+        now_facts = now_facts.withColumns({"status": F.lit("active"), "provenance": F.array(F.struct("source_id", "evidence_span"))})
+        fresh = governance.context(now_facts, ["query_id"]).withColumn("mode", F.lit("just_in_time"))
+        both = known.unionByName(fresh)
+        line = F.concat(F.lit("["), F.col("source_id"), F.lit("] "), F.col("text"))
+        rest = hits.join(both, "query_id", "left_anti").where(F.col("rank") <= top_k).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]), "\n").alias("context"))
+        return questions.select("query_id").join(both.unionByName(rest.withColumn("mode", F.lit("passages"))), "query_id", "left").select("query_id", "mode", "context")
 
     def stats(self) -> dict:
         return reports.store_stats(self.facts, self.vocabulary.renaming()).first().asDict()
@@ -132,31 +167,72 @@ class FactStore:
         return catalog.snapshot_diff(self._table("facts", version), self.facts)
 
 
+Tagger = Callable[[str], list[tuple[str, str]]]
+
+
+def _typed(triples: DataFrame, tagger: Tagger) -> DataFrame:
+    """``triples`` with the types of subject and object; each distinct mention is tagged once. Types that the tagger can't
+    tell are null."""
+    mentions = triples.select(F.explode(F.array("subject", "object")).alias("mention")).distinct()
+    types = probed(mentions, tagger).withColumn("entity_type", F.when(~F.col("entity_type").isin("NONE", "UNAVAILABLE"), F.upper("entity_type")))
+    for column in ("subject", "object"):
+        triples = triples.join(types.select(F.col("mention").alias(column), F.col("entity_type").alias(f"{column}_type")), column, "left")
+    return triples
+
+
+def arrived(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``ingest_seq``: numbers that rise with source date, source and position; undated sources come first.
+    Rows are dealt by range, so no task sorts them all."""
+    ordered = rows.repartitionByRange("source_date", "source_id", "position").sortWithinPartitions("source_date", "source_id", "position")
+    return ordered.withColumn("ingest_seq", F.monotonically_increasing_id())
+
+
 def audit(passages: DataFrame, vocabulary: Vocabulary, at: Column, stale_days: int | None = 180, extractor: Extractor = trigger_extractor) -> DataFrame:
     """Counts of conflicts and stale facts in passages (source_id, text, source_date) without any store: facts are folded
     as they come, equal ones not taken for duplicates."""
-    found = canonicalize(extract(passages, extractor), vocabulary)
-    facts = found.withColumns({"scope": F.lit("global"), "status": F.lit("active"), "evidence": F.lit(1), "validity_start": F.coalesce("validity_start", F.lit(UNDATED).cast("timestamp")), "ingest_seq": F.xxhash64("source_id"), "provenance": F.array(F.struct("source_id", "evidence_span", F.coalesce("validity_start", at).alias("created_at")))})
+    found = arrived(canonicalize(extract(passages, extractor), vocabulary))
+    facts = found.withColumns({"scope": F.lit("global"), "status": F.lit("active"), "evidence": F.lit(1), "validity_start": F.coalesce("validity_start", F.lit(UNDATED).cast("timestamp")), "provenance": F.array(F.struct("source_id", "evidence_span", F.coalesce("validity_start", at).alias("created_at")))})
     facts = facts.withColumn("id", F.concat_ws("#", "source_id", "position"))
     return governance.audit_counts(conflicts.resolve_conflicts(facts, vocabulary, dedup=None), views.is_stale(at, stale_days))
 
 
-def scan_corpus(docs: DataFrame, vocabulary: Vocabulary, size: int = 500, by: str = "composite", seed: int = 0) -> DataFrame:
-    """The fast scan of a stratified sample of documents, one row."""
-    sample = sampling.stratified(sampling.strata(docs, by), size, seed)
-    return reports.fast_scan(scan_documents(sample), sample.count(), vocabulary.dimension(docs.sparkSession))
+def scan_corpus(docs: DataFrame, vocabulary: Vocabulary, size: int = 500, by: str = "composite", seed: int = 0, distance: int | None = 3) -> DataFrame:
+    """The fast scan of a stratified sample of documents without near duplicates, one row."""
+    sample = saved(sampling.stratified(sampling.strata(docs, by), size, seed, distance=distance).select("source_id", "text"))
+    return reports.fast_scan(sample, scan_documents(sample), vocabulary.dimension(docs.sparkSession))
 
 
-def auto(store: FactStore, docs: DataFrame, sample: int = 500, extractor: Extractor = trigger_extractor, min_frequency: int = 3) -> dict:
-    """From documents to a store: discovers predicates on a sample, takes them up, ingests all, and reports."""
+def auto(store: FactStore, docs: DataFrame, sample: int = 500, extractor: Extractor = trigger_extractor, min_frequency: int = 3, seeds: int = 50, second: Extractor | None = None) -> dict:
+    """From documents to a store: discovers predicates on a sample, takes them up, ingests all, finds the questions most
+    worth asking, and reports. With a ``second`` extractor (a dearer one), the documents that these questions find are
+    ingested once more by it."""
     some = sampling.stratified(sampling.strata(docs, "composite"), sample)
     facts = extract(some, extractor)
     proposals = reports.discover_predicates(facts, store.vocabulary.dimension(store.spark), min_frequency).collect()  # as few as predicates are
     store.vocabulary = store.vocabulary.merged([Predicate(r["name"], r["cardinality"], tuple(filter(None, r["aliases"].split(", ")))) for r in proposals])
     counts = store.ingest(docs, extractor)
     functional = [p.name for p in store.vocabulary.predicates.values() if p.cardinality == FUNCTIONAL]
+    asked = seed_questions(store.facts, functional, store.vocabulary.renaming(strict=True), seeds, min_frequency).collect()  # seeds of them at most
+    again = None
+    if second is not None and asked:
+        queries = store.spark.createDataFrame([(i, r["query"]) for i, r in enumerate(asked)], "query_id long, query string")
+        index = search.postings(docs, "source_id", "text", search.plain_terms)
+        hits = search.any_term(index, search.statistics(docs, "text", search.plain_terms), queries, 5).select(F.col("id").alias("source_id")).distinct()
+        again = store.ingest(docs.join(hits, "source_id", "left_semi"), second)
     scan = reports.drift_and_conflict(store.facts, functional, store.vocabulary.renaming()).first().asDict()
-    return {"ingest": counts, "predicates": [r.asDict() for r in proposals], "scan": scan, "stats": store.stats()}
+    return {"ingest": counts, "predicates": [r.asDict() for r in proposals], "seeds": [r.asDict() for r in asked], "second": again, "scan": scan, "stats": store.stats()}
+
+
+def seed_questions(facts: DataFrame, functional: list[str], renaming: list[str], budget: int = 50, min_frequency: int = 3) -> DataFrame:
+    """Questions about a store's facts by the coverage expected of them, the best ``budget``."""
+    spark = facts.sparkSession
+    mentions = facts.select(F.explode(F.array("subject", "object")).alias("entity"), "predicate", script_language(F.col("text")).alias("lang"))
+    entities = reports.seed_entities(mentions, budget, min_frequency)
+    some = spark.createDataFrame([(p,) for p in functional], "predicate string").join(facts.select("predicate").distinct(), "predicate", "left_semi")
+    renamed = facts.where(F.col("predicate").isin(renaming)).groupBy(F.col("subject").alias("entity")).agg(F.count("*").alias("n"))
+    disputed = facts.where("status = 'contested'").groupBy(F.col("subject").alias("entity"), "predicate").agg(F.count("*").alias("n"))
+    asked = reports.seed_queries(entities.select("entity", "n", "rank"), some, renamed, disputed)
+    return asked.orderBy(F.col("coverage").desc(), "query").limit(budget)
 
 
 def to_markdown(title: str, rows: list[dict]) -> str:

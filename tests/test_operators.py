@@ -247,3 +247,85 @@ def test_reports(spark, facts):
     entities = spark.createDataFrame([("Acme", 4, 1)], "entity string, n long, rank int")
     seeds = reports.seed_queries(entities, spark.createDataFrame([("chiefExecutiveOfficer",)], "predicate string"), spark.createDataFrame([("Acme", 4)], "entity string, n long"), spark.createDataFrame([("Acme", "chiefExecutiveOfficer", 4)], "entity string, predicate string, n long"))
     assert {r.query: r.kind for r in seeds.collect()} == {"Acme CEO": "functional", "Acme renamed": "rename", "Acme formerly known as": "rename", "Acme": "entity_coverage"}
+
+
+def test_similar_names(spark):
+    names = ["International Business Machines", "Internatonal Business Machines", "Business", "International Business Machine", "Deutsche Bank", "Deutsche Banks", "a", "a b", "Zed"]
+    rows = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "mention string, ingest_seq long")
+    pairs = {(r.a, r.b): r.cosine for r in conflicts.similar_names(rows.select(F.col("mention").alias("name")), 0.7).collect()}
+
+    def grams(name):
+        out = []
+        for w in name.lower().split():
+            w = f" {w} "
+            out += [w[i : i + n] for n in (3, 4) for i in range(max(1, len(w) - n + 1))] if len(w) > 3 else [w]
+        return out
+
+    count = {n: {g: grams(n).count(g) for g in grams(n)} for n in names}
+    idf = lambda g: np.log((1 + len(names)) / (1 + sum(g in c for c in count.values()))) + 1
+    vector = {n: {g: k * idf(g) for g, k in c.items()} for n, c in count.items()}
+    norm = {n: np.sqrt(sum(w * w for w in v.values())) for n, v in vector.items()}
+    want = {(a, b): sum(w * vector[b].get(g, 0) for g, w in vector[a].items()) / norm[a] / norm[b] for a in names for b in names if a != b and min(len(a), len(b)) >= 0.5 * max(len(a), len(b))}
+    want = {k: v for k, v in want.items() if v >= 0.7}
+    assert len(want) >= 4 and set(pairs) == set(want) and all(abs(pairs[k] - v) < 1e-9 for k, v in want.items())
+    got = {r.mention: (r.canonical, r.stage) for r in conflicts.resolve_aliases(rows, similar=0.7).collect()}
+    assert got["International Business Machine"] == (names[0], "string_sim") and got["Deutsche Banks"] == ("Deutsche Bank", "string_sim")
+    assert got["Zed"] == ("Zed", "new") and conflicts.resolve_aliases(rows.limit(0), similar=0.7).count() == 0
+
+
+def test_cosine_duplicates(spark, facts):
+    df = facts.where("subject = 'Google' and predicate = 'chiefExecutiveOfficer'").withColumns({"evidence": F.lit(1), "ingest_seq": F.col("id")})
+    encoder = lambda texts: [[1.0, 0.0] if t in ("Page", "Pichai") else [0.0, 1.0] for t in texts]
+    assert sorted(r.object for r in conflicts.resolve_conflicts(df, Vocabulary.default(), encoder=encoder).collect()) == ["Page", "Schmidt"]
+
+
+def test_sample_without_near_duplicates(spark):
+    words = lambda i: " ".join(f"w{i}x{k}" for k in range(40))
+    texts = [words(0)] * 60 + [words(0) + " more"] * 10 + [words(i) for i in range(1, 31)]
+    docs = spark.createDataFrame([(f"d{i}", t, "s") for i, t in enumerate(texts)], "source_id string, text string, stratum string")
+    got = sampling.stratified(docs, 25, distance=3).collect()
+    hashes = [sampling.simhash_of(r.text) & (2**64 - 1) for r in got]
+    assert len(got) == 25 and all(bin(a ^ b).count("1") > 3 for a, b in itertools.combinations(hashes, 2))
+    every = sampling.stratified(docs, 90, distance=3).collect()
+    assert 30 <= len(every) <= 32 and {r.text for r in every} >= {words(i) for i in range(1, 31)}
+
+
+def test_dense_search(spark):
+    rng = np.random.default_rng(0)
+    x, q = rng.normal(size=(300, 5)), rng.normal(size=(7, 5))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0])], "id long, vector array<double>").repartition(4)
+    queries = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(q)], "query_id string, vector array<double>")
+    scores = {"dot": q @ x.T, "cosine": (q @ x.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(x, axis=1), "l2": -np.linalg.norm(q[:, None] - x, axis=2)}
+    for metric, want in scores.items():
+        for block in (3, 4096):
+            search.QUERY_BLOCK, saved = block, search.QUERY_BLOCK
+            got = search.dense(vectors, queries, 5, metric).collect()
+            search.QUERY_BLOCK = saved
+            assert {(r.query_id, r.rank): r.id for r in got} == {(f"q{i}", k + 1): int(j) for i in range(7) for k, j in enumerate(np.argsort(-want[i], kind="stable")[:5])}
+    assert search.dense(vectors, queries, None).count() == 7 * 300 and search.dense(vectors, queries.limit(0), 5).count() == 0
+    assert search.dense(vectors.limit(0), queries, 5).count() == 0
+
+
+def test_words_of_any_script(spark):
+    docs = spark.createDataFrame([(1, "Für die Häuser: \u041f\u0440\u0438\u0432\u0435\u0442, \u4e2d\u6587!"), (2, "Running runners RAN"), (3, None), (4, "")], "id long, text string")
+    index = search.postings(docs, "id", "text")
+    assert {r.term for r in index.where("id = 1").collect()} == {"fur", "die", "hauser", "\u043f\u0440\u0438\u0432\u0435\u0442", "\u4e2d\u6587"}
+    assert {r.term: r.tf for r in index.where("id = 2").collect()} == {"run": 1, "runner": 1, "ran": 1}
+    stats = search.statistics_of(index, docs).first()
+    assert (stats.n_texts, stats.mean_length) == (4, 8 / 4) and search.statistics(docs, "text").first() == stats
+    asked = spark.createDataFrame([(1, "f\u00dcR"), (2, "runs"), (3, "\u041f\u0420\u0418\u0412\u0415\u0422 hauser")], "query_id long, query string")
+    assert sorted((r.query_id, r.id) for r in search.bm25(index, stats and search.statistics_of(index, docs), asked).collect()) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_hooks(spark):
+    from chronofact.functions.extraction import encoded, probed, time_expressions
+
+    assert [s for s, _ in time_expressions("On 3 May 2001 and in 1999, by 2004-02-03, March 2010.")] == ["3 May 2001", "1999", "2004-02-03", "March 2010"]
+    mentions = spark.createDataFrame([("Acme",), ("CEO of Acme",), ("",), ("x",)], "mention string")
+    tagger = lambda x: [("Acme", "ORG")] if "Acme" in x else []
+    assert [r.entity_type for r in probed(mentions, tagger).collect()] == ["ORG", "COMPOUND", "NONE", "NONE"]
+    assert {r.entity_type for r in probed(mentions, None).collect()} == {"UNAVAILABLE"}
+    texts = spark.createDataFrame([("ab",), (None,)], "text string")
+    assert [r.vector for r in encoded(texts, lambda xs: [[len(x), 1] for x in xs]).collect()] == [[2.0, 1.0], [0.0, 1.0]]
+    lines = spark.createDataFrame([('{"decision": "a", "rationale": "r1", "timestamp": "2"}',), ("{bad",), ('{"rationale": "r2", "timestamp": "3"}',)], "value string")
+    assert [(r.decision, r.rationale) for r in reports.last_rationales(lines, 2).collect()] == [("UNKNOWN", "r2"), ("a", "r1")]

@@ -34,9 +34,10 @@ def test_folder_and_passages(spark, tmp_path):
 
 
 def test_corpora(spark):
-    docs = readers.documents(spark, [{"source_id": f"d{i}", "text": "a recipe for soup" if i % 2 else "stock market news"} for i in range(30)])
+    docs = readers.documents(spark, [{"source_id": f"d{i}", "text": "a recipe for soup" if i % 3 == 0 else "stock market news"} for i in range(30)])
     corpus = corpora.TableCorpus(docs)
     assert {r.text for r in corpus.search("recipe", 5).collect()} == {"a recipe for soup"}
+    assert {r.text for r in corpus.search("recipe unheard", 5).collect()} == {"a recipe for soup"}  # any word will do
     assert corpus.search("absent", 3).count() == 3
     assert corpus.sample("topic_diverse", 4).count() <= 4 and corpus.sample("uniform", 5).count() == 5
     with pytest.raises(ValueError):

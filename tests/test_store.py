@@ -55,14 +55,50 @@ def test_audit_and_scan(docs):
     row = audit(docs, Vocabulary.default(), F.lit("2024-01-01").cast("timestamp")).first()
     assert row.n_facts == 5 and row.n_conflicts >= 1
     scan = scan_corpus(docs, Vocabulary.default()).first()
-    assert (scan.n_docs, scan.n_rename) == (6, 1) and scan.conflict > 0
+    assert (scan.n_docs, scan.n_rename, scan.n_depth) == (6, 1, 2) and scan.conflict > 0
+    assert scan.depth == pytest.approx(100 / 3) and scan.depth_low < scan.depth < scan.depth_high
+    assert scan.n_drift == 0 and any("Redmond \u2194 Seattle" in x for x in scan.conflict_examples) and len(scan.rename_examples) == 1
+
+
+def test_scan_of_drift(spark):
+    texts = ["Acme is headquartered in Berlin, as of 1999-05-01.", "Acme is headquartered in Madrid, in March 2014.", "Bolt is headquartered in Rome since 2001", "Bolt is headquartered in Oslo since 2001", "plain"]
+    docs = spark.createDataFrame([(f"d{i}", t, None, None) for i, t in enumerate(texts)], "source_id string, text string, uri string, source_date timestamp")
+    scan = scan_corpus(docs, Vocabulary.default(), by="none").first()
+    assert (scan.n_clusters, scan.n_drift, scan.n_conflict, scan.n_depth, scan.verdict) == (2, 1, 2, 4, "high") and scan.drift_examples == ["Acme / headquarteredIn"]
+    assert scan.drift == 50 and scan.conflict == 100 and scan.depth == 80 and scan.rename == 0
+    assert scan_corpus(docs.limit(0), Vocabulary.default(), by="none").first().n_docs == 0
+
+
+def test_arrival_order_decides(spark, tmp_path):
+    rows = [("z", "Acme is headquartered in Berlin", datetime(2001, 1, 1)), ("a", "Acme is headquartered in Madrid", datetime(2002, 1, 1))]
+    docs = spark.createDataFrame([(s, t, None, d) for s, t, d in rows], "source_id string, text string, uri string, source_date timestamp")
+    found = FactStore(spark, str(tmp_path / "s")).candidates(docs).orderBy("ingest_seq").collect()
+    assert [r.object for r in found] == ["Berlin", "Madrid"]
+
+
+def test_types_turn_facts_round(spark, tmp_path, docs):
+    tagger = lambda x: [(x, "PERSON")] if x in ("Larry Page", "Sundar Pichai") else [(x, "ORG")] if x == "Google" else []
+    swapped = lambda text: [("Larry Page", "ceo", "Google", "x", 0.9)] if "Larry" in text else [("Sundar Pichai", "ceo", "Larry Page", "x", 0.9)] if "Sundar" in text else []
+    rows = FactStore(spark, str(tmp_path / "s")).candidates(docs, swapped, tagger=tagger).collect()
+    assert [(r.subject, r.predicate, r.object, r.subject_type) for r in rows] == [("Google", "chiefExecutiveOfficer", "Larry Page", "ORG")]
+
+
+def test_answered_with_passages(spark, store):
+    asked = spark.createDataFrame([(1, "Where is Microsoft headquartered in 2020?"), (2, "hello"), (3, "Who was CEO of Acme in 2019?"), (4, "nothing found")], "query_id long, query string")
+    hits = spark.createDataFrame([(2, "p2", "some text", None, 2), (2, "p1", "better text", None, 1), (3, "p3", "Ann Lee became CEO of Acme in 2018.", datetime(2018, 5, 5), 1)], "query_id long, source_id string, text string, source_date timestamp, rank int")
+    got = {r.query_id: (r.mode, r.context) for r in store.answered(asked, hits, F.current_timestamp()).collect()}
+    assert got[2] == ("passages", "[p1] better text\n[p2] some text") and got[4] == (None, None)
+    assert got[3][0] == "just_in_time" and "Ann Lee" in got[3][1]
+    stale = {r.query_id: r.mode for r in store.answered(asked, hits, F.lit("2099-01-01").cast("timestamp"), fresh_days=30).collect()}
+    assert "facts" not in stale.values()
 
 
 def test_commands(spark, tmp_path, capsys):
     source = tmp_path / "docs.jsonl"
     source.write_text("\n".join(json.dumps({"source_id": s, "text": t, "source_date": d and d.isoformat()}) for s, t, d in DOCS))
     run = lambda *args: json.loads(cli.main(["--store", str(tmp_path / "s"), *args, "--json"], spark))
-    assert json.loads(run("auto", str(source))[0]["ingest"])["added"] == 5
+    report = run("auto", str(source))[0]
+    assert json.loads(report["ingest"])["added"] == 5 and json.loads(report["second"]) is None
     assert run("inspect")[0]["n_facts"] == 5 and run("contested")[0]["n"] == 2
     assert run("renames", "Twitter Inc.")[0]["object"] == "X Corp"
     assert run("estimate-cost", str(source))[0]["n_sampled"] == 6
