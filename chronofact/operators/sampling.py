@@ -24,16 +24,24 @@ def draw_order(id_col: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
 
 
+def global_rank(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+    """``rows`` with ``__rank`` from 0 in an order without ties, and how many there are. Rows are dealt by range and sorted
+    there, so no task sorts them all; only a count for each partition comes to the driver."""
+    placed = saved(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    before, total = [], 0
+    for r in sorted(placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):
+        before.append((r["part"], total))
+        total += r["n"]
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(before, "__part long, __before long"))
+    ranked = placed.withColumn("__part", part).join(offsets, "__part").withColumn("__rank", F.col("__before") + place)
+    return ranked.drop("__at", "__part", "__before"), total
+
+
 def deciles(rows: DataFrame, order: list[str]) -> DataFrame:
-    """``decile`` 0..9 by rank, as even as ranks allow; null dates go to -1. Ranks are global: dates are range partitioned
-    and counted first, so no single task sorts all rows."""
-    dated = rows.where(F.col(order[0]).isNotNull())
-    by_date = dated.groupBy(order[0]).agg(F.count("*").alias("__c"))
-    before = by_date.withColumn("__before", F.sum("__c").over(W.orderBy(order[0]).rowsBetween(W.unboundedPreceding, -1)))
-    total = F.sum("__c").over(W.partitionBy())
-    before = before.select(order[0], F.coalesce("__before", F.lit(0)).alias("__before"), total.alias("__total"))
-    ranked = dated.join(before, order[0]).withColumn("__rank", F.row_number().over(W.partitionBy(order[0]).orderBy(*order)) - 1 + F.col("__before"))
-    placed = ranked.withColumn("decile", F.least(F.lit(9), F.floor(F.col("__rank") * 10 / F.col("__total"))).cast("int")).select(*rows.columns, "decile")
+    """``decile`` 0..9 by rank, as even as ranks allow; null dates go to -1."""
+    ranked, total = global_rank(rows.where(F.col(order[0]).isNotNull()), order)
+    placed = ranked.withColumn("decile", F.least(F.lit(9), F.floor(F.col("__rank") * 10 / max(1, total))).cast("int")).select(*rows.columns, "decile")
     return placed.unionByName(rows.where(F.col(order[0]).isNull()).withColumn("decile", F.lit(-1)))
 
 

@@ -493,7 +493,15 @@ def language_blocks(spark, d):
     return reports.mention_languages(table(spark, d, "documents").select("text")).groupBy("lang_block").agg(F.count("*").alias("n"))
 
 
-@query()
+_SPACES = "[\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '{_SPACES}'), lambda x: x <> '')) AS word FROM documents),
+n AS (SELECT doc_id, h, count(*) AS n FROM (SELECT doc_id, ('0x' || substr(md5(word), 17, 16))::UBIGINT AS h FROM w) GROUP BY ALL),
+b AS (SELECT doc_id, k, sum(CASE WHEN (h >> k) & 1 = 1 THEN n ELSE -n END) AS s FROM n, (SELECT unnest(range(64)) AS k) GROUP BY ALL),
+f AS (SELECT doc_id AS id, coalesce(bit_or(CASE WHEN s > 0 THEN 1::UBIGINT << k::UBIGINT ELSE 0::UBIGINT END), 0::UBIGINT) AS h FROM documents LEFT JOIN b USING (doc_id) GROUP BY doc_id),
+d AS (SELECT h, min(id) AS id FROM f GROUP BY h)
+SELECT x.id AS left_id, y.id AS right_id, bit_count(xor(x.h, y.h))::INT AS bits FROM d x JOIN d y ON x.id < y.id AND bit_count(xor(x.h, y.h)) <= 3 UNION ALL SELECT d.id, f.id, 0 FROM f JOIN d USING (h) WHERE f.id <> d.id""")
 def simhash_pairs(spark, d):
     hashed = table(spark, d, "documents").select(F.col("doc_id").alias("id"), sampling.simhash(F.col("text")).alias("simhash"))
     return sampling.near_duplicate_pairs(hashed)
