@@ -247,7 +247,8 @@ def near_vectors(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", ve
         pairs = stash(pairs.where(~_far("a", "b", limit)).select("a", "b"), "interval-pairs")
     for side in "ab":
         pairs = pairs.join(numbered.select(F.col("node").alias(side), F.col("path").alias(f"{side}_path")), side)
-    pairs = pairs.repartitionByRange("a", "b").sortWithinPartitions("a", "b").select("a_path", "b_path")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 8)  # stated, as rows of names are small and their work is not
+    pairs = pairs.repartitionByRange(tasks, "a", "b").sortWithinPartitions("a", "b").select("a_path", "b_path")
     found = stash(pairs.mapInArrow(tidy(_compare(cosine, limit)), "link boolean, x long, y long"), "vector-links")
     counts = found.where("not link").groupBy(F.col("x").alias("id")).agg(F.sum("y").alias("others"))
     roots = connected_components(found.where("link"), "x", "y").withColumnRenamed("node", "id")
