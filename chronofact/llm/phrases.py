@@ -1,7 +1,7 @@
 """Repeated passages, found by sharded automata of the phrases that recurring passages hold.
 
-Two equal windows of ``window`` words choose the same phrase of ``PHRASE`` words in them, the one of the least hash
-(the last of several), so a window can only recur if its phrase does.
+Two equal windows of ``window`` words choose the same phrase of PHRASE words in them, the one of the least hash (the
+last of several), so a window can only recur if its phrase does.
 
 1. Recurring passages are confirmed: chosen phrases are counted; of windows that choose a phrase counted twice, the
    hashes are counted too, equal runs of them as one first.
@@ -33,23 +33,26 @@ from pyspark.sql import types as t
 from chronofact.llm import text as T
 from chronofact.llm.storage import stash, tidy, tune
 
-PHRASE = 6
+#: Words of a phrase, where windows are longer; bits of a word's hash that are its letter.
+PHRASE, WORD = 10, 6
 #: Bits of the table that says which phrases may recur: of bounded size whatever the corpus, as it is broadcast. Where it
 #: fills up, more windows are counted than need be.
 BITS = 26
 #: Phrases and windows of a shard, and bytes of a row that holds a part of one.
 SHARD_PHRASES, SHARD_WINDOWS, SHARD_ROW = 60_000, 1_000_000, 4 * 2**20
-#: Bits of a word's hash that are written as letters, two of half as many each.
-WORD = 10
 #: Texts that a task remembers, so that stretches of copies that it has seen are not sent again.
 REMEMBERED = 200_000
 _U = np.uint64
 _BUCKET = 1 << 15  # bits in a bitmap of Spark's
 
 
+def phrase_words(window: int) -> int:
+    return min(PHRASE, window - 2)
+
+
 def _chosen(phrases: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window within a text: its first word, and the first word of the phrase that it chooses."""
-    span = window - PHRASE + 1
+    span = window - phrase_words(window) + 1
     count = np.maximum(np.diff(at) - window + 1, 0)
     starts = T.spread(at[:-1], count)
     if not len(starts):
@@ -65,25 +68,24 @@ def _chosen(phrases: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarra
     return starts, chosen
 
 
-def phrase_hashes(hashes: np.ndarray) -> np.ndarray:
-    """A hash of each run of PHRASE words, from which the letters of the phrase can be told again."""
-    m = max(0, len(hashes) - PHRASE + 1)
+def phrase_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` words, from which the letters of the phrase can be told again."""
+    m = max(0, len(hashes) - size + 1)
     packed = np.zeros(m, np.uint64)
-    for i in range(PHRASE):
+    for i in range(size):
         packed = packed << _U(WORD) | hashes[i : i + m] & _U((1 << WORD) - 1)
     return T.mix(packed)
 
 
 def letters(hashes: np.ndarray) -> np.ndarray:
-    """Two letters for each word (in the last axis), from alphabets of their own, so that no match begins inside a word."""
-    half = (1 << WORD // 2) - 1
-    return np.stack([(hashes & _U(half)).astype(np.uint8) + 64, (hashes >> _U(WORD // 2) & _U(half)).astype(np.uint8) + 96], -1)
+    """A letter for each word."""
+    return (hashes & _U((1 << WORD) - 1)).astype(np.uint8) + np.uint8(64)
 
 
-def pattern(h: int) -> str:
+def pattern(h: int, size: int) -> str:
     """The letters of a phrase."""
     packed = int(T.unmix(np.array([h], np.uint64))[0])
-    return _text(letters(np.array([packed >> WORD * i for i in reversed(range(PHRASE))], np.uint64)))
+    return _text(letters(np.array([packed >> WORD * i for i in reversed(range(size))], np.uint64)))
 
 
 def _text(written: np.ndarray) -> str:
@@ -97,7 +99,7 @@ def _phrases(window: int):
         for batch in batches:
             for part in T.pieces(batch, 0):
                 hashes, _, _, at = T.words(*T.buffers(part.column(0)), lower=False)
-                phrases = phrase_hashes(hashes)
+                phrases = phrase_hashes(hashes, phrase_words(window))
                 chosen = _chosen(phrases, at, window)[1]
                 places = chosen[np.flatnonzero(np.diff(chosen, prepend=-1))]  # places rise with the windows
                 h, n = np.unique(phrases[places], return_counts=True)
@@ -139,7 +141,7 @@ class _Windows:
     @classmethod
     def of(cls, texts: pa.Array, window: int, bits: np.ndarray) -> _Windows:
         hashes, _, _, at = T.words(*T.buffers(texts), lower=False)
-        phrases = phrase_hashes(hashes)
+        phrases = phrase_hashes(hashes, phrase_words(window))
         starts, chosen = _chosen(phrases, at, window)
         if len(starts):
             may = _may_recur(bits, phrases[chosen])
@@ -172,14 +174,14 @@ def compile_shard(patterns: list[str]) -> ahocorasick.Automaton:
     return automaton
 
 
-def _compiled(most_phrases: int, most_windows: int):
+def _compiled(size: int, most_phrases: int, most_windows: int):
     """Cuts confirmed windows, sorted by phrase, into shards: the phrases' automaton and the sorted keys of the windows,
     in rows of bounded size. A phrase of very many windows goes on in further shards."""
 
     def shard(rows: pa.Table, number: int) -> Iterator[pa.RecordBatch]:
         h, w = (rows.column(c).to_numpy().view(np.uint64) for c in ("h", "w"))
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        data = pickle.dumps((compile_shard([pattern(x) for x in h[first].tolist()]), np.sort(w)))
+        data = pickle.dumps((compile_shard([pattern(x, size) for x in h[first].tolist()]), np.sort(w)))
         low, high = int(h.view(np.int64)[0]), int(h.view(np.int64)[-1])
         for i, lo in enumerate(range(0, len(data), SHARD_ROW)):
             yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (number, i, low, high)] + [pa.array([data[lo : lo + SHARD_ROW]], pa.binary())], names=["number", "row", "low", "high", "data"])
@@ -243,18 +245,18 @@ def _stretches(window: int, bits: Broadcast):
                 rows, words = pa.array(owner), w.size + window - 1
                 written = letters(w.hashes[T.spread(w.starts[w.first], words)])
                 columns = [pa.array(w.h[w.first].view(np.int64)), part.column(0).take(rows), part.column(1).take(rows), pa.array(w.starts[w.first] - w.at[owner])]
-                yield pa.RecordBatch.from_arrays([*columns, T.binaries(written.ravel(), 2 * words), T.binaries(w.key, w.size)], names=["h", "k1", "k2", "start", "letters", "keys"])
+                yield pa.RecordBatch.from_arrays([*columns, T.binaries(written, words), T.binaries(w.key, w.size)], names=["h", "k1", "k2", "start", "letters", "keys"])
 
     return run
 
 
-def locate(automaton: ahocorasick.Automaton, written: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def locate(automaton: ahocorasick.Automaton, written: np.ndarray, size: np.ndarray, phrase: int) -> tuple[np.ndarray, np.ndarray]:
     """Of stretches of ``size`` words, one after another in ``written``: where phrases of the automaton start, as the
     stretch and the word in it."""
-    first = np.cumsum(size + 1) - size - 1  # a word of no letters stands between stretches
-    line = np.ones((int((size + 1).sum()), 2), np.uint8)
-    line[T.spread(first, size)] = written.reshape(-1, 2)
-    word = np.fromiter((e for e, _ in automaton.iter(_text(line))), np.int64) // 2 - PHRASE + 1
+    first = np.cumsum(size + 1) - size - 1  # something that is no letter stands between stretches
+    line = np.ones(int((size + 1).sum()), np.uint8)
+    line[T.spread(first, size)] = written
+    word = np.fromiter((e for e, _ in automaton.iter(_text(line))), np.int64) - phrase + 1
     stretch = np.searchsorted(first, word, "right") - 1
     return stretch, word - first[stretch]
 
@@ -265,9 +267,10 @@ def look_up(rows: pa.RecordBatch, window: int, automaton: ahocorasick.Automaton,
     written, at = T.buffers(rows.column("letters"))
     keys, ends = T.buffers(rows.column("keys"))
     keys, first, number = np.frombuffer(keys.tobytes(), np.uint64), ends[:-1] // 8, np.diff(ends) // 8
-    stretch, word = locate(automaton, written, np.diff(at) // 2)
+    phrase = phrase_words(window)
+    stretch, word = locate(automaton, written, np.diff(at), phrase)
     change = np.zeros(len(keys) + 1, np.int64)  # windows that hold a located phrase
-    np.add.at(change, first[stretch] + np.clip(word - (window - PHRASE), 0, number[stretch]), 1)
+    np.add.at(change, first[stretch] + np.clip(word - (window - phrase), 0, number[stretch]), 1)
     np.add.at(change, first[stretch] + np.minimum(word + 1, number[stretch]), -1)
     near = np.flatnonzero(np.cumsum(change)[:-1] > 0)
     place = np.minimum(np.searchsorted(known, keys[near]), len(known) - 1)
@@ -316,7 +319,7 @@ def _without(part: pa.RecordBatch, window: int, carried: int, column: int, with_
     flat = found.flatten()
     begin, mask = np.asarray(flat.field("start"), np.int64) + np.repeat(at[:-1], number), np.asarray(flat.field("mask"), np.int64)
     change = np.zeros(len(first) + window + 1, np.int64)
-    for bit in range(window - PHRASE + 1):
+    for bit in range(window - phrase_words(window) + 1):
         hit = begin[(mask >> bit) & 1 == 1] + bit
         np.add.at(change, hit, 1)
         np.add.at(change, hit + window, -1)
@@ -337,24 +340,23 @@ def _without(part: pa.RecordBatch, window: int, carried: int, column: int, with_
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def recurring_windows(texts: DataFrame, window: int) -> tuple[DataFrame, Broadcast]:
-    """``h, w`` of each window (w) that starts at two places or more, with the phrase that it chooses; and the table of
-    phrases that may recur. ``texts`` has one column."""
+def recurring_windows(texts: DataFrame, window: int) -> DataFrame:
+    """``h, w`` of each window (w) that starts at two places or more, with the phrase that it chooses. ``texts`` has one
+    column."""
     spark = texts.sparkSession
     recurring = texts.mapInArrow(tidy(_phrases(window)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     bits = spark.sparkContext.broadcast(_bitmap(recurring))
     runs = texts.mapInArrow(tidy(_runs(window, bits)), "h long, windows array<long>").groupBy("h", "windows").agg(F.count("*").alias("n"))
     windows = runs.select("h", F.explode("windows").alias("w"), "n").groupBy("h", "w").agg(F.sum("n").alias("n")).where("n > 1")
-    return windows.select("h", "w"), bits
+    return windows.select("h", "w")
 
 
-def compiled(windows: DataFrame, most_phrases: int = SHARD_PHRASES, most_windows: int = SHARD_WINDOWS) -> list[Shard]:
+def compiled(windows: DataFrame, window: int, most_phrases: int = SHARD_PHRASES, most_windows: int = SHARD_WINDOWS) -> list[Shard]:
     """Writes the shards of the windows to the shared folder; only their places and ranges come to the driver."""
-    windows = stash(windows, "recurring")
     number = windows.count()
     parts = max(1, -(-number // most_windows))
     ordered = windows.repartitionByRange(parts, "h", "w").sortWithinPartitions("h", "w")
-    shards = stash(ordered.mapInArrow(tidy(_compiled(most_phrases, most_windows)), "number long, row long, low long, high long, data binary"), "shards")
+    shards = stash(ordered.mapInArrow(tidy(_compiled(phrase_words(window), most_phrases, most_windows)), "number long, row long, low long, high long, data binary"), "shards")
     rows = shards.where("row = 0").select(F.col("_metadata.file_path").alias("path"), "number", "low", "high").collect()
     return sorted((Shard(r["path"], r["number"], r["low"], r["high"]) for r in rows), key=lambda s: (s.low, s.high, s.path, s.number))
 
@@ -367,18 +369,20 @@ def remove_repeats(docs: DataFrame, columns: list[str] | None = None, text_col:
     words; texts of fewer words than a window lose none. Rows with the same text are counted as so many texts, have
     equal results and all stay, whatever their ids. The shared folder must be one that workers can open by its URI.
     """
-    if not PHRASE < window < 63 + PHRASE:
-        raise ValueError(f"window must be over {PHRASE} and under {63 + PHRASE}")
+    if not 3 <= window < 63 + PHRASE:
+        raise ValueError(f"window must be 3 to {62 + PHRASE}")
     spark = docs.sparkSession
     tune(spark)
     columns = columns or ["doc_id"]
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    windows, bits = recurring_windows(docs.select(text.alias("text")), window)
-    shards = spark.sparkContext.broadcast(compiled(windows, *shard))  # places and ranges
+    windows = stash(recurring_windows(docs.select(text.alias("text")), window), "recurring")
+    shards = spark.sparkContext.broadcast(compiled(windows, window, *shard))  # places and ranges
+    bits = spark.sparkContext.broadcast(_bitmap(windows))  # of phrases that are known to recur
     ids = [F.xxhash64(text).alias("__k1"), F.xxhash64(F.lit(1), text).alias("__k2")]
     stretches = docs.select(*ids, text.alias("text")).mapInArrow(tidy(_stretches(window, bits)), "h long, k1 long, k2 long, start long, letters binary, keys binary")
-    ordered = stretches.repartitionByRange("h", "k1").sortWithinPartitions("h")
+    ordered = stretches.repartitionByRange("h", "k1", "start").sortWithinPartitions("h")
     found = ordered.mapInArrow(tidy(_located(window, shards)), "k1 long, k2 long, start long, mask long").groupBy("k1", "k2", "start").agg(F.bit_or("mask").alias("mask"))
+    found = stash(found, "located")  # so that the stretches go before the texts are dealt
     covered = found.groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.collect_list(F.struct("start", "mask")).alias("__windows"))  # as many as a text has words at most
     rows, column = T.carried(docs.select("*", *ids), [*columns, "__k1", "__k2"], text_col)
     rows = rows.join(covered, ["__k1", "__k2"], "left").select(*(c for c in rows.columns if c not in ("__k1", "__k2")), "__windows")

@@ -79,34 +79,44 @@ def url_verdicts(df: DataFrame, rules: Sequence[tuple[str, str]], default: str =
     """``page_id, host, path, rule, verdict`` for each row.
 
     ``rules``: (verdict, ``host/path``); a rule fits its host and all subdomains where the path starts with its own, and
-    the longest wins. Where none fits, ``rule`` is null and the verdict is ``default``. Null urls and urls without
-    ``://`` have an empty host and path. Repeated rows stay; other columns are not carried.
+    the longest wins. Where none fits, ``rule`` is null and the verdict is ``default``. One rule with two verdicts is a
+    ValueError. Null urls and urls without ``://`` have an empty host and path. Repeated rows stay; other columns are not
+    carried.
     """
     kind = df.select(F.col(id_col)).schema[0].dataType.simpleString()
-    ordered = sorted({rule: verdict for verdict, rule in rules}.items())
-    names = [id_col, "host", "path", "rule", "verdict"]
+    verdicts: dict[str, str] = {}
+    for verdict, rule in rules:
+        if verdicts.setdefault(rule, verdict) != verdict:
+            raise ValueError(f"rule {rule!r} has two verdicts")
+    ordered = sorted(verdicts.items())
     out = df.select(F.col(id_col), F.col(url_col).alias("url"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    for k in range(0, len(ordered), INDEX_RULES):
+    starts = range(0, max(1, len(ordered)), INDEX_RULES)
+    for k in starts:
         part = [(verdict, rule) for rule, verdict in ordered[k : k + INDEX_RULES]]
         wanted = sorted({w for _, rule in part for w in rule_tokens(rule)})
-        index = df.sparkSession.sparkContext.broadcast((part, token_counts(F.col(url_col), df, wanted)))
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            rules_here = RuleIndex(*index.value)
-            for b in batches:
-                rows = []
-                for url, rule, verdict in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                    found = rules_here.best(*split_url(url))
-                    if found and (rule is None or (-found[0], found[1]) < (-len(rule), rule)):
-                        _, rule, verdict = found
-                    rows.append((rule, verdict))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=[id_col, "url", "rule", "verdict"])
-
-        out = out.mapInArrow(tidy(run), f"`{id_col}` {kind}, url string, rule string, verdict string")
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = token_counts(F.col(url_col), df, wanted) if wanted else {}
+        run = _judge(df.sparkSession.sparkContext.broadcast((part, counts)), k == starts[-1], id_col)
+        out = out.mapInArrow(tidy(run), f"`{id_col}` {kind}, {'host string, path' if k == starts[-1] else 'url'} string, rule string, verdict string")
+    return out
+
+
+def _judge(index, last: bool, id_col: str):
+    """Applies one index of rules to urls with what earlier ones found; the last pass gives host and path."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = RuleIndex(*index.value)
         for b in batches:
             split = [split_url(u) for u in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h for h, _ in split], pa.string()), pa.array([p for _, p in split], pa.string()), b.column(2), b.column(3)], names=names)
-
-    return out.mapInArrow(tidy(parts), f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
+            rows = []
+            for parts, rule, verdict in zip(split, b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                found = here.best(*parts)
+                if found and (rule is None or (-found[0], found[1]) < (-len(rule), rule)):
+                    _, rule, verdict = found
+                rows.append((rule, verdict))
+            judged = [pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)]
+            if last:
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i] for x in split], pa.string()) for i in (0, 1)), *judged], names=[id_col, "host", "path", "rule", "verdict"])
+            else:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *judged], names=[id_col, "url", "rule", "verdict"])
+
+    return run

@@ -59,30 +59,31 @@ def test_text_among_the_columns(spark):
 
 def test_shards_are_bounded_and_hold_every_window(spark):
     rows = corpus(3)
-    windows, _ = phrases.recurring_windows(spark.createDataFrame(rows, "doc_id long, text string").select("text"), 35)
+    windows = phrases.recurring_windows(spark.createDataFrame(rows, "doc_id long, text string").select("text"), 35)
     split = [(t or "").encode().split() for _, t in rows]
     seen = Counter(tuple(w[i : i + 35]) for w in split for i in range(len(w) - 34))
     recurring = sum(n > 1 for n in seen.values())
     assert windows.count() == recurring > 100
-    shards = phrases.compiled(windows, 6, 50)
+    shards = phrases.compiled(windows, 35, 6, 50)
     loaded = [s.load() for s in shards]
     assert sum(len(known) for _, known in loaded) == recurring
     assert all(len(a) <= 6 and len(known) <= 50 for a, known in loaded) and len(shards) > 4
 
 
 def test_automata_locate_phrases():
-    """Every occurrence in a stretch is found, at word boundaries only and in no other stretch."""
+    """Every occurrence in a stretch is found, and none that goes over a stretch's end."""
     rng = np.random.default_rng(1)
     hashes = rng.integers(0, 2**63, 40, dtype=np.uint64)[rng.integers(0, 40, 3000)]
-    hashes[2000:2006] = hashes[100:106]
-    phrase, patterns = phrases.phrase_hashes(hashes), [100, 7, 2990]
-    assert [phrases.pattern(int(phrase[p])) for p in patterns] == [phrases._text(phrases.letters(hashes[p : p + 6])) for p in patterns]
-    automaton = phrases.compile_shard([phrases.pattern(int(phrase[p])) for p in patterns])
+    hashes[2000:2010] = hashes[100:110]
+    n, patterns = phrases.phrase_words(35), [100, 7, 2990]
+    phrase = phrases.phrase_hashes(hashes, n)
+    assert [phrases.pattern(int(phrase[p]), n) for p in patterns] == [phrases._text(phrases.letters(hashes[p : p + n])) for p in patterns]
+    automaton = phrases.compile_shard([phrases.pattern(int(phrase[p]), n) for p in patterns])
     size = np.array([50, 1850, 1093])
     first = np.cumsum(size) - size
-    stretch, word = phrases.locate(automaton, phrases.letters(hashes[:2993]).ravel(), size)
-    code = hashes & np.uint64(1023)
-    want = {i for a, n in zip(first, size, strict=True) for i in range(a, a + n - 5) if any((code[i : i + 6] == code[p : p + 6]).all() for p in patterns)}
+    stretch, word = phrases.locate(automaton, phrases.letters(hashes[:2993]), size, n)
+    code = hashes & np.uint64(63)
+    want = {i for a, m in zip(first, size, strict=True) for i in range(a, a + m - n + 1) if any((code[i : i + n] == code[p : p + n]).all() for p in patterns)}
     assert {100, 2000, 7} <= want and set((first[stretch] + word).tolist()) == want
 
 
@@ -98,7 +99,7 @@ def test_what_no_automaton_locates_is_not_removed():
     (rows,) = phrases._stretches(35, Bits)(iter([batch]))
     w = phrases._Windows.of(texts, 35, every)
     known = np.sort(w.key)
-    full = phrases.compile_shard([phrases.pattern(x) for x in np.unique(w.h).tolist()])
+    full = phrases.compile_shard([phrases.pattern(x, phrases.phrase_words(35)) for x in np.unique(w.h).tolist()])
     out = phrases.look_up(rows, 35, full, known)
     found = {s + i for s, m in zip(out.column(2).to_pylist(), out.column(3).to_pylist(), strict=True) for i in range(30) if m >> i & 1}
     assert found == set(w.starts.tolist()) and set(out.column(0).to_pylist()) == {1}
@@ -106,6 +107,7 @@ def test_what_no_automaton_locates_is_not_removed():
     assert not phrases.look_up(rows, 35, full, known[:1] + np.uint64(1)).num_rows
 
 
-def test_short_windows(spark):
+@pytest.mark.parametrize("window", [3, 8, 72])
+def test_other_windows(spark, window):
     rows = corpus(9)
-    assert sorted((tuple(r) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=8).collect()), key=str) == brute(rows, 8)
+    assert sorted((tuple(r) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=window).collect()), key=str) == brute(rows, window)

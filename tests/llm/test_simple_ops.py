@@ -33,6 +33,13 @@ def test_url_rules(spark):
     assert split_url("http://A.B:8/p/q#f?x") == ("a.b:8", "/p/q")
 
 
+def test_no_rules_and_two_verdicts(spark):
+    df = spark.createDataFrame([(1, "x://a.com/p"), (2, None)], "page_id long, url string")
+    assert sorted(tuple(r) for r in url_verdicts(df, [], "block").collect()) == [(1, "a.com", "/p", None, "block"), (2, "", "", None, "block")]
+    with pytest.raises(ValueError):
+        url_verdicts(df, [("allow", "com/"), ("block", "com/")])
+
+
 def test_url_rules_in_several_indexes(spark, monkeypatch):
     monkeypatch.setattr("chronofact.llm.urlrules.INDEX_RULES", 1)
     df = spark.createDataFrame([(1, "x://www.example.com/en/"), (2, "x://b.example.com/en/")], "page_id long, url string")
