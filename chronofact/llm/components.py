@@ -47,14 +47,16 @@ def _with_least(ends: DataFrame, n: int) -> DataFrame:
     return light.union(ends.join(heavy, "a"))
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``(node, root)`` for each node with a link to another one; the root is its component's smallest node.
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", contracted: bool = False) -> DataFrame:
+    """``(node, root)`` for each node with a link to another one; the root is its component's smallest node. Where links
+    come out of ``spanning_stars`` already (``contracted``), they need no Python worker here.
 
     Links may repeat, point either way or at themselves; those with a null end are ignored. Every round is written to
     the shared folder. Minima are aggregated before they are joined, and hubs of stars are joined by broadcast.
     """
     links = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
-    links, before = stash(links.mapInArrow(tidy(spanning_stars), "a long, b long"), "stars"), None
+    links = links if contracted else links.mapInArrow(tidy(spanning_stars), "a long, b long")
+    links, before = stash(links, "stars"), None
     while True:
         now = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
         if not now["n"] or now == before:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofact.llm import text as T
-from chronofact.llm.components import connected_components
+from chronofact.llm.components import connected_components, spanning_stars
 from chronofact.llm.storage import stash, tidy, tune
 
 #: Values of a signature; trees; minima that a region shares at least. A pair of similarity 0.75 shares a region of
@@ -223,7 +223,7 @@ def _group(rows: list[np.ndarray], percent: int) -> tuple[np.ndarray, ...]:
 
 
 def _remaining(source: DataFrame, sets: DataFrame, roots: DataFrame, keys: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links ``a, b`` among all promising pairs of different components in the regions with these keys.
+    """Stars ``a, b`` of the links among all promising pairs of different components in the regions with these keys.
 
     Components of more than BLOCK sets of a region are cut into blocks that are not compared with each other; the rest
     of the region is cut into blocks too, and every two of all these blocks, and each of the rest alone, are a group.
@@ -249,7 +249,7 @@ def _remaining(source: DataFrame, sets: DataFrame, roots: DataFrame, keys: DataF
     paired = stash(paired, "paired")
     texts = stash(source.join(paired.select("id").distinct().hint("merge"), "id", "left_semi"), "paired-texts")
     full = paired.join(heads, "id").join(texts.hint("merge"), "id").select(*columns, "text")
-    return full.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(_across(k, percent, True)), "a long, b long")
+    return full.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(_stars_of(_across(k, percent, True))), "a long, b long")
 
 
 def _confirm(k: int, percent: int):
@@ -267,12 +267,17 @@ def _confirm(k: int, percent: int):
     return run
 
 
+def _stars_of(links):
+    """A task's links, contracted where they are found."""
+    return lambda batches: spanning_stars(links(batches))
+
+
 def _links(source: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs that full shingle sets confirm."""
+    """Stars of the pairs that full shingle sets confirm."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = stash(source.join(ends.hint("merge"), "id", "left_semi"), "candidate-texts")
     sided = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")).hint("merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")).hint("merge"), "b")
-    return sided.select("a", "b", "left", "right").mapInArrow(tidy(_confirm(k, percent)), "a long, b long")
+    return sided.select("a", "b", "left", "right").mapInArrow(tidy(_stars_of(_confirm(k, percent))), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
@@ -294,9 +299,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ordered = labels.repartitionByRange("key", "label").sortWithinPartitions("key", "label", "id")
     found = stash(ordered.mapInArrow(tidy(_regions), "a long, b long, key long").distinct(), "candidates")
     pairs, keys = found.where("a is not null").select("a", "b"), found.where("a is null").select("key")
-    roots = connected_components(_links(source, pairs, k, percent))
+    roots = connected_components(_links(source, pairs, k, percent), contracted=True)
     more = _remaining(source, sets, roots, keys, k, percent)
-    roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), contracted=True)
     moved = sets.select("s1", "s2", "id", "copies").join(roots.withColumnRenamed("node", "id"), "id", "left").where("copies > 1 or root is not null").select("s1", "s2", F.coalesce("root", "id").alias("root"))
     rows = base.select("id", "n", "s1", "s2").withColumn("linkable", F.expr("n > 0 and id is not null")).join(moved.withColumn("linkable", F.lit(True)), ["linkable", "s1", "s2"], "left")
     component = F.coalesce("root", "id")

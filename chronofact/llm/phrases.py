@@ -39,7 +39,7 @@ PHRASE, WORD = 10, 6
 #: fills up, more windows are counted than need be.
 BITS = 26
 #: Phrases and windows of a shard, and bytes of a row that holds a part of one.
-SHARD_PHRASES, SHARD_WINDOWS, SHARD_ROW = 60_000, 1_000_000, 4 * 2**20
+SHARD_PHRASES, SHARD_WINDOWS, SHARD_ROW = 30_000, 500_000, 4 * 2**20
 #: Texts that a task remembers, so that stretches of copies that it has seen are not sent again.
 REMEMBERED = 200_000
 _U = np.uint64
