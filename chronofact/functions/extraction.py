@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from chronofact.durable import saved
 from chronofact.functions.texts import BARE_NUMBER, NO_LETTERS, QUESTION_END
 
 # Patterns of triggers with kind and predicate, in order of precedence; role words with predicates.
@@ -156,6 +157,49 @@ def extract(docs: DataFrame, extractor: Extractor = trigger_extractor) -> DataFr
     return docs.select("source_id", "text", F.col("source_date").cast("timestamp")).mapInArrow(run, "source_id string, position int, subject string, predicate string, object string, evidence_span string, extraction_confidence double, validity_start timestamp, validity_end timestamp, validity_known boolean, confidence double, source_date timestamp")
 
 
+CACHED = "cache_key string, subject string, predicate string, object string, evidence_span string, extraction_confidence double, position int"
+
+
+def cached_extract(docs: DataFrame, cache: DataFrame | None, extractor_id: str, extractor: Extractor = trigger_extractor) -> tuple[DataFrame, DataFrame]:
+    """What ``extract`` gives, with the extractor called only for texts that the ``cache`` (CACHED) lacks, once for each
+    distinct one; also the rows to add to the cache. A text without facts is cached by a row with a null subject. Times
+    are inferred anew, as documents of one text may have different dates."""
+    spark = docs.sparkSession
+    key = F.sha2(F.concat(F.col("text"), F.lit(f"|{extractor_id}")), 256).alias("cache_key")
+    cache = spark.createDataFrame([], CACHED) if cache is None else cache
+    texts = docs.select(key, "text").where("text is not null").dropDuplicates(["cache_key"]).join(cache.select("cache_key"), "cache_key", "left_anti")
+    names = CACHED.replace(",", "").split()[::2]
+    kinds = [*[pa.string()] * 5, pa.float64(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += [(k, *found, i) for i, found in enumerate(extractor(text))] or [(k, None, None, None, None, None, None)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * len(names), kinds, strict=True)], names=names)
+
+    fresh = saved(texts.select("cache_key", "text").mapInArrow(run, CACHED))
+    held = docs.select("source_id", "text", "source_date", key).join(cache.unionByName(fresh).where("subject is not null"), "cache_key")
+    return _dated(held), fresh
+
+
+def _dated(found: DataFrame) -> DataFrame:
+    """Extractions with their documents' texts and dates, and the validity that those give."""
+
+    @F.arrow_udf("struct<validity_start:timestamp,validity_end:timestamp,validity_known:boolean,factor:double>")
+    def validity(texts: pa.Array, spans: pa.Array, dates: pa.Array) -> pa.Array:
+        rows = []
+        for text, span, date in zip(texts.to_pylist(), spans.to_pylist(), dates.to_pylist(), strict=True):
+            start, end, known, factor = infer_validity(_sentence(text, span), date or datetime(1, 1, 1, tzinfo=UTC))
+            rows.append({"validity_start": start if start.year > 1 else None, "validity_end": end, "validity_known": known, "factor": factor})
+        stamp = pa.timestamp("us", "UTC")
+        return pa.array(rows, pa.struct([("validity_start", stamp), ("validity_end", stamp), ("validity_known", pa.bool_()), ("factor", pa.float64())]))
+
+    told = found.withColumn("source_date", F.col("source_date").cast("timestamp")).withColumn("__v", validity("text", "evidence_span", "source_date"))
+    confidence = (F.col("extraction_confidence") * F.col("__v.factor")).alias("confidence")
+    return told.select("source_id", "position", "subject", "predicate", "object", "evidence_span", "extraction_confidence", "__v.validity_start", "__v.validity_end", "__v.validity_known", confidence, "source_date")
+
+
 def _sentence(text: str, span: str) -> str:
     """The span, on to the end of its sentence."""
     at = text.find(span)

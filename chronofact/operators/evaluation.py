@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,15 +30,37 @@ def oracle_answer(context: Column, expected: Column) -> Column:
     return F.when(contains_expected(context, expected), expected).otherwise("")
 
 
-def faithfulness(answers: DataFrame, facts: DataFrame, row_id: str, answer: str, at: str | None = None) -> DataFrame:
+def entailed(entails: Callable[[list[str], list[str]], list[bool]], premise: Column, claim: Column) -> Column:
+    """Whether each premise entails its claim, by any model of pairs of texts, a batch at a time."""
+
+    @F.arrow_udf("boolean")
+    def judged(premises: pa.Array, claimed: pa.Array) -> pa.Array:
+        return pa.array(list(map(bool, entails(premises.to_pylist(), claimed.to_pylist()))) if len(claimed) else [], pa.bool_())
+
+    return judged(F.coalesce(premise, F.lit("")), F.coalesce(claim, F.lit("")))
+
+
+def answered_by(answerer: Callable[[list[str], list[str]], list[str]], query: Column, context: Column) -> Column:
+    """Answers of any model to queries with their contexts, a batch at a time."""
+
+    @F.arrow_udf("string")
+    def answers(queries: pa.Array, contexts: pa.Array) -> pa.Array:
+        return pa.array(list(answerer(queries.to_pylist(), contexts.to_pylist())) if len(queries) else [], pa.string())
+
+    return answers(query, F.coalesce(context, F.lit("")))
+
+
+def faithfulness(answers: DataFrame, facts: DataFrame, row_id: str, answer: str, at: str | None = None, entails: Callable[[list[str], list[str]], list[bool]] | None = None) -> DataFrame:
     """Share of an answer's claims that a fact supports which holds at the answer's time: ``facts`` has the row's id. A
-    fact supports a claim if it has any of the claim's words of over three letters; a claim without such is supported
-    by any. An answer without claims scores 1."""
+    fact supports a claim if it has any of the claim's words of over three letters, or if ``entails`` says so; a claim
+    without such words is supported by any. An answer without claims scores 1."""
     asked = answers.select(row_id, *([at] if at else []), F.posexplode_outer(claims(F.col(answer))).alias("__i", "__claim"))
     hay = F.lower(F.concat_ws(" ", "subject", "predicate", "object", "text"))
     usable = facts.where("status <> 'deprecated'").select(row_id, hay.alias("__hay"), "validity_start", "validity_end")
     words = claim_words(F.col("__claim"))
     supports = (F.size(words) == 0) | F.exists(words, lambda w: F.contains(F.col("__hay"), w))
+    if entails is not None:
+        supports = entailed(entails, F.col("__hay"), F.col("__claim"))
     holds = F.lit(True) if at is None else F.col(at).isNull() | contains(F.col(at))
     per_claim = asked.join(usable, row_id, "left").groupBy(row_id, "__i").agg(F.bool_or(F.coalesce(supports & holds & F.col("__hay").isNotNull(), F.lit(False))).alias("ok"))
     return per_claim.groupBy(row_id).agg(F.when(F.count("__i") == 0, 1.0).otherwise(F.count_if(F.col("ok") & F.col("__i").isNotNull()) / F.count("__i")).alias("faithfulness"))

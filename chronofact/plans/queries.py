@@ -459,7 +459,7 @@ def hybrid_retrieval(spark, d):
 
 
 @query(f"WITH {_HYBRID}, h AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sparse_rank IS NULL, coalesce(sparse_rank, dense_rank), id) AS rank FROM f QUALIFY rank <= 15) SELECT query_id::BIGINT AS query_id, 'S' || (source % 50) AS source_id, min(rank) AS rank FROM h JOIN (SELECT id, source FROM ship) USING (id) GROUP BY ALL")
-def passages_of_hits(spark, d):
+def passages_of_search(spark, d):
     facts = with_provenance(facts_ship(spark, d)).withColumn("vector", F.array(F.col("evidence").cast("double"), (F.col("source") % 7).cast("double"), (F.col("source") % 11).cast("double")))
     asked = spark.createDataFrame(_ASKED, "query_id long, query string, vector array<double>")
     index = search.postings(facts, "id", "text")
@@ -467,6 +467,14 @@ def passages_of_hits(spark, d):
     return search.passages_of(hits, views.evidence(facts)).select("query_id", "source_id", F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"WITH {SHIP}, h AS (SELECT id, source % 50 AS s, row_number() OVER (ORDER BY id) AS rank FROM ship) SELECT 1::BIGINT AS query_id, 'S' || s AS source_id, min(rank) AS rank FROM h GROUP BY s")
+def passages_of_hits(spark, d):
+    facts = with_provenance(facts_ship(spark, d))
+    ranked, _ = sampling.global_rank(facts.select("id"), ["id"])
+    hits = ranked.select(F.lit(1).cast("long").alias("query_id"), "id", (F.col("__rank") + 1).cast("long").alias("rank")).withColumn("score", 1.0 / F.col("rank"))
+    return search.passages_of(hits, views.evidence(facts)).select("query_id", "source_id", "rank")
+
+
 # --- sampling -----------------------------------------------------------------------------------------------------------
 @query("SELECT CASE WHEN regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) = '' THEN 'unknown_domain' ELSE lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) END AS domain, count(*) AS n FROM pages GROUP BY 1")
 def domain_buckets(spark, d):

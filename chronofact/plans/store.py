@@ -23,7 +23,7 @@ from chronofact.operators import catalog, chains, conflicts, governance, reports
 
 #: Start of facts from documents without a date; their ``source_type`` is placeholder.
 UNDATED = "1900-01-01"
-TABLES = {"facts": FACTS + ", evidence int, ingest_seq long", "incoming": FACTS + ", evidence int, ingest_seq long", "passages": PASSAGES}
+TABLES = {"facts": FACTS + ", evidence int, ingest_seq long", "incoming": FACTS + ", evidence int, ingest_seq long", "passages": PASSAGES, "vectors": "id string, vector array<double>"}
 
 
 @dataclass
@@ -60,6 +60,18 @@ class FactStore:
     def passages(self) -> DataFrame:
         return self._table("passages")
 
+    @property
+    def vectors(self) -> DataFrame:
+        return self._table("vectors")
+
+    def put_vectors(self, vectors: DataFrame) -> None:
+        """Adds vectors (id, vector) of facts, replacing those of ids that it has."""
+        new = vectors.select(F.col("id").cast("string"), F.col("vector").cast("array<double>")).withColumn("__n", F.lit(0))
+        self._commit("vectors", catalog.upsert(self.vectors.withColumn("__n", F.lit(0)), new, ["id"], "__n").drop("__n"))
+
+    def delete_vectors(self, ids: DataFrame) -> None:
+        self._commit("vectors", self.vectors.join(ids.select("id").distinct(), "id", "left_anti"))
+
     # --- ingest ---------------------------------------------------------------------------------------------------------
     def candidates(self, docs: DataFrame, extractor: Extractor = trigger_extractor, accept: float = 0.0, tagger: Tagger | None = None, similar: float | None = None) -> DataFrame:
         """Facts of documents before they meet others: extracted, canonical, dated, turned round or dropped where a
@@ -108,8 +120,8 @@ class FactStore:
 
     # --- reads ----------------------------------------------------------------------------------------------------------
     def retrieve(self, queries: DataFrame, at: Column, view: str = "active", filters: dict[str, str] | None = None, top_k: int = 20, vectors: DataFrame | None = None) -> DataFrame:
-        """``queries``: query_id, query (and vector)."""
-        facts = self.facts
+        """``queries``: query_id, query and, for dense search among the store's vectors (or others), vector."""
+        facts, vectors = self.facts, self.vectors if vectors is None else vectors
         words = facts.withColumn("__words", F.concat_ws(" ", "text", "subject", "object"))
         index = search.postings(words, "id", "__words")
         return search.hybrid(views.as_of(facts, at, view, filters), index, search.statistics_of(index, words), queries, vectors, top_k=top_k)

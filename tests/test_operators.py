@@ -236,6 +236,11 @@ def test_evaluation(spark, facts):
     rows = spark.createDataFrame([(1, "Schmidt ran Google. Nothing matches zzzz.", day(2005)), (2, "", day(2005))], "row int, answer string, at timestamp")
     scores = {r.row: r.faithfulness for r in evaluation.faithfulness(rows, one, "row", "answer", "at").collect()}
     assert scores == {1: 0.5, 2: 1.0}
+    never = lambda premises, claimed: ["zzzz" in c and "schmidt" in p for p, c in zip(premises, claimed, strict=True)]
+    assert {r.row: r.faithfulness for r in evaluation.faithfulness(rows, one, "row", "answer", "at", never).collect()} == {1: 0.5, 2: 1.0}
+    asked = spark.createDataFrame([("q", "c"), ("r", None)], "query string, context string")
+    both = asked.select(evaluation.answered_by(lambda qs, cs: [q + c for q, c in zip(qs, cs, strict=True)], F.col("query"), F.col("context")).alias("a"))
+    assert [r.a for r in both.collect()] == ["qc", "r"]
 
 
 def test_reports(spark, facts):

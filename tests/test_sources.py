@@ -1,14 +1,17 @@
 """Readers, corpora and streams."""
 
 import json
-from datetime import datetime
+from datetime import UTC, datetime
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from chronofact.functions.extraction import cached_extract, trigger_extractor
 from chronofact.functions.vocabulary import Vocabulary
+from chronofact.operators import catalog
 from chronofact.operators.conflicts import resolve_conflicts
-from chronofact.sources import corpora, readers
+from chronofact.sources import corpora, readers, stores
 from chronofact.streaming.ingest import event_windows, stream_conflicts, upsert_sink
 
 
@@ -56,6 +59,59 @@ def test_remote_corpus(spark):
     assert corpus.sample("uniform", 6).count() == 6
 
 
+class Client:
+    """Stands for the clients of several stores: twelve documents, every third with a date."""
+
+    def __init__(self):
+        self.all = [{"text": f"<hi>word{i}</hi><sep/>x" if i else "", "uri": f"u{i}", "source_date": "2020-01-02" if i % 3 == 0 else "soon"} for i in range(12)]
+
+    def search(self, index, body):
+        assert index == "i" and ("match" in body["query"]) != ("function_score" in body["query"])
+        return {"hits": {"hits": [{"_id": i, "_source": self.all[i]} for i in range(12)][body["from"] : body["from"] + body["size"]]}}
+
+    def query_points(self, collection_name, query, limit, offset, with_payload):
+        assert len(query) == 4 and with_payload
+        return SimpleNamespace(points=[SimpleNamespace(id=i, payload=self.all[i]) for i in range(12)][offset : offset + limit])
+
+    def query(self, vector=None, top_k=None, include_metadata=None, body=None):
+        if body:
+            return SimpleNamespace(hits=[{"id": f"doc::{i}", "fields": self.all[i]} for i in range(12)][body["offset"] : body["offset"] + body["hits"]])
+        return {"matches": [{"id": str(i), "metadata": self.all[i]} for i in range(12)][:top_k]}
+
+
+def test_fetches_of_stores(spark):
+    made = {
+        "elasticsearch": stores.elasticsearch(Client, "i"), "qdrant": stores.qdrant(Client, "c", 4), "vespa": stores.vespa(Client, "docs"),
+        "pinecone": stores.pinecone(Client, 4, lambda text: [len(text), 0.0, 0.0, 1.0]),
+    }
+    for name, fetch in made.items():
+        rows = fetch("word", 0, 5) + fetch(None, 5, 20)
+        assert [r[2] for r in rows] == [f"u{i}" for i in range(1, 12)], name  # the one without a text is no document
+        assert rows[2][3] == datetime(2020, 1, 2, tzinfo=UTC) and rows[0][3] is None
+    assert made["vespa"]("q", 1, 1)[0][:2] == ("doc::1", "word1 x")
+    corpus = corpora.RemoteCorpus(spark, "vespa_like", made["vespa"], total=12, page=5)
+    assert corpus.search("word", 12).count() == 11
+    meta = SimpleNamespace(id="a", content="x", meta={"uri": "u"})
+    assert [tuple(r)[:3] for r in stores.documents_held(spark, SimpleNamespace(filter_documents=lambda: [meta])).collect()] == [("a", "x", "u")]
+    node = SimpleNamespace(text="y", metadata={})
+    assert [tuple(r)[:2] for r in stores.documents_held(spark, SimpleNamespace(docstore=SimpleNamespace(docs={"n": node}))).collect()] == [("n", "y")]
+
+
+def test_logs_and_caches(spark, tmp_path):
+    for i in range(2):
+        catalog.append_log(spark.createDataFrame([(i, f"r{i}")], "n int, rationale string"), str(tmp_path / "log"))
+    assert sorted(r.n for r in spark.read.json(str(tmp_path / "log")).collect()) == [0, 1]
+    cache = spark.createDataFrame([(str(i), i) for i in range(20)], "cache_key string, last_used int")
+    assert sorted(r.last_used for r in catalog.trimmed_cache(cache, 3).collect()) == [17, 18, 19]
+    docs = spark.createDataFrame([("a", "Ann Lee became CEO of Acme.", None), ("b", "Ann Lee became CEO of Acme.", None), ("c", "Bo Kim became CEO of Bolt.", None)], "source_id string, text string, source_date timestamp")
+    first, fresh = cached_extract(docs.where("source_id <> 'c'"), None, "trigger")
+    assert first.count() == 2 and fresh.count() == 1
+    again, more = cached_extract(docs, fresh, "trigger", trigger_extractor)
+    assert sorted((r.source_id, r.subject) for r in again.collect()) == [("a", "Acme"), ("b", "Acme"), ("c", "Bolt")] and more.count() == 1
+    other, _ = cached_extract(docs, fresh, "trigger", lambda text: [("none", "p", "none at all", text, 1.0)])
+    assert sorted({r.subject for r in other.collect()}) == ["Acme", "none"]  # what is cached is not extracted again
+
+
 FACT = "id string, subject string, predicate string, object string, scope string, validity_start timestamp, validity_end timestamp, status string, evidence int, ingest_seq long"
 
 

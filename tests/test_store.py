@@ -46,6 +46,15 @@ def test_reads(spark, store):
     assert [r.object for r in store.renames("Twitter Inc.").collect()] == ["X Corp"]
     asked = spark.createDataFrame([(1, "Microsoft Redmond")], "query_id long, query string")
     assert [r.object for r in store.retrieve(asked, F.lit("2020-01-01").cast("timestamp"), "all").collect()] == ["Redmond"]
+    ids = {r.object: r.id for r in store.facts.collect()}
+    store.put_vectors(spark.createDataFrame([(ids["Seattle"], [0.0, 0.0]), (ids["Redmond"], [1.0, 0.0])], "id string, vector array<double>"))
+    store.put_vectors(spark.createDataFrame([(ids["Seattle"], [2.0, 0.0])], "id string, vector array<double>"))
+    near = spark.createDataFrame([(1, "no such word", [1.0, 0.0])], "query_id long, query string, vector array<double>")
+    now = F.lit("2020-01-01").cast("timestamp")
+    assert [(r.object, r.dense_rank) for r in store.retrieve(near, now, "all").orderBy("rank").collect()] == [("Seattle", 1), ("Redmond", 2)]
+    store.delete_vectors(spark.createDataFrame([(ids["Seattle"],)], "id string"))
+    assert [r.object for r in store.retrieve(near, now, "all").collect()] == ["Redmond"]
+    store.delete_vectors(spark.createDataFrame([(ids["Redmond"],)], "id string"))
     block = store.answer_context(spark.createDataFrame([(1, "Where is Microsoft headquarters in 2020?"), (2, "hello")], "query_id long, query string"), F.current_timestamp())
     assert block.count() <= 1
     assert store.stats()["n_facts"] == 5
