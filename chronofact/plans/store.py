@@ -33,13 +33,14 @@ class FactStore:
     vocabulary: Vocabulary = field(default_factory=Vocabulary.default)
 
     # --- tables ---------------------------------------------------------------------------------------------------------
-    def _versions(self, name: str) -> list[int]:
+    def _versions(self, name: str, complete: bool = True) -> list[int]:
+        """Numbers of a table's versions; with those that were begun and not finished unless ``complete``."""
         jvm = self.spark.sparkContext._jvm
         folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(folder):
             return []
-        done = [s.getPath() for s in fs.listStatus(folder) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        done = [s.getPath() for s in fs.listStatus(folder) if not complete or fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
         return sorted(int(m[1]) for p in done if (m := re.fullmatch(r"v(\d+)", p.getName())))
 
     def _table(self, name: str, version: int | None = None) -> DataFrame:
@@ -49,8 +50,19 @@ class FactStore:
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}/v{versions[-1] if version is None else version}")
 
     def _commit(self, name: str, rows: DataFrame) -> None:
-        version = (self._versions(name) or [0])[-1] + 1
-        rows.write.mode("overwrite").parquet(f"{self.path}/{name}/v{version}")
+        version = (self._versions(name, complete=False) or [0])[-1] + 1
+        rows.write.mode("error").parquet(f"{self.path}/{name}/v{version}")  # of two writers at once the second fails
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Deletes versions older than the last ``keep`` complete ones, and broken ones before them; how many."""
+        jvm, gone = self.spark.sparkContext._jvm, 0
+        for name in TABLES:
+            done = self._versions(name)
+            for v in self._versions(name, complete=False) if done else []:
+                if v < done[-min(max(1, keep), len(done))]:
+                    path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/v{v}")
+                    gone += bool(path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+        return gone
 
     @property
     def facts(self) -> DataFrame:

@@ -102,6 +102,18 @@ def test_answered_with_passages(spark, store):
     assert "facts" not in stale.values()
 
 
+def test_versions(spark, tmp_path, docs):
+    store = FactStore(spark, str(tmp_path / "s"))
+    for i in range(1, 5):
+        store.put_vectors(spark.createDataFrame([(f"v{i}", [1.0])], "id string, vector array<double>"))
+    (tmp_path / "s" / "vectors" / "v5").mkdir()  # a change that broke off
+    assert store.vectors.count() == 4
+    store.put_vectors(spark.createDataFrame([("v6", [1.0])], "id string, vector array<double>"))
+    assert store._versions("vectors") == [1, 2, 3, 4, 6] and store.vectors.count() == 5
+    assert store.vacuum() == 3 and store._versions("vectors", complete=False) == [4, 5, 6]
+    assert store.vacuum(1) == 2 and store._versions("vectors", complete=False) == [6] and store.vectors.count() == 5
+
+
 def test_commands(spark, tmp_path, capsys):
     source = tmp_path / "docs.jsonl"
     source.write_text("\n".join(json.dumps({"source_id": s, "text": t, "source_date": d and d.isoformat()}) for s, t, d in DOCS))
