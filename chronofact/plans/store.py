@@ -78,8 +78,8 @@ class FactStore:
 
     def put_vectors(self, vectors: DataFrame) -> None:
         """Adds vectors (id, vector) of facts, replacing those of ids that it has."""
-        new = vectors.select(F.col("id").cast("string"), F.col("vector").cast("array<double>")).withColumn("__n", F.lit(0))
-        self._commit("vectors", catalog.upsert(self.vectors.withColumn("__n", F.lit(0)), new, ["id"], "__n").drop("__n"))
+        new = vectors.select(F.col("id").cast("string"), F.col("vector").cast("array<double>")).withColumn("put", F.lit(0))
+        self._commit("vectors", catalog.upsert(self.vectors.withColumn("put", F.lit(0)), new, ["id"], "put").drop("put"))
 
     def delete_vectors(self, ids: DataFrame) -> None:
         self._commit("vectors", self.vectors.join(ids.select("id").distinct(), "id", "left_anti"))
@@ -132,11 +132,12 @@ class FactStore:
 
     # --- reads ----------------------------------------------------------------------------------------------------------
     def retrieve(self, queries: DataFrame, at: Column, view: str = "active", filters: dict[str, str] | None = None, top_k: int = 20, vectors: DataFrame | None = None) -> DataFrame:
-        """``queries``: query_id, query and, for dense search among the store's vectors (or others), vector."""
+        """Facts with ``query_id, score, rank`` and their rank in either list (the facts' own is ``fact_rank``). ``queries``:
+        query_id, query and, for dense search among the store's vectors (or others), vector."""
         facts, vectors = self.facts, self.vectors if vectors is None else vectors
         words = facts.withColumn("__words", F.concat_ws(" ", "text", "subject", "object"))
         index = search.postings(words, "id", "__words")
-        return search.hybrid(views.as_of(facts, at, view, filters), index, search.statistics_of(index, words), queries, vectors, top_k=top_k)
+        return search.hybrid(views.as_of(facts, at, view, filters).withColumnRenamed("rank", "fact_rank"), index, search.statistics_of(index, words), queries, vectors, top_k=top_k)
 
     def succession(self, subject: str, predicate: str, scope: str = "global", at: Column | None = None, **options) -> DataFrame:
         return chains.succession(views.by_key(self.facts, subject, self.vocabulary.canonical(predicate), scope), at, **options)

@@ -103,7 +103,7 @@ def test_logs_and_caches(spark, tmp_path):
     assert sorted(r.n for r in spark.read.json(str(tmp_path / "log")).collect()) == [0, 1]
     cache = spark.createDataFrame([(str(i), i) for i in range(20)], "cache_key string, last_used int")
     assert sorted(r.last_used for r in catalog.trimmed_cache(cache, 3).collect()) == [17, 18, 19]
-    docs = spark.createDataFrame([("a", "Ann Lee became CEO of Acme.", None), ("b", "Ann Lee became CEO of Acme.", None), ("c", "Bo Kim became CEO of Bolt.", None)], "source_id string, text string, source_date timestamp")
+    docs = spark.createDataFrame([("a", "Ann Lee became CEO of Acme", None), ("b", "Ann Lee became CEO of Acme", None), ("c", "Bo Kim became CEO of Bolt", None)], "source_id string, text string, source_date timestamp")
     first, fresh = cached_extract(docs.where("source_id <> 'c'"), None, "trigger")
     assert first.count() == 2 and fresh.count() == 1
     again, more = cached_extract(docs, fresh, "trigger", trigger_extractor)

@@ -122,5 +122,6 @@ def test_commands(spark, tmp_path, capsys):
     assert json.loads(report["ingest"])["added"] == 5 and json.loads(report["second"]) is None
     assert run("inspect")[0]["n_facts"] == 5 and run("contested")[0]["n"] == 2
     assert run("renames", "Twitter Inc.")[0]["object"] == "X Corp"
+    assert run("query", "Microsoft Seattle", "--at", "2020-01-01", "--view", "all")[0]["object"] == "Seattle"
     assert run("estimate-cost", str(source))[0]["n_sampled"] == 6
     assert "| n_facts |" in cli.main(["--store", str(tmp_path / "s"), "inspect"], spark)
