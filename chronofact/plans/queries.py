@@ -334,10 +334,19 @@ def conflict_branches(spark, d):
     return conflicts.conflict_pairs(facts_ship(spark, d)).groupBy("branch").agg(F.count("*").alias("n"))
 
 
-@query()
+_MEETS = "((p.e IS NULL OR f.s < p.e) AND (f.e IS NULL OR p.s < f.e))"
+_NEW_WINS, _OLD_WINS = "(f.ev >= 2 AND p.ev < 2 AND f.s > p.s)", "(p.ev >= 2 AND f.ev < 2 AND p.s > f.s)"
+
+
+@query(f"""WITH RECURSIVE {SHIP}, f AS (SELECT subject, id, validity_start AS s, validity_end AS e, evidence AS ev, row_number() OVER (PARTITION BY subject ORDER BY source, id) AS n FROM ship),
+w AS (SELECT subject, 1::BIGINT AS n, [{{'id': id, 's': s, 'e': e, 'ev': ev, 'st': 'active'}}] AS l FROM f WHERE n = 1 UNION ALL
+ SELECT w.subject, w.n + 1, list_append(list_transform(l, lambda p: CASE WHEN NOT {_MEETS} OR {_OLD_WINS} THEN p WHEN {_NEW_WINS} THEN {{'id': p.id, 's': p.s, 'e': CASE WHEN p.e IS NULL OR f.s < p.e THEN f.s ELSE p.e END, 'ev': p.ev, 'st': 'deprecated'}} ELSE {{'id': p.id, 's': p.s, 'e': p.e, 'ev': p.ev, 'st': 'contested'}} END),
+  {{'id': f.id, 's': f.s, 'e': f.e, 'ev': f.ev, 'st': coalesce(list_extract(list_filter(list_transform(l, lambda p: CASE WHEN NOT {_MEETS} OR {_NEW_WINS} THEN NULL WHEN {_OLD_WINS} THEN 'deprecated' ELSE 'contested' END), lambda x: x IS NOT NULL), -1), 'active')}})
+ FROM w JOIN f ON f.subject = w.subject AND f.n = w.n + 1)
+SELECT x.id AS id, x.st AS status, x.e AS validity_end FROM (SELECT unnest(l) AS x FROM (SELECT arg_max(l, n) AS l FROM w GROUP BY subject))""")
 def conflict_fold(spark, d):
     facts = facts_ship(spark, d).withColumns({"ingest_seq": F.col("source"), "predicate": F.lit("parentCompany"), "validity_start": F.col("validity_start").cast("timestamp"), "validity_end": F.col("validity_end").cast("timestamp"), "status": F.lit("active")})
-    return conflicts.resolve_conflicts(facts, Vocabulary.default(), dedup=None).groupBy("status").agg(F.count("*").alias("n"))
+    return conflicts.resolve_conflicts(facts, Vocabulary.default(), dedup=None).select("id", "status", F.col("validity_end").cast("timestamp_ntz").alias("validity_end"))
 
 
 @query("""WITH g AS (SELECT p_partkey, p_brand, list_distinct(list_transform(range(1, greatest(length(p_name) - 2, 1) + 1), lambda i: substr(lower(p_name), i, 3))) AS s FROM part)
@@ -608,11 +617,18 @@ def response_classes(spark, d):
     return table(spark, d, "pages").select("page_id", kind.alias("kind"))
 
 
-@query()
+@query("""SELECT c_custkey::VARCHAR AS source_id, CASE c_custkey % 4 WHEN 0 THEN 'role_succession' WHEN 1 THEN 'entity_rename' ELSE 'functional_relation' END AS kind,
+CASE c_custkey % 4 WHEN 0 THEN 'succeededBy' WHEN 1 THEN 'renamedTo' ELSE 'headquarteredIn' END AS predicate,
+CASE c_custkey % 4 WHEN 0 THEN 'Ann ' || c_mktsegment ELSE 'Bolt ' || c_custkey END AS subject, CASE c_custkey % 4 WHEN 0 THEN 'Acme ' || c_nationkey WHEN 1 THEN 'Nut ' || c_custkey ELSE c_mktsegment || ' City' END AS object FROM customer WHERE c_custkey % 4 <> 3""")
 def trigger_scan(spark, d):
-    k = F.col("c_custkey")
-    text = F.when(k % 3 == 0, F.concat("c_name", F.lit(" became CEO of Acme Corp."))).when(k % 3 == 1, F.concat("c_name", F.lit(" was renamed to Bolt"), k)).otherwise("Nothing here")
-    return scan_documents(table(spark, d, "customer").select(k.alias("source_id"), text.alias("text"))).groupBy("kind", "predicate").agg(F.count("*").alias("n"))
+    k, segment = F.col("c_custkey"), F.col("c_mktsegment")
+    text = (
+        F.when(k % 4 == 0, F.concat(F.lit("Ann "), segment, F.lit(" became the new CEO of Acme "), F.col("c_nationkey"), F.lit(", they say")))
+        .when(k % 4 == 1, F.concat(F.lit("Bolt "), k, F.lit(" was renamed to Nut "), k, F.lit("; nothing else")))
+        .when(k % 4 == 2, F.concat(F.lit("Bolt "), k, F.lit(" is headquartered in "), segment, F.lit(" City, as known")))
+        .otherwise("Nothing here")
+    )
+    return scan_documents(table(spark, d, "customer").select(k.alias("source_id"), text.alias("text"))).select("source_id", "kind", "predicate", "subject", "object")
 
 
 # --- events -------------------------------------------------------------------------------------------------------------
