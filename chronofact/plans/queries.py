@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronofact.durable import saved
 from chronofact.functions import intervals, texts
 from chronofact.functions.analysis import stem
 from chronofact.functions.extraction import scan_documents
@@ -388,7 +389,7 @@ _QUERIES = [(1, "The things, of the"), (2, "Cientos"), (3, "DER dïe")]
 
 def _index(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    index = search.postings(docs, "doc_id", "text")
+    index = saved(search.postings(docs, "doc_id", "text"))  # read for hits, frequencies and lengths
     return index, search.statistics_of(index, docs), spark.createDataFrame(_QUERIES, "query_id long, query string")
 
 
@@ -408,7 +409,8 @@ sc AS (SELECT query_id, id, sum(CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) F
 def any_term_search(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     asked = spark.createDataFrame([(0, "The festival!"), (1, "vaccine und ciento")], "query_id long, query string")
-    hits = search.any_term(search.postings(docs, "doc_id", "text", search.plain_terms), search.statistics(docs, "text", search.plain_terms), asked, None)
+    index = saved(search.postings(docs, "doc_id", "text", search.plain_terms))
+    hits = search.any_term(index, search.statistics_of(index, docs), asked, None)
     return hits.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
@@ -462,7 +464,7 @@ def hybrid_retrieval(spark, d):
     facts = facts_ship(spark, d).select("id", "text", *KEY, "object", "validity_start", "validity_end", "status", F.array(F.col("evidence").cast("double"), (F.col("source") % 7).cast("double"), (F.col("source") % 11).cast("double")).alias("vector"))
     asked = spark.createDataFrame(_ASKED, "query_id long, query string, vector array<double>")
     view = views.as_of(facts, instant(AT))
-    index = search.postings(facts, "id", "text")
+    index = saved(search.postings(facts, "id", "text"))
     found = search.hybrid(view.drop("vector"), index, search.statistics_of(index, facts), asked, facts.select("id", "vector"), top_k=5, digits=9)
     return found.select("query_id", "id", "object", F.round("score", 6).alias("score"), F.col("sparse_rank").cast("long").alias("sparse_rank"), F.col("dense_rank").cast("long").alias("dense_rank"))
 
@@ -471,7 +473,7 @@ def hybrid_retrieval(spark, d):
 def passages_of_search(spark, d):
     facts = with_provenance(facts_ship(spark, d)).withColumn("vector", F.array(F.col("evidence").cast("double"), (F.col("source") % 7).cast("double"), (F.col("source") % 11).cast("double")))
     asked = spark.createDataFrame(_ASKED, "query_id long, query string, vector array<double>")
-    index = search.postings(facts, "id", "text")
+    index = saved(search.postings(facts, "id", "text"))
     hits = search.hybrid(views.as_of(facts, instant(AT)).select("id"), index, search.statistics_of(index, facts), asked, facts.select("id", "vector"), top_k=15, digits=9, pool=15)
     return search.passages_of(hits, views.evidence(facts)).select("query_id", "source_id", F.col("rank").cast("long").alias("rank"))
 

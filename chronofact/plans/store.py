@@ -56,7 +56,7 @@ class FactStore:
     def vacuum(self, keep: int = 2) -> int:
         """Deletes versions older than the last ``keep`` complete ones, and broken ones before them; how many."""
         jvm, gone = self.spark.sparkContext._jvm, 0
-        for name in TABLES:
+        for name in (*TABLES, "postings"):
             done = self._versions(name)
             for v in self._versions(name, complete=False) if done else []:
                 if v < done[-min(max(1, keep), len(done))]:
@@ -76,6 +76,18 @@ class FactStore:
     def vectors(self) -> DataFrame:
         return self._table("vectors")
 
+    def index(self) -> DataFrame:
+        """The postings of the facts' texts and names, kept beside the facts: made when they are first asked for after a
+        change, and read until the next one."""
+        versions = self._versions("facts")
+        facts = self.facts.select("id", F.concat_ws(" ", "text", "subject", "object").alias("words"))
+        if not versions:
+            return search.postings(facts, "id", "words")
+        path = f"{self.path}/postings/v{versions[-1]}"
+        if versions[-1] not in self._versions("postings"):
+            search.postings(facts, "id", "words").write.mode("overwrite").parquet(path)
+        return self.spark.read.schema("term string, id string, tf long, length int").parquet(path)
+
     def put_vectors(self, vectors: DataFrame) -> None:
         """Adds vectors (id, vector) of facts, replacing those of ids that it has."""
         new = vectors.select(F.col("id").cast("string"), F.col("vector").cast("array<double>")).withColumn("put", F.lit(0))
@@ -135,9 +147,8 @@ class FactStore:
         """Facts with ``query_id, score, rank`` and their rank in either list (the facts' own is ``fact_rank``). ``queries``:
         query_id, query and, for dense search among the store's vectors (or others), vector."""
         facts, vectors = self.facts, self.vectors if vectors is None else vectors
-        words = facts.withColumn("__words", F.concat_ws(" ", "text", "subject", "object"))
-        index = search.postings(words, "id", "__words")
-        return search.hybrid(views.as_of(facts, at, view, filters).withColumnRenamed("rank", "fact_rank"), index, search.statistics_of(index, words), queries, vectors, top_k=top_k)
+        index = self.index()
+        return search.hybrid(views.as_of(facts, at, view, filters).withColumnRenamed("rank", "fact_rank"), index, search.statistics_of(index, facts), queries, vectors, top_k=top_k)
 
     def succession(self, subject: str, predicate: str, scope: str = "global", at: Column | None = None, **options) -> DataFrame:
         return chains.succession(views.by_key(self.facts, subject, self.vocabulary.canonical(predicate), scope), at, **options)
@@ -154,10 +165,9 @@ class FactStore:
         """A block of context for each question (query_id, query) that asks for facts, as of the time it means."""
         routed = governance.route(questions, self.vocabulary, now).where("use_facts")
         facts = self.facts
-        words = facts.withColumn("__words", F.concat_ws(" ", "text", "subject", "object"))
         asked = routed.select("query_id", F.col("search").alias("query"), F.coalesce("query_time", now).alias("at"))
-        index = search.postings(words, "id", "__words")
-        found = search.bm25(index, search.statistics_of(index, words), asked, top_k=None).select("query_id", "id", "score")
+        index = self.index()
+        found = search.bm25(index, search.statistics_of(index, facts), asked, top_k=None).select("query_id", "id", "score")
         # hits are few against all facts, so time is a condition on hits and not a join of all facts with all questions
         live = found.join(facts.drop("rank"), "id").join(asked.select("query_id", "at"), "query_id").where(contains(F.col("at")) & (F.col("status") != "deprecated"))
         return governance.context(search.ranked(live, top_k), ["query_id"])
