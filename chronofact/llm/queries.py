@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from chronofact.llm import ngram_lm
 from chronofact.llm.bpe import bpe_digest
+from chronofact.llm.centroids import centroid_clusters
 from chronofact.llm.embed_join import near_vectors
+from chronofact.llm.fim import fill_in_middle
 from chronofact.llm.langid import identify, learnable
 from chronofact.llm.minhash import near_duplicates
 from chronofact.llm.packing import pack
@@ -76,7 +78,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash": op1_minhash, "op2_langid": op2_langid, "op3_ngrams": op3_ngrams, "op4_toxicity": op4_toxicity, "op5_packing": op5_packing, "op6_url_rules": op6_url_rules, "op7_vectors": op7_vectors, "op8_phrases": op8_phrases, "op9_tiff": op9_tiff, "op10_bpe": op10_bpe}
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash": op1_minhash, "op2_langid": op2_langid, "op3_ngrams": op3_ngrams, "op4_toxicity": op4_toxicity, "op5_packing": op5_packing, "op6_url_rules": op6_url_rules, "op7_vectors": op7_vectors, "op8_phrases": op8_phrases, "op9_tiff": op9_tiff, "op10_bpe": op10_bpe, "op12_centroids": op12_centroids, "op13_fim": op13_fim}
 
 _RULE_ROWS = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in URL_RULES)
 
@@ -113,8 +123,32 @@ cut AS (SELECT words.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_remo
   CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]) END AS kept FROM words LEFT JOIN covered USING (doc_id))
 SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM cut"""
 
+#: Ten rounds of assignment and floored means, one after another.
+_ROUNDS = "".join(f"""
+a{r} AS MATERIALIZED (SELECT vec_id, v, min({{'d': d, 'k': k}}) AS best FROM (SELECT vec_id, n, kept.v, k, list_sum(list_transform(range(1, 65), lambda i: (kept.v[i] - c{r}.v[i]) * (kept.v[i] - c{r}.v[i])))::BIGINT AS d FROM kept, c{r}) GROUP BY vec_id, n, v),
+m{r} AS (SELECT k, list(((s - ((s % n + n) % n)) // n)::BIGINT ORDER BY i) AS v FROM (SELECT best.k AS k, i, sum(v[i]) AS s, count(*) AS n FROM a{r}, range(1, 65) AS dims(i) GROUP BY 1, 2) GROUP BY k),
+c{r + 1} AS MATERIALIZED (SELECT k, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} USING (k)),""" for r in range(10))
+_CENTROID_SQL = f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS n, list_transform(embedding::DOUBLE[], lambda x: floor(1024 * x)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k, v FROM kept ORDER BY sha256('3:' || vec_id) LIMIT 8),{_ROUNDS}
+last AS MATERIALIZED (SELECT vec_id, min({{'d': d, 'k': k}}) AS best FROM (SELECT vec_id, n, k, list_sum(list_transform(range(1, 65), lambda i: (kept.v[i] - c10.v[i]) * (kept.v[i] - c10.v[i])))::BIGINT AS d FROM kept, c10) GROUP BY vec_id, n)
+SELECT vec_id, best.k::INTEGER AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.k))::BIGINT AS cluster_inertia, (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c10.v, ',')) AS centroid_sha256
+FROM last JOIN c10 ON c10.k = best.k"""
+
+#: Tokens, two cuts and a form from the id's hash, and the text put together anew.
+_FIM_SQL = """
+WITH words AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS h, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w FROM documents),
+hashed AS (SELECT *, len(w) AS n, ('0x' || h[1:8])::BIGINT % (len(w) + 1) AS x, ('0x' || h[9:16])::BIGINT % (len(w) + 1) AS y, ('0x' || h[17:24])::BIGINT % 100 AS h3, ('0x' || h[25:32])::BIGINT % 100 AS h4 FROM words),
+cut AS (SELECT doc_id, t, n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form,
+  array_to_string(w[1:least(x, y)], '') AS p, array_to_string(w[least(x, y) + 1:greatest(x, y)], '') AS m, array_to_string(w[greatest(x, y) + 1:], '') AS s FROM hashed),
+made AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS o FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars, sha256(o) AS output_sha256, sha256(t) AS restored_sha256 FROM made"""
+
 ORACLE_SQL: dict[str, str] = {
     "op7_vectors": _VECTOR_SQL,
+    "op12_centroids": _CENTROID_SQL,
+    "op13_fim": _FIM_SQL,
     "op8_phrases": _REPEAT_SQL,
     "op1_minhash": _NEAR_SQL,
     "op6_url_rules": f"""
