@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofact.llm import ngram_lm
+from chronofact.llm import ngram_lm, pii
 from chronofact.llm.bpe import bpe_digest
 from chronofact.llm.centroids import centroid_clusters
 from chronofact.llm.embed_join import near_vectors
@@ -78,6 +78,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return pii.find_personal(docs, pii.train(docs))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
@@ -86,7 +91,7 @@ def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash": op1_minhash, "op2_langid": op2_langid, "op3_ngrams": op3_ngrams, "op4_toxicity": op4_toxicity, "op5_packing": op5_packing, "op6_url_rules": op6_url_rules, "op7_vectors": op7_vectors, "op8_phrases": op8_phrases, "op9_tiff": op9_tiff, "op10_bpe": op10_bpe, "op12_centroids": op12_centroids, "op13_fim": op13_fim}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash": op1_minhash, "op2_langid": op2_langid, "op3_ngrams": op3_ngrams, "op4_toxicity": op4_toxicity, "op5_packing": op5_packing, "op6_url_rules": op6_url_rules, "op7_vectors": op7_vectors, "op8_phrases": op8_phrases, "op9_tiff": op9_tiff, "op10_bpe": op10_bpe, "op11_pii": op11_pii, "op12_centroids": op12_centroids, "op13_fim": op13_fim}
 
 _RULE_ROWS = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in URL_RULES)
 
