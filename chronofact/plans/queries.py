@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronofact.durable import saved
+from chronofact.durable import saved, shared_folder
 from chronofact.functions import intervals, texts
 from chronofact.functions.analysis import stem
 from chronofact.functions.extraction import scan_documents
 from chronofact.functions.vocabulary import Vocabulary, canonicalize
 from chronofact.model import KEY, fact_id
 from chronofact.operators import catalog, chains, conflicts, evaluation, governance, reports, sampling, search, views
+from chronofact.operators.vector_index import VectorIndex
 from chronofact.plans.facts import EDGES, EVENT, ORDER, SHIP, edges_rename, facts_event, facts_geo, facts_order, facts_ship, instant, table, with_provenance
 from chronofact.streaming.ingest import event_windows
 
@@ -424,6 +426,23 @@ def dense_topk(spark, d):
     return hits.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def _vector_index(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return VectorIndex.build(v, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"), v.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+
+
+@query(f"SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM ({_DENSE}) QUALIFY rank <= 10")
+def vector_index_topk(spark, d):
+    index, asked = _vector_index(spark, d)
+    return index.search(asked, 10, exact=True, digits=9).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query()  # as many cells answer as the index found to do; the tests measure its recall
+def vector_index_probe(spark, d):
+    index, asked = _vector_index(spark, d)
+    return index.search(asked, 10, digits=9)
+
+
 def _lists(spark, d):
     o = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("query_id"), F.col("o_orderkey").alias("id"), "o_totalprice", "o_orderdate")
     first = search.ranked(o.select("query_id", "id", F.col("o_totalprice").alias("score")), 10)

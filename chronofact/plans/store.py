@@ -20,6 +20,7 @@ from chronofact.functions.texts import alias_key, object_problem, script_languag
 from chronofact.functions.vocabulary import FUNCTIONAL, Predicate, Vocabulary, canonicalize
 from chronofact.model import DOCUMENTS, FACTS, KEY, PASSAGES, fact_id
 from chronofact.operators import catalog, chains, conflicts, governance, reports, sampling, search, views
+from chronofact.operators.vector_index import VectorIndex
 
 #: Start of facts from documents without a date; their ``source_type`` is placeholder.
 UNDATED = "1900-01-01"
@@ -88,6 +89,15 @@ class FactStore:
             search.postings(facts, "id", "words").write.mode("overwrite").parquet(path)
         return self.spark.read.schema("term string, id string, tf long, length int").parquet(path)
 
+    def vector_index(self, metric: str = "dot", cells: int | None = None) -> VectorIndex:
+        """An inverted file of the store's vectors, kept beside them: made when it is first asked for after a change."""
+        version = (self._versions("vectors") or [0])[-1]
+        path = f"{self.path}/vector_index_{metric}/v{version}"
+        marker = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/cells/_SUCCESS")
+        if marker.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(marker):
+            return VectorIndex.open(self.spark, path)
+        return VectorIndex.build(self.vectors, path, metric, cells)
+
     def put_vectors(self, vectors: DataFrame) -> None:
         """Adds vectors (id, vector) of facts, replacing those of ids that it has."""
         new = vectors.select(F.col("id").cast("string"), F.col("vector").cast("array<double>")).withColumn("put", F.lit(0))
@@ -143,9 +153,9 @@ class FactStore:
         return {"added": added, "contested": now.where("status = 'contested'").count()}
 
     # --- reads ----------------------------------------------------------------------------------------------------------
-    def retrieve(self, queries: DataFrame, at: Column, view: str = "active", filters: dict[str, str] | None = None, top_k: int = 20, vectors: DataFrame | None = None) -> DataFrame:
+    def retrieve(self, queries: DataFrame, at: Column, view: str = "active", filters: dict[str, str] | None = None, top_k: int = 20, vectors: DataFrame | VectorIndex | None = None) -> DataFrame:
         """Facts with ``query_id, score, rank`` and their rank in either list (the facts' own is ``fact_rank``). ``queries``:
-        query_id, query and, for dense search among the store's vectors (or others), vector."""
+        query_id, query and, for dense search among the store's vectors (or others, or an index of them), vector."""
         facts, vectors = self.facts, self.vectors if vectors is None else vectors
         index = self.index()
         return search.hybrid(views.as_of(facts, at, view, filters).withColumnRenamed("rank", "fact_rank"), index, search.statistics_of(index, facts), queries, vectors, top_k=top_k)
