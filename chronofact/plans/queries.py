@@ -16,6 +16,7 @@ from chronofact.functions.extraction import scan_documents
 from chronofact.functions.vocabulary import Vocabulary, canonicalize
 from chronofact.model import KEY, fact_id
 from chronofact.operators import catalog, chains, conflicts, evaluation, governance, reports, sampling, search, views
+from chronofact.operators.block_index import BlockIndex
 from chronofact.operators.vector_index import VectorIndex
 from chronofact.plans.facts import EDGES, EVENT, ORDER, SHIP, edges_rename, facts_event, facts_geo, facts_order, facts_ship, instant, table, with_provenance
 from chronofact.streaming.ingest import event_windows
@@ -401,6 +402,18 @@ def bm25_topk(spark, d):
     return hits.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"WITH {_BM25} SELECT query_id::BIGINT AS query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM sc QUALIFY rank <= 20")
+def block_index_topk(spark, d):
+    """The index in two segments: half of the texts come with the first, half with the second, which also takes away and
+    brings anew some of the first."""
+    texts_ = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    half = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+    early = texts_.where(half | (F.col("id") % 10 == 0)).withColumn("text", F.when(half, F.col("text")).otherwise(F.concat(F.lit("the der cientos "), "text")))
+    index = BlockIndex(spark, f"{shared_folder(spark)}/blocks-{uuid.uuid4().hex}", "bigint").change(early).change(texts_.where(~half), early.where(~half))
+    hits = index.bm25(spark.createDataFrame(_QUERIES, "query_id long, query string"), top_k=20, digits=9)
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 _ANY = """tok AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents), st AS (SELECT count(*) AS nt, avg(len(w)) AS ml FROM tok),
 tf AS (SELECT id, l, term, count(*) AS tf FROM (SELECT id, len(w) AS l, unnest(w) AS term FROM tok) GROUP BY ALL), df AS (SELECT term, ln((nt - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, st GROUP BY term, nt),
 q(query_id, term) AS (VALUES (0, 'the'), (0, 'festival'), (1, 'vaccine'), (1, 'und'), (1, 'ciento')),

@@ -20,6 +20,7 @@ from chronofact.functions.texts import alias_key, object_problem, script_languag
 from chronofact.functions.vocabulary import FUNCTIONAL, Predicate, Vocabulary, canonicalize
 from chronofact.model import DOCUMENTS, FACTS, KEY, PASSAGES, fact_id
 from chronofact.operators import catalog, chains, conflicts, governance, reports, sampling, search, views
+from chronofact.operators.block_index import MERGE, BlockIndex
 from chronofact.operators.vector_index import VectorIndex
 
 #: Start of facts from documents without a date; their ``source_type`` is placeholder.
@@ -57,7 +58,7 @@ class FactStore:
     def vacuum(self, keep: int = 2) -> int:
         """Deletes versions older than the last ``keep`` complete ones, and broken ones before them; how many."""
         jvm, gone = self.spark.sparkContext._jvm, 0
-        for name in (*TABLES, "postings"):
+        for name in TABLES:
             done = self._versions(name)
             for v in self._versions(name, complete=False) if done else []:
                 if v < done[-min(max(1, keep), len(done))]:
@@ -77,17 +78,23 @@ class FactStore:
     def vectors(self) -> DataFrame:
         return self._table("vectors")
 
-    def index(self) -> DataFrame:
-        """The postings of the facts' texts and names, kept beside the facts: made when they are first asked for after a
-        change, and read until the next one."""
+    def index(self) -> BlockIndex:
+        """The blocks of the facts' texts and names, kept beside the facts: when they are first asked for after a change, a
+        segment is added of the facts that came and went since; all is merged into one when segments are many or the version
+        that they were made from is gone."""
+        index = BlockIndex(self.spark, f"{self.path}/blocks", "string")
         versions = self._versions("facts")
-        facts = self.facts.select("id", F.concat_ws(" ", "text", "subject", "object").alias("words"))
-        if not versions:
-            return search.postings(facts, "id", "words")
-        path = f"{self.path}/postings/v{versions[-1]}"
-        if versions[-1] not in self._versions("postings"):
-            search.postings(facts, "id", "words").write.mode("overwrite").parquet(path)
-        return self.spark.read.schema("term string, id string, tf long, length int").parquet(path)
+        now, known = str(versions[-1]) if versions else "", index.label()
+        if now == known or not versions:
+            return index
+        words = F.concat_ws(" ", "text", "subject", "object")
+        texts = lambda facts: facts.select("id", words.alias("text"))
+        if known is None or int(known) not in versions or len(index.segments()) >= MERGE:
+            return index.rebuilt(texts(self.facts), now)
+        old, new = texts(self._table("facts", int(known))), texts(self.facts)
+        came = saved(new.join(old, ["id", "text"], "left_anti"))
+        went = saved(old.join(new, ["id", "text"], "left_anti"))
+        return index.change(came, went if went.limit(1).count() else None, now)
 
     def vector_index(self, metric: str = "dot", cells: int | None = None) -> VectorIndex:
         """An inverted file of the store's vectors, kept beside them: made when it is first asked for after a change."""
@@ -157,8 +164,7 @@ class FactStore:
         """Facts with ``query_id, score, rank`` and their rank in either list (the facts' own is ``fact_rank``). ``queries``:
         query_id, query and, for dense search among the store's vectors (or others, or an index of them), vector."""
         facts, vectors = self.facts, self.vectors if vectors is None else vectors
-        index = self.index()
-        return search.hybrid(views.as_of(facts, at, view, filters).withColumnRenamed("rank", "fact_rank"), index, search.statistics_of(index, facts), queries, vectors, top_k=top_k)
+        return search.hybrid(views.as_of(facts, at, view, filters).withColumnRenamed("rank", "fact_rank"), self.index(), None, queries, vectors, top_k=top_k)
 
     def succession(self, subject: str, predicate: str, scope: str = "global", at: Column | None = None, **options) -> DataFrame:
         return chains.succession(views.by_key(self.facts, subject, self.vocabulary.canonical(predicate), scope), at, **options)
@@ -176,8 +182,7 @@ class FactStore:
         routed = governance.route(questions, self.vocabulary, now).where("use_facts")
         facts = self.facts
         asked = routed.select("query_id", F.col("search").alias("query"), F.coalesce("query_time", now).alias("at"))
-        index = self.index()
-        found = search.bm25(index, search.statistics_of(index, facts), asked, top_k=None).select("query_id", "id", "score")
+        found = self.index().bm25(asked, top_k=None).select("query_id", "id", "score")
         # hits are few against all facts, so time is a condition on hits and not a join of all facts with all questions
         live = found.join(facts.drop("rank"), "id").join(asked.select("query_id", "at"), "query_id").where(contains(F.col("at")) & (F.col("status") != "deprecated"))
         return governance.context(search.ranked(live, top_k), ["query_id"])
