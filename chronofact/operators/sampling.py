@@ -135,20 +135,3 @@ def near_duplicate_pairs(hashes: DataFrame, distance: int = 3, id_col: str = "id
     pairs = left.join(right, ["__band", "__key"]).where("left_id < right_id").withColumn("bits", bits).where(F.col("bits") <= distance).where(first == F.col("__band"))
     copies = hashes.join(distinct, hashes[hash_col] == F.col("__h")).where(F.col(id_col) != F.col("__id")).select(F.col("__id").alias("left_id"), F.col(id_col).alias("right_id"), F.lit(0).alias("bits"))
     return pairs.select("left_id", "right_id", "bits").unionByName(copies)
-
-
-def facility_location(vectors: np.ndarray, budget: int, quality: np.ndarray) -> list[int]:
-    """Picks rows one after another, each of the greatest quality times distance from what was picked; vectors have unit
-    length. For the few hundred candidates that a budget allows, on the driver."""
-    n = len(vectors)
-    if n <= budget:
-        return np.argsort(-quality, kind="stable").tolist()
-    weight = 0.5 + 0.5 * quality / (quality.max() + 1e-9)
-    picked = [int(weight.argmax())]
-    near = vectors @ vectors[picked[0]]
-    while len(picked) < budget:
-        gain = weight * (1 - near)
-        gain[picked] = -np.inf
-        picked.append(int(gain.argmax()))
-        near = np.maximum(near, vectors @ vectors[picked[-1]])
-    return picked

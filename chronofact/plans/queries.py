@@ -15,7 +15,7 @@ from chronofact.functions.analysis import stem
 from chronofact.functions.extraction import scan_documents
 from chronofact.functions.vocabulary import Vocabulary, canonicalize
 from chronofact.model import KEY, fact_id
-from chronofact.operators import catalog, chains, conflicts, evaluation, governance, reports, sampling, search, views
+from chronofact.operators import catalog, chains, conflicts, evaluation, governance, reports, sampling, search, seeds, views
 from chronofact.operators.block_index import BlockIndex
 from chronofact.operators.vector_index import VectorIndex
 from chronofact.plans.facts import EDGES, EVENT, ORDER, SHIP, edges_rename, facts_event, facts_geo, facts_order, facts_ship, instant, table, with_provenance
@@ -456,6 +456,24 @@ def vector_index_probe(spark, d):
     return index.search(asked, 10, digits=9)
 
 
+@query("""WITH w AS (SELECT p_partkey AS id, ' ' || unnest(list_filter(regexp_split_to_array(lower(p_name), '\\s+'), lambda x: x <> '')) || ' ' AS w FROM part),
+g AS (SELECT id, unnest(list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3))) AS gram FROM w), tf AS (SELECT id, gram, count(*) AS tf FROM g GROUP BY ALL),
+df AS (SELECT gram, ln((1.0 + (SELECT count(*) FROM part)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY gram), x AS (SELECT id, gram, tf * idf AS w FROM tf JOIN df USING (gram)),
+v AS (SELECT id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM x), s AS (SELECT q.id AS query_id, v.id, round(sum(q.w * v.w), 9) AS score FROM v q JOIN v USING (gram) WHERE q.id % 20 = 0 GROUP BY ALL)
+SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 5""")
+def tfidf_topk(spark, d):
+    names = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
+    vectors = saved(seeds.Encoder.fit(names).vectors(names))
+    hits = seeds.cosine_topk(vectors, vectors.where("id % 20 = 0").withColumnRenamed("id", "query_id"), 5, digits=9)
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query()  # a choice of one after another; the tests hold it against plain Python
+def diverse_parts(spark, d):
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"), F.col("p_retailprice").alias("quality"))
+    return seeds.diverse(parts, seeds.Encoder.fit(parts).vectors(parts), 25)
+
+
 def _lists(spark, d):
     o = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("query_id"), F.col("o_orderkey").alias("id"), "o_totalprice", "o_orderdate")
     first = search.ranked(o.select("query_id", "id", F.col("o_totalprice").alias("score")), 10)

@@ -20,6 +20,7 @@ from chronofact.functions.texts import alias_key, object_problem, script_languag
 from chronofact.functions.vocabulary import FUNCTIONAL, Predicate, Vocabulary, canonicalize
 from chronofact.model import DOCUMENTS, FACTS, KEY, PASSAGES, fact_id
 from chronofact.operators import catalog, chains, conflicts, governance, reports, sampling, search, views
+from chronofact.operators import seeds as choice
 from chronofact.operators.block_index import MERGE, BlockIndex
 from chronofact.operators.vector_index import VectorIndex
 
@@ -274,7 +275,8 @@ def auto(store: FactStore, docs: DataFrame, sample: int = 500, extractor: Extrac
 
 
 def seed_questions(facts: DataFrame, functional: list[str], renaming: list[str], budget: int = 50, min_frequency: int = 3) -> DataFrame:
-    """Questions about a store's facts by the coverage expected of them, the best ``budget``."""
+    """Questions about a store's facts, ``budget`` of them: of great expected coverage and far from each other, by the TF-IDF
+    vectors of their character grams; in the order of the choice."""
     spark = facts.sparkSession
     mentions = facts.select(F.explode(F.array("subject", "object")).alias("entity"), "predicate", script_language(F.col("text")).alias("lang"))
     entities = reports.seed_entities(mentions, budget, min_frequency)
@@ -282,7 +284,10 @@ def seed_questions(facts: DataFrame, functional: list[str], renaming: list[str],
     renamed = facts.where(F.col("predicate").isin(renaming)).groupBy(F.col("subject").alias("entity")).agg(F.count("*").alias("n"))
     disputed = facts.where("status = 'contested'").groupBy(F.col("subject").alias("entity"), "predicate").agg(F.count("*").alias("n"))
     asked = reports.seed_queries(entities.select("entity", "n", "rank"), some, renamed, disputed)
-    return asked.orderBy(F.col("coverage").desc(), "query").limit(budget)
+    asked = saved(asked)
+    vectors = choice.Encoder.fit(asked, "query").vectors(asked, "query", "query")
+    chosen = choice.diverse(asked.select(F.col("query").alias("id"), F.col("coverage").alias("quality")), vectors, budget)
+    return asked.join(F.broadcast(chosen.withColumnRenamed("id", "query")), "query").orderBy("place").drop("place")  # budget rows
 
 
 def to_markdown(title: str, rows: list[dict]) -> str:

@@ -213,12 +213,6 @@ def test_sampling(spark):
     assert {p for p in want if p[0] == 1 or p == (1, 2)} <= near | {(2, 3)} and all(p in want for p in near)
 
 
-def test_facility_location():
-    v = np.eye(3)[[0, 0, 1, 2]]
-    assert sampling.facility_location(v, 3, np.array([1.0, 0.9, 0.8, 0.7])) == [0, 2, 3]
-    assert sampling.facility_location(v, 9, np.array([0.1, 0.9, 0.2, 0.3])) == [1, 3, 2, 0]
-
-
 def test_governance(spark):
     passages = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z"), ("d", "w")], "source_id string, text string")
     evidence = spark.createDataFrame([("a", "deprecated"), ("b", "deprecated"), ("b", "contested"), ("c", "active")], "source_id string, status string")
