@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -80,10 +79,12 @@ def rename_walk(facts: DataFrame, starts: DataFrame, predicates: list[str], at:
     """Walks renamings from every start at once: ``start, step, id, subject, predicate, object, closes, ambiguous,
     truncated``.
 
-    One join for each step over those walks that are still on, kept as a checkpoint; a walk ends where nothing goes on,
-    after ``max_depth`` steps, or with the step that comes back to a name it had (``closes``). Where there is more than
-    one way on, the ``resolver`` chooses; without its choice a ``strict`` walk ends with a step marked ``ambiguous``
-    (the earliest fact), any other goes on with that fact. ``both`` walks either way; a fact found twice counts once.
+    Walks go by doubling: joins of the renamings with themselves give where a name leads in 1, 2, 4, ... steps, as many as
+    the depth has binary digits, and as many joins give all places of all walks; a place that comes twice is a circle. A
+    walk ends where nothing goes on, after ``max_depth`` steps, or with the step that comes back to a name it had
+    (``closes``). Where there is more than one way on, the ``resolver`` chooses; without its choice a ``strict`` walk ends
+    with a step marked ``ambiguous`` (the earliest fact), any other goes on with that fact. ``both`` walks either way; a
+    fact found twice counts once. A start that is given twice is walked once.
     """
     if direction == "both":
         ways = [rename_walk(facts, starts, predicates, at, d, max_depth, include_contested, strict, resolver) for d in ("backward", "forward")]
@@ -93,15 +94,23 @@ def rename_walk(facts: DataFrame, starts: DataFrame, predicates: list[str], at:
     if at is not None:
         edges = edges.where(F.col("validity_start") <= at)
     edges = _one_way(edges, [here], resolver, strict).select(F.col(here).alias("current"), F.col(there).alias("next"), "id", "subject", "predicate", "object", "ambiguous")
-    edges, parts = saved(edges), []
-    walks = starts.select(F.col("start"), F.col("start").alias("current"), F.array("start").alias("seen"))
-    for step in range(1, max_depth + 2):
-        on = saved(walks.join(edges, "current").withColumn("closes", F.array_contains("seen", F.col("next"))))
-        parts.append(on.select("start", F.lit(step).alias("step"), "id", "subject", "predicate", "object", "closes", "ambiguous"))
-        walks = on.where("not closes and not ambiguous").select("start", F.col("next").alias("current"), F.concat("seen", F.array("next")).alias("seen"))
-        if on.isEmpty():
-            break
-    steps = reduce(DataFrame.unionByName, parts)
+    edges = saved(edges)
+    leap, leaps = edges.where("not ambiguous").select(F.col("current").alias("node"), "next"), []
+    for k in range(max(0, max_depth).bit_length()):
+        leaps.append(leap)
+        if 2 ** (k + 1) <= max_depth:
+            leap = saved(leap.join(leap.select(F.col("node").alias("next"), F.col("next").alias("then")), "next").select("node", F.col("then").alias("next")))
+    walks = starts.select("start").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("place"))
+    for k in reversed(range(len(leaps))):
+        ways = F.array(F.struct("node", "place"), F.struct(F.col("next").alias("node"), (F.col("place") + 2**k).alias("place")))
+        walks = walks.join(leaps[k], "node", "left").select("start", F.explode(ways).alias("w")).select("start", "w.*").where(F.col("node").isNotNull() & (F.col("place") <= max_depth))
+    again = F.row_number().over(W.partitionBy("start", "node").orderBy("place")) > 1
+    walks = walks.withColumn("again", again).withColumn("circle", F.min(F.when(F.col("again"), F.col("place"))).over(W.partitionBy("start")))
+    on = walks.where("circle is null or place < circle").join(edges, F.col("node") == F.col("current"))
+    # leaps don't follow an ambiguous step, which is the last of its walk: its end is looked for among the names before it
+    back = F.col("ambiguous") & F.array_contains(F.collect_set("node").over(W.partitionBy("start")), F.col("next"))
+    closing = F.coalesce(F.col("place") + 1 == F.col("circle"), F.lit(False)) | F.coalesce(back, F.lit(False))
+    steps = on.select("start", (F.col("place") + 1).alias("step"), "id", "subject", "predicate", "object", closing.alias("closes"), "ambiguous")
     longest = F.max("step").over(W.partitionBy("start"))
     return steps.withColumn("truncated", longest > max_depth).where(F.col("step") <= max_depth)
 
