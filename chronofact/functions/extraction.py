@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -134,6 +134,9 @@ def trigger_extractor(text: str) -> list[tuple[str, str, str, str, float]]:
     return [(s, p, o, m, 0.5) for _, s, p, o, m in triples(text)]
 
 
+EXTRACTED = "source_id string, position int, subject string, predicate string, object string, evidence_span string, extraction_confidence double, validity_start timestamp, validity_end timestamp, validity_known boolean, confidence double, source_date timestamp"
+
+
 def extract(docs: DataFrame, extractor: Extractor = trigger_extractor) -> DataFrame:
     """A row for each fact that the extractor finds in a document: ``source_id, position, subject, predicate, object,
     evidence_span, extraction_confidence, validity_start, validity_end, validity_known, confidence, source_date``.
@@ -141,20 +144,46 @@ def extract(docs: DataFrame, extractor: Extractor = trigger_extractor) -> DataFr
     ``docs``: ``source_id, text, source_date``. Any callable is an extractor, a model's client too; it is called once
     for each text. Time is inferred from the evidence's sentence; documents without a date give an unknown start.
     """
-    names = ["source_id", "position", "subject", "predicate", "object", "evidence_span", "extraction_confidence", "validity_start", "validity_end", "validity_known", "confidence", "source_date"]
-    kinds = [pa.string(), pa.int32(), *[pa.string()] * 4, pa.float64(), *[pa.timestamp("us", "UTC")] * 2, pa.bool_(), pa.float64(), pa.timestamp("us", "UTC")]
+    return _extracted(docs, extractor, tolerant=False).drop("error")
+
+
+def extract_apart(docs: DataFrame, extractor: Extractor = trigger_extractor) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """``extract``, but a text on which the extractor raises is a dead letter, and the others' facts are kept: the facts, the
+    failures (source_id, error) and the counts ``facts`` and ``failed``. Written once, so each text is tried once."""
+    seen = Observation("extracted")
+    failed = F.col("error").isNotNull()
+    rows = saved(_extracted(docs, extractor, tolerant=True).observe(seen, F.count_if(~failed).alias("facts"), F.count_if(failed).alias("failed")))
+    return rows.where(~failed).drop("error"), rows.where(failed).select("source_id", "error"), dict(seen.get)
+
+
+def _extracted(docs: DataFrame, extractor: Extractor, tolerant: bool) -> DataFrame:
+    """Rows as of EXTRACTED and ``error``, which is null but for a row for each text that failed."""
+    names = [*(c.split()[0] for c in EXTRACTED.split(", ")), "error"]
+    kinds = [pa.string(), pa.int32(), *[pa.string()] * 4, pa.float64(), *[pa.timestamp("us", "UTC")] * 2, pa.bool_(), pa.float64(), pa.timestamp("us", "UTC"), pa.string()]
+
+    def of_text(source: str, text: str, date: datetime | None) -> list[tuple]:
+        rows = []
+        for i, (s, p, o, span, c) in enumerate(extractor(text)):
+            start, end, known, factor = infer_validity(_sentence(text, span), date or datetime(1, 1, 1, tzinfo=UTC))
+            rows.append((source, i, s, p, o, span, c, start if start.year > 1 else None, end, known, c * factor, date, None))
+        return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for source, text, date in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for i, (s, p, o, span, c) in enumerate(extractor(text) if text else ()):
-                    start, end, known, factor = infer_validity(_sentence(text, span), date or datetime(1, 1, 1, tzinfo=UTC))
-                    rows.append((source, i, s, p, o, span, c, start if start.year > 1 else None, end, known, c * factor, date))
+                if not text:
+                    continue
+                try:
+                    rows += of_text(source, text, date)
+                except Exception as e:  # whatever a model's client raises
+                    if not tolerant:
+                        raise
+                    rows.append((source, *[None] * 11, f"{type(e).__name__}: {e}"))
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return docs.select("source_id", "text", F.col("source_date").cast("timestamp")).mapInArrow(run, "source_id string, position int, subject string, predicate string, object string, evidence_span string, extraction_confidence double, validity_start timestamp, validity_end timestamp, validity_known boolean, confidence double, source_date timestamp")
+    return docs.select("source_id", "text", F.col("source_date").cast("timestamp")).mapInArrow(run, f"{EXTRACTED}, error string")
 
 
 CACHED = "cache_key string, subject string, predicate string, object string, evidence_span string, extraction_confidence double, position int"

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofact.durable import saved
-from chronofact.functions.extraction import Extractor, extract, probed, scan_documents, trigger_extractor
+from chronofact.functions.extraction import Extractor, extract, extract_apart, probed, scan_documents, trigger_extractor
 from chronofact.functions.intervals import contains
 from chronofact.functions.texts import alias_key, object_problem, script_language
 from chronofact.functions.vocabulary import FUNCTIONAL, Predicate, Vocabulary, canonicalize
@@ -26,7 +26,7 @@ from chronofact.operators.vector_index import VectorIndex
 
 #: Start of facts from documents without a date; their ``source_type`` is placeholder.
 UNDATED = "1900-01-01"
-TABLES = {"facts": FACTS + ", evidence int, ingest_seq long", "incoming": FACTS + ", evidence int, ingest_seq long", "passages": PASSAGES, "vectors": "id string, vector array<double>"}
+TABLES = {"facts": FACTS + ", evidence int, ingest_seq long", "incoming": FACTS + ", evidence int, ingest_seq long", "passages": PASSAGES, "vectors": "id string, vector array<double>", "failures": "source_id string, error string, failed_at timestamp"}
 
 
 @dataclass
@@ -115,12 +115,13 @@ class FactStore:
         self._commit("vectors", self.vectors.join(ids.select("id").distinct(), "id", "left_anti"))
 
     # --- ingest ---------------------------------------------------------------------------------------------------------
-    def candidates(self, docs: DataFrame, extractor: Extractor = trigger_extractor, accept: float = 0.0, tagger: Tagger | None = None, similar: float | None = None) -> DataFrame:
+    def candidates(self, docs: DataFrame, extractor: Extractor = trigger_extractor, accept: float = 0.0, tagger: Tagger | None = None, similar: float | None = None, extracted: DataFrame | None = None) -> DataFrame:
         """Facts of documents before they meet others: extracted, canonical, dated, turned round or dropped where a
         ``tagger`` says that the entities' types fit so or not at all, names unified with known ones (by string
         similarity too with ``similar``), objects checked. ``ingest_seq`` is the order of source date, source and place
-        in it. No step needs more than a row, but for names, a shuffle of distinct mentions, and the order."""
-        found = canonicalize(extract(docs, extractor), self.vocabulary).where(object_problem(F.col("object")).isNull())
+        in it. No step needs more than a row, but for names, a shuffle of distinct mentions, and the order. What was
+        ``extracted`` already is not extracted again."""
+        found = canonicalize(extract(docs, extractor) if extracted is None else extracted, self.vocabulary).where(object_problem(F.col("object")).isNull())
         if accept:
             found = views.gate(found, accept, min(accept, 0.6), "extraction_confidence").where("decision = 'accepted'").drop("decision")
         none = lambda kind: F.lit(None).cast(kind)
@@ -142,23 +143,38 @@ class FactStore:
         rows = rows.withColumn("validity_start", F.coalesce("validity_start", F.lit(UNDATED).cast("timestamp")))
         return rows.withColumn("id", fact_id()).selectExpr(*(c.split()[0] for c in re.sub(r"array<.*>", "x", TABLES["facts"]).split(", ")))
 
-    def ingest(self, docs: DataFrame, extractor: Extractor = trigger_extractor, accept: float = 0.0, **options) -> dict[str, int]:
-        """Writes the documents' passages and facts; ``added`` facts and ``contested`` ones in all. Only keys that the documents
-        touch are folded; all other facts are copied as they are."""
+    @property
+    def failures(self) -> DataFrame:
+        """Documents whose last extraction raised, and what."""
+        return self._table("failures")
+
+    def ingest(self, docs: DataFrame, extractor: Extractor = trigger_extractor, accept: float = 0.0, dedup: float | None = 0.85, judge: Callable | None = None, encoder: Callable | None = None, cosine: float = 0.92, merge_evidence: bool = False, **options) -> dict[str, int]:
+        """Writes the documents' passages and facts; ``added`` facts, ``contested`` ones in all, and ``failed`` documents. Only
+        keys that the documents touch are folded; all other facts are copied as they are.
+
+        Duplicates are like objects by character grams (``dedup``), or by the vectors of an ``encoder`` of objects and a
+        ``cosine``; a ``judge`` settles pairs of single pieces of evidence that are contested (see
+        ``resolve_conflicts``). A text on which the extractor raises is kept as a failure until it is ingested again; the
+        others' facts are not lost with it.
+        """
         stamped = docs.select("source_id", "text", "uri", F.current_timestamp().alias("retrieved_at"), F.lit(None).cast("string").alias("meta_json"))
         self._commit("passages", catalog.upsert(self.passages, stamped, ["source_id"], "retrieved_at"))
         # written before it is used, as what an extractor gives may differ from call to call
-        self._commit("incoming", catalog.latest(self.candidates(docs, extractor, accept, **options), ["id"], [F.col("ingest_seq")]))
+        extracted, failed, counts = extract_apart(docs, extractor)
+        if counts["failed"] or self._versions("failures"):
+            past = self.failures.join(docs.select("source_id").distinct(), "source_id", "left_anti")
+            self._commit("failures", past.unionByName(failed.withColumn("failed_at", F.current_timestamp())))
+        self._commit("incoming", catalog.latest(self.candidates(docs, extractor, accept, extracted=extracted, **options), ["id"], [F.col("ingest_seq")]))
         old, new = self.facts, self._table("incoming")
         new = new.join(old.select("id"), "id", "left_anti")
         keys = new.select(*KEY).distinct()
         touched = old.join(keys, list(KEY), "left_semi").withColumn("settled", F.lit(True)).unionByName(new.withColumn("settled", F.lit(False)))
-        folded = conflicts.resolve_conflicts(touched, self.vocabulary).drop("settled")
+        folded = conflicts.resolve_conflicts(touched, self.vocabulary, dedup, judge, merge_evidence, encoder, cosine).drop("settled")
         before = old.count()
         self._commit("facts", old.join(keys, list(KEY), "left_anti").unionByName(folded))
         now = self.facts
         added = now.count() - before
-        return {"added": added, "contested": now.where("status = 'contested'").count()}
+        return {"added": added, "contested": now.where("status = 'contested'").count(), "failed": counts["failed"]}
 
     # --- reads ----------------------------------------------------------------------------------------------------------
     def retrieve(self, queries: DataFrame, at: Column, view: str = "active", filters: dict[str, str] | None = None, top_k: int = 20, vectors: DataFrame | VectorIndex | None = None) -> DataFrame:
@@ -178,35 +194,54 @@ class FactStore:
         start = self.spark.createDataFrame([(subject, scope)], "start string, scope string")
         return chains.unambiguous(chains.join_chain(self.facts, start, [self.vocabulary.canonical(p) for p in predicates], at, resolver=resolver)).drop("ambiguous")
 
-    def answer_context(self, questions: DataFrame, now: Column, top_k: int = 10) -> DataFrame:
-        """A block of context for each question (query_id, query) that asks for facts, as of the time it means."""
+    def _known(self, questions: DataFrame, now: Column, top_k: int) -> DataFrame:
+        """The store's facts for each question (query_id, query) that asks for facts, as of the time it means, ranked."""
         routed = governance.route(questions, self.vocabulary, now).where("use_facts")
         facts = self.facts
         asked = routed.select("query_id", F.col("search").alias("query"), F.coalesce("query_time", now).alias("at"))
         found = self.index().bm25(asked, top_k=None).select("query_id", "id", "score")
         # hits are few against all facts, so time is a condition on hits and not a join of all facts with all questions
         live = found.join(facts.drop("rank"), "id").join(asked.select("query_id", "at"), "query_id").where(contains(F.col("at")) & (F.col("status") != "deprecated"))
-        return governance.context(search.ranked(live, top_k), ["query_id"])
+        return search.ranked(live, top_k)
+
+    def answer_context(self, questions: DataFrame, now: Column, top_k: int = 10) -> DataFrame:
+        """A block of context for each question (query_id, query) that asks for facts, as of the time it means."""
+        return governance.context(self._known(questions, now, top_k), ["query_id"])
 
-    def answered(self, questions: DataFrame, hits: DataFrame, now: Column, top_k: int = 10, extractor: Extractor = trigger_extractor, fresh_days: int | None = None) -> DataFrame:
+    def answered(self, questions: DataFrame, hits: DataFrame, now: Column, top_k: int = 10, extractor: Extractor = trigger_extractor, fresh_days: int | None = None, fallback: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         """``query_id, mode, context`` of every question. ``hits``: query_id, source_id, text, source_date and rank of the
         passages that another retriever found.
 
-        Questions that ask for facts get those of the store (``facts``); where it has none, and with ``fresh_days``
-        where none of the store's facts is that new, facts taken from the passages just now (``just_in_time``). All
-        other questions, and those without any fact, get the passages (``passages``), the best first.
+        Questions that ask for facts get those of the store (``facts``); where it has none, facts taken from the passages
+        just now (``just_in_time``). With ``fresh_days`` a question's facts are fresh if the youngest evidence for the key
+        of its best fact is; facts that are not get those of the passages added (``refreshed``), or stay alone
+        (``stale_facts``). ``fallback`` gives more passages for questions without fresh facts (query_id, query), such as
+        ``TableCorpus.hits``. All other questions, and those without any fact, get the passages (``passages``), the best
+        first. A text on which the extractor raises gives none.
         """
-        known = self.answer_context(questions, now, top_k).withColumn("mode", F.lit("facts"))
-        if fresh_days is not None and not self.facts.where(F.col("updated_at") >= now - F.make_dt_interval(F.lit(fresh_days))).limit(1).count():
-            known = known.limit(0)
+        columns = ["query_id", "rank", "subject", "predicate", "scope", "object", "status", "validity_start", "validity_end", "validity_known", "provenance"]
+        known = saved(self._known(questions, now, top_k).select(*columns))
         asked = governance.route(questions, self.vocabulary, now).where("use_facts").select("query_id", F.coalesce("query_time", now).alias("at"))
-        passages = hits.join(asked.join(known, "query_id", "left_anti"), "query_id")
+        fresh = known.select("query_id").distinct()
+        if fresh_days is not None:
+            young = views.freshness(self.facts, now, fresh_days).where("fresh").select(*KEY)
+            fresh = known.where("rank = 1").join(young, list(KEY)).select("query_id")
+        wanted = saved(asked.join(fresh, "query_id", "left_anti"))
+        given = ["query_id", "source_id", "text", "source_date", "rank"]
+        passages = hits.select(*given)
+        if fallback is not None:
+            passages = passages.unionByName(fallback(questions.join(wanted.select("query_id"), "query_id", "left_semi").select("query_id", "query")).select(*given))
+        passages = passages.join(wanted, "query_id")
         docs = passages.select("source_id", "text", "source_date").dropDuplicates(["source_id"])
-        found = canonicalize(extract(docs, extractor), self.vocabulary).where(object_problem(F.col("object")).isNull())
+        found = canonicalize(extract_apart(docs, extractor)[0], self.vocabulary).where(object_problem(F.col("object")).isNull())
         now_facts = passages.select("query_id", "source_id", "rank", "at").join(found, "source_id").where(contains(F.col("at"), F.coalesce("validity_start", F.lit(UNDATED).cast("timestamp"))))
-        now_facts = now_facts.withColumns({"status": F.lit("active"), "provenance": F.array(F.struct("source_id", "evidence_span"))})
-        fresh = governance.context(now_facts, ["query_id"]).withColumn("mode", F.lit("just_in_time"))
-        both = known.unionByName(fresh)
+        now_facts = now_facts.withColumns({"status": F.lit("active"), "scope": F.lit("global"), "rank": F.col("rank") + top_k, "provenance": F.array(F.struct("source_id", "evidence_span"))})
+        plain = F.transform("provenance", lambda p: F.struct(p["source_id"].alias("source_id"), p["evidence_span"].alias("evidence_span"))).alias("provenance")
+        told = saved(known.select(*columns[:-1], plain, F.lit(True).alias("held")).unionByName(now_facts.select(*columns, F.lit(False).alias("held"))))
+        stale = wanted.select("query_id", F.lit(True).alias("stale"))
+        kinds = told.groupBy("query_id").agg(F.bool_or("held").alias("old"), F.bool_or(~F.col("held")).alias("new")).join(stale, "query_id", "left")
+        mode = F.when(F.col("old") & F.col("new"), "refreshed").when(F.col("new"), "just_in_time").when(F.col("stale"), "stale_facts").otherwise("facts")
+        both = governance.context(told, ["query_id"]).join(kinds.select("query_id", mode.alias("mode")), "query_id")
         line = F.concat(F.lit("["), F.col("source_id"), F.lit("] "), F.col("text"))
         rest = hits.join(both, "query_id", "left_anti").where(F.col("rank") <= top_k).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]), "\n").alias("context"))
         return questions.select("query_id").join(both.unionByName(rest.withColumn("mode", F.lit("passages"))), "query_id", "left").select("query_id", "mode", "context")

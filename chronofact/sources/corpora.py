@@ -44,6 +44,13 @@ class TableCorpus:
         hits = self._hits([query], limit).join(self.docs, F.col("id") == F.col("source_id")).orderBy("rank").select(*self.docs.columns)
         return hits if hits.limit(1).count() else self.docs.orderBy("source_id").limit(limit)
 
+    def hits(self, questions: DataFrame, limit: int = 5) -> DataFrame:
+        """The best documents for each of a batch of questions (query_id, query): the documents' columns with ``query_id``
+        and ``rank``."""
+        index = search.postings(self.docs, "source_id", "text", search.plain_terms)
+        found = search.any_term(index, search.statistics(self.docs, "text", search.plain_terms), questions, top_k=limit)
+        return found.select("query_id", F.col("id").alias("source_id"), "rank").join(self.docs, "source_id")
+
     def _hits(self, queries: list[str], limit: int) -> DataFrame:
         asked = self.docs.sparkSession.createDataFrame(list(enumerate(queries)), "query_id long, query string")
         index = search.postings(self.docs, "source_id", "text", search.plain_terms)

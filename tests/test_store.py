@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronofact import cli
+from chronofact.functions.extraction import trigger_extractor
 from chronofact.functions.vocabulary import Vocabulary
 from chronofact.plans.store import FactStore, audit, scan_corpus
+from chronofact.sources.corpora import TableCorpus
 
 DOCS = [
     ("d1", "Larry Page became CEO of Google. That was since 2011.", datetime(2011, 4, 5)),
@@ -102,6 +104,43 @@ def test_answered_with_passages(spark, store):
     assert "facts" not in stale.values()
 
 
+def test_freshness_is_that_of_the_answers_key(spark, store):
+    """A young fact about something else makes no answer fresh; a stale answer keeps its facts and gets new ones."""
+    asked = spark.createDataFrame([(1, "Where is Microsoft headquartered in 2020?"), (2, "Who was CEO of Acme in 2019?")], "query_id long, query string")
+    none = spark.createDataFrame([], "query_id long, source_id string, text string, source_date timestamp, rank int")
+    soon = F.current_timestamp()
+    late = F.lit("2099-01-01").cast("timestamp")
+    pool = spark.createDataFrame([("w1", "Microsoft is headquartered in Paris.", datetime(2019, 1, 1)), ("w2", "Ann Lee became CEO of Acme in 2018.", datetime(2018, 5, 5)), *((f"n{i}", f"Plain words {i}", None) for i in range(6))], "source_id string, text string, source_date timestamp")
+    modes = lambda at, **o: {r.query_id: (r.mode, r.context or "") for r in store.answered(asked, none, at, **o).collect()}
+    assert modes(soon, fresh_days=30)[1][0] == "facts" and modes(late, fresh_days=30)[1][0] == "stale_facts"
+    got = modes(late, fresh_days=30, fallback=TableCorpus(pool).hits)
+    assert got[1][0] == "refreshed" and "Paris" in got[1][1] and "Redmond" in got[1][1]
+    assert got[2][0] == "just_in_time" and "Ann Lee" in got[2][1]
+
+
+def test_failing_texts_are_kept_apart(spark, tmp_path, docs):
+    def fragile(text):
+        if "Microsoft" in text:
+            raise RuntimeError("no answer")
+        return trigger_extractor(text)
+
+    store = FactStore(spark, str(tmp_path / "s"))
+    counts = store.ingest(docs, fragile)
+    assert counts["failed"] == store.failures.count() > 0 and counts["added"] > 0
+    assert {r.error for r in store.failures.collect()} == {"RuntimeError: no answer"}
+    assert store.facts.where("subject = 'Microsoft'").count() == 0
+    assert store.ingest(docs)["failed"] == 0 and store.failures.count() == 0 and store.facts.where("subject = 'Microsoft'").count() > 0
+
+
+def test_encoder_and_judge_in_ingest(spark, tmp_path):
+    texts = [("a", "Acme is headquartered in Berlin", datetime(2001, 1, 1)), ("b", "Acme is headquartered in Berlin City", datetime(2002, 1, 1)), ("c", "Acme is headquartered in Madrid", datetime(2003, 1, 1))]
+    docs = spark.createDataFrame([(s, t, None, d) for s, t, d in texts], "source_id string, text string, uri string, source_date timestamp")
+    encoder = lambda objects: [[1.0, 0.0] if "Berlin" in o else [0.0, 1.0] for o in objects]
+    store = FactStore(spark, str(tmp_path / "s"))
+    store.ingest(docs, encoder=encoder, judge=lambda new, old: "new")
+    assert {(r.object, r.status) for r in store.facts.collect()} == {("Berlin", "deprecated"), ("Madrid", "active")}
+
+
 def test_versions(spark, tmp_path, docs):
     store = FactStore(spark, str(tmp_path / "s"))
     for i in range(1, 5):
