@@ -617,9 +617,9 @@ def question_routing(spark, d):
     return routed.select("k", F.col("query_time").cast("timestamp_ntz").alias("query_time"), "use_facts", "search")
 
 
-@query("SELECT source_id, CASE WHEN disputed THEN '[DISPUTED] x' ELSE 'x' END AS text FROM (SELECT 'D' || d.doc_id AS source_id, bool_and(o_orderkey % 3 = 0) AS dead, bool_or(o_orderkey % 7 = 0) AS disputed FROM documents d LEFT JOIN orders ON o_custkey = d.doc_id GROUP BY d.doc_id) WHERE dead IS NOT TRUE")
+@query("SELECT source_id, CASE WHEN disputed THEN '[DISPUTED] ' || text ELSE text END AS text FROM (SELECT 'D' || d.doc_id AS source_id, any_value(text) AS text, bool_and(o_orderkey % 3 = 0) AS dead, bool_or(o_orderkey % 7 = 0) AS disputed FROM documents d LEFT JOIN orders ON o_custkey = d.doc_id GROUP BY d.doc_id) WHERE dead IS NOT TRUE")
 def governed_passages(spark, d):
-    passages = table(spark, d, "documents").select(F.concat(F.lit("D"), "doc_id").alias("source_id"), F.lit("x").alias("text"))
+    passages = table(spark, d, "documents").select(F.concat(F.lit("D"), "doc_id").alias("source_id"), "text")
     k = F.col("o_orderkey")
     status = F.when(k % 21 == 0, "both").when(k % 3 == 0, "deprecated").when(k % 7 == 0, "contested").otherwise("active")
     rows = table(spark, d, "orders").select(F.concat(F.lit("D"), "o_custkey").alias("source_id"), F.when(status == "both", F.array(F.lit("deprecated"), F.lit("contested"))).otherwise(F.array(status)).alias("s"))
@@ -634,11 +634,21 @@ def uncertain_answers(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", texts.is_uncertain(F.col("text")).alias("uncertain"))
 
 
-@query(f"WITH {ORDER}, s AS (SELECT o_custkey, count_if(status <> 'deprecated' AND {HOLDS}) > 0 AS ok FROM ord GROUP BY o_custkey) SELECT o_custkey, ok::INT::DOUBLE AS faithfulness FROM s")
+_CLAIM_WORDS = "list_filter(regexp_extract_all(lower(claim), '[\\p{L}\\p{M}\\p{N}\\p{Pc}]+'), lambda x: length(x) > 3)"
+
+
+@query("""WITH a AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(regexp_replace(trim(text), '([.!?])[ \\t\\n\\r]+', '\\1' || chr(10), 'g'), '\\n+'), lambda c: trim(c)), lambda c: c <> '') AS c FROM conversations WHERE role = 'assistant'),
+k AS (SELECT conv_id, turn, unnest(range(1, len(c) + 1)) AS i, unnest(c) AS claim FROM a), w AS (SELECT conv_id, turn, i, WORDS AS words FROM k),
+o AS (SELECT w.conv_id, w.turn, i, coalesce(bool_or(len(words) = 0 OR len(list_filter(words, lambda x: contains(lower(u.text), x))) > 0), false) AS ok FROM w LEFT JOIN conversations u ON u.conv_id = w.conv_id AND u.role = 'user' AND u.turn < w.turn AND u.turn + 4 > w.turn GROUP BY ALL)
+SELECT a.conv_id * 10000 + a.turn AS answer_id, round(coalesce(avg(ok::INT), 1), 6) AS faithfulness FROM a LEFT JOIN o USING (conv_id, turn) GROUP BY ALL""".replace("WORDS", _CLAIM_WORDS))
 def answer_faithfulness(spark, d):
-    facts = facts_order(spark, d).withColumn("text", F.lit("customer status"))
-    answers = facts.select("o_custkey").distinct().withColumns({"answer": F.lit("The customer is known."), "at": instant(AT)})
-    return evaluation.faithfulness(answers, facts, "o_custkey", "answer", "at")
+    """What assistants say, by the users' words of the four turns before."""
+    c = table(spark, d, "conversations").withColumn("answer_id", F.col("conv_id") * 10_000 + F.col("turn"))
+    said = c.where("role = 'assistant'").select("answer_id", "conv_id", F.col("text").alias("answer"), F.timestamp_seconds("turn").alias("at"))
+    heard = c.where("role = 'user'").select("conv_id", "text", F.timestamp_seconds("turn").alias("validity_start"), F.timestamp_seconds(F.col("turn") + 4).alias("validity_end"))
+    blank = F.lit("")
+    facts = said.select("answer_id", "conv_id").join(heard, "conv_id").withColumns({"subject": blank, "predicate": blank, "object": blank, "status": F.lit("active")})
+    return evaluation.faithfulness(said, facts, "answer_id", "answer", "at").withColumn("faithfulness", F.round("faithfulness", 6))
 
 
 @query(f"WITH {ORDER} SELECT o_custkey, count(*) AS n_facts, count_if({HOLDS}) AS temporal_valid_count, (count_if(status = 'contested') > 0)::BIGINT AS contested_keys FROM ord GROUP BY o_custkey")
@@ -648,9 +658,12 @@ def dataset_enrichment(spark, d):
     return governance.enrich(rows, facts, ["o_custkey"], "at", "row").select(F.col("row").alias("o_custkey"), "n_facts", "temporal_valid_count", "contested_keys")
 
 
-@query(f"WITH {SHIP}, r AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY id) AS rank FROM ship WHERE status = 'active') SELECT subject AS q, 'KNOWN FACTS:' || chr(10) || string_agg('  ' || subject || ' / ' || predicate || ' → ' || object || '  (active, valid ' || strftime(validity_start, '%Y-%m-%d') || ' — ' || coalesce(strftime(validity_end, '%Y-%m-%d'), 'present') || CASE WHEN validity_known THEN '' ELSE ' · (calendar date unknown — source-date fallback)' END || ', source: S' || source % 50 || ')', chr(10) ORDER BY rank) AS context FROM r WHERE rank <= 3 GROUP BY subject")
+@query(f"""WITH {SHIP}, r AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY id) AS rank, 'S' || source % 50 AS src FROM ship WHERE status <> 'deprecated'),
+l AS (SELECT subject, predicate, string_agg('  ' || subject || ' / ' || predicate || ' → ' || object || '  (active, valid ' || strftime(validity_start, '%Y-%m-%d') || ' — ' || coalesce(strftime(validity_end, '%Y-%m-%d'), 'present') || CASE WHEN validity_known THEN '' ELSE ' · (calendar date unknown — source-date fallback)' END || ', source: ' || src || ')', chr(10) ORDER BY rank) FILTER (status = 'active') AS known,
+ string_agg('    • ' || object || '  — ' || src || ': "' || substr(text, 1, 140) || '"', chr(10) ORDER BY rank) FILTER (status = 'contested') AS disputed FROM r GROUP BY ALL)
+SELECT subject AS q, concat_ws(chr(10) || chr(10), 'KNOWN FACTS:' || chr(10) || known, 'DISPUTED FACTS (sources disagree — surface the disagreement):' || chr(10) || '  ' || subject || ' / ' || predicate || ':' || chr(10) || disputed) AS context FROM l""")
 def context_blocks(spark, d):
-    facts = with_provenance(facts_ship(spark, d).where("status = 'active'")).withColumn("rank", F.row_number().over(W.partitionBy("subject").orderBy("id"))).where("rank <= 3")
+    facts = with_provenance(facts_ship(spark, d).where("status <> 'deprecated'")).withColumn("rank", F.row_number().over(W.partitionBy("subject").orderBy("id")))
     return governance.context(facts.withColumn("q", F.col("subject")), ["q"])
 
 
@@ -662,10 +675,10 @@ def name_functions(spark, d):
     return table(spark, d, "part").select("p_partkey", texts.entity_name(name).alias("name"), texts.natural_predicate(predicate).alias("natural_name"), F.round(texts.expected_coverage(F.lit("functional"), F.col("p_size")), 6).alias("coverage"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'rate_limit' WHEN page_id % 5 = 1 THEN CASE WHEN page_id % 2 = 0 THEN 'captcha' ELSE 'unknown_block' END WHEN page_id % 2 = 0 THEN 'captcha' WHEN page_id % 3 = 0 THEN 'silent_empty' ELSE 'ok' END AS kind FROM pages")
+@query("SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'rate_limit' WHEN regexp_matches(html, 'track\\(\\d*[05]\\)') THEN 'tracked' WHEN regexp_matches(html, '(?i)<table') THEN 'tabular' WHEN page_id % 5 = 1 THEN 'unknown_block' WHEN length(html) < 3000 THEN 'silent_empty' ELSE 'ok' END AS kind FROM pages")
 def response_classes(spark, d):
     k = F.col("page_id")
-    kind = texts.response_class(F.when(k % 5 == 0, 429).when(k % 5 == 1, 403).otherwise(200), F.when(k % 2 == 0, "please solve the CAPTCHA").otherwise("fine"), k % 3 == 0, F.lit(True), [("(?i)captcha", "captcha")])
+    kind = texts.response_class(F.when(k % 5 == 0, 429).when(k % 5 == 1, 403).otherwise(200), F.col("html"), F.length("html") < 3000, F.lit(True), [(r"track\(\d*[05]\)", "tracked"), ("(?i)<table", "tabular")])
     return table(spark, d, "pages").select("page_id", kind.alias("kind"))
 
 
