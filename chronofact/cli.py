@@ -8,8 +8,9 @@ import json
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from chronofact.operators import reports, views
-from chronofact.plans.store import FactStore, audit, auto, scan_corpus, to_markdown
+from chronofact.functions.extraction import extract
+from chronofact.operators import reports, sampling, views
+from chronofact.plans.store import FactStore, audit, auto, scan_corpus, seeds_of, to_markdown
 from chronofact.sources.readers import documents_folder, documents_jsonl, passages_text
 
 
@@ -19,6 +20,7 @@ def parser() -> argparse.ArgumentParser:
     sub = out.add_subparsers(dest="command", required=True)
     for name, args in {
         "ingest": ["source"], "auto": ["source"], "doctor": ["source"], "audit": ["source"], "estimate-cost": ["source"], "query": ["text"], "context": ["text"], "chain": ["subject", "predicate"], "renames": ["subject"], "inspect": [], "contested": [], "diff": ["version"], "review": [],
+        "seeds": ["source"], "schema": ["source"], "failures": [], "resolve": ["subject", "predicate", "winner"],
     }.items():
         p = sub.add_parser(name)
         for a in args:
@@ -51,6 +53,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
         "inspect": lambda: [store.stats()],
         "contested": lambda: reports.contested_keys(store.facts).limit(a.top),
         "diff": lambda: store.changed_since(int(a.version)).limit(a.top),
+        "seeds": lambda: seeds_of(docs(), store.vocabulary, a.sample, a.top),
+        "schema": lambda: reports.discover_predicates(extract(sampling.stratified(sampling.strata(docs(), "composite"), a.sample)), store.vocabulary.dimension(spark)),
+        "failures": lambda: store.failures.limit(a.top),
+        "resolve": lambda: [store.resolve(a.subject, a.predicate, None if a.winner == "none" else a.winner)],
         "review": lambda: reports.review_histogram(store.facts, "extraction_confidence", "source_type"),
     }[a.command]()
     rows = run if isinstance(run, list) else [r.asDict() for r in run.collect()]  # reports are small

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from chronofact.durable import saved
+from chronofact.operators.conflicts import earliest
 from chronofact.functions.texts import domain, script_language
 
 STRATA = ("source_date", "none", "domain", "language", "composite")
@@ -135,3 +136,15 @@ def near_duplicate_pairs(hashes: DataFrame, distance: int = 3, id_col: str = "id
     pairs = left.join(right, ["__band", "__key"]).where("left_id < right_id").withColumn("bits", bits).where(F.col("bits") <= distance).where(first == F.col("__band"))
     copies = hashes.join(distinct, hashes[hash_col] == F.col("__h")).where(F.col(id_col) != F.col("__id")).select(F.col("__id").alias("left_id"), F.col(id_col).alias("right_id"), F.lit(0).alias("bits"))
     return pairs.select("left_id", "right_id", "bits").unionByName(copies)
+
+
+def without_near_duplicates(hashes: DataFrame, distance: int = 3, id_col: str = "id", hash_col: str = "simhash") -> DataFrame:
+    """The ids that stay when, in order of id, each text within ``distance`` bits of an earlier one that stays is dropped.
+
+    The same as a filter that looks at one text after another, over any number of them: of equal hashes all but the first
+    go; of the others it is decided in rounds, all at once whose nearer neighbours are decided. Null hashes and ids go.
+    """
+    rows = hashes.select(F.col(id_col).alias("id"), F.col(hash_col).alias("simhash")).where("id is not null and simhash is not null")
+    first = saved(rows.groupBy("simhash").agg(F.min("id").alias("id")))
+    pairs = near_duplicate_pairs(first, distance, "id", "simhash").select(F.col("right_id").alias("a"), F.col("left_id").alias("b"), (-F.col("bits")).alias("worth"))
+    return first.join(earliest(pairs).select(F.col("a").alias("id")), "id", "left_anti").select(F.col("id").alias(id_col))

@@ -576,6 +576,12 @@ def simhash_pairs(spark, d):
     return sampling.near_duplicate_pairs(hashed)
 
 
+@query()  # texts one after another; the tests hold it against plain Python
+def near_duplicates_filtered(spark, d):
+    hashed = table(spark, d, "documents").select(F.col("doc_id").alias("id"), sampling.simhash(F.col("text")).alias("simhash"))
+    return sampling.without_near_duplicates(hashed)
+
+
 # --- questions, answers, evaluation -------------------------------------------------------------------------------------
 _NORMAL = "array_to_string(list_filter(string_split(regexp_replace(regexp_replace(lower({0}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\s+', ' ', 'g'), ' '), lambda x: x NOT IN ('', 'a', 'an', 'the')), ' ')"
 

@@ -176,6 +176,18 @@ class FactStore:
         added = now.count() - before
         return {"added": added, "contested": now.where("status = 'contested'").count(), "failed": counts["failed"]}
 
+    def resolve(self, subject: str, predicate: str, winner: str | None, scope: str = "global") -> dict[str, int]:
+        """A person's decision about a contested key: the fact with the id ``winner`` is right, or none is. How many facts of the
+        key are active and deprecated afterwards. KeyError if the key has no such fact."""
+        name = self.vocabulary.canonical(predicate)
+        own = views.by_key(self.facts, subject, name, scope)
+        if not own.where(F.col("id") == winner if winner is not None else F.lit(True)).limit(1).count():
+            raise KeyError(winner or subject)
+        decided = self.spark.createDataFrame([(subject, name, scope, "all_wrong" if winner is None else "winner", winner)], "subject string, predicate string, scope string, action string, winner_id string")
+        self._commit("facts", catalog.resolve(self.facts, decided))
+        counts = {r["status"]: r["n"] for r in views.by_key(self.facts, subject, name, scope).groupBy("status").agg(F.count("*").alias("n")).collect()}
+        return {"active": counts.get("active", 0), "deprecated": counts.get("deprecated", 0)}
+
     # --- reads ----------------------------------------------------------------------------------------------------------
     def retrieve(self, queries: DataFrame, at: Column, view: str = "active", filters: dict[str, str] | None = None, top_k: int = 20, vectors: DataFrame | VectorIndex | None = None) -> DataFrame:
         """Facts with ``query_id, score, rank`` and their rank in either list (the facts' own is ``fact_rank``). ``queries``:
@@ -309,6 +321,17 @@ def auto(store: FactStore, docs: DataFrame, sample: int = 500, extractor: Extrac
     return {"ingest": counts, "predicates": [r.asDict() for r in proposals], "seeds": [r.asDict() for r in asked], "second": again, "scan": scan, "stats": store.stats()}
 
 
+def seeds_of(docs: DataFrame, vocabulary: Vocabulary, sample: int = 500, budget: int = 50, min_frequency: int = 3, extractor: Extractor = trigger_extractor) -> DataFrame:
+    """Questions worth asking about documents that are in no store yet: from the facts of a stratified sample of them, folded
+    as they come, so that disputed keys are known."""
+    some = sampling.stratified(sampling.strata(docs, "composite"), sample)
+    found = arrived(canonicalize(extract(some, extractor), vocabulary).where(object_problem(F.col("object")).isNull()))
+    start = F.coalesce("validity_start", F.lit(UNDATED).cast("timestamp"))
+    facts = found.withColumns({"scope": F.lit("global"), "status": F.lit("active"), "evidence": F.lit(1), "validity_start": start, "text": F.col("evidence_span"), "id": F.concat_ws("#", "source_id", "position")})
+    functional = [p.name for p in vocabulary.predicates.values() if p.cardinality == FUNCTIONAL]
+    return seed_questions(saved(conflicts.resolve_conflicts(facts, vocabulary, dedup=None)), functional, vocabulary.renaming(strict=True), budget, min_frequency)
+
+
 def seed_questions(facts: DataFrame, functional: list[str], renaming: list[str], budget: int = 50, min_frequency: int = 3) -> DataFrame:
     """Questions about a store's facts, ``budget`` of them: of great expected coverage and far from each other, by the TF-IDF
     vectors of their character grams; in the order of the choice."""

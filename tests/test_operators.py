@@ -1,6 +1,7 @@
 """Chains, conflicts, catalog, search, sampling, governance and evaluation on small hand-made facts."""
 
 import itertools
+import random
 from datetime import datetime
 
 import numpy as np
@@ -213,6 +214,20 @@ def test_sampling(spark):
     assert {p for p in want if p[0] == 1 or p == (1, 2)} <= near | {(2, 3)} and all(p in want for p in near)
 
 
+def test_near_duplicates_one_after_another(spark):
+    rng = random.Random(3)
+    centres = [rng.getrandbits(64) for _ in range(8)]
+    data = [(i, rng.choice(centres) ^ sum(1 << b for b in rng.sample(range(12), rng.choice([0, 1, 2, 2, 3])))) for i in range(120)]
+    kept = []
+    for i, h in data:
+        if all(bin(h ^ data[k][1]).count("1") > 3 for k in kept):
+            kept.append(i)
+    rows = [(i, h - 2**64 if h >= 2**63 else h) for i, h in data] + [(None, 5), (900, None)]
+    df = spark.createDataFrame(rows, "id long, simhash long").repartition(3)
+    assert sorted(r.id for r in sampling.without_near_duplicates(df).collect()) == kept
+    assert sampling.without_near_duplicates(df.limit(0)).count() == 0
+
+
 def test_governance(spark):
     passages = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z"), ("d", "w")], "source_id string, text string")
     evidence = spark.createDataFrame([("a", "deprecated"), ("b", "deprecated"), ("b", "contested"), ("c", "active")], "source_id string, status string")

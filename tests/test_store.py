@@ -163,4 +163,9 @@ def test_commands(spark, tmp_path, capsys):
     assert run("renames", "Twitter Inc.")[0]["object"] == "X Corp"
     assert run("query", "Microsoft Seattle", "--at", "2020-01-01", "--view", "all")[0]["object"] == "Seattle"
     assert run("estimate-cost", str(source))[0]["n_sampled"] == 6
+    disputed = run("contested")[0]
+    winner = FactStore(spark, str(tmp_path / "s")).facts.where("status = 'contested' and object = 'Seattle'").first()
+    assert run("resolve", winner.subject, winner.predicate, winner.id) == [{"active": 1, "deprecated": 1}] and disputed["n"] == 2
+    assert run("failures") == [] and run("query", "Microsoft Seattle", "--at", "2020-01-01")[0]["object"] == "Seattle"
+    assert {r["kind"] for r in run("seeds", str(source))} and isinstance(run("schema", str(source)), list)
     assert "| n_facts |" in cli.main(["--store", str(tmp_path / "s"), "inspect"], spark)
