@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofact.durable import saved
+from chronofact.functions.analysis import terms, words
 from chronofact.operators.search import B, BROADCAST_TERMS, K1, MIN_IDF, _asked, postings, ranked
-from chronofact.functions.analysis import terms
 
 #: Documents of a block, about; blocks of a query that are scored before any bound is compared; segments from which on a
 #: change merges all.
@@ -66,7 +66,7 @@ class BlockIndex:
         return out
 
     def blocks(self) -> DataFrame:
-        return self._read("blocks", f"term string, block long, max_tf long, min_length int, n long, rows array<struct<id:{self.kind},tf:bigint,length:int>>")
+        return self._read("blocks", f"term string, block long, max_tf long, min_length int, n long, tokens long, rows array<struct<id:{self.kind},tf:bigint,length:int>>")
 
     def change(self, added: DataFrame, gone: DataFrame | None = None, label: str = "") -> BlockIndex:
         """A segment of texts (id, text) that came and that went; an id may do both, if its text changed. One shuffle by term
@@ -83,19 +83,19 @@ class BlockIndex:
 
     def _write(self, name: str, added: DataFrame, gone: DataFrame | None, label: str) -> BlockIndex:
         path = f"{self.path}/{name}"
-        came = saved(postings(added.select("id", "text"), "id", "text"))
         # sets of documents by length, in steps of an eighth of a doubling, and by hash where a step has many
-        step = F.floor(F.log2(F.col("length").cast("double")) * 8).cast("long")
-        sizes = came.groupBy("id").agg(F.first("length").alias("length")).groupBy(step.alias("step")).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
-        placed = came.withColumn("step", step).join(F.broadcast(sizes), "step")  # a row for each step: under 300
-        block = F.col("step") * F.lit(2**40) + F.pmod(F.xxhash64("id"), F.col("parts"))
-        rows = placed.withColumn("block", block).groupBy("term", "block").agg(F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), F.count("*").alias("n"), F.collect_list(F.struct("id", "tf", "length")).alias("rows"))
-        rows.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/blocks")
-        counts, total = came.select("term", F.lit(1).alias("d")), added.select(F.lit(1).alias("d"), F.col("id")).select("d", F.lit(0).cast("long").alias("tokens"))
-        tokens = came.agg(F.sum("tf").alias("tokens")).select(F.lit(0).alias("d"), "tokens")
+        step = F.floor(F.log2(F.greatest(F.col("length"), F.lit(1)).cast("double")) * 8).cast("long")
+        sizes = added.select(F.size(words(F.col("text"))).alias("length")).groupBy(step.alias("step")).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
+        placed = postings(added.select("id", "text"), "id", "text").withColumn("step", step).join(F.broadcast(sizes), "step", "left")  # a row for each step: under 300
+        block = F.col("step") * F.lit(2**40) + F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1).cast("long")))
+        rows = placed.withColumn("block", block).groupBy("term", "block").agg(F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), F.count("*").alias("n"), F.sum("tf").alias("tokens"), F.collect_list(F.struct("id", "tf", "length")).alias("rows"))
+        rows.sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/blocks")  # dealt by term and block already
+        came = self.spark.read.parquet(f"{path}/blocks")
+        counts, total = came.select("term", F.col("n").alias("d")), added.select(F.lit(1).alias("d")).withColumn("tokens", F.lit(0).cast("long"))
+        tokens = came.agg(F.sum("tokens").alias("tokens")).select(F.lit(0).alias("d"), "tokens")
         if gone is not None:
             went = saved(postings(gone.select("id", "text"), "id", "text"))
-            counts = counts.unionByName(went.select("term", F.lit(-1).alias("d")))
+            counts = counts.unionByName(went.select("term", F.lit(-1).cast("long").alias("d")))
             total = total.unionByName(gone.select(F.lit(-1).alias("d"), F.lit(0).cast("long").alias("tokens")))
             tokens = tokens.unionByName(went.agg((-F.sum("tf")).alias("tokens")).select(F.lit(0).alias("d"), "tokens"))
         counts.groupBy("term").agg(F.sum("d").cast("long").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
@@ -130,7 +130,7 @@ class BlockIndex:
         idf = F.greatest(F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(MIN_IDF))
         asked = saved(asked.join(df, "term").select("query_id", "wanted", "term", idf.alias("idf")))
         asked = F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked
-        heads = of_terms(self.blocks().drop("rows")).join(asked, "term")
+        heads = of_terms(self.blocks().drop("rows", "tokens")).join(asked, "term")
         bound = F.sum(F.col("idf") * _part(F.col("max_tf"), F.col("min_length"), mean)) * (1 + SLACK)
         sums = heads.groupBy("query_id", "wanted", "segment", "block").agg(bound.alias("score"), F.count("*").alias("found")).where("found = wanted").drop("found")
         if top_k is None:
