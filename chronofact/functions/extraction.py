@@ -189,10 +189,11 @@ def _extracted(docs: DataFrame, extractor: Extractor, tolerant: bool) -> DataFra
 CACHED = "cache_key string, subject string, predicate string, object string, evidence_span string, extraction_confidence double, position int"
 
 
-def cached_extract(docs: DataFrame, cache: DataFrame | None, extractor_id: str, extractor: Extractor = trigger_extractor) -> tuple[DataFrame, DataFrame]:
+def cached_extract(docs: DataFrame, cache: DataFrame | None, extractor_id: str, extractor: Extractor = trigger_extractor, tolerant: bool = False) -> tuple[DataFrame, DataFrame]:
     """What ``extract`` gives, with the extractor called only for texts that the ``cache`` (CACHED) lacks, once for each
     distinct one; also the rows to add to the cache. A text without facts is cached by a row with a null subject. Times
-    are inferred anew, as documents of one text may have different dates."""
+    are inferred anew, as documents of one text may have different dates. If ``tolerant``, a text on which the extractor
+    raises has no facts and is not cached, so that it is tried again."""
     spark = docs.sparkSession
     key = F.sha2(F.concat(F.col("text"), F.lit(f"|{extractor_id}")), 256).alias("cache_key")
     cache = spark.createDataFrame([], CACHED) if cache is None else cache
@@ -204,7 +205,11 @@ def cached_extract(docs: DataFrame, cache: DataFrame | None, extractor_id: str,
         for batch in batches:
             rows = []
             for k, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += [(k, *found, i) for i, found in enumerate(extractor(text))] or [(k, None, None, None, None, None, None)]
+                try:
+                    rows += [(k, *found, i) for i, found in enumerate(extractor(text))] or [(k, None, None, None, None, None, None)]
+                except Exception:  # whatever a model's client raises
+                    if not tolerant:
+                        raise
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * len(names), kinds, strict=True)], names=names)
 
     fresh = saved(texts.select("cache_key", "text").mapInArrow(run, CACHED))

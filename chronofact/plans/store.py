@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofact.durable import saved
-from chronofact.functions.extraction import Extractor, extract, extract_apart, probed, scan_documents, trigger_extractor
+from chronofact.functions.extraction import CACHED, Extractor, cached_extract, extract, extract_apart, probed, scan_documents, trigger_extractor
 from chronofact.functions.intervals import contains
 from chronofact.functions.texts import alias_key, object_problem, script_language
 from chronofact.functions.vocabulary import FUNCTIONAL, Predicate, Vocabulary, canonicalize
@@ -26,7 +26,9 @@ from chronofact.operators.vector_index import VectorIndex
 
 #: Start of facts from documents without a date; their ``source_type`` is placeholder.
 UNDATED = "1900-01-01"
-TABLES = {"facts": FACTS + ", evidence int, ingest_seq long", "incoming": FACTS + ", evidence int, ingest_seq long", "passages": PASSAGES, "vectors": "id string, vector array<double>", "failures": "source_id string, error string, failed_at timestamp"}
+TABLES = {"facts": FACTS + ", evidence int, ingest_seq long", "incoming": FACTS + ", evidence int, ingest_seq long", "passages": PASSAGES, "vectors": "id string, vector array<double>", "failures": "source_id string, error string, failed_at timestamp", "extractions": CACHED + ", last_used timestamp"}
+#: Texts whose extractions the just-in-time cache keeps.
+CACHED_TEXTS = 10_000
 
 
 @dataclass
@@ -143,6 +145,18 @@ class FactStore:
         rows = rows.withColumn("validity_start", F.coalesce("validity_start", F.lit(UNDATED).cast("timestamp")))
         return rows.withColumn("id", fact_id()).selectExpr(*(c.split()[0] for c in re.sub(r"array<.*>", "x", TABLES["facts"]).split(", ")))
 
+    def extracted_once(self, docs: DataFrame, extractor: Extractor, extractor_id: str, size: int = CACHED_TEXTS) -> DataFrame:
+        """``extract`` by way of the store's table ``extractions``: the extractor is called for texts alone that it hasn't seen
+        under this id, whatever document they come from; the ``size`` texts used last are kept for the next call."""
+        cache, now = self._table("extractions"), F.current_timestamp()
+        docs = saved(docs.select("source_id", "text", "source_date"))
+        found, fresh = cached_extract(docs, cache.drop("last_used"), extractor_id, extractor, tolerant=True)
+        used = docs.where("text is not null").select(catalog.cache_key(F.col("text"), extractor_id).alias("cache_key"), now.alias("now")).distinct()
+        rows = cache.join(used, "cache_key", "left").withColumn("last_used", F.coalesce("now", "last_used")).drop("now").unionByName(fresh.withColumn("last_used", now))
+        kept = catalog.trimmed_cache(rows.groupBy("cache_key").agg(F.max("last_used").alias("last_used")), size)
+        self._commit("extractions", rows.join(kept.select("cache_key"), "cache_key", "left_semi"))
+        return found
+
     @property
     def failures(self) -> DataFrame:
         """Documents whose last extraction raised, and what."""
@@ -220,7 +234,7 @@ class FactStore:
         """A block of context for each question (query_id, query) that asks for facts, as of the time it means."""
         return governance.context(self._known(questions, now, top_k), ["query_id"])
 
-    def answered(self, questions: DataFrame, hits: DataFrame, now: Column, top_k: int = 10, extractor: Extractor = trigger_extractor, fresh_days: int | None = None, fallback: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    def answered(self, questions: DataFrame, hits: DataFrame, now: Column, top_k: int = 10, extractor: Extractor = trigger_extractor, fresh_days: int | None = None, fallback: Callable[[DataFrame], DataFrame] | None = None, extractor_id: str | None = None) -> DataFrame:
         """``query_id, mode, context`` of every question. ``hits``: query_id, source_id, text, source_date and rank of the
         passages that another retriever found.
 
@@ -229,7 +243,8 @@ class FactStore:
         of its best fact is; facts that are not get those of the passages added (``refreshed``), or stay alone
         (``stale_facts``). ``fallback`` gives more passages for questions without fresh facts (query_id, query), such as
         ``TableCorpus.hits``. All other questions, and those without any fact, get the passages (``passages``), the best
-        first. A text on which the extractor raises gives none.
+        first. A text on which the extractor raises gives none. With an ``extractor_id``, passages that were extracted for
+        an earlier answer are not again (``extracted_once``).
         """
         columns = ["query_id", "rank", "subject", "predicate", "scope", "object", "status", "validity_start", "validity_end", "validity_known", "provenance"]
         known = saved(self._known(questions, now, top_k).select(*columns))
@@ -245,7 +260,7 @@ class FactStore:
             passages = passages.unionByName(fallback(questions.join(wanted.select("query_id"), "query_id", "left_semi").select("query_id", "query")).select(*given))
         passages = passages.join(wanted, "query_id")
         docs = passages.select("source_id", "text", "source_date").dropDuplicates(["source_id"])
-        found = canonicalize(extract_apart(docs, extractor)[0], self.vocabulary).where(object_problem(F.col("object")).isNull())
+        found = canonicalize(self.extracted_once(docs, extractor, extractor_id) if extractor_id else extract_apart(docs, extractor)[0], self.vocabulary).where(object_problem(F.col("object")).isNull())
         now_facts = passages.select("query_id", "source_id", "rank", "at").join(found, "source_id").where(contains(F.col("at"), F.coalesce("validity_start", F.lit(UNDATED).cast("timestamp"))))
         now_facts = now_facts.withColumns({"status": F.lit("active"), "scope": F.lit("global"), "rank": F.col("rank") + top_k, "provenance": F.array(F.struct("source_id", "evidence_span"))})
         plain = F.transform("provenance", lambda p: F.struct(p["source_id"].alias("source_id"), p["evidence_span"].alias("evidence_span"))).alias("provenance")

@@ -132,6 +132,30 @@ def test_failing_texts_are_kept_apart(spark, tmp_path, docs):
     assert store.ingest(docs)["failed"] == 0 and store.failures.count() == 0 and store.facts.where("subject = 'Microsoft'").count() > 0
 
 
+def test_passages_are_extracted_once(spark, tmp_path):
+    """The second batch calls the extractor for new texts only; the cache keeps the texts used last."""
+    log = tmp_path / "calls"
+
+    def counting(text):
+        with open(log, "a") as f:
+            f.write(text + "\n")
+        if "fails" in text:
+            raise RuntimeError
+        return trigger_extractor(text)
+
+    frame = lambda rows: spark.createDataFrame(rows, "source_id string, text string, source_date timestamp")
+    store, day = FactStore(spark, str(tmp_path / "s")), datetime(2018, 5, 5)
+    one = [("a", "Ann Lee became CEO of Acme in 2018.", day), ("b", "Ann Lee became CEO of Acme in 2018.", day), ("c", "plain", None), ("d", "fails", None), ("e", None, None)]
+    first = sorted(r.source_id for r in store.extracted_once(frame(one), counting, "x").collect())
+    again = sorted(r.source_id for r in store.extracted_once(frame([*one, ("f", "Bob Ray became CEO of Bolt in 2019.", day)]), counting, "x", 2).collect())
+    assert first == ["a", "b"] and again == ["a", "b", "f"]
+    assert sorted(log.read_text().splitlines()) == sorted(["Ann Lee became CEO of Acme in 2018.", "plain", "fails", "fails", "Bob Ray became CEO of Bolt in 2019."])
+    assert store._table("extractions").select("cache_key").distinct().count() == 2
+    asked = spark.createDataFrame([(1, "Who was CEO of Acme in 2019?")], "query_id long, query string")
+    hits = spark.createDataFrame([(1, "a", one[0][1], day, 1)], "query_id long, source_id string, text string, source_date timestamp, rank int")
+    assert store.answered(asked, hits, F.current_timestamp(), extractor=trigger_extractor, extractor_id="y").first().mode == "just_in_time"
+
+
 def test_encoder_and_judge_in_ingest(spark, tmp_path):
     texts = [("a", "Acme is headquartered in Berlin", datetime(2001, 1, 1)), ("b", "Acme is headquartered in Berlin City", datetime(2002, 1, 1)), ("c", "Acme is headquartered in Madrid", datetime(2003, 1, 1))]
     docs = spark.createDataFrame([(s, t, None, d) for s, t, d in texts], "source_id string, text string, uri string, source_date timestamp")
