@@ -9,6 +9,8 @@ length, so that bounds are tight. A change writes a segment of what came and wha
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +29,20 @@ SLACK = 1e-9
 NAMED = 1000
 
 
+#: Lets the files of a job's shuffles go when it ends; what a later job needs is written.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+
+
 def _part(tf: Column, length: Column, mean: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean)))
 
@@ -74,12 +90,14 @@ class BlockIndex:
         now = self.segments()
         if len(now) >= MERGE:
             raise ValueError("merge first")
-        return self._write(f"s{now[-1] + 1 if now else 1}", added, gone, label)
+        with _shuffles_dropped(self.spark):
+            return self._write(f"s{now[-1] + 1 if now else 1}", added, gone, label)
 
     def rebuilt(self, texts: DataFrame, label: str = "") -> BlockIndex:
         """All texts (id, text) in one segment, in place of all before it."""
         now = self.segments()
-        return self._write(f"s{now[-1] + 1 if now else 1}w", texts, None, label)
+        with _shuffles_dropped(self.spark):
+            return self._write(f"s{now[-1] + 1 if now else 1}w", texts, None, label)
 
     def _write(self, name: str, added: DataFrame, gone: DataFrame | None, label: str) -> BlockIndex:
         path = f"{self.path}/{name}"
