@@ -6,7 +6,8 @@ from collections import Counter
 
 import pytest
 
-from chronofact.operators.seeds import Encoder, cosine_topk, diverse
+from chronofact.operators import seeds
+from chronofact.operators.seeds import Encoder, cosine_topk, diverse, similar_texts
 
 TEXTS = ["Google ceo", "google CEO founded", "Twitter renamed", "Twitter formerly known as", "X Corp owner", "x", "", None, "Ärzte ohne Grenzen", "a bc def", "Google  ceo"]
 
@@ -77,3 +78,24 @@ def test_diverse_awkward(spark):
     assert [r.id for r in diverse(df, vectors, 9).orderBy("place").collect()] == [2, 1, 3]
     assert [r.id for r in diverse(df, vectors, 2).orderBy("place").collect()] == [2, 1]
     assert diverse(df.limit(0), vectors, 3).count() == 0
+
+
+def test_equal_texts_are_compared_once(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [rng.choice(TEXTS) for _ in range(150)]
+    rows = [*enumerate(texts), (3, texts[3]), (4, "renamed owner"), (None, "Google")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    encoder = Encoder.fit(df)
+    asked = df.where("id % 4 = 0 or id is null").withColumnRenamed("id", "query_id")
+    pairs = []
+
+    def counted(vectors, queries, *rest):
+        pairs.append(vectors.select("id").distinct().count() * queries.select("query_id").distinct().count())
+        return cosine_topk(vectors, queries, *rest)
+
+    monkeypatch.setattr(seeds, "cosine_topk", counted)
+    for k in (1, 3, 40):
+        want = cosine_topk(encoder.vectors(df), encoder.vectors(asked, "query_id").withColumnRenamed("id", "query_id"), k, 9)
+        got = similar_texts(encoder, df, asked, k, 9)
+        assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert max(pairs) <= 12 * 12 and len(pairs) == 3
