@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
 from chronofact.llm import text as T
-from chronofact.llm.storage import tidy, tune
+from chronofact.llm.storage import give_back, tidy, tune
 
 #: Bounds of the sample of labelled texts for each language: about so many texts and bytes, chosen by a hash of id and
 #: text. What they hold comes to the driver and is broadcast.
@@ -299,6 +299,7 @@ def identify(docs: DataFrame, labelled: DataFrame, text_col: str = "text", colum
     """
     tune(docs.sparkSession)
     models = train(labelled, order, train_rows)
+    give_back()
     shared = docs.sparkSession.sparkContext.broadcast(models)  # its size is bounded by the sample
     columns = columns or ["doc_id"]
     names = [*columns, "lang_pred", "score", "bits", "rejected"]

@@ -35,6 +35,14 @@ def tune(spark: SparkSession) -> None:
 Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+def give_back() -> None:
+    """Gives back to the system what this process's allocators keep of freed memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def tidy(run: Batches) -> Batches:
     """``run`` for ``mapInArrow``, giving back to the system at its task's end what allocators keep: workers live on
     between tasks, and those of several operators stand side by side."""
@@ -43,10 +51,7 @@ def tidy(run: Batches) -> Batches:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-            if trim:
-                trim(0)
+            give_back()
 
     return task
 

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronofact.llm import text as T
-from chronofact.llm.storage import stash, tidy, tune
+from chronofact.llm.storage import give_back, stash, tidy, tune
 
 #: Bound of the sample of labelled rows that the models are fitted on: about so many, chosen by a hash of their id. Of
 #: each the driver gets at most the chosen features (SELECTED for each category and fold), 8 bytes each.
@@ -112,8 +112,10 @@ def fit_linear(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights and intercept of a logistic regression, by full gradient steps with momentum and adaptive size."""
     if y.min() == y.max():
         return np.append(np.zeros(x.shape[1]), 8.0 if y[0] else -8.0)
-    x, scale = x.astype(np.float32), np.maximum(x.std(0), 0.05).astype(np.float32)
-    x = x / scale
+    # a few columns at a time, as deviations are taken in double precision
+    deviation = np.concatenate([x[:, k : k + 64].std(0, dtype=np.float64) for k in range(0, x.shape[1], 64)])
+    scale = np.maximum(deviation, 0.05).astype(np.float32)
+    x = np.divide(x, scale, dtype=np.float32, casting="same_kind")
     w, b = np.zeros(x.shape[1], np.float32), float(np.log(y.mean() / (1 - y.mean())))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, STEPS + 1):
@@ -192,9 +194,11 @@ def _select(counts: DataFrame, sizes: dict[int, tuple[int, list[int]]], categori
     return {(k, out): np.array(sorted(found.get((k, out), [])), np.int64) for k in range(categories) for out in range(-1, FOLDS)}
 
 
-def _inputs(rows: list[np.ndarray], values: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
+def _inputs(rows: list[np.ndarray], values: list[np.ndarray], dense: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Presence and density of the chosen features, and the dense inputs; in single precision, as the driver holds them."""
     m = len(chosen)
-    x = np.zeros((len(rows), 2 * m), np.float32)
+    x = np.zeros((len(rows), 2 * m + dense.shape[1]), np.float32)
+    x[:, 2 * m :] = dense
     for i, (r, v) in enumerate(zip(rows, values, strict=True)):
         _, place, where = np.intersect1d(chosen, r, assume_unique=True, return_indices=True)
         x[i, place], x[i, m + place] = 1, np.minimum(v[where], DENSEST)
@@ -236,7 +240,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_co
             models.append(Model(np.zeros(0, np.int64), np.append(np.zeros(_DENSE + k), 8.0 if len(y) and y[0] else -8.0)))
             out = np.full(len(y), y[0] if len(y) else 0.0)
         else:
-            given = lambda chosen: np.hstack([_inputs(own, values, chosen), dense])  # noqa: B023, E731
+            given = lambda chosen: _inputs(own, values, dense, chosen)  # noqa: B023, E731
             models.append(Model(chosen_of[k, -1], fit_linear(given(chosen_of[k, -1]), y)))
             out = np.zeros(len(y))
             for f in range(FOLDS):
@@ -264,6 +268,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
     """
     chain = train_chain(docs, labels, categories, id_col, text_col, train_rows)
     spark = docs.sparkSession
+    give_back()
     model = spark.sparkContext.broadcast(chain)  # SELECTED features for each category at most
     columns = columns or [id_col]
     rows, column = T.carried(docs, columns, text_col)

@@ -1,11 +1,12 @@
 """The chain on planted labels: held-out accuracy, later categories that need earlier ones, awkward rows."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 
-from chronofact.llm.toxicity import fit_linear, toxicity, train_chain
+from chronofact.llm.toxicity import _inputs, fit_linear, toxicity, train_chain
 
 
 def corpus(n, seed):
@@ -61,6 +62,19 @@ def test_same_model_each_time(frames):
     assert a.threshold == b.threshold and all(np.array_equal(x.weights, y.weights) for x, y in zip(a.models, b.models, strict=True))
 
 
+def test_fit_holds_one_copy_in_single_precision():
+    rng = np.random.default_rng(4)
+    chosen = np.arange(400)
+    own = [np.sort(rng.choice(400, 30, False)) for _ in range(1500)]
+    x = _inputs(own, [np.ones(30, np.float32)] * 1500, rng.random((1500, 5)), chosen)
+    assert x.dtype == np.float32 and x.shape == (1500, 805) and x[7, :400].nonzero()[0].tolist() == own[7].tolist()
+    tracemalloc.start()
+    fit_linear(x, (x[:, 3] > 0).astype(float))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * x.nbytes
+
+
 def test_fit_linear():
     x = np.array([[0.0], [0.1], [0.9], [1.0]] * 20)
     w = fit_linear(x, (x[:, 0] > 0.5).astype(float))
